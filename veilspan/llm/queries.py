@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, line_dedup, mixing, near_dup
+from . import bpe, chat, langid, line_dedup, mixing, near_dup, quality, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_langid": langid.op2_langid,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op5_near_dup": near_dup.op5_near_dup,
+    "op6_chat": chat.op6_chat,
+    "op7_fingerprints": syncmers.op7_fingerprints,
     "op8_mixing": mixing.op8_mixing,
     "op9_bpe": bpe.op9_bpe,
+    "op10_quality": quality.op10_quality,
 }
 
-ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE, "op6_chat": chat.ORACLE}
