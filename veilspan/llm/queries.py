@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, line_dedup, mixing, near_dup, pii, quality, syncmers
+from . import bpe, chat, html_extract, langid, line_dedup, mixing, near_dup, pii, quality, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
     "op2_langid": langid.op2_langid,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_html": html_extract.op4_html,
     "op5_near_dup": near_dup.op5_near_dup,
     "op6_chat": chat.op6_chat,
     "op7_fingerprints": syncmers.op7_fingerprints,
