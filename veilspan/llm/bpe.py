@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Words that a worker remembers before it starts anew.
 CACHE_WORDS = 300_000
@@ -227,6 +227,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, keep_text: bool = Fal
     texts give no token. All columns of ``docs`` stay but those named like the
     results. Very long texts and words are encoded whole.
     """
+    small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
         held = docs.sparkSession.sparkContext.broadcast(f.read())
 

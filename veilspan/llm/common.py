@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,18 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: What one Arrow batch of long texts may hold on its way to a Python worker.
+BATCH_BYTES, BATCH_RECORDS = 4 << 20, 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch limits so that batches of long texts stay small; never raises them."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_RECORDS)):
+        now = int(re.sub(r"[^0-9-]", "", spark.conf.get(key)))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Pure ASCII text takes the fast built-in path."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _UPPER, _UPPER.lower())).otherwise(F.lower(text))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, small_batches, table
 
 #: Least importance of a branch that stays.
 KEEP = 0.35
@@ -197,6 +197,7 @@ def extract_main_text(pages: DataFrame, keep: float = KEEP) -> DataFrame:
     A null page is empty. Pages without a host share the host ''. Repeated rows
     are read alike. Very long pages are read whole. An empty table gives none.
     """
+    small_batches(pages.sparkSession)
     rest = [c for c in pages.columns if c not in ("text", "n_chars")]
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     keyed = pages.select(*rest).withColumn("_page", F.coalesce("html", F.lit(""))).withColumn("_key", F.xxhash64("page_id", "url", "html"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -173,6 +173,7 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
     Null texts and texts without a letter are ``und`` with score 0. Very long
     texts are read whole, window by window.
     """
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((network, network.tables()))
 
     @F.arrow_udf("struct<lang:string,score:double>")

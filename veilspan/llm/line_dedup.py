@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, saved, sha256_hex, table
+from .common import SPACE, ascii_lower, saved, sha256_hex, small_batches, table
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -209,6 +209,7 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     documents of their own. An empty table gives an empty table. Columns of
     ``docs`` with the helpers' names are kept apart.
     """
+    small_batches(docs.sparkSession)
     extra = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in extra]).alias("rest") if extra else F.lit(None).cast("int").alias("rest"), F.col("text"))
     hashed = with_line_hashes(packed, min_chars)

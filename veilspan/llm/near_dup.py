@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, small_batches, table
 
 RADIUS = 2
 SHINGLE_WORDS = 3
@@ -212,6 +212,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, *, tile_rows: int = T
     representative unless its class has no other (then the component is null).
     An empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     fps = saved(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
     classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
     parts = connected_components(tile_links(classes, radius, tile_rows))
