@@ -1,0 +1 @@
+"""Text entity detection and anonymisation as Spark DataFrame operators."""
