@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import ends_with_date, looks_like_date, looks_like_date_part, normalize, strip
+from ..functions.text import ends_with_date, let, looks_like_date, looks_like_date_part, normalize, strip
 from .detect import excluded
 from .spans import PAGE
 
@@ -145,7 +145,7 @@ def group_tokens(tokens: DataFrame) -> DataFrame:
 
 def expand_to_words(text: Column, start: Column, stop: Column) -> tuple[Column, Column]:
     """A place widened to the delimiters around it."""
-    left = F.length(F.regexp_extract(F.substring(text, F.lit(1), start), f"[^{DELIMITERS}]*$", 0))
+    left = F.length(F.regexp_extract(F.reverse(F.substring(text, F.lit(1), start)), f"^[^{DELIMITERS}]*", 0))
     right = F.length(F.regexp_extract(F.substring(text, stop + 1, F.length(text)), f"^[^{DELIMITERS}]*", 0))
     return start - left, stop + right
 
@@ -167,8 +167,8 @@ def max_probability() -> Column:
 
 def is_false_positive(text: Column, base: Column, p: Column) -> Column:
     """One character, a common word, digits and punctuation only, short and unsure, or a person that is a date's part."""
-    t = strip(text)
-    return (F.length(t) <= 1) | F.lower(t).isin(*STOP_WORDS) | t.rlike(r"^[\d\s.,;:!?\x27\"()-]+$") | ((F.length(t) <= 2) & (p < 0.9)) | ((base == "PER") & looks_like_date_part(t))
+    plain = lambda t: (F.length(t) <= 1) | F.lower(t).isin(*STOP_WORDS) | t.rlike(r"^[\d\s.,;:!?\x27\"()-]+$") | ((F.length(t) <= 2) & (p < 0.9)) | ((base == "PER") & looks_like_date_part(t))
+    return let(strip(text), plain)
 
 
 def filter_false_positives(entities: DataFrame) -> DataFrame:
