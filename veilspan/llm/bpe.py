@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 #: Words that a worker remembers before it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 _NEVER = np.int64(1) << 40
 _NEVER_STEP = 1 << 60
 
@@ -55,19 +55,19 @@ class Vocabulary:
         self.longest = max(map(len, self.ids))
         # the merge that builds each token: its rank and its two parts
         self.rank, self.left, self.right = (np.full(size, x, np.int64) for x in (-1, 0, 0))
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        merges: dict[tuple[int, int], tuple[int, int]] = {}
         for r, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
             a, b = self.ids[raw(a)], self.ids[raw(b)]
             made = self.ids[self.bytes_of[a] + self.bytes_of[b]]
-            self.merges.setdefault((a, b), (r, made))
+            merges.setdefault((a, b), (r, made))
             if self.rank[made] < 0:
                 self.rank[made], self.left[made], self.right[made] = r, a, b
         # rank and result in one integer, so the least is the next merge
-        self._steps = {p: (r << 20) | made for p, (r, made) in self.merges.items()}
-        keys = np.array([(a << 32) | b for a, b in self.merges], np.int64)
+        self._steps = {p: (r << 20) | made for p, (r, made) in merges.items()}
+        keys = np.array([(a << 32) | b for a, b in merges], np.int64)
         order = np.argsort(keys)
-        self._pairs, self._pair_rank = keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
+        self._pairs, self._pair_rank = keys[order], np.array([r for r, _ in merges.values()], np.int64)[order]
         merged = np.flatnonzero(self.rank >= 0)
         self.sound = np.zeros(size, bool)
         self.sound[[i for b, i in self.ids.items() if len(b) == 1]] = True
@@ -137,8 +137,8 @@ class Vocabulary:
         after, prior, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
 
         def offer(i: int) -> None:
-            if i >= 0 and after[i] < n and (m := self.merges.get((ids[i], ids[after[i]]))):
-                heapq.heappush(heap, (m[0], i, ids[i], ids[after[i]], m[1]))
+            if i >= 0 and after[i] < n and (m := self._steps.get((ids[i], ids[after[i]]))):
+                heapq.heappush(heap, (m >> 20, i, ids[i], ids[after[i]], m & 0xFFFFF))
 
         for i in range(n):
             offer(i)
@@ -246,7 +246,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, keep_text: bool = Fal
         types = [pa.int64(), *[pa.string()] * 4]
         return pa.StructArray.from_arrays([pa.array(c, t) for c, t, _ in zip(columns, types, names, strict=False)], names=names)
 
-    coded = F.arrow_udf(kind)(encode)
+    coded = F.arrow_udf(kind)(encode).asNondeterministic()  # else a filter on the result would run it twice
     results = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_text else [])]
     rest = [c for c in docs.columns if c not in results]
     return docs.select(*[F.col(f"`{c}`") for c in rest], coded("text").alias("_coded")).select(*[F.col(f"`{c}`") for c in rest], *[F.col(f"_coded.{c}") for c in results])

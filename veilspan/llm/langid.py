@@ -194,6 +194,7 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
             scores += share[np.arange(len(best)), best].astype(float).tolist()
         return pa.StructArray.from_arrays([pa.array(picks, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
+    classify = classify.asNondeterministic()  # else a filter on the result would run it twice
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     coded = docs.select(*[F.col(f"`{c}`") for c in rest], lettered.alias("_lettered"), classify("text").alias("_class"))

@@ -168,7 +168,8 @@ def _probe_broadcast(hashed: DataFrame, index: DataFrame, shards: int) -> DataFr
         sizes = np.diff(h1.offsets.to_numpy())
         return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(out))
 
-    return hashed.withColumn("drop", frequent("h1", "h2"))
+    # as if nondeterministic, else a filter on the result would run it twice
+    return hashed.withColumn("drop", frequent.asNondeterministic()("h1", "h2"))
 
 
 def _probe_dealt(hashed: DataFrame, index: DataFrame, shards: int) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved, table, uniform
+from .common import SPACE, WORD, saved, table, uniform
 
 #: Weights of the sources in code point order, null last, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -150,19 +150,22 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     of ``docs`` stay, as does one row per pass; documents that no slot shows go.
     """
     placed, _, mixture = mix(docs, **options)
-    takes = mixture.groupBy("row", "source", "pass").agg(F.array_sort(F.collect_list(F.struct("piece_from", "words"))).alias("_pieces"))
+    takes = mixture.groupBy("row", "source", "pass").agg(F.array_sort(F.collect_list(F.struct("piece_from", "words"))).alias("_pieces"), F.sum("words").alias("_words"))
     row = F.struct("doc_id", F.xxhash64("source", "text").alias("content"))
     # equal rows are told apart by their number among equals, on both sides
     among = Window.partitionBy("row.doc_id", "row.content").orderBy("row.n")
-    numbers = placed.where("size > 0").select("row", F.row_number().over(among).alias("nth"))
-    takes = takes.join(numbers, "row").select(F.struct("row.doc_id", "row.content", "nth").alias("_take"), "_pieces")
+    numbers = placed.where("size > 0").select("row", "size", F.row_number().over(among).alias("nth"))
+    takes = takes.join(numbers, "row").select(F.struct("row.doc_id", "row.content", "nth").alias("_take"), "_pieces", (F.col("_words") == F.col("size")).alias("_all"))
     keyed = docs.withColumn("_row", row).withColumn("_nth", F.row_number().over(Window.partitionBy("_row").orderBy("_row")))
     keyed = keyed.withColumn("_key", F.struct(F.col("_row.doc_id"), F.col("_row.content"), F.col("_nth").alias("nth")))
     met = keyed.join(takes, F.col("_key").eqNullSafe(F.col("_take")))
     # each word with the white space after it, so that slices of the array are stretches of the text
     tokens = F.regexp_extract_all(F.col("text"), F.lit(WORD + r"[\x20\x09-\x0D]*+"), F.lit(0))
-    stretches = F.transform("_pieces", lambda p: F.array_join(F.slice("_tokens", (p["piece_from"] + 1).cast("int"), p["words"].cast("int")), ""))
-    return met.withColumn("_tokens", tokens).withColumn("text", F.rtrim(F.array_join(stretches, ""))).drop("_row", "_nth", "_key", "_take", "_pieces", "_tokens")
+    cut = lambda words: F.array_join(F.transform("_pieces", lambda p: F.array_join(F.slice(words, (p["piece_from"] + 1).cast("int"), p["words"].cast("int")), "")), "")
+    # bound as a lambda's argument, so that a text is split once and not for each piece
+    taken = F.get(F.transform(F.array(tokens), cut), 0)
+    text = F.btrim(F.when(F.col("_all"), F.col("text")).otherwise(taken), F.lit(SPACE))
+    return met.withColumn("text", text).drop("_row", "_nth", "_key", "_take", "_pieces", "_all")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
