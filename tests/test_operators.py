@@ -1,0 +1,161 @@
+"""Hand-computed cases, properties, and what SQL cannot express."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from veilspan.functions import text as fn
+from veilspan.operators import detect, ner, propagate, rules, signatures, spans, tagging
+from veilspan.streaming import progressive
+
+
+def pages(spark, *texts):
+    return spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, page_index int, text string")
+
+
+SPAN = "doc_id long, page_index int, ord long, label string, text string, norm_text string, confidence double, source string, char_start int, char_end int"
+
+
+def span(doc, page, ord_, label, text, conf, source, a, b):
+    return (doc, page, ord_, label, text, text.lower(), conf, source, a, b)
+
+
+def found(spark, text):
+    return {(r.label, r.text) for r in detect.detect(pages(spark, text)).collect()}
+
+
+def test_sample_of_every_identifier(spark):
+    text = "Né le 15/03/1985, 12, rue des Lilas, 75011 Paris, jean@exemple.fr, 06 12 34 56 78, IBAN FR76 3000 6000 0112 3456 7890 189, SIREN 732 829 320."
+    got = found(spark, text)
+    assert ("DATE", "15/03/1985") in got and ("IDENTIFIER", "jean@exemple.fr") in got and ("IDENTIFIER", "06 12 34 56 78") in got
+    assert ("IDENTIFIER", "FR76 3000 6000 0112 3456 7890 189") in got and ("IDENTIFIER", "732 829 320") in got
+
+
+@pytest.mark.parametrize("text,hit", [("10 000 EUR", True), ("10 000 €.", False), ("100 000 euros", True), ("250.000 €", False)])
+def test_amounts(spark, text, hit):
+    assert any(t == text for _, t in found(spark, text + " dus")) is hit
+
+
+def test_siren_inside_siret_is_dropped(spark):
+    got = [r.text for r in detect.detect(pages(spark, "SIRET 732 829 320 00074 fin")).collect()]
+    assert "732 829 320 00074" in got and "732 829 320" not in got
+
+
+@pytest.mark.parametrize("number,valid", [("732829320", True), ("123456789", False), ("12", False)])
+def test_checksum(spark, number, valid):
+    assert spark.range(1).select(fn.siren_checksum(F.lit(number))).first()[0] is valid
+
+
+def test_offsets_point_at_matches(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab1 é@.\n") for _ in range(rng.randint(0, 60))) for _ in range(60)]
+    df = pages(spark, *texts).withColumn("m", F.explode(fn.matches(F.col("text"), "[a-b]+|1")))
+    for r in df.collect():
+        assert r.text[r.m.start : r.m.stop] == r.m.text
+    import re
+
+    assert df.count() == sum(len(re.findall("[a-b]+|1", t)) for t in texts)
+
+
+def test_occurrences_overlap_and_quote(spark):
+    cases = [("aaaa", "aa"), ("xAxa", "xa"), ("a\\Eb\\Eb", "\\Eb"), ("", "a"), ("abc", ""), ("été ÉTÉ", "été"), ("(a)(a)", "(A)")]
+    df = spark.createDataFrame(cases, "t string, n string").select("t", "n", fn.occurrences(F.col("t"), F.col("n")).alias("o"))
+    for r in df.collect():
+        low, small = r.t.lower(), r.n.lower()
+        assert r.o == ([i for i in range(len(low)) if low.startswith(small, i)] if small else []), r
+
+
+def test_resolution_leaves_no_conflict(spark):
+    rng = random.Random(1)
+    rows = []
+    for d in range(40):
+        for k in range(rng.randint(1, 12)):
+            a = rng.randint(0, 40)
+            rows.append(span(d, 0, k, rng.choice(["PERSON", "DATE"]), "x", rng.choice([0.5, 0.7, 0.95]), rng.choice(["ner", "regex", "user"]), a, a + rng.randint(1, 15)))
+    kept = spans.process(spark.createDataFrame(rows, SPAN)).collect()
+    assert kept
+    for x in kept:
+        for y in kept:
+            if x.doc_id == y.doc_id and x.ord != y.ord:
+                common = min(x.char_end, y.char_end) - max(x.char_start, y.char_start)
+                assert common <= 0.5 * min(x.char_end - x.char_start, y.char_end - y.char_start)
+
+
+def test_winner_evicts_its_whole_chain(spark):
+    rows = [span(0, 0, 0, "DATE", "a", 0.5, "regex", 0, 10), span(0, 0, 1, "DATE", "b", 0.5, "regex", 10, 20), span(0, 0, 2, "DATE", "c", 0.9, "user", 2, 18)]
+    assert [r.ord for r in spans.resolve(spark.createDataFrame(rows, SPAN)).collect()] == [2]
+
+
+def test_tags_are_dense_and_rewriting_is_invertible(spark):
+    text = "Paul et Marie et Paul, Lyon"
+    rows = [span(0, 0, 0, "PERSON", "Paul", 0.9, "ner", 0, 4), span(0, 0, 1, "PERSON", "Marie", 0.9, "ner", 8, 13), span(0, 0, 2, "PERSON", "Paul", 0.9, "ner", 17, 21), span(0, 0, 3, "ADDRESS", "Lyon", 0.9, "ner", 23, 27)]
+    s = spark.createDataFrame(rows, SPAN)
+    tags = tagging.tag_map(s)
+    assert {(r.norm_text, r.tag, r.n) for r in tags.collect()} == {("paul", "[PERSON_1]", 2), ("marie", "[PERSON_2]", 1), ("lyon", "[ADDRESS_1]", 1)}
+    out = tagging.anonymize(pages(spark, text), tagging.with_tags(s, tags)).first().anonymized_text
+    assert out == "[PERSON_1] et [PERSON_2] et [PERSON_1], [ADDRESS_1]"
+    for r in tags.collect():
+        out = out.replace(r.tag, r.original_texts[0])
+    assert out == text
+
+
+def test_chunks_cover_the_text():
+    rng = random.Random(2)
+    for n in (0, 1, 1500, 1501, 9000):
+        text = "".join(rng.choice("abc  .\n") for _ in range(n))
+        bounds = ner.chunk_bounds(text)
+        assert bounds[0][0] == 0 and bounds[-1][1] == n
+        assert all(b[0] <= a[1] and b[0] > a[0] for a, b in zip(bounds, bounds[1:], strict=False))
+
+
+def test_alignment():
+    assert ner.align_tokens(["Jean", "pierre", "Du", "pont"], [True, False, True, False], "Jeanpierre  Dupont") == [(0, 4), (4, 10), (12, 14), (14, 18)]
+    assert ner.align_tokens(["a", "zz", "b"], [True, True, True], "a b") == [(0, 1), None, (2, 3)]
+
+
+def test_flexible_search(spark):
+    assert propagate.flexible_pattern("Jean Dupont").search("**Je*an** _Dupont_")[0] == "Je*an** _Dupont"
+    assert propagate.tight_bounds("**abc**.", "abc") == (2, 5)
+    assert propagate.tight_bounds("****", "abcdefghi") == (0, 4)
+
+
+def test_leader_keeps_label_and_takes_surer_text(spark):
+    rows = [span(0, 0, 0, "PERSON", "Jean-Christophe Dupontel-Martin", 0.5, "ner", 0, 5), span(0, 0, 1, "DATE", "Jean-Christophe Dupontel Martin", 0.9, "regex", 9, 15)]
+    c = propagate.leader_clusters(spark.createDataFrame(rows, SPAN)).collect()
+    assert len(c) == 1 and c[0].label == "PERSON" and c[0].source == "ner" and c[0].text == "Jean-Christophe Dupontel Martin" and len(c[0].variants) == 2
+
+
+def test_raw_offsets(spark):
+    text = "  a \n\n b\tc "
+    collapsed = " a b c "
+    df = spark.createDataFrame([(text, i) for i in range(len(collapsed))], "t string, i int").select("i", rules.raw_offset(F.col("t"), F.col("i")).alias("r"))
+    for r in df.collect():
+        assert text[r.r].strip() == collapsed[r.i].strip()
+
+
+def test_signature_lines():
+    assert signatures.group_into_lines([(0, 100, 10), (20, 102, 10), (0, 50, 10)], 6.0) == [0, 0, 1]
+    assert signatures.group_into_lines([], 6.0) == []
+
+
+def test_empty_tables(spark):
+    none, no_pages = spark.createDataFrame([], SPAN), pages(spark)
+    assert spans.process(none).count() == 0 and tagging.tag_map(none).count() == 0
+    assert detect.detect(no_pages).count() == 0 and propagate.propagate(none, no_pages).count() == 0
+
+
+def test_stream_equals_batch_steps(spark):
+    """The stream's spans are those of the same steps applied by hand."""
+    from veilspan.plans import rulebook
+    from veilspan.plans.inputs import rules as rules_of
+    from veilspan.sources.tables import conversation_pages
+
+    sf = "/root/testdata/sf0.001"
+    ours = rulebook.str01_progressive(spark, sf).collect()
+    all_pages, earlier = conversation_pages(spark, sf), spark.createDataFrame([], progressive.STEP)
+    for (k,) in sorted(all_pages.select("page_index").distinct().collect()):
+        step = progressive.process_step(all_pages.where(F.col("page_index") == k), earlier, rules_of(spark, sf), rulebook._name_detector)
+        earlier = spark.createDataFrame(earlier.collect() + step.select(*progressive._FIELDS).collect(), progressive.STEP)
+    key = lambda r: (r.doc_id, r.page_index, r.char_start, r.char_end, r.label, round(r.confidence, 6))
+    assert sorted(map(key, ours)) == sorted(map(key, earlier.collect()))
