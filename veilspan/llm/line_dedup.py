@@ -17,6 +17,7 @@ each task keeps one shard's arrays while hashes stream past in batches.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -186,14 +187,18 @@ def _probe_dealt(hashed: DataFrame, index: DataFrame, shards: int) -> DataFrame:
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays, at = None, None
         for batch in batches:
-            pdf = batch.to_pandas()
-            for (shard, _), part in pdf.groupby(["shard", "salt"], sort=True):
-                for r in part[part["kind"] == 0].itertuples():
-                    arrays, at = _arrays(r.displacement, r.fingerprint, r.doc_count), shard
-                asked = part[part["kind"] == 1]
-                if len(asked) and at == shard:
-                    hit = asked[probe_perfect_hash(asked["h1"].to_numpy(np.int64), asked["h2"].to_numpy(np.int64), arrays) > 0]
-                    yield pa.RecordBatch.from_arrays([pa.array(hit["row"].to_numpy(np.int64)), pa.array(hit["pos"].to_numpy(np.int32))], ["row", "pos"])
+            place = batch.column("shard").to_numpy() * SALTS + batch.column("salt").to_numpy()
+            kind = batch.column("kind").to_numpy()
+            cuts = np.flatnonzero(np.diff(place)) + 1
+            for begin, end in itertools.pairwise([0, *cuts.tolist(), len(place)]):
+                part, copies = batch.slice(begin, end - begin), int((kind[begin:end] == 0).sum())
+                if copies:  # a shard's arrays come before its probes
+                    arrays, at = _arrays(*(part.column(c)[0].as_py() for c in ("displacement", "fingerprint", "doc_count"))), place[begin]
+                asked = part.slice(copies)
+                if len(asked) and at == place[begin]:
+                    h1, h2 = (asked.column(c).to_numpy() for c in ("h1", "h2"))
+                    hit = pa.array(probe_perfect_hash(h1, h2, arrays) > 0)
+                    yield pa.RecordBatch.from_arrays([asked.column(c).filter(hit) for c in ("row", "pos")], ["row", "pos"])
 
     flags = met.mapInArrow(stream, "row long, pos int").groupBy("row").agg(F.collect_set("pos").alias("hits"))
     flagged = docs.join(flags, "row", "left")
