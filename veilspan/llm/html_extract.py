@@ -11,8 +11,9 @@ comment: -1). Branches below ``KEEP`` are removed from each page.
 
 The tree is never gathered in one place: its nodes are rows that are counted by
 (host, path, content), so a host may hold a third of all pages. A path's or a
-text's row is hashes and counts; texts don't travel. Pages are parsed twice
-(for the tree, and for the text) and meet only the content nodes that go.
+text's row is hashes and counts; texts don't travel. Pages are parsed anew for the tree's
+counts, for the undecided nodes and for the text, and meet only the content
+nodes that go.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, table
+from .common import small_batches, table
 
 #: Least importance of a branch that stays.
 KEEP = 0.35
@@ -165,25 +166,27 @@ def blocks_of(page: str) -> list[Block]:
 
 
 def _tree_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, host, path, content, prior, place): the content nodes of each page, with the place of the undecided."""
+    """(key, host, path, content, prior, place, first): each page's content nodes; ``first`` where the page shows one for the first time."""
     for batch in batches:
-        columns: list[list] = [[], [], [], [], [], []]
+        columns: list[list] = [[], [], [], [], [], [], []]
         for key, host, page in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            seen = set()
             for place, b in enumerate(blocks_of(page)):
-                for column, value in zip(columns, (key, host, b.path, b.content, b.prior, place), strict=True):
+                for column, value in zip(columns, (key, host, b.path, b.content, b.prior, place, (b.path, b.content) not in seen), strict=True):
                     column.append(value)
-        types = [batch.column(0).type, pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "host", "path", "content", "prior", "place"])
+                seen.add((b.path, b.content))
+        types = [batch.column(0).type, pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "host", "path", "content", "prior", "place", "first"])
 
 
 def content_nodes(pages: DataFrame) -> DataFrame:
     """Pages (key, host, html) as content nodes of their hosts' trees."""
-    return pages.select("key", "host", "html").mapInArrow(_tree_rows, "key long, host string, path long, content long, prior int, place int")
+    return pages.select("key", "host", "html").mapInArrow(_tree_rows, "key long, host string, path long, content long, prior int, place int, first boolean")
 
 
 def importances(nodes: DataFrame, page_counts: DataFrame) -> DataFrame:
     """(host, path, content, prior, importance) of every content node of the site style trees."""
-    counted = nodes.groupBy("host", "path", "content", "prior").agg(F.count_distinct("key").alias("n"))
+    counted = nodes.where("first").groupBy("host", "path", "content", "prior").agg(F.count(F.lit(1)).alias("n"))
     met = counted.join(page_counts, "host")
     entropy = F.when(F.col("m") > 1, F.log("n") / F.log("m")).otherwise(0.0)
     own = met.withColumn("entropy", F.least(entropy, F.lit(1.0)))
@@ -195,15 +198,15 @@ def extract_main_text(pages: DataFrame, keep: float = KEEP) -> DataFrame:
     """Adds ``text`` and ``n_chars`` to pages (page_id, url, html); columns of those names are replaced.
 
     A null page is empty. Pages without a host share the host ''. Repeated rows
-    are read alike. Very long pages are read whole. An empty table gives none.
+    count as pages of their host and are read alike. Very long pages are read whole. An empty table gives none.
     """
     small_batches(pages.sparkSession)
     rest = [c for c in pages.columns if c not in ("text", "n_chars")]
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
     keyed = pages.select(*rest).withColumn("_page", F.coalesce("html", F.lit(""))).withColumn("_key", F.xxhash64("page_id", "url", "html"))
     parts = keyed.select(F.col("_key").alias("key"), host.alias("host"), F.col("_page").alias("html"))
-    nodes = saved(content_nodes(parts))
-    counts = parts.select("key", "host").groupBy("host").agg(F.count_distinct("key").alias("m"))
+    nodes = content_nodes(parts)  # parsed again for each use: cheaper than a stored copy of the tree
+    counts = parts.groupBy("host").agg(F.count(F.lit(1)).alias("m"))
     low = importances(nodes, counts).where(F.col("importance") < keep).select("host", "path", "content")
     # what the prior alone decides needs no look-up: +1 always stays, -1 never does
     gone = nodes.where("prior = 0").join(low, ["host", "path", "content"]).groupBy(F.col("key").alias("_gone_key")).agg(F.collect_set("place").alias("_gone"))
@@ -212,10 +215,12 @@ def extract_main_text(pages: DataFrame, keep: float = KEEP) -> DataFrame:
     def read(html: pa.Array, gone: pa.Array) -> pa.Array:
         out = []
         for page, places in zip(html, gone, strict=True):
-            removed = set(places.as_py() or ())
-            out.append("\n".join(b.text for k, b in enumerate(blocks_of(page.as_py())) if b.prior >= 0 and k not in removed))
+            removed, left = set(places.as_py() or ()), [(k, b) for k, b in enumerate(blocks_of(page.as_py())) if b.prior >= 0]
+            # a page that is nothing but repeated branches (a host of copies) keeps them
+            out.append("\n".join([b.text for k, b in left if k not in removed] or [b.text for _, b in left]))
         return pa.array(out, pa.string())
 
+    read = read.asNondeterministic()  # else a filter on the result would run it twice
     met = keyed.join(gone, F.col("_key") == F.col("_gone_key"), "left")
     return met.select(*[F.col(f"`{c}`") for c in rest], read("_page", "_gone").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
