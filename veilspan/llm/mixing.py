@@ -29,7 +29,7 @@ MAX_EPOCHS = 3
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4096
 #: Rows of a prefix-sum chunk, about.
-CHUNK_ROWS = 20_000
+CHUNK_ROWS = 5_000
 #: Primes for the permutations: their product exceeds any index, so one of them does not divide n.
 PRIMES = (1_000_003, 1_000_033, 1_000_037, 1_000_039, 1_000_081, 1_000_099, 1_000_117, 1_000_121, 1_000_133, 1_000_151)
 
