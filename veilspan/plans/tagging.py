@@ -10,22 +10,22 @@ from ..operators import legacy, redaction
 from ..operators import tagging as op
 from ..operators.spans import process
 from ..schema import LABELS
-from ..sources.tables import contract_pages, conversation_pages, document_pages, read
+from ..sources.tables import by_document, contract_pages, conversation_pages, document_pages, read
 from . import duck
 from .inputs import contract_spans, conversation_tokens, names
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents anonymised end to end: detect, resolve, tag, rewrite; a row for every document."""
-    pages = document_pages(spark, sf_dir)
+    pages = by_document(document_pages(spark, sf_dir))
     spans = process(det.detect(pages))
-    return op.anonymize(pages, op.with_tags(spans, op.tag_map(spans))).drop("page_index", "text")
+    return op.anonymize(pages, op.tag_spans(spans)).drop("page_index", "text")
 
 
 def contract_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over the contracts, where every detector finds something."""
     pages, spans = contract_pages(spark, sf_dir), contract_spans(spark, sf_dir)
-    return op.anonymize(pages, op.with_tags(spans, op.tag_map(spans))).drop("page_index", "text")
+    return op.anonymize(pages, op.tag_spans(spans)).drop("page_index", "text")
 
 
 def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_document(pages: DataFrame) -> DataFrame:
+    """Pages dealt by document, once: later groupings within a document, or a document's page, need no further exchange.
+
+    Also spreads the regular expressions' work where a small table comes in few files.
+    """
+    spark = pages.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return pages.repartition(parts, "doc_id")
+
+
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single-page documents."""
     return read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page_index"), F.coalesce("text", F.lit("")).alias("text"))
@@ -44,7 +54,7 @@ def contract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(F.broadcast(suppliers), F.col("s_suppkey") == F.col("o_orderkey") % 10)
         .select(F.col("o_orderkey").alias("k"), F.col("c_custkey").alias("c"), "c_name", "s_name", F.date_format("o_orderdate", "dd/MM/yyyy").alias("d"))
     )
-    return met.select(F.col("k").alias("doc_id"), F.lit(0).alias("page_index"), F.expr(CONTRACT).alias("text"))
+    return by_document(met.select(F.col("k").alias("doc_id"), "k", "c", "c_name", "s_name", "d")).select("doc_id", F.lit(0).alias("page_index"), F.expr(CONTRACT).alias("text"))
 
 
 def tokens(pages: DataFrame) -> DataFrame:
