@@ -115,9 +115,17 @@ def test_alignment():
 
 
 def test_flexible_search(spark):
-    assert propagate.flexible_pattern("Jean Dupont").search("**Je*an** _Dupont_")[0] == "Je*an** _Dupont"
-    assert propagate.tight_bounds("**abc**.", "abc") == (2, 5)
-    assert propagate.tight_bounds("****", "abcdefghi") == (0, 4)
+    cases = [("a **Je*an** _Dupont_, b", "Jean Dupont", [(4, 19)]), ("J.D.", "J.D.", [(0, 4)]), ("nothing", "Jean", []), ("x `p`(q", "p(q", [(3, 7)])]
+    rows = [(k, t, n) for k, (t, n, _) in enumerate(cases)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, needle string")
+    clusters = df.select("doc_id", F.lit(0).alias("cluster"), F.array("needle").alias("variants"))
+    got = propagate.find_variants(clusters, df.select("doc_id", F.lit(0).alias("page_index"), "text")).collect()
+    assert {k: [(r.char_start, r.char_end) for r in got if r.doc_id == k] for k in range(len(cases))} == {k: e for k, (_, _, e) in enumerate(cases)}
+
+
+def test_tight_bounds(spark):
+    df = spark.createDataFrame([("**abc**.", "abc"), ("****", "abcdefghi")], "m string, n string").select(*propagate.tight_bounds(F.col("m"), F.col("n")))
+    assert [tuple(r) for r in df.collect()] == [(2, 5), (0, 4)]
 
 
 def test_leader_keeps_label_and_takes_surer_text(spark):
@@ -159,3 +167,22 @@ def test_stream_equals_batch_steps(spark):
         earlier = spark.createDataFrame(earlier.collect() + step.select(*progressive._FIELDS).collect(), progressive.STEP)
     key = lambda r: (r.doc_id, r.page_index, r.char_start, r.char_end, r.label, round(r.confidence, 6))
     assert sorted(map(key, ours)) == sorted(map(key, earlier.collect()))
+
+
+def test_resumed_and_repeated_stream(spark):
+    from veilspan.plans import rulebook
+
+    sf = "/root/testdata/sf0.001"
+    whole = sorted(map(tuple, rulebook.str01_progressive(spark, sf).collect()))
+    assert sorted(map(tuple, rulebook.str03_resume(spark, sf).collect())) == whole
+    repeated = sorted(map(tuple, rulebook.str06_repeated_batch(spark, sf).collect()))
+    assert repeated == [r for r in whole if r[1] < 2]
+    assert all(r.suppressible == 0 for r in rulebook.str05_changing_rules(spark, sf).collect() if r.batch)
+
+
+def test_binary_documents(spark, tmp_path):
+    from veilspan.sources.readers import binary_documents
+
+    (tmp_path / "a.PDF").write_bytes(b"%PDF-1.4")
+    (tmp_path / "b.txt").write_bytes(b"no")
+    assert [(r.length, bytes(r.content)) for r in binary_documents(spark, str(tmp_path)).collect()] == [(8, b"%PDF-1.4")]

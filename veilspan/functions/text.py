@@ -114,13 +114,14 @@ def ends_with_date(text: Column) -> Column:
     return text.rlike(rf"(?iu){_MONTH}\s+[0-9]{{4}}[,\s]*$") | text.rlike(r"[0-9]{1,2}[/-][0-9]{1,2}[/-](19|20)[0-9]{2}[,\s]*$")
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """Every match as (start, stop, text) in order; offsets are sums of the lengths of gaps and matches."""
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
+    regex = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pairs = F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, regex, F.lit(0)).alias("hit"))
     empty = F.array().cast("array<struct<start:int,stop:int,text:string>>")
     start = lambda a, p: F.coalesce(F.get(a, F.size(a) - 1)["stop"], F.lit(0)) + F.length(p["gap"])
     step = lambda a, p: F.concat(a, F.array(F.struct(start(a, p).alias("start"), (start(a, p) + F.length(p["hit"])).alias("stop"), p["hit"].alias("text"))))
-    return F.when(text.rlike(pattern), F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), empty, step)).otherwise(empty)
+    return F.when(F.rlike(text, regex), F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), empty, step)).otherwise(empty)
 
 
 def occurrences(text: Column, needle: Column) -> Column:

@@ -103,3 +103,9 @@ def numbered(entities: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc_id", "type").orderBy("char_start", "ord")
     n = F.row_number().over(w).cast("string")
     return entities.withColumn("replacement", F.when(F.col("type").isin(*UNNUMBERED), F.concat(F.lit("["), "type", F.lit("]"))).otherwise(F.concat(F.lit("["), "type", F.lit("_"), n, F.lit("]"))))
+
+
+def edited(entities: DataFrame, added: DataFrame, removed: DataFrame) -> DataFrame:
+    """Entities with manual ones added (the manual one wins a place) and (doc_id, ord) rows removed."""
+    kept = entities.join(added.select("doc_id", "char_start", "char_end"), ["doc_id", "char_start", "char_end"], "left_anti").unionByName(added.withColumn("confidence", F.lit("manual")))
+    return kept.join(removed, ["doc_id", "ord"], "left_anti")

@@ -6,14 +6,10 @@ its spans and pages are few. Order-dependent steps are folds over one array.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize, normalize_fuzzy, normalized_similarity, occurrences, similarity
+from ..functions.text import escape_regex, matches, normalize, normalize_fuzzy, normalized_similarity, occurrences, similarity, strip
 from .rules import _of
 from .spans import PAGE, covered
 
@@ -56,35 +52,25 @@ def leader_clusters(spans: DataFrame) -> DataFrame:
     return found.select("doc_id", "cluster", *[F.col(f"c.{f}").alias(f) for f in ("text", "norm_text", "variants", "label", "confidence", "source")])
 
 
-def flexible_pattern(needle: str) -> re.Pattern:
+def flexible_pattern(needle: Column) -> Column:
     """A needle with formatting marks allowed between its characters and around its spaces."""
     marks = "[*_~`]*"
-    return re.compile(f"{marks}\\s+{marks}".join(marks.join(map(re.escape, w)) for w in needle.split()), re.I)
+    spell = lambda w: F.array_join(F.transform(F.split(w, ""), escape_regex), marks)
+    return F.concat(F.lit("(?iu)"), F.array_join(F.transform(F.split(strip(needle), r"\s+"), spell), rf"{marks}\s+{marks}"))
 
 
-def tight_bounds(matched: str, needle: str) -> tuple[int, int]:
+def tight_bounds(matched: Column, needle: Column) -> tuple[Column, Column]:
     """A match without outer marks and trailing punctuation; all of it if too little would stay."""
-    start = len(matched) - len(re.sub(f"^{MARKDOWN}+", "", matched))
-    stop = max(start, len(re.sub(f"{TRAILING}+$", "", matched)))
-    return (0, len(matched)) if stop - start < len(needle) * 0.5 else (start, stop)
-
-
-def _flexible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for r in pdf.itertuples(index=False):
-            if not r.variant.split():
-                continue
-            for m in flexible_pattern(r.variant).finditer(r.page_text):
-                a, b = tight_bounds(m[0], r.variant)
-                rows.append((r.doc_id, r.page_index, r.cluster, r.variant_no, m.start() + a, m.start() + b, m[0], r.variant))
-        yield pd.DataFrame(rows, columns=["doc_id", "page_index", "cluster", "variant_no", "char_start", "char_end", "matched", "variant"])
+    start = F.length(matched) - F.length(F.regexp_replace(matched, f"^{MARKDOWN}+", ""))
+    stop = F.greatest(start, F.length(F.regexp_replace(matched, f"{TRAILING}+$", "")))
+    enough = stop - start >= F.length(needle) * 0.5
+    return F.when(enough, start).otherwise(F.lit(0)), F.when(enough, stop).otherwise(F.length(matched))
 
 
 def find_variants(clusters: DataFrame, pages: DataFrame, flexible: bool = True) -> DataFrame:
     """Places of every cluster's variants on its document's pages: exact first, flexible where there is no exact one.
 
-    A page without the first word of the needle, marks aside, is no candidate for the flexible search.
+    A page that doesn't hold the needle, marks and spaces aside, is no candidate for the flexible search.
     """
     variants = clusters.select("doc_id", "cluster", F.posexplode("variants").alias("variant_no", "variant")).where(F.length("variant") > 0)
     met = variants.join(pages.select("doc_id", "page_index", F.col("text").alias("page_text")), "doc_id").withColumn("exact", F.contains(F.lower("page_text"), F.lower("variant")))
@@ -93,9 +79,11 @@ def find_variants(clusters: DataFrame, pages: DataFrame, flexible: bool = True)
     if not flexible:
         return places
     bare = lambda c: F.lower(F.regexp_replace(c, r"[*_~`\s]", ""))
-    rest = met.where(~F.col("exact") & F.contains(bare(F.col("page_text")), bare(F.col("variant")))).select(*keys, "variant", "page_text")
-    loose = rest.mapInPandas(_flexible, "doc_id long, page_index int, cluster int, variant_no int, char_start int, char_end int, matched string, variant string")
-    return places.unionByName(loose.where(similarity(strip_formatting(F.col("matched")), strip_formatting(F.col("variant"))) >= MATCH).select(*keys, "char_start", "char_end"))
+    rest = met.where(~F.col("exact") & (F.length(strip(F.col("variant"))) > 0) & F.contains(bare(F.col("page_text")), bare(F.col("variant"))))
+    loose = rest.select(*keys, "variant", F.explode(matches(F.col("page_text"), flexible_pattern(F.col("variant")))).alias("m"))
+    alike = loose.where(similarity(strip_formatting(F.col("m.text")), strip_formatting(F.col("variant"))) >= MATCH)
+    lead, stop = tight_bounds(F.col("m.text"), F.col("variant"))
+    return places.unionByName(alike.select(*keys, (F.col("m.start") + lead).alias("char_start"), (F.col("m.start") + stop).alias("char_end")))
 
 
 def _uncovered(places: DataFrame, spans: DataFrame) -> DataFrame:

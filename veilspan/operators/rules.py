@@ -102,3 +102,8 @@ def upsert_rules(rules: DataFrame, edits: DataFrame) -> DataFrame:
     both = rules.select("kind", "norm_text", "label", F.lit(-1).cast("long").alias("seq"), F.lit(False).alias("deleted")).unionByName(clean.select("kind", "norm_text", "label", F.col("seq").cast("long").alias("seq"), "deleted"))
     last = Window.partitionBy("kind", "norm_text").orderBy(F.desc("seq"))
     return both.withColumn("_n", F.row_number().over(last)).where("_n = 1 and not deleted").select("kind", "norm_text", entity_label(F.col("label")).alias("label"))
+
+
+def effective_scope(scope: Column) -> Column:
+    """Changes for future documents also reach the stored ones."""
+    return F.when(scope == "future_documents", "all_documents").otherwise(scope)

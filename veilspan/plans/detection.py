@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.text import siren_checksum
 from ..operators import detect as op
 from ..operators import signatures
-from ..sources import readers
+from ..sources import readers, sinks
 from ..sources.tables import contract_pages, conversation_pages, document_pages, read, tokens
 from . import duck
-from .inputs import conversation_tokens, names
+from .inputs import RULES_SQL, conversation_tokens, names, rules, shared_path
 
 _IDS = ("det01_email", "det02_phone_fr", "det03_phone_intl", "det04_iban", "det05_siret", "det06_siren", "det07_capital", "det08_docusign", "det09_date_numeric", "det10_date_written", "det11_address", "det12_postal_city")
 _OUT = ("doc_id", "n", "text", "char_start", "char_end")
@@ -106,6 +106,33 @@ def src13_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", F.explode(readers.revived(F.col("state"))).alias("key", "value"))
 
 
+def src11_read_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored documents written to a table and read back by key; the key's filter reaches the files."""
+    path = shared_path(spark)
+    sinks.write_table(_stored(spark, sf_dir).select("id", "num_pages"), path)
+    return spark.read.parquet(path).where("id between 10 and 60")
+
+
+def src14_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mime = F.when(F.col("event_id") % 3 == 0, "application/pdf").otherwise("image/png")
+    return readers.accepted_uploads(read(spark, sf_dir, "events").select("event_id", mime.alias("mime"), (F.col("event_id") * 9001).alias("size")))
+
+
+def snk04_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules saved twice: the second version is what is read."""
+    path = shared_path(spark)
+    sinks.write_table(rules(spark, sf_dir), path)
+    sinks.write_table(rules(spark, sf_dir).where("kind <> 'override'"), path)
+    return spark.read.parquet(path)
+
+
+def snk05_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All spans exported by label, then one label read: other labels' files aren't."""
+    path = shared_path(spark)
+    sinks.write_table(names(spark, sf_dir), path, "label")
+    return spark.read.parquet(path).where("label = 'PERSON'").select("doc_id", "ord", "text")
+
+
 def det13_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.detect(contract_pages(spark, sf_dir))
 
@@ -184,7 +211,7 @@ def dsg08_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "src02_page": src02_page, "src03_page_text": src03_page_text, "src04_reading_order": src04_reading_order, "src05_box": src05_box, "src06_needs_recognition": src06_needs_recognition,
     "src07_tokens": src07_tokens, "src07_recognised": src07_recognised, "src08_annotations": src08_annotations, "src09_stored_pages": src09_stored_pages, "src09_stored_entities": src09_stored_entities,
-    "src10_share_pages": src10_share_pages, "src13_state": src13_state, **{i: _detector_query(d) for i, d in zip(_IDS, op.DETECTORS, strict=True)}, "det13_spans": det13_spans, "det14_checksum": det14_checksum,
+    "src10_share_pages": src10_share_pages, "src11_read_store": src11_read_store, "src13_state": src13_state, "src14_uploads": src14_uploads, "snk04_rules": snk04_rules, "snk05_export": snk05_export, **{i: _detector_query(d) for i, d in zip(_IDS, op.DETECTORS, strict=True)}, "det13_spans": det13_spans, "det14_checksum": det14_checksum,
     "det15_excluded": det15_excluded, "det16_false_positives": det16_false_positives, "dsg01_token_key": dsg01_token_key, "dsg02_median_height": dsg02_median_height, "dsg03_lines": dsg03_lines, "dsg04_headings": dsg04_headings,
     "dsg05_likely_id": dsg05_likely_id, "dsg06_id_lines": dsg06_id_lines, "dsg07_band": dsg07_band, "dsg08_signatures": dsg08_signatures,
 }
@@ -221,6 +248,10 @@ select k as doc_id, p::int as page_index, concat_ws('-', 'region', p, i, floor(x
     "src09_stored_pages": duck.with_ctes(duck.CONVERSATIONS, _TOPS) + "select doc_id as id, page_index, text from convs join tops using (doc_id) where page_index < top",
     "src09_stored_entities": duck.with_ctes(duck.CONVERSATIONS, duck.NAMES, _STORED_ENTS, _TOPS) + "select ents.* from ents join tops on id = doc_id where page_index < top",
     "src10_share_pages": duck.with_ctes(duck.CONVERSATIONS) + "select d.doc_id as id, i::int as page_index, coalesce(c.text, '') as text from (select distinct doc_id from convs) d cross join generate_series(0, 5) as g(i) left join convs c on c.doc_id = d.doc_id and c.page_index = i",
+    "src11_read_store": duck.with_ctes(duck.CONVERSATIONS, _TOPS) + "select doc_id as id, top::int as num_pages from tops where doc_id between 10 and 60",
+    "src14_uploads": "select event_id, 'application/pdf' as mime, event_id * 9001 as size from events where event_id % 3 = 0 and event_id * 9001 <= 52428800",
+    "snk04_rules": duck.with_ctes(duck.CONVERSATIONS, duck.NAMES, f"rules as ({RULES_SQL})") + "select * from rules where kind <> 'override'",
+    "snk05_export": duck.with_ctes(duck.CONVERSATIONS, duck.NAMES) + "select doc_id, ord, text from names where label = 'PERSON'",
     "src13_state": "select distinct user_id, event_type as key, length(event_type)::varchar as value from events",
     **{i: _CONTRACTS + f"select doc_id, n, text, char_start, char_end from ({duck.detector(d)})" for i, d in zip(_IDS, op.DETECTORS, strict=True)},
     "det13_spans": duck.with_ctes(duck.CONTRACTS, duck.detected()) + "select * from raw",

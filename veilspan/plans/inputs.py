@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,14 @@ from ..sources.tables import boxed_tokens, contract_pages, conversation_pages
 from .duck import NAMES_PATTERN
 
 
+def shared_path(spark: SparkSession) -> str:
+    """A new folder under the shared one that ``spark.checkpoint.dir`` names; a temporary one only where the session names none (tests)."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilspan-"))
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
 def contract_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resolved spans of the contracts."""
     return process(detect(contract_pages(spark, sf_dir)))

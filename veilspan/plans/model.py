@@ -171,6 +171,11 @@ def ner22_plausible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.keep_plausible(r)
 
 
+def ner23_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results at or above the floor."""
+    return read(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 20 / 100.0).alias("score")).where(F.col("score") >= op.SCORE_FLOOR)
+
+
 QUERIES = {k: v for k, v in globals().items() if callable(v) and k.startswith("ner")}
 
 _N = "(char_end - char_start)"
@@ -224,5 +229,6 @@ ORACLES = {
     "ner19_remap": "with t as (select c_custkey, c_name, 'Vu **Société « ' || c_name || ' »**, à' || chr(10) || 'Paris (75).' as text from customer) select c_custkey as doc_id, case c_custkey % 4 when 2 then 'Paris (75' else c_name end as text, (case c_custkey % 4 when 2 then instr(text, 'Paris') else instr(text, c_name) end - 1)::int as char_start, (case c_custkey % 4 when 2 then instr(text, 'Paris') + 8 else instr(text, c_name) - 1 + length(c_name) end)::int as char_end, c_custkey % 10 / 10.0::double as score from t where c_custkey % 4 < 3",
     "ner20_normalize": duck.with_ctes(duck.DOCUMENTS) + r"select doc_id, lower(regexp_replace(regexp_replace(text, '[.,;:!?\x27\x22()\[\]«»\s–—-]+', ' ', 'g'), '^\s+|\s+$', '', 'g')) as norm from docs",
     "ner21_prompts": "select o_orderkey, ['PERSON', 'ORGANIZATION', 'ADDRESS', 'PERSON'][o_orderkey % 4 + 1] as label from orders",
+    "ner23_floor": "select c_custkey, c_custkey % 20 / 100.0::double as score from customer where c_custkey % 20 >= 5",
     "ner22_plausible": "select c_custkey, c_name as text, 'PERSON' as label, c_custkey % 20 / 100.0::double as score from customer where c_custkey % 3 <> 0 and c_custkey % 20 >= 5",
 }

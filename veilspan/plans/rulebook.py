@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from ..operators.spans import covered
 from ..sources.tables import contract_pages, conversation_pages, document_pages, read
 from ..streaming import progressive
 from . import duck
-from .inputs import names, rules
+from .inputs import names, rules, shared_path
 
 
 def rul01_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -153,31 +151,37 @@ def _name_detector(pages: DataFrame) -> DataFrame:
     return found.select("doc_id", "page_index", label.alias("label"), F.col("m.text").alias("text"), normalize(F.col("m.text")).alias("norm_text"), (F.lit(0.5) + (n % 5) / 10.0).alias("confidence"), F.lit("ner").alias("source"), F.col("m.start").alias("char_start"), F.col("m.stop").alias("char_end"))
 
 
-def _shared(spark: SparkSession) -> str:
-    """A folder under the shared one that the session names."""
-    root = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if root.isEmpty():
-        import tempfile
+def _feed(spark: SparkSession, sf_dir: str, base: str, indexes: list[int]) -> None:
+    """Adds a file of pages for each page index."""
+    for index in indexes:
+        conversation_pages(spark, sf_dir).where(F.col("page_index") == index).coalesce(1).write.mode("append").parquet(f"{base}/in")
+
+
+def _run(spark: SparkSession, sf_dir: str, base: str, rule_source=None) -> None:
+    """Works off what has been fed, a file at a time, from where the checkpoint is."""
+    incoming = spark.readStream.schema("doc_id bigint, page_index int, text string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    progressive.start(incoming, f"{base}/out", f"{base}/checkpoint", _name_detector, rule_source or (lambda: rules(spark, sf_dir))).awaitTermination()
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilspan-"))
-        root = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return f"{root.get()}/stream-{uuid.uuid4().hex}"
+
+def _page_indexes(spark: SparkSession, sf_dir: str) -> list[int]:
+    return sorted(r[0] for r in conversation_pages(spark, sf_dir).select("page_index").distinct().collect())
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
     """Runs the stream over conversations, a file for each page index; returns all pages and the output's path."""
-    base, pages = _shared(spark), conversation_pages(spark, sf_dir)
-    for (index,) in sorted(pages.select("page_index").distinct().collect()):
-        pages.where(F.col("page_index") == index).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    incoming = spark.readStream.schema("doc_id bigint, page_index int, text string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    progressive.start(incoming, f"{base}/out", f"{base}/checkpoint", _name_detector, lambda: rules(spark, sf_dir)).awaitTermination()
-    return pages, f"{base}/out"
+    base = shared_path(spark)
+    _feed(spark, sf_dir, base, _page_indexes(spark, sf_dir))
+    _run(spark, sf_dir, base)
+    return conversation_pages(spark, sf_dir), f"{base}/out"
+
+
+def _streamed(spark: SparkSession, out: str) -> DataFrame:
+    return spark.read.parquet(out).select("doc_id", "page_index", "label", "norm_text", F.round("confidence", 6).alias("confidence"), "char_start", "char_end")
 
 
 def str01_progressive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of the page-by-page stream."""
-    _, out = _stream(spark, sf_dir)
-    return spark.read.parquet(out).select("doc_id", "page_index", "label", "norm_text", F.round("confidence", 6).alias("confidence"), "char_start", "char_end")
+    return _streamed(spark, _stream(spark, sf_dir)[1])
 
 
 def str02_close(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,6 +190,63 @@ def str02_close(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progressive.close(spark, pages, out).select("doc_id", "page_index", "label", "norm_text", F.round("confidence", 6).alias("confidence"), "char_start", "char_end")
 
 
+def str03_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream stopped after half of the pages and resumed from its checkpoint: the same spans."""
+    base, indexes = shared_path(spark), _page_indexes(spark, sf_dir)
+    for part in (indexes[: len(indexes) // 2], indexes[len(indexes) // 2 :]):
+        _feed(spark, sf_dir, base, part)
+        _run(spark, sf_dir, base)
+    return _streamed(spark, f"{base}/out")
+
+
+def str04_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each micro-batch had saved: spans by batch."""
+    return spark.read.parquet(_stream(spark, sf_dir)[1]).groupBy(F.col("batch").cast("int").alias("batch")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def str05_changing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules that change between batches: the first batch knows none, later ones suppress."""
+    base, calls = shared_path(spark), []
+
+    def now() -> DataFrame:
+        calls.append(1)
+        return rules(spark, sf_dir).where(F.lit(len(calls) > 1))
+
+    _feed(spark, sf_dir, base, _page_indexes(spark, sf_dir))
+    _run(spark, sf_dir, base, now)
+    return spark.read.parquet(f"{base}/out").groupBy(F.col("batch").cast("int").alias("batch")).agg(F.count_if(F.col("norm_text").startswith("a")).alias("suppressible"))
+
+
+def str06_repeated_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that runs again replaces its own spans: a second stream without a checkpoint over the same output changes nothing."""
+    base, indexes = shared_path(spark), _page_indexes(spark, sf_dir)
+    _feed(spark, sf_dir, base, indexes[:2])
+    for attempt in range(2):
+        incoming = spark.readStream.schema("doc_id bigint, page_index int, text string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+        progressive.start(incoming, f"{base}/out", f"{base}/checkpoint{attempt}", _name_detector, lambda: rules(spark, sf_dir)).awaitTermination()
+    return _streamed(spark, f"{base}/out")
+
+
+def rul07_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flexible pattern of each customer's name."""
+    return read(spark, sf_dir, "customer").select("c_custkey", prop.flexible_pattern(F.concat("c_name", F.lit(" (x) y"))).alias("pattern"))
+
+
+def rul13_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second pages' own spans and those that first pages bring: places with more than one span before deduplication, and none after."""
+    n, pages = names(spark, sf_dir), conversation_pages(spark, sf_dir).where("page_index = 1")
+    none = rules(spark, sf_dir).limit(0)
+    brought = prop.propagate_to_page(n.where("page_index = 0"), pages, none, flexible=False)
+    both = n.where("page_index = 1").drop("ord").unionByName(brought)
+    places = both.groupBy("doc_id", "char_start", "char_end").agg(F.count(F.lit(1)).alias("k"))
+    return places.groupBy("doc_id").agg(F.count_if(F.col("k") > 1).alias("repeated"), F.count(F.lit(1)).alias("places"))
+
+
+def rul19_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scope = F.element_at(F.array(*map(F.lit, ("this_document", "all_documents", "future_documents"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", op.effective_scope(scope).alias("scope"))
+
+
 def str07_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = conversation_pages(spark, sf_dir)
     return progressive.page_status(pages, names(spark, sf_dir), pages.where("length(text) < 40"))
@@ -228,6 +289,9 @@ taken as (select s.doc_id, s.page_index, c.label, p.text[s.q.a + 1:s.q.b] as tex
 _EDITS = "edits as (select event_id as seq, case event_id % 2 when 0 then 'force' else 'suppress' end as kind, 'texte ' || event_id % 400 as norm_text, case event_id % 3 when 0 then 'PERSON' when 1 then 'IDENTIFIER' else 'ADDRESS' end as label, event_id % 5 = 0 as deleted from events where event_id % 17 <> 0)"
 
 ORACLES = {
+    "rul07_pattern": r"select c_custkey, '(?iu)' || array_to_string(list_transform(string_split(c_name || ' (x) y', ' '), lambda w: array_to_string(list_transform(string_split(w, ''), lambda c: regexp_replace(c, '([.*+?^${}()|\[\]\\])', '\\\1')), '[*_~`]*')), '[*_~`]*\s+[*_~`]*') as pattern from customer",
+    "rul13_duplicates": _R + ", firsts as (select * from names where page_index = 0), seconds as (select * from convs where page_index = 1), " + _propagated("firsts", "seconds") + ", places as (select doc_id, char_start, char_end, count(*) as k from (select doc_id, char_start, char_end from names where page_index = 1 union all select doc_id, char_start, char_end from taken) group by all) select doc_id, count(*) filter (where k > 1)::bigint as repeated, count(*)::bigint as places from places group by 1",
+    "rul19_scope": "select o_orderkey, case o_orderkey % 3 when 0 then 'this_document' else 'all_documents' end as scope from orders",
     "rul01_decisions": _R + ", " + _DECIDED + " select doc_id, ord, label, norm_text from decided",
     "rul02_page_decisions": _R + ", " + _DECIDED + " select doc_id, concat_ws('-', 'span', doc_id, page_index, char_start, char_end) as id, label from decided where page_index = 1",
     "rul03_collapse": duck.with_ctes(duck.DOCUMENTS) + r", c as (select doc_id, text, regexp_replace(text, '\s+', ' ', 'g') as collapsed from docs), kept as (select doc_id, i, row_number() over (partition by doc_id order by i) - 1 as k from (select doc_id, text, unnest(generate_series(1, length(text))) as i from c) where not (regexp_matches(text[i:i], '\s') and i > 1 and regexp_matches(text[i - 1:i - 1], '\s'))) select c.doc_id, collapsed, (i - 1)::int as middle from c join kept on kept.doc_id = c.doc_id and k = length(collapsed) // 2",

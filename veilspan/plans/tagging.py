@@ -231,6 +231,13 @@ def leg07_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return legacy.rewrite(legacy.earliest(occ), _texts(spark, sf_dir))
 
 
+def leg08_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manual entities in place of some, others removed."""
+    e = _entities(spark, sf_dir)
+    added = e.where("ord % 5 = 0").withColumn("ord", F.col("ord") + 5000).withColumn("type", F.lit("DATE"))
+    return legacy.edited(e, added, e.where("ord % 5 = 1").select("doc_id", "ord")).select("doc_id", "ord", "type", "confidence")
+
+
 def leg09_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _entities(spark, sf_dir).withColumn("type", F.when(F.col("ord") % 4 == 0, "EMAIL").otherwise(F.col("type")))
     return legacy.numbered(e).select("doc_id", "ord", "replacement")
@@ -305,6 +312,7 @@ ORACLES = {
     "leg05_first": _LEG + "select doc_id, ord, original from entities qualify row_number() over (partition by doc_id, lower(trim(original)) order by char_start, ord) = 1",
     "leg06_occurrences": _LEG + _EARLIEST + " select doc_id, k.char_start as char_start, k.char_end as char_end, k.replacement as replacement from (select doc_id, unnest(kept) as k from swept)",
     "leg07_rewrite": _LEG + _EARLIEST + " select t.doc_id, coalesce(list_reduce(list_prepend({'char_start': 0, 'char_end': 0, 'replacement': t.text}, list_reverse(kept)), lambda acc, x: {'char_start': 0, 'char_end': 0, 'replacement': acc.replacement[1:x.char_start] || x.replacement || acc.replacement[x.char_end + 1:]}).replacement, t.text) as anonymized_text from texts t left join swept using (doc_id)",
+    "leg08_manual": _LEG + ", added as (select doc_id, ord + 5000 as ord, char_start, char_end, 'DATE' as type from entities where ord % 5 = 0) select doc_id, ord, type, confidence from entities e where ord % 5 <> 1 and not exists (select 1 from added a where a.doc_id = e.doc_id and a.char_start = e.char_start and a.char_end = e.char_end) union all select doc_id, ord, type, 'manual' from added",
     "leg09_numbered": _LEG + ", typed as (select * replace (case when ord % 4 = 0 then 'EMAIL' else type end as type) from entities) select doc_id, ord, case type when 'EMAIL' then '[EMAIL]' else '[' || type || '_' || row_number() over (partition by doc_id, type order by char_start, ord) || ']' end as replacement from typed",
 }
 

@@ -22,6 +22,11 @@ def binary_documents(spark: SparkSession, path: str) -> DataFrame:
     return files.where(F.col("length") <= MAX_BYTES).select("path", "length", "content")
 
 
+def accepted_uploads(uploads: DataFrame) -> DataFrame:
+    """Uploads (mime, size) of the right kind and an acceptable size."""
+    return uploads.where((F.col("mime") == "application/pdf") & (F.col("size") <= MAX_BYTES))
+
+
 def transform_box(transform: Column, width: Column, height: Column) -> Column:
     """A text item's box from its matrix; items without a height take the vertical scale."""
     at = lambda k: F.get(transform, k)
