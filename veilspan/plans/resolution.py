@@ -60,13 +60,13 @@ def spn11_at_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every eighth token to the one three further, as probes."""
+    """Every token to the one three further, as probes."""
     t = tokens(conversation_pages(spark, sf_dir))
     ends = t.select("doc_id", "page_index", (F.col("token_idx") - 3).alias("token_idx"), F.col("char_end").alias("stop"))
-    return t.where("token_idx % 8 = 0").join(ends, ["doc_id", "page_index", "token_idx"]).select("doc_id", "page_index", F.col("token_idx").cast("long").alias("probe_id"), "char_start", F.col("stop").alias("char_end"))
+    return t.join(ends, ["doc_id", "page_index", "token_idx"]).select("doc_id", "page_index", F.col("token_idx").cast("long").alias("probe_id"), "char_start", F.col("stop").alias("char_end"))
 
 
-_PROBES = "probes as (select a.doc_id, a.page_index, a.token_idx::bigint as probe_id, a.char_start, b.char_end from tokens a join tokens b on a.doc_id = b.doc_id and a.page_index = b.page_index and b.token_idx = a.token_idx + 3 where a.token_idx % 8 = 0)"
+_PROBES = "probes as (select a.doc_id, a.page_index, a.token_idx::bigint as probe_id, a.char_start, b.char_end from tokens a join tokens b on a.doc_id = b.doc_id and a.page_index = b.page_index and b.token_idx = a.token_idx + 3)"
 _MEETS = "n.doc_id = p.doc_id and n.page_index = p.page_index and n.char_end > p.char_start and n.char_start < p.char_end"
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import detect as det
@@ -183,17 +183,21 @@ def snk02_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redaction.rectangles(_uncollided(spark, sf_dir)).select("doc_id", "page_index", "ord", "part", "tag", "bbox.x", F.round("bbox.width", 6).alias("width"))
 
 
+def _page_key() -> Column:
+    return F.col("doc_id") * 100 + F.col("page_index")
+
+
 def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Overlapping entities of first pages: names, and stretches of text around some."""
-    n = names(spark, sf_dir).where("page_index = 0")
+    """Overlapping entities, a page as a text of its own: names, and stretches of text around some."""
+    n = names(spark, sf_dir).withColumn("doc_id", _page_key())
     base = n.select("doc_id", "ord", "char_start", "char_end", F.col("text").alias("original"), F.when(F.col("label") == "ADDRESS", "LIEU").otherwise("PERSONNE").alias("type"), F.when(F.col("ord") % 3 == 0, "high").when(F.col("ord") % 3 == 1, "medium").otherwise("low").alias("confidence"), F.lit("ml").alias("source"), F.col("confidence").alias("score"))
-    pages = conversation_pages(spark, sf_dir).where("page_index = 0").select("doc_id", F.col("text").alias("page"))
+    pages = _texts(spark, sf_dir).withColumnRenamed("text", "page")
     wide = base.where("ord % 2 = 0").join(pages, "doc_id").withColumn("char_end", F.least(F.col("char_end") + 9, F.length("page"))).withColumn("original", F.substring(F.col("page"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))).drop("page")
     return base.unionByName(wide.select("doc_id", (F.col("ord") + 1000).alias("ord"), "char_start", "char_end", "original", "type", F.lit("medium").alias("confidence"), F.lit("regex").alias("source"), F.lit(None).cast("double").alias("score")))
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversation_pages(spark, sf_dir).where("page_index = 0").select("doc_id", "text")
+    return conversation_pages(spark, sf_dir).select(_page_key().alias("doc_id"), "text")
 
 
 def leg01_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,7 +218,7 @@ def leg03_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leg04_ignored(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _entities(spark, sf_dir)
-    return legacy.without_ignored(e, e.where("original like 'E%'").select(F.upper("original").alias("original"))).select("doc_id", "ord", "original")
+    return legacy.without_ignored(e, e.where("original like 'E%'").select(F.concat(F.lit(" "), F.lower("original")).alias("original"))).select("doc_id", "ord", "original")
 
 
 def leg05_first(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,8 +261,8 @@ cut as (select d.doc_id, d.page_index, d.ord, d.tag, d.x, d.y, d.own, case when
   from drawn d left join others o on d.wide > d.own and d.doc_id = o.doc_id and d.page_index = o.page_index and (o.o is null or o.x > d.x or o.x = d.x and o.o > d.ord) and (o.o is null or o.o <> d.ord)
     and o.x >= d.x + d.own and abs(o.y + o.h / 2 - (d.y + 7)) <= 7 and o.x < d.x + d.wide and d.y < o.y + o.h and d.y + 14 > o.y group by d.doc_id, d.page_index, d.ord, d.tag, d.x, d.y, d.own, d.wide)"""
 _LEG = duck.with_ctes(
-    duck.CONVERSATIONS, duck.NAMES, "texts as (select doc_id, text from convs where page_index = 0)",
-    "base as (select doc_id, ord, char_start, char_end, text as original, case label when 'ADDRESS' then 'LIEU' else 'PERSONNE' end as type, case ord % 3 when 0 then 'high' when 1 then 'medium' else 'low' end as confidence, 'ml' as source, confidence as score from names where page_index = 0)",
+    duck.CONVERSATIONS, duck.NAMES, "texts as (select doc_id * 100 + page_index as doc_id, text from convs)",
+    "base as (select doc_id * 100 + page_index as doc_id, ord, char_start, char_end, text as original, case label when 'ADDRESS' then 'LIEU' else 'PERSONNE' end as type, case ord % 3 when 0 then 'high' when 1 then 'medium' else 'low' end as confidence, 'ml' as source, confidence as score from names)",
     "entities as (select * from base union all select b.doc_id, ord + 1000, char_start, least(char_end + 9, length(text)), text[char_start + 1:least(char_end + 9, length(text))], type, 'medium', 'regex', null from base b join texts using (doc_id) where ord % 2 = 0)",
 )
 _PRIORITY = "(case {0}.confidence when 'manual' then 100 when 'high' then 3 when 'medium' then 2 when 'low' then 1 else 0 end * 1000 + coalesce({0}.score, 0.5::double) * 100 + ({0}.e - {0}.s) + case when {0}.source = 'regex' and {0}.type = 'LIEU' then 500 else 0 end)"
