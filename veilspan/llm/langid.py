@@ -27,6 +27,8 @@ EMBEDDING = 8
 #: Labelled documents of each language that training sees, about, and the most languages.
 SAMPLE_DOCS = 400
 MAX_LANGUAGES = 256
+#: Labelled documents of all languages together, about: many languages share it.
+SAMPLE_TOTAL = 8_000
 #: Code points of a training document that are sent to the driver.
 SAMPLE_CHARS = 1500
 FOLDS = 5
@@ -147,12 +149,14 @@ def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[li
     """Texts and labels of about ``sample_docs`` documents a language, chosen by hash.
 
     Only documents outside the held-out fold with a label and a letter count.
-    Languages are counted first (their columns alone are read); the rarest beyond ``MAX_LANGUAGES`` are not learned.
+    Languages are counted first (their columns alone are read); the rarest beyond
+    ``MAX_LANGUAGES`` are not learned, and ``SAMPLE_TOTAL`` bounds what the driver gets.
     """
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return [], []
+    sample_docs = max(1, min(sample_docs, SAMPLE_TOTAL // len(counts)))
     chance = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * sample_docs / n)))])
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
     chosen = labelled.where((draw < F.element_at(chance, F.col("lang"))) & F.col("text").rlike(r"\p{L}"))
