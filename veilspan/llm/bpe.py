@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 #: Words that a worker remembers before it starts anew.
-CACHE_WORDS = 100_000
+CACHE_WORDS = 400_000
 _NEVER = np.int64(1) << 40
 _NEVER_STEP = 1 << 60
 
@@ -77,7 +77,11 @@ class Vocabulary:
             self.sound[i] = inner[i] and self.sound[self.left[i]] and self.sound[self.right[i]]
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._cache: dict[str, tuple[str, bytes, int]] = {}
+        self._ids_of: dict[str, str] = {}
+        self._decoded_of: dict[str, bytes] = {}
+        # the pattern's matches never mix letters with a space that follows them
+        self._marked = {content: f"x {content}" for content in self.special}
+        self._forget()
 
     def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The rank of merging each pair; _NEVER where there is no such merge."""
@@ -184,27 +188,34 @@ class Vocabulary:
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[int, bytes, bytes]]:
         """For each text: the number of ids, the ids in decimal with commas, and the decoded bytes."""
-        cache, pieces = self._cache, []
+        ids_of, decoded_of, pieces = self._ids_of, self._decoded_of, []
         for text in texts:
-            parts = self.split_special.split(text or "") if self.split_special else [text or ""]
-            found: list[str | int] = []
-            for k, part in enumerate(parts):
-                if k % 2:
-                    found.append(self.special[part])
-                elif part:
-                    found += self.pattern.findall(part)
+            if not self.split_special or not self.split_special.search(text or ""):
+                pieces.append(self.pattern.findall(text) if text else [])
+                continue
+            found: list[str] = []
+            for k, part in enumerate(self.split_special.split(text)):
+                # a special token is a word of its own, which no match of the pattern equals
+                found += [self._marked[part]] if k % 2 else self.pattern.findall(part)
             pieces.append(found)
-        new = {w for found in pieces for w in found if type(w) is str and w not in cache}
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            new = {w for found in pieces for w in found if type(w) is str}
+        new = set().union(*pieces).difference(ids_of)
+        if len(ids_of) + len(new) > CACHE_WORDS:
+            self._forget()
+            new = set().union(*pieces).difference(ids_of)
         ordered = sorted(new)
         for word, ids in zip(ordered, self.encode_words([w.encode() for w in ordered]) if ordered else [], strict=True):
-            cache[word] = (",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids]), len(ids))
+            ids_of[word] = ",".join(map(str, ids))
+            decoded_of[word] = b"".join([self.bytes_of[i] for i in ids])
         for found in pieces:
-            got = [cache[w] if type(w) is str else (str(w), self.bytes_of[w], 1) for w in found]
-            ids, decoded, counts = zip(*got, strict=True) if got else ((), (), ())
-            yield sum(counts), ",".join(ids).encode(), b"".join(decoded)
+            ids = ",".join(map(ids_of.__getitem__, found))
+            yield ids.count(",") + 1 if ids else 0, ids.encode(), b"".join(map(decoded_of.__getitem__, found))
+
+    def _forget(self) -> None:
+        """Empties the word cache but for the special tokens."""
+        self._ids_of.clear()
+        self._decoded_of.clear()
+        for content, i in self.special.items():
+            self._ids_of[self._marked[content]], self._decoded_of[self._marked[content]] = str(i), self.bytes_of[i]
 
 
 _loaded: dict[str, Vocabulary] = {}
