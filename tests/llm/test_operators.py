@@ -257,6 +257,35 @@ def test_representatives(awkward, empty):
     assert near_dup.near_duplicates(empty).count() == 0 and near_dup.keep_representatives(empty).count() == 0
 
 
+def similar_roots(texts):
+    """Brute force: the least row that each row reaches over pairs with a 5-word similarity of 0.8."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for t in texts for w in [(t or "").lower().split()]]
+    root = list(range(len(sets)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]) and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return root
+
+
+def test_representatives_are_by_five_word_similarity(spark):
+    """Edited copies that lie beyond op5's two bits go; texts that merely share a passage stay."""
+    rng = random.Random(15)
+    words_of = lambda n: ["".join(rng.choices("abcdefgh", k=6)) for _ in range(n)]
+    texts, passage = [], words_of(60)
+    for group in range(20):
+        base = words_of(200)
+        for edits in (0, 1, 2, 4, 8, 12) + (3,) * 20 * (group == 0):
+            copy = base[:]
+            for _ in range(edits):
+                copy[rng.randrange(200)] = words_of(1)[0]
+            texts.append(" ".join(copy))
+        texts.append(" ".join(words_of(60) + passage))
+    texts += ["one two three", "ONE two  three", "one two four", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert sorted(r.doc_id for r in near_dup.keep_representatives(df).collect()) == sorted(set(similar_roots(texts)))
+
+
 # --- 6 conversations
 
 

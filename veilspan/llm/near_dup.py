@@ -12,6 +12,12 @@ stream past it.
 
 A task emits a spanning forest of the links that it finds, never all pairs of a
 group; connected components then run over those edges with checkpoints.
+
+``keep_representatives`` (the pipeline's stage) has another measure: texts whose
+sets of 5-word shingles have a Jaccard similarity of ``SIMILAR`` or more. Bands
+of min-hashes name candidates, and each candidate pair is verified exactly
+before it links. Texts of a bucket first meet one pivot; then all pairs of a
+bucket that are still in different components meet.
 """
 
 from __future__ import annotations
@@ -35,23 +41,39 @@ PARTS = 4
 #: The largest number of fingerprints that one task keeps.
 TILE_ROWS = 1 << 17
 _BLOCK = 2048
-
-
-def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
-    """The fingerprint, as an unsigned 64-bit integer (no word: 0)."""
+#: The stage's shingles, and its least similarity as a fraction.
+SIMILAR_WORDS = 5
+SIMILAR = (4, 5)
+#: Min-hash bands and rows: a pair of similarity 0.8 meets in a band with probability 1 - (1 - 0.8^4)^20 = 0.99997.
+BANDS, BAND_ROWS = 20, 4
+#: Bits of the filter that keeps texts without a candidate from being shuffled (bounds a broadcast to 2 MB).
+FILTER_BITS = 1 << 23
+_MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_MASKS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
+
+
+def _shingle_hashes(text: str | None, words: int) -> list[int]:
+    """Hashes of the word shingles in order; a shorter text is one shingle (no word: none)."""
     split = text.encode("utf-8", "surrogatepass").lower().split() if text else []
     if not split:
-        return 0
+        return []
     joined = b" ".join(split)
     ends = np.cumsum([len(w) + 1 for w in split]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1]).tolist()
     ends = ends.tolist()
     n = max(1, len(split) - words + 1)
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[:n], ends[-n:], strict=True)]
+    return [digest(joined[a:b], SEED) for a, b in zip(starts[:n], ends[-n:], strict=True)]
+
+
+def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
+    """The fingerprint, as an unsigned 64-bit integer (no word: 0)."""
+    hashes = _shingle_hashes(text, words)
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1)
     ones = bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
 def _signed(x: int) -> int:
@@ -220,13 +242,86 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, *, tile_rows: int = T
     return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_representatives(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id.
+def shingle_set(text: str | None) -> np.ndarray:
+    """The different 5-word shingles of a text as sorted 64-bit hashes."""
+    return np.unique(np.array(_shingle_hashes(text, SIMILAR_WORDS), np.uint64))
+
+
+def _bands(shingles: np.ndarray) -> list[int]:
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(shingles), _BLOCK):
+        least = np.minimum(least, ((shingles[None, k : k + _BLOCK] ^ _MASKS[:, None]) * _MULTIPLIERS[:, None]).min(axis=1))
+    rows = least.reshape(BANDS, BAND_ROWS)
+    return [_signed(xxhash.xxh64_intdigest(rows[k].tobytes(), k)) for k in range(BANDS)] if len(shingles) else []
+
+
+def _classes_and_bands(text: pa.Array) -> pa.Array:
+    sets = [shingle_set(t.as_py()) for t in text]
+    classes = pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets], pa.int64())
+    return pa.StructArray.from_arrays([classes, pa.array([_bands(x) for x in sets], pa.list_(pa.int64()))], ["cls", "bands"])
+
+
+def _shingle_sets(text: pa.Array) -> pa.Array:
+    return pa.array([shingle_set(t.as_py()).view(np.int64) for t in text], pa.list_(pa.int64()))
+
+
+def _with_text_hash(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_h1", F.xxhash64("text")).withColumn("_h2", F.xxhash64(F.lit("again"), "text"))
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, shingles) of the ``wanted`` (cls, _h1, _h2). Texts that a filter of fixed size rules out are not shuffled."""
+    bit = F.pmod(F.col("_h1"), F.lit(FILTER_BITS))
+    word, mask = F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    # at most FILTER_BITS / 64 rows whatever the input: broadcast
+    bits = wanted.groupBy(word).agg(F.bit_or(mask).alias("bits"))
+    near = docs.withColumn("word", word).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(mask) != 0)
+    one = near.join(wanted, ["_h1", "_h2"]).dropDuplicates(["cls"])
+    return one.select("cls", F.arrow_udf("array<long>")(_shingle_sets)("text").alias("shingles"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose similarity is SIMILAR or more, by counting."""
+    for side in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("cls").alias(side), F.col("shingles").alias(f"s{side}")), side)
+    common = F.size(F.array_intersect("sa", "sb"))
+    return pairs.where(SIMILAR[1] * common >= SIMILAR[0] * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def similar_components(docs: DataFrame) -> DataFrame:
+    """(doc_id, _h1, _h2, component) of every row of ``docs`` (doc_id, text): what 5-word similarity links, also in steps.
+
+    A class is one set of shingles, named by 64 bits of its hash; texts without
+    a word are one class. Ids play no part.
+    """
+    small_batches(docs.sparkSession)
+    hashed = _with_text_hash(docs.select("doc_id", "text"))
+    marked = saved(hashed.withColumn("_m", F.arrow_udf("struct<cls: long, bands: array<long>>")(_classes_and_bands)("text")).select("doc_id", "_h1", "_h2", "_m.cls", "_m.bands"))
+    classes = saved(marked.dropDuplicates(["cls"]).select("cls", "_h1", "_h2", "bands"))
+    entries = classes.select("cls", F.explode("bands").alias("bucket"))
+    # another pivot in each bucket, so that a text meets several members of a large group
+    pivots = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min_by("cls", F.xxhash64("bucket", "cls")).alias("pivot")).where("n > 1").drop("n")
+    shared = saved(entries.join(pivots, "bucket"))
+    sets = saved(_sets_of(hashed, classes.drop("bands").join(shared.select("cls").distinct(), "cls")))
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    first = shared.where("cls <> pivot").select(*pair("cls", "pivot")).distinct()
+    links = saved(_verified(first, sets))
+    tagged = shared.join(connected_components(links), F.col("cls") == F.col("node"), "left").select("bucket", "cls", F.coalesce("component", "cls").alias("c"))
+    apart = tagged.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
+    rest = saved(tagged.join(apart, "bucket"))
+    second = rest.join(rest.select("bucket", F.col("cls").alias("cls2"), F.col("c").alias("c2")), "bucket").where("cls < cls2 and c <> c2").select(*pair("cls", "cls2")).distinct()
+    more = _verified(second.join(first, ["a", "b"], "left_anti"), sets)
+    parts = connected_components(links.unionByName(more))
+    return marked.join(parts, F.col("cls") == F.col("node"), "left").select("doc_id", "_h1", "_h2", F.coalesce("component", "cls").alias("component"))
+
+
+def keep_representatives(docs: DataFrame) -> DataFrame:
+    """One document of each group of near duplicates (5-word similarity of 0.8): that with the smallest id.
 
     Of repeated rows of that id one stays. Null ids are only kept where no other
     document of the group has one.
     """
-    found = near_duplicates(docs, radius).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_component")).where(F.col("_id").eqNullSafe(F.col("_component"))).distinct()
+    found = similar_components(docs).groupBy("component").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
     return docs.dropDuplicates(["doc_id"]).join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
