@@ -286,6 +286,13 @@ def test_representatives_are_by_five_word_similarity(spark):
     assert sorted(r.doc_id for r in near_dup.keep_representatives(df).collect()) == sorted(set(similar_roots(texts)))
 
 
+def test_texts_without_an_own_id_are_all_kept(spark):
+    """Null ids and an id with two texts: each different text stays once, whatever its id."""
+    rows = [(None, "first text of five words"), (None, "second text of five words"), (None, "third text of five words"), (None, "third text of five words"), (7, "fourth text of five words"), (7, "fifth text of five words"), (None, "fifth text of five words"), (8, "fourth TEXT of five words")]
+    kept = near_dup.keep_representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == sorted([(0, rows[0][1]), (0, rows[1][1]), (0, rows[2][1]), (7, rows[4][1]), (7, rows[5][1])])
+
+
 # --- 6 conversations
 
 

@@ -318,11 +318,15 @@ def similar_components(docs: DataFrame) -> DataFrame:
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """One document of each group of near duplicates (5-word similarity of 0.8): that with the smallest id.
 
-    Of repeated rows of that id one stays. Null ids are only kept where no other
-    document of the group has one.
+    A row is known by its id and its text, so different texts under one id, or
+    without an id, are different documents; within an id the smaller text hash
+    goes first. Of rows equal in both one stays. Null ids are only kept where
+    no other document of the group has one.
     """
-    found = similar_components(docs).groupBy("component").agg(F.min("doc_id").alias("_id")).select("_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h1", "_h2")
+    found = similar_components(docs).groupBy("component").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._h1").alias("_k1"), F.col("k._h2").alias("_k2"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2"))
+    return _with_text_hash(docs).join(found, same, "left_semi").dropDuplicates(["doc_id", "_h1", "_h2"]).drop("_h1", "_h2")
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
