@@ -485,6 +485,20 @@ def test_ratios_equal_counts(spark, small):
         assert abs(ratio - got[k]) < 1e-9
 
 
+def test_threshold_covers_all_trusted_documents(spark):
+    """With a fit sample of 20 the threshold is that of every trusted document outside the sample."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.quality_rules(docs, labels, trusted_docs=20).cache()
+    trusted = labels.where("quality = 1").select("doc_id").distinct()
+    apart = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(quality.FOLDS)) == 0
+    sample = [r.doc_id for r in trusted.where(~apart).orderBy(F.xxhash64(F.lit("trusted"), "doc_id")).limit(20).collect()]
+    ids = {r.doc_id for r in trusted.collect()} - set(sample)
+    scores = sorted(r.llr for r in rows.collect() if r.doc_id in ids and r.n_words >= quality.MIN_WORDS)
+    at = lambda q: scores[max(0, int(np.ceil(q * len(scores))) - 1)]
+    assert len(scores) > 100 and abs(rows.first().threshold - (at(quality.TRUSTED_LOSS) - quality.SLACK * (at(0.75) - at(0.25)))) < 1e-9
+
+
 def test_quality_tells_junk_from_prose(spark):
     sf = "/root/testdata/sf0.01"
     rows = quality.op10_quality(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("not base_failed").collect()

@@ -4,15 +4,15 @@ Words and adjacent word pairs are hashed into ``BUCKETS`` buckets. Two
 multinomials over the buckets, of the trusted documents (``labels.quality`` is
 1) and of the whole corpus, give every bucket a log ratio; a document's score
 is the mean over its n-grams. Documents that score below the threshold fail.
-One of ``FOLDS`` trusted documents (by hash) is kept out of the counts. The
-threshold is the ``TRUSTED_LOSS`` quantile of the scores of those, lowered by
+One of ``FOLDS`` trusted documents (by hash), and those beyond the bounded fit
+sample, are kept out of the target counts, and all of them calibrate. The threshold is the ``TRUSTED_LOSS`` quantile of the scores of those, lowered by
 ``SLACK`` times their interquartile range: prose like the trusted stays, and
 what is unlike it goes.
 
 Everything is DataFrame expressions. The n-grams of a document are exploded
 and summed again in the task that read it, so only one row a document and one
-row a bucket are shuffled; the log ratios (``BUCKETS`` rows whatever the
-corpus) and the ids of the trusted sample (at most ``TRUSTED_DOCS``) are
+row a bucket are shuffled, and the ids of the trusted; the log ratios (``BUCKETS`` rows whatever the
+corpus) and the ids of the fitted sample (at most ``TRUSTED_DOCS``) are
 broadcast.
 """
 
@@ -99,10 +99,12 @@ def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS,
     trusted document the ratio decides nothing. Repeated rows are judged alike.
     """
     trusted = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select("doc_id")
-    trusted = saved(trusted.orderBy(F.xxhash64(F.lit("trusted"), "doc_id")).limit(trusted_docs))
+    trusted = saved(trusted)
     apart = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(FOLDS)) == 0
-    scored = saved(score_documents(docs, saved(log_ratios(docs, trusted.where(~apart), buckets)), buckets))
-    low, q1, q3 = scored.join(F.broadcast(trusted.where(apart)), "doc_id", "left_semi").where(f"n_words >= {MIN_WORDS}").agg(F.percentile_approx("llr", [TRUSTED_LOSS, 0.25, 0.75], 10_000)).first()[0] or (None, None, None)
+    fitted = saved(trusted.where(~apart).orderBy(F.xxhash64(F.lit("trusted"), "doc_id")).limit(trusted_docs))
+    scored = saved(score_documents(docs, saved(log_ratios(docs, fitted, buckets)), buckets))
+    # a row a document without its text: dealt by id, whatever the number of trusted ones
+    low, q1, q3 = scored.select("doc_id", "n_words", "llr").join(trusted.join(fitted, "doc_id", "left_anti"), "doc_id", "left_semi").where(f"n_words >= {MIN_WORDS}").agg(F.percentile_approx("llr", [TRUSTED_LOSS, 0.25, 0.75], 10_000)).first()[0] or (None, None, None)
     threshold = F.lit(None).cast("double") if low is None else F.lit(low - SLACK * (q3 - q1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("threshold", threshold).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= F.col("threshold"), F.lit(True))).drop("row")
