@@ -16,8 +16,9 @@ group; connected components then run over those edges with checkpoints.
 ``keep_representatives`` (the pipeline's stage) has another measure: texts whose
 sets of 5-word shingles have a Jaccard similarity of ``SIMILAR`` or more. Bands
 of min-hashes name candidates, and each candidate pair is verified exactly
-before it links. Texts of a bucket first meet one pivot; then all pairs of a
-bucket that are still in different components meet.
+before it links. Texts of a bucket first meet one pivot; then a bucket whose
+texts are still in different components is compared in tiles, as fingerprints
+are: overlaps of whole tiles are counted by matrix products inside a task.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ SEED = 42
 PARTS = 4
 #: The largest number of fingerprints that one task keeps.
 TILE_ROWS = 1 << 17
+#: A fingerprint of more than this share (one in so many) of all rows is joined by broadcast.
+HOT_SHARE = 1000
 _BLOCK = 2048
 #: The stage's shingles, and its least similarity as a fraction.
 SIMILAR_WORDS = 5
@@ -48,6 +51,8 @@ SIMILAR = (4, 5)
 BANDS, BAND_ROWS = 20, 4
 #: Bits of the filter that keeps texts without a candidate from being shuffled (bounds a broadcast to 2 MB).
 FILTER_BITS = 1 << 23
+#: The most sets, and the most shingles about, of a bucket that one task keeps at a time.
+TILE_SETS, TILE_SHINGLES = 2048, 1 << 21
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
 
@@ -226,20 +231,34 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+def _per_key(rows: DataFrame, table: DataFrame, key: str, n_rows: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``: one row for each key, with the number ``m`` of rows that have it.
+
+    Keys of more than a HOT_SHARE-th of all rows are fewer than HOT_SHARE: they are broadcast, so none goes to one task.
+    """
+    is_hot = F.col("m") * HOT_SHARE > n_rows
+    hot = F.broadcast(table.where(is_hot).drop("m"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(~is_hot).drop("m"), key, how)
+    return cold.unionByName(rows.join(hot, key))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, *, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``docs`` (doc_id, text and others) with ``fingerprint`` and ``component_id``.
 
     Null, empty and blank texts have fingerprint zero and link like any other.
     Repeated rows and ids stay; a null doc_id takes part but is nobody's
     representative unless its class has no other (then the component is null).
-    An empty table gives an empty table.
+    Very long texts are read whole; an empty table gives an empty table; columns
+    other than ``doc_id`` and ``text`` are left out, whatever their names.
     """
     small_batches(docs.sparkSession)
     fps = saved(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
-    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
-    parts = connected_components(tile_links(classes, radius, tile_rows))
-    named = classes.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    n_rows = fps.count()
+    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")).where("rep is not null"))
+    parts = connected_components(tile_links(classes.select("fp", "rep"), radius, tile_rows))
+    named = saved(classes.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "m"))
+    found = _per_key(fps, named, "fp", n_rows, "left")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -258,7 +277,7 @@ def _bands(shingles: np.ndarray) -> list[int]:
 def _classes_and_bands(text: pa.Array) -> pa.Array:
     sets = [shingle_set(t.as_py()) for t in text]
     classes = pa.array([_signed(xxhash.xxh64_intdigest(x.tobytes(), SEED)) for x in sets], pa.int64())
-    return pa.StructArray.from_arrays([classes, pa.array([_bands(x) for x in sets], pa.list_(pa.int64()))], ["cls", "bands"])
+    return pa.StructArray.from_arrays([classes, pa.array([len(x) for x in sets], pa.int32()), pa.array([_bands(x) for x in sets], pa.list_(pa.int64()))], ["cls", "n", "bands"])
 
 
 def _shingle_sets(text: pa.Array) -> pa.Array:
@@ -269,14 +288,19 @@ def _with_text_hash(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_h1", F.xxhash64("text")).withColumn("_h2", F.xxhash64(F.lit("again"), "text"))
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, shingles) of the ``wanted`` (cls, _h1, _h2). Texts that a filter of fixed size rules out are not shuffled."""
+def _with_filter(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Adds ``_near``: whether a filter of fixed size lets the row's ``_h1`` be one of ``wanted``'s."""
     bit = F.pmod(F.col("_h1"), F.lit(FILTER_BITS))
-    word, mask = F.shiftright(bit, 6).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    word, mask = F.shiftright(bit, 6).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
     # at most FILTER_BITS / 64 rows whatever the input: broadcast
-    bits = wanted.groupBy(word).agg(F.bit_or(mask).alias("bits"))
-    near = docs.withColumn("word", word).join(F.broadcast(bits), "word").where(F.col("bits").bitwiseAND(mask) != 0)
-    one = near.join(wanted, ["_h1", "_h2"]).dropDuplicates(["cls"])
+    bits = wanted.groupBy(word).agg(F.bit_or(mask).alias("_bits"))
+    near = F.coalesce(F.col("_bits").bitwiseAND(mask) != 0, F.lit(False))
+    return docs.withColumn("_word", word).join(F.broadcast(bits), "_word", "left").withColumn("_near", near).drop("_word", "_bits")
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, shingles) of the ``wanted`` (cls, _h1, _h2). Texts that the filter rules out are not shuffled."""
+    one = _with_filter(docs, wanted).where("_near").join(wanted, ["_h1", "_h2"]).dropDuplicates(["cls"])
     return one.select("cls", F.arrow_udf("array<long>")(_shingle_sets)("text").alias("shingles"))
 
 
@@ -288,7 +312,84 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.where(SIMILAR[1] * common >= SIMILAR[0] * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
-def similar_components(docs: DataFrame) -> DataFrame:
+def _common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of ``a`` shares with each set of ``b``, as a matrix."""
+    sides = (a,) if a is b else (a, b)
+    tokens, times = np.unique(np.concatenate([x for side in sides for x in side]), return_counts=True)
+    tokens = tokens[times > 1]  # others are in one set only
+    out = np.zeros((len(a), len(b)), np.float32)
+
+    def cells(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, row = np.concatenate(side), np.repeat(np.arange(len(side)), [len(x) for x in side])
+        at = np.minimum(np.searchsorted(tokens, flat), max(len(tokens) - 1, 0))
+        hit = tokens[at] == flat if len(tokens) else np.zeros(len(flat), bool)
+        order = np.argsort(at[hit], kind="stable")
+        return row[hit][order], at[hit][order]
+
+    marks = [cells(side) for side in sides]
+    for begin in range(0, len(tokens), _BLOCK):
+        dense = []
+        for side, (row, at) in zip(sides, marks, strict=True):
+            lo, hi = np.searchsorted(at, (begin, begin + _BLOCK))
+            m = np.zeros((len(side), _BLOCK), np.float32)
+            m[row[lo:hi], at[lo:hi] - begin] = 1
+            dense.append(m)
+        out += dense[0] @ dense[-1].T
+    return out
+
+
+def _compare_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of components in streams of (bucket, split, side, component, shingles), as forests."""
+    task, own, own_c, forest = None, [], np.empty(0, np.int64), _Forest()
+
+    def links(x: list[np.ndarray], cx: np.ndarray, y: list[np.ndarray], cy: np.ndarray) -> list[tuple[int, int]]:
+        if not x or not y or (x is y and (cx == cx[0]).all()):
+            return []
+        common = _common_counts(x, y)
+        sizes = np.array([len(s) for s in x])[:, None] + np.array([len(s) for s in y])[None, :]
+        i, j = np.nonzero((SIMILAR[1] * common >= SIMILAR[0] * (sizes - common)) & (cx[:, None] != cy[None, :]))
+        pairs = np.unique(np.stack([np.minimum(cx[i], cy[j]), np.maximum(cx[i], cy[j])], axis=1), axis=0)
+        return [(a, b) for a, b in pairs.tolist() if forest.union(a, b)]
+
+    for batch in batches:
+        bucket, split, side, component = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+        shingles = batch.column(4)
+        offsets, flat = shingles.offsets.to_numpy(), shingles.values.to_numpy(zero_copy_only=False)
+        sets = [flat[p:q] for p, q in itertools.pairwise(offsets.tolist())]
+        cuts = np.flatnonzero((np.diff(bucket) != 0) | (np.diff(split) != 0) | (np.diff(side) != 0)) + 1
+        edges: list[tuple[int, int]] = []
+        for begin, end in itertools.pairwise([0, *cuts.tolist(), len(bucket)]):
+            if (bucket[begin], split[begin]) != task:
+                task, own, own_c, forest = (bucket[begin], split[begin]), [], np.empty(0, np.int64), _Forest()
+            new, new_c = sets[begin:end], component[begin:end]
+            edges += links(own, own_c, new, new_c)
+            if side[begin] == 0:
+                edges += links(new, new_c, new, new_c)
+                own, own_c = own + [x.copy() for x in new], np.concatenate([own_c, new_c])
+        if edges:
+            a, b = zip(*edges, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+def bucket_links(rest: DataFrame, sets: DataFrame, tile_sets: int = TILE_SETS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
+    """Edges (a, b) between the components of ``rest`` (bucket, cls, c, n) that some similar pair within a bucket links.
+
+    A bucket is compared in tiles of bounded size: a task keeps one tile's sets
+    and the bucket's later sets stream past it, so a set is sent once for each
+    earlier tile, no pair is ever a row, and pairs of one component are passed over.
+    """
+    splits = F.ceil(F.greatest(F.count(F.lit(1)) / tile_sets, F.sum("n") / tile_shingles)).cast("int")
+    apart = rest.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), splits.alias("splits")).where("lo <> hi").select("bucket", "splits")
+    home = F.pmod(F.xxhash64("cls"), F.col("splits")).cast("int")
+    sent = (
+        rest.join(apart, "bucket").withColumn("home", home).join(sets, "cls")
+        .select("bucket", F.explode(F.sequence("home", F.col("splits") - 1)).alias("split"), "home", "c", "shingles")
+        .select("bucket", "split", F.when(F.col("split") == F.col("home"), 0).otherwise(1).alias("side"), "c", "shingles")
+    )
+    return sent.repartition("bucket", "split").sortWithinPartitions("bucket", "split", "side").mapInArrow(_compare_sets, "a long, b long")
+
+
+def similar_components(docs: DataFrame, *, tile_sets: int = TILE_SETS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
     """(doc_id, _h1, _h2, component) of every row of ``docs`` (doc_id, text): what 5-word similarity links, also in steps.
 
     A class is one set of shingles, named by 64 bits of its hash; texts without
@@ -296,21 +397,17 @@ def similar_components(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     hashed = _with_text_hash(docs.select("doc_id", "text"))
-    marked = saved(hashed.withColumn("_m", F.arrow_udf("struct<cls: long, bands: array<long>>")(_classes_and_bands)("text")).select("doc_id", "_h1", "_h2", "_m.cls", "_m.bands"))
-    classes = saved(marked.dropDuplicates(["cls"]).select("cls", "_h1", "_h2", "bands"))
-    entries = classes.select("cls", F.explode("bands").alias("bucket"))
+    marked = saved(hashed.withColumn("_m", F.arrow_udf("struct<cls: long, n: int, bands: array<long>>")(_classes_and_bands)("text")).select("doc_id", "_h1", "_h2", "_m.cls", "_m.n", "_m.bands"))
+    classes = saved(marked.dropDuplicates(["cls"]).select("cls", "_h1", "_h2", "n", "bands"))
+    entries = classes.select("cls", "n", F.explode("bands").alias("bucket"))
     # another pivot in each bucket, so that a text meets several members of a large group
-    pivots = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min_by("cls", F.xxhash64("bucket", "cls")).alias("pivot")).where("n > 1").drop("n")
+    pivots = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min_by("cls", F.xxhash64("bucket", "cls")).alias("pivot")).where("m > 1").drop("m")
     shared = saved(entries.join(pivots, "bucket"))
-    sets = saved(_sets_of(hashed, classes.drop("bands").join(shared.select("cls").distinct(), "cls")))
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    first = shared.where("cls <> pivot").select(*pair("cls", "pivot")).distinct()
+    sets = saved(_sets_of(hashed, classes.select("cls", "_h1", "_h2").join(shared.select("cls").distinct(), "cls")))
+    first = shared.where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
     links = saved(_verified(first, sets))
-    tagged = shared.join(connected_components(links), F.col("cls") == F.col("node"), "left").select("bucket", "cls", F.coalesce("component", "cls").alias("c"))
-    apart = tagged.groupBy("bucket").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("bucket")
-    rest = saved(tagged.join(apart, "bucket"))
-    second = rest.join(rest.select("bucket", F.col("cls").alias("cls2"), F.col("c").alias("c2")), "bucket").where("cls < cls2 and c <> c2").select(*pair("cls", "cls2")).distinct()
-    more = _verified(second.join(first, ["a", "b"], "left_anti"), sets)
+    tagged = saved(shared.join(connected_components(links), F.col("cls") == F.col("node"), "left").select("bucket", "cls", F.coalesce("component", "cls").alias("c"), "n"))
+    more = saved(bucket_links(tagged, sets, tile_sets, tile_shingles))
     parts = connected_components(links.unionByName(more))
     return marked.join(parts, F.col("cls") == F.col("node"), "left").select("doc_id", "_h1", "_h2", F.coalesce("component", "cls").alias("component"))
 
@@ -321,12 +418,23 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     A row is known by its id and its text, so different texts under one id, or
     without an id, are different documents; within an id the smaller text hash
     goes first. Of rows equal in both one stays. Null ids are only kept where
-    no other document of the group has one.
+    no other document of the group has one. Texts without a word are one group.
+    Very long texts are compared whole; an empty table gives an empty table;
+    other columns stay as they are in the row that is kept.
+
+    Rows that a filter of fixed size shows to be alone are not shuffled.
     """
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h1", "_h2")
-    found = similar_components(docs).groupBy("component").agg(F.min(key).alias("k")).select(F.col("k.doc_id").alias("_id"), F.col("k._h1").alias("_k1"), F.col("k._h2").alias("_k2"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h1") == F.col("_k1")) & (F.col("_h2") == F.col("_k2"))
-    return _with_text_hash(docs).join(found, same, "left_semi").dropDuplicates(["doc_id", "_h1", "_h2"]).drop("_h1", "_h2")
+    names = ["_none", "_id", "_h1", "_h2"]  # a null id is told apart by a flag, so that equality joins and the removal of repeats share a partitioning
+    named = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0))}
+    components = saved(similar_components(docs).withColumns(named))
+    groups = saved(components.groupBy("component").agg(F.min(F.struct(*names)).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1"))
+    grouped = saved(_per_key(components, groups, "component", components.count()))
+    gone = grouped.where(F.struct(*names) != F.col("first")).select(*names).distinct()
+    # the input's columns travel as one struct, so that none can clash with these
+    hashed = _with_text_hash(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "doc_id", "text")).withColumns(named).select("_doc", *names)
+    marked = _with_filter(hashed, grouped.select("_h1"))
+    met = marked.where("_near").dropDuplicates(names).join(gone, names, "left_anti")
+    return marked.where("not _near").select("_doc.*").unionByName(met.select("_doc.*"))
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
