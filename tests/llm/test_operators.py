@@ -183,13 +183,120 @@ def test_entropy_removes_repeated_branches(spark):
     assert texts[90] == "" and texts[91] == "" and texts[92] == "Only page" and all(r.n_chars == len(r.text) for r in got)
 
 
-def test_articles_of_pages(spark):
+def article_of(html):
     import html as entities
 
-    for r in html_extract.op4_html(spark, "/root/testdata/sf0.001").join(spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "html"), "page_id").collect():
-        inner = re.search("<article>(.*?)</article>", r.html, re.S)[1]
-        blocks = re.sub("<[^>]*>", " ", re.sub("</?(?:p|h1)>", "\n", inner)).split("\n")
-        assert r.text == "\n".join(t for t in (" ".join(entities.unescape(b).split()) for b in blocks) if t)
+    inner = re.search("<article>(.*?)</article>", html, re.S)[1]
+    blocks = re.sub("<[^>]*>", " ", re.sub("</?(?:p|h1)>", "\n", inner)).split("\n")
+    return "\n".join(t for t in (" ".join(entities.unescape(b).split()) for b in blocks) if t)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_articles_of_pages(spark, sf):
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select("page_id", "html")
+    assert all(r.text == article_of(r.html) for r in html_extract.op4_html(spark, f"/root/testdata/{sf}").join(pages, "page_id").collect())
+
+
+def keyed_pages(pages):
+    html, host = F.coalesce("html", F.lit("")), F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
+    return pages.select(F.xxhash64(host, html).alias("key"), host.alias("host"), html.alias("html"))
+
+
+def test_importance_decides_without_names(spark):
+    """On tables of some size the tree alone, without what elements are called, parts articles from the rest."""
+    tree = html_extract.parsed(keyed_pages(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")))
+    nodes, _ = html_extract.importances(tree, names=False)
+    rows = html_extract.block_rows(tree).join(nodes, "node").select("prior", "importance").collect()
+    assert np.mean([(r.importance >= html_extract.KEEP) == (r.prior == 1) for r in rows]) > 0.98
+
+
+def nonsense_site(rng, host, n):
+    """Pages whose classes say nothing: menu, notice inside the article, changing advert, sign-off; and what should stay."""
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8)))
+    name = {k: word() for k in "menu body ad end note".split()}
+    sentence = lambda k: " ".join(word() for _ in range(k))
+    menu, note, end, adverts = [word() for _ in range(6)], sentence(9), sentence(12), [sentence(7) for _ in range(2)]
+    for k in range(n):
+        own = [sentence(rng.randint(5, 60)) for _ in range(rng.randint(2, 6))]
+        html = f"<body><div class='{name['menu']}'>" + "".join(f"<div><a href='/{m}'>{m}</a></div>" for m in menu) + f"</div><div class='{name['ad']}'>{adverts[k % 2]}</div><div class='{name['body']}'>"
+        html += f"<p>{own[0]}</p><p>{note}</p>" + "".join(f"<p>{t}</p>" for t in own[1:]) + f"</div><div class='{name['end']}'>{end}</div></body>"
+        yield f"https://{host}/{k}", html, "\n".join(own)
+
+
+@pytest.mark.parametrize("small_tree", [0, 1 << 20])
+def test_nonsense_classes(spark, small_tree):
+    rng = random.Random(3)
+    rows = [r for h, n in (("a.example", 5), ("b.example", 8), ("c.example", 20), ("d.example", 40)) for r in nonsense_site(rng, h, n)]
+    pages = spark.createDataFrame([(k, url, html, "x") for k, (url, html, _) in enumerate(rows)], "page_id long, url string, html string, host string")
+    got = html_extract.extract_main_text(pages, small_tree=small_tree).collect()
+    assert all(r.text == rows[r.page_id][2] and r.n_chars == len(r.text) and r.html == rows[r.page_id][1] and r.host == "x" for r in got) and len(got) == len(rows)
+
+
+def brute_importances(pages):
+    """A plain version of the tree: {(host, path): importance} of (host, html)."""
+    import math
+
+    seen, shown, styles, priors, key_of = set(), defaultdict(set), defaultdict(Counter), defaultdict(list), {}
+    for k, (host, page) in enumerate(pages):
+        blocks, branches = html_extract.parse(page, host)
+        if (host, tuple(b.text for b in blocks)) in seen:
+            continue
+        seen.add((host, tuple(b.text for b in blocks)))
+        for b in blocks:
+            for own, up in (((host, b.path), (host, b.up_path)), ((b.path,), (b.up_path,)), ((b.tags, "t"), (b.up_tags, "t"))):
+                shown[own, b.content].add(k)
+                shown[own, None].add(k)
+            key_of[host, b.path] = b
+            priors[b.path].append((host, b.prior))
+        for path, tags, style in branches:
+            for own in ((host, path), (path,), (tags, "t")):
+                styles[own][style] += 1
+
+    def raw(own, up):
+        pages_of = len(shown[own, None])
+        logs = [math.log(len(v)) for (o, c), v in shown.items() if o == own and c is not None]
+        content = max(0, 1 - np.mean(logs) / math.log(pages_of)) if pages_of > 1 else 1
+        k = list(styles[up].values())
+        t = sum(k)
+        branch = 1 - sum(x * math.log(x) for x in k) / (t * math.log(t)) if t > 1 else 0
+        return pages_of, html_extract.CONTENT_SHARE * content + (1 - html_extract.CONTENT_SHARE) * branch
+
+    out = {}
+    for (host, path), b in key_of.items():
+        own = [p for h, p in priors[path] if h == host]
+        named = np.mean(np.abs(own)) * html_extract.NAMED_PAGES
+        told = (np.mean(own) / np.mean(np.abs(own)) + 1) / 2 if named else 0
+        m3, r3 = raw((b.tags, "t"), (b.up_tags, "t"))
+        m2, r2 = raw((path,), (b.up_path,))
+        m1, r1 = raw((host, path), (host, b.up_path))
+        bare = (m3 * r3 + html_extract.UNSEEN_PAGES * html_extract.UNSEEN_IMPORTANCE) / (m3 + html_extract.UNSEEN_PAGES)
+        wide = (m2 * r2 + html_extract.PATH_PAGES * bare + named * told) / (m2 + html_extract.PATH_PAGES + named)
+        out[host, path] = (m1 * r1 + html_extract.HOST_PAGES * wide) / (m1 + html_extract.HOST_PAGES)
+    return out
+
+
+def test_importances_equal_a_plain_tree(spark):
+    pages = keyed_pages(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    want = brute_importances([(r.host, r.html) for r in pages.collect()])
+    got = {r.node: r.importance for r in html_extract.importances(html_extract.parsed(pages))[0].collect()}
+    assert len(got) == len(want) and all(got[html_extract._node(h, p)] == pytest.approx(v) for (h, p), v in want.items())
+
+
+def test_hosts_of_copies_keep_their_text(spark):
+    """Equal pages count once; a host of near copies falls back to the elements that are not low."""
+    text = "<body><article><p>The same story on each page of it</p><p>told in two paragraphs</p></article></body>"
+    rows = [(k, "http://copies.example/", text) for k in range(30)] + [(100 + k, "http://near.example/", text.replace("</body>", f"<footer>{k}</footer></body>")) for k in range(30)]
+    got = html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == 60 and {r.text for r in got} == {"The same story on each page of it\ntold in two paragraphs"}
+
+
+@pytest.mark.parametrize("page", ["<a " * 100_000, "<div>" * 50_000 + "</p>" * 50_000, "<b>" * 50_000 + "x<hr>" * 50_000, "<a href='" * 50_000 + ">", "<p>word " * 100_000, "<!-- " * 100_000])
+def test_parsing_is_linear(page):
+    import time
+
+    began = time.perf_counter()
+    html_extract.blocks_of(page)
+    assert time.perf_counter() - began < 8
 
 
 # --- 5 near duplicates

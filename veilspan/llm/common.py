@@ -66,3 +66,18 @@ def sha256_hex(text: Column) -> Column:
 def uniform(*parts: Column) -> Column:
     """A deterministic pseudorandom double in [0, 1) from the parts' hash."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) * F.lit(2.0**-53)
+
+
+#: A key of more than this share (one in so many) of all rows is joined by broadcast.
+HOT_SHARE = 1000
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, n_rows: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``per_key``: one row for each key, with (at least) the number ``m`` of rows that have it.
+
+    Keys of more than a HOT_SHARE-th of all rows are fewer than HOT_SHARE: they are broadcast, so none goes to one task.
+    """
+    is_hot = F.col("m") * HOT_SHARE > n_rows
+    hot = F.broadcast(per_key.where(is_hot).drop("m"))
+    cold = rows.join(hot.select(key), key, "left_anti").join(per_key.where(~is_hot).drop("m"), key, how)
+    return cold.unionByName(rows.join(hot, key))

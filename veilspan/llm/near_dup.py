@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, small_batches, table
+from .common import join_per_key, saved, small_batches, table
 
 RADIUS = 2
 SHINGLE_WORDS = 3
@@ -41,8 +41,6 @@ SEED = 42
 PARTS = 4
 #: The largest number of fingerprints that one task keeps.
 TILE_ROWS = 1 << 17
-#: A fingerprint of more than this share (one in so many) of all rows is joined by broadcast.
-HOT_SHARE = 1000
 _BLOCK = 2048
 #: The stage's shingles, and its least similarity as a fraction.
 SIMILAR_WORDS = 5
@@ -231,17 +229,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def _per_key(rows: DataFrame, table: DataFrame, key: str, n_rows: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined with ``table``: one row for each key, with the number ``m`` of rows that have it.
-
-    Keys of more than a HOT_SHARE-th of all rows are fewer than HOT_SHARE: they are broadcast, so none goes to one task.
-    """
-    is_hot = F.col("m") * HOT_SHARE > n_rows
-    hot = F.broadcast(table.where(is_hot).drop("m"))
-    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(~is_hot).drop("m"), key, how)
-    return cold.unionByName(rows.join(hot, key))
-
-
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, *, tile_rows: int = TILE_ROWS) -> DataFrame:
     """``docs`` (doc_id, text and others) with ``fingerprint`` and ``component_id``.
 
@@ -257,7 +244,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, *, tile_rows: int = T
     classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")).where("rep is not null"))
     parts = connected_components(tile_links(classes.select("fp", "rep"), radius, tile_rows))
     named = saved(classes.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "m"))
-    found = _per_key(fps, named, "fp", n_rows, "left")
+    found = join_per_key(fps, named, "fp", n_rows, "left")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -428,7 +415,7 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     named = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0))}
     components = saved(similar_components(docs).withColumns(named))
     groups = saved(components.groupBy("component").agg(F.min(F.struct(*names)).alias("first"), F.count(F.lit(1)).alias("m")).where("m > 1"))
-    grouped = saved(_per_key(components, groups, "component", components.count()))
+    grouped = saved(join_per_key(components, groups, "component", components.count()))
     gone = grouped.where(F.struct(*names) != F.col("first")).select(*names).distinct()
     # the input's columns travel as one struct, so that none can clash with these
     hashed = _with_text_hash(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "doc_id", "text")).withColumns(named).select("_doc", *names)
