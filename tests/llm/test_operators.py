@@ -247,7 +247,7 @@ def brute_importances(pages):
                 shown[own, b.content].add(k)
                 shown[own, None].add(k)
             key_of[host, b.path] = b
-            priors[b.path].append((host, b.prior))
+            priors[b.path].append(b.prior)
         for path, tags, style in branches:
             for own in ((host, path), (path,), (tags, "t")):
                 styles[own][style] += 1
@@ -263,7 +263,7 @@ def brute_importances(pages):
 
     out = {}
     for (host, path), b in key_of.items():
-        own = [p for h, p in priors[path] if h == host]
+        own = priors[path]
         named = np.mean(np.abs(own)) * html_extract.NAMED_PAGES
         told = (np.mean(own) / np.mean(np.abs(own)) + 1) / 2 if named else 0
         m3, r3 = raw((b.tags, "t"), (b.up_tags, "t"))

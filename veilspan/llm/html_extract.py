@@ -268,38 +268,44 @@ def _presentation(styles: DataFrame, key: str) -> DataFrame:
     return styles.groupBy(key).agg(total.alias("t"), F.sum(F.col("k") * F.log("k")).alias("l")).select(key, F.when(F.col("t") > 1, 1 - F.col("l") / (F.col("t") * F.log("t"))).otherwise(0.0).alias("shown"))
 
 
+def _rated(nodes: DataFrame, contents: DataFrame, styles: DataFrame, key: str, up: str) -> DataFrame:
+    """(key, pages, raw): the importance of a level's nodes by their own pages.
+
+    ``nodes`` (key, up, m), ``contents`` (key, content, n) and ``styles`` (up, style, k) are counts of this level or a finer one.
+    """
+    m = nodes.groupBy(key, up).agg(F.sum("m").alias("pages"))
+    logs = contents.groupBy(key, "content").agg(F.log(F.sum("n")).alias("l")).groupBy(key).agg(F.avg("l").alias("l"))
+    own = F.when(F.col("pages") > 1, F.greatest(1 - F.col("l") / F.log("pages"), F.lit(0.0))).otherwise(1.0)
+    shown = _presentation(styles.groupBy(up, "style").agg(F.sum("k").alias("k")), up)
+    raw = CONTENT_SHARE * own + (1 - CONTENT_SHARE) * F.coalesce("shown", F.lit(0.0))
+    return m.join(logs, key).join(shown, up, "left").select(key, "pages", raw.alias("raw"))
+
+
 def importances(pages: DataFrame, *, names: bool = True) -> tuple[DataFrame, DataFrame]:
     """(node, m, importance) of every host's nodes, and (node, content, n) of their contents.
 
     ``names`` false leaves out what elements say of themselves.
     """
     one = pages.dropDuplicates(["digest"])
-    per_page = one.select("key", F.explode(F.arrays_zip("node", "path", "tags", "content")).alias("b")).select("key", "b.*")
-    contents = per_page.distinct().groupBy("node", "path", "tags", "content").agg(F.count(F.lit(1)).alias("n"))
+    contents = one.select("key", F.explode(F.arrays_zip("node", "path", "tags", "content")).alias("b")).select("key", "b.*").distinct().groupBy("node", "path", "tags", "content").agg(F.count(F.lit(1)).alias("n"))
     block_of = F.arrays_zip("node", "path", "tags", "up", "up_path", "up_tags", "prior")
-    nodes = one.select("key", F.explode(block_of).alias("b")).select("key", "b.*").groupBy("node", "path", "tags", "up", "up_path", "up_tags").agg(F.count_distinct("key").alias("m"), F.avg("prior").alias("prior"), F.avg(F.abs("prior")).alias("named"))
-    styles = one.select(F.explode(F.arrays_zip("styled", "styled_path", "styled_tags", "style")).alias("s")).select("s.*").groupBy("styled", "styled_path", "styled_tags", "style").agg(F.count(F.lit(1)).alias("k"))
+    nodes = one.select("key", F.explode(block_of).alias("b")).select("key", "b.*").groupBy("node", "path", "tags", "up", "up_path", "up_tags").agg(F.count_distinct("key").alias("m"), F.sum("prior").alias("prior"), F.sum(F.abs("prior")).alias("named"), F.count(F.lit(1)).alias("blocks"))
+    styles = one.select(F.explode(F.arrays_zip(F.col("styled").alias("up"), F.col("styled_path").alias("up_path"), F.col("styled_tags").alias("up_tags"), "style")).alias("s")).select("s.*").groupBy("up", "up_path", "up_tags", "style").agg(F.count(F.lit(1)).alias("k"))
     nodes, contents, styles = saved(nodes), saved(contents), saved(styles)
-    n_nodes = nodes.count()
-    rated = nodes
-    raw = lambda level: CONTENT_SHARE * F.col(f"own_{level}") + (1 - CONTENT_SHARE) * F.coalesce(f"shown_{level}", F.lit(0.0))
-    for level, key, up, styled in ((3, "tags", "up_tags", "styled_tags"), (2, "path", "up_path", "styled_path"), (1, "node", "up", "styled")):
-        # pages of a path are its nodes' pages: a page has one host
-        m = nodes.groupBy(key).agg(F.sum("m").alias("m"), F.count(F.lit(1)).alias("rows"))
-        counts = contents.groupBy(key, "content").agg(F.sum("n").alias("n")) if level > 1 else contents.select(key, "content", "n")
-        per = counts.groupBy(key).agg(F.avg(F.log("n")).alias("l")).join(m, key)
-        own = per.select(key, F.col("m").alias(f"m_{level}"), F.when(F.col("m") > 1, F.greatest(1 - F.col("l") / F.log("m"), F.lit(0.0))).otherwise(1.0).alias(f"own_{level}"), F.col("rows").alias("m"))
-        shown = _presentation(styles.groupBy(styled, "style").agg(F.sum("k").alias("k")), styled).select(F.col(styled).alias(up), F.col("shown").alias(f"shown_{level}"))
-        ups = nodes.groupBy(up).agg(F.count(F.lit(1)).alias("rows")).join(shown, up).withColumnRenamed("rows", "m_up")
-        rated = join_per_key(rated.withColumnRenamed("m", "_m"), own, key, n_nodes).withColumnRenamed("_m", "m")
-        rated = join_per_key(rated.withColumnRenamed("m", "_m"), ups.withColumnRenamed("m_up", "m"), up, n_nodes, "left").withColumnRenamed("_m", "m")
-    named = F.col("named") * (NAMED_PAGES if names else 0)
+    bare = _rated(nodes, contents, styles, "tags", "up_tags")
+    bare = bare.select("tags", ((F.col("pages") * F.col("raw") + UNSEEN_PAGES * UNSEEN_IMPORTANCE) / (F.col("pages") + UNSEEN_PAGES)).alias("bare"))
+    per_path = nodes.groupBy("path", "tags").agg(F.sum("prior").alias("prior"), F.sum("named").alias("named"), F.sum("blocks").alias("blocks"), F.count(F.lit(1)).alias("hosts"))
+    paths = saved(per_path.join(_rated(nodes, contents, styles, "path", "up_path"), "path"))
+    # a path of tags may have any number of class names, and a path may stand on any number of hosts
+    variants = paths.groupBy("tags").agg(F.count(F.lit(1)).alias("m")).join(bare, "tags")
+    named = F.col("named") / F.col("blocks") * (NAMED_PAGES if names else 0)
     told = F.when(F.col("named") > 0, (F.col("prior") / F.col("named") + 1) / 2).otherwise(0.0)
-    bare = (F.col("m_3") * raw(3) + UNSEEN_PAGES * UNSEEN_IMPORTANCE) / (F.col("m_3") + UNSEEN_PAGES)
-    wide = (F.col("m_2") * raw(2) + PATH_PAGES * F.col("bare") + named * told) / (F.col("m_2") + PATH_PAGES + named)
-    own = (F.col("m_1") * raw(1) + HOST_PAGES * F.col("wide")) / (F.col("m_1") + HOST_PAGES)
-    found = rated.withColumn("bare", bare).withColumn("wide", wide).withColumn("importance", own)
-    return found.select("node", "m", "importance"), contents.select("node", "content", "n")
+    wide = (F.col("pages") * F.col("raw") + PATH_PAGES * F.col("bare") + named * told) / (F.col("pages") + PATH_PAGES + named)
+    paths = saved(join_per_key(paths, variants, "tags", paths.count()).select("path", wide.alias("wide"), F.col("hosts").alias("m")))
+    own = saved(nodes.select("node", "path").join(_rated(nodes, contents, styles, "node", "up"), "node"))
+    importance = (F.col("pages") * F.col("raw") + HOST_PAGES * F.col("wide")) / (F.col("pages") + HOST_PAGES)
+    found = join_per_key(own, paths, "path", own.count()).select("node", F.col("pages").alias("m"), importance.alias("importance"))
+    return found, contents.select("node", "content", "n")
 
 
 def low_places(pages: DataFrame, keep: float = KEEP, *, names: bool = True) -> tuple[DataFrame, DataFrame]:

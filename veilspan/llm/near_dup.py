@@ -287,7 +287,7 @@ def _with_filter(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, shingles) of the ``wanted`` (cls, _h1, _h2). Texts that the filter rules out are not shuffled."""
-    one = _with_filter(docs, wanted).where("_near").join(wanted, ["_h1", "_h2"]).dropDuplicates(["cls"])
+    one = _with_filter(docs, wanted).where("_near").dropDuplicates(["_h1", "_h2"]).join(wanted, ["_h1", "_h2"])
     return one.select("cls", F.arrow_udf("array<long>")(_shingle_sets)("text").alias("shingles"))
 
 
