@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,17 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Every element joined with all before it (sums, maxima), by doubling strides: n log n steps, and no array grows."""
+    strides = F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.lit(2).cast("double") ** k), lambda d: d < F.size(values))
+    return F.aggregate(strides, values, lambda a, d: F.transform(a, lambda x, i: F.coalesce(join(x, F.get(a, i - d.cast("int"))), x)))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Pure ASCII text takes the fast built-in path."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _UPPER, _UPPER.lower())).otherwise(F.lower(text))

@@ -124,7 +124,9 @@ def draw_slots(targets: DataFrame, block_words: int = BLOCK_WORDS, shard_slots:
     of = lambda name: F.get(quotas.select(name).scalar(), F.col("k"))
     numbered = _upto(drawn, ["k"], "slots", "first").withColumn("kept", F.greatest(F.least(F.col("slots"), of("quota") - F.col("first")), F.lit(0)))
     numbered = saved(numbered.withColumn("over", F.col("slots") - F.col("kept")))
-    regular = numbered.where("kept > 0").repartition("k", "shard").select("k", "shard", F.explode(F.sequence("first", F.col("first") + F.col("kept") - 1)).alias("t"))
+    # a number, because small rows that are about to grow must not be put together
+    parts = max(targets.sparkSession.sparkContext.defaultParallelism, -(-n_slots // DRAWN_SLOTS))
+    regular = numbered.where("kept > 0").repartition(parts, "k", "shard").select("k", "shard", F.explode(F.sequence("first", F.col("first") + F.col("kept") - 1)).alias("t"))
     # slots over quota, numbered through all shards, fill the shortfalls in order of source
     got = drawn.groupBy("k").agg(F.sum("slots").alias("got"))
     missing = quotas.select(F.posexplode("quota").alias("k", "quota")).join(got, "k", "left").select("k", F.greatest(F.col("quota") - F.coalesce("got", F.lit(0)), F.lit(0)).alias("missing"))
