@@ -137,7 +137,7 @@ def test_leader_keeps_label_and_takes_surer_text(spark):
 def test_raw_offsets(spark):
     text = "  a \n\n b\tc "
     collapsed = " a b c "
-    df = spark.createDataFrame([(text, i) for i in range(len(collapsed))], "t string, i int").select("i", rules.raw_offset(F.col("t"), F.col("i")).alias("r"))
+    df = spark.createDataFrame([(text, i) for i in range(len(collapsed))], "t string, i int").select("i", rules.raw_offset(rules.stretches(F.col("t")), F.col("i")).alias("r"))
     for r in df.collect():
         assert text[r.r].strip() == collapsed[r.i].strip()
 
@@ -186,3 +186,31 @@ def test_binary_documents(spark, tmp_path):
     (tmp_path / "a.PDF").write_bytes(b"%PDF-1.4")
     (tmp_path / "b.txt").write_bytes(b"no")
     assert [(r.length, bytes(r.content)) for r in binary_documents(spark, str(tmp_path)).collect()] == [(8, b"%PDF-1.4")]
+
+
+def test_white_space_of_every_kind(spark):
+    """No-break and narrow no-break spaces are typed in French amounts and numbers; other engines' \\s takes them."""
+    text = "Capital\u00a01\u202f500\u202f000\u00a0EUR, tél.\u00a006\u00a012\u00a034\u00a056\u00a078, SIREN 732\u00a0829\u00a0320, le 3\u00a0février\u202f2024"
+    pages = spark.createDataFrame([(1, 0, text)], "doc_id long, page_index int, text string")
+    found = {(r.text, r.norm_text) for r in detect.detect(pages).collect()}
+    for part in ("1\u202f500\u202f000\u00a0EUR", "06\u00a012\u00a034\u00a056\u00a078", "732\u00a0829\u00a0320", "3\u00a0février\u202f2024"):
+        assert any(t == part and n == part.replace("\u00a0", " ").replace("\u202f", " ").lower() for t, n in found), part
+
+
+def test_matches_equal_python(spark):
+    import re
+
+    rows = ["a1b22c333", "", "no digits", "1", "12", "x\x01 7 \x02 8", "9" * 50, "1 " * 5000]
+    df = spark.createDataFrame([(t,) for t in rows] + [(None,)], "t string")
+    for r in df.select("t", fn.matches(F.col("t"), "[0-9]+").alias("m")).collect():
+        assert [(m.start, m.stop, m.text) for m in r.m] == [(m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", r.t or "")]
+
+
+@pytest.mark.parametrize("few", [0, 500])
+def test_both_ways_of_searching_needles(spark, few):
+    pages = spark.createDataFrame([(1, 0, "The  Old\n\n house, the old  HOUSE"), (1, 1, "old"), (2, 0, "  the\told"), (3, 0, "")], "doc_id long, page_index int, text string")
+    needles = spark.createDataFrame([("the old", "A"), ("old house", "B"), ("o", "C"), ("", "D"), ("zz", "E")], "norm_text string, rule_label string")
+    got = {(r.doc_id, r.page_index, r.norm_text, r.rule_label, r.char_start, r.char_end) for r in rules.find_in_pages(pages, needles, few).collect()}
+    want = {(1, 0, "the old", "A", 0, 8), (1, 0, "the old", "A", 18, 25), (1, 0, "old house", "B", 5, 16), (1, 0, "old house", "B", 22, 32), (2, 0, "the old", "A", 2, 9)}
+    assert {g for g in got if g[2] != "o"} == want
+    assert sorted(g[4] for g in got if g[2] == "o" and g[:2] == (1, 0)) == [5, 12, 22, 28] and {g[4] for g in got if g[2] == "o" and g[:2] == (2, 0)} == {6}

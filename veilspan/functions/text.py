@@ -15,14 +15,44 @@ from ..schema import LABELS
 BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+#: White space of every kind, also no-break and typographic spaces, as the inside of a class; Java's \s has ASCII ones only.
+SPACES = r"\s\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF"
+
+
+def spaced(pattern: str) -> str:
+    """A pattern whose \\s and \\S mean white space of every kind, inside and outside of classes."""
+    out, at, inside = [], 0, False
+    while at < len(pattern):
+        two = pattern[at : at + 2]
+        if two in (r"\s", r"\S"):
+            out.append(SPACES if inside else f"[{'^' if two == chr(92) + 'S' else ''}{SPACES}]")
+        elif two[0] == "\\":
+            out.append(two)
+        else:
+            inside = two[0] == "[" or (inside and two[0] != "]")
+            out.append(two[0])
+            at -= 1
+        at += 2
+    return "".join(out)
+
+
+_SPACE_RUN, _OUTER_SPACE = spaced(r"\s+"), spaced(r"^\s+|\s+$")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once: inside a lambda an expression would be computed for every element."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Every element joined with all before it (sums, maxima), by doubling strides: n log n steps, and no array grows."""
+    strides = F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.lit(2).cast("double") ** k), lambda d: d < F.size(values))
+    return F.aggregate(strides, values, lambda a, d: F.transform(a, lambda x, i: F.coalesce(join(x, F.get(a, i - d.cast("int"))), x)))
+
+
 def strip(text: Column) -> Column:
     """Without outer white space of any kind."""
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, _OUTER_SPACE, "")
 
 
 def normalize(text: Column) -> Column:
@@ -31,7 +61,7 @@ def normalize(text: Column) -> Column:
 
 
 def normalize_whitespace(text: Column) -> Column:
-    return F.regexp_replace(strip(text), r"\s+", " ")
+    return F.regexp_replace(strip(text), _SPACE_RUN, " ")
 
 
 def texts_match(a: Column, b: Column) -> Column:
@@ -54,7 +84,7 @@ def remove_diacritics(text: Column) -> Column:
 
 def normalize_fuzzy(text: Column) -> Column:
     """Without diacritics, case, punctuation and repeated white space."""
-    return strip(F.regexp_replace(F.regexp_replace(F.lower(remove_diacritics(text)), r"[^A-Za-z0-9_\s]", ""), r"\s+", " "))
+    return strip(F.regexp_replace(F.regexp_replace(F.lower(remove_diacritics(text)), spaced(r"[^A-Za-z0-9_\s]"), ""), _SPACE_RUN, " "))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -72,12 +102,12 @@ def digits(text: Column) -> Column:
 
 
 def siren_checksum(text: Column) -> Column:
-    """Whether the first nine digits pass the Luhn sum that doubles every second digit."""
+    """Whether there are nine or fourteen digits of which the first nine pass the Luhn sum that doubles every second digit."""
     def passes(d: Column) -> Column:
         at = lambda i: F.substring(d, i, F.lit(1)).cast("int")
         doubled = lambda i: F.when(i % 2 == 0, F.when(at(i) > 4, 2 * at(i) - 9).otherwise(2 * at(i))).otherwise(at(i))
         total = F.aggregate(F.sequence(F.lit(1), F.lit(9)), F.lit(0), lambda a, i: a + doubled(i))
-        return F.when(F.length(d) >= 9, total % 10 == 0).otherwise(F.lit(False))
+        return F.when(F.length(d).isin(9, 14), total % 10 == 0).otherwise(F.lit(False))
 
     return let(digits(text), passes)
 
@@ -107,21 +137,35 @@ def looks_like_date_part(text: Column) -> Column:
 
 def looks_like_date(text: Column) -> Column:
     t = strip(text)
-    return t.rlike(BOUNDARY + DATE_NUMERIC + BOUNDARY) | t.rlike("(?iu)" + BOUNDARY + DATE_WRITTEN + BOUNDARY)
+    return t.rlike(BOUNDARY + DATE_NUMERIC + BOUNDARY) | t.rlike(spaced("(?iu)" + BOUNDARY + DATE_WRITTEN + BOUNDARY))
 
 
 def ends_with_date(text: Column) -> Column:
-    return text.rlike(rf"(?iu){_MONTH}\s+[0-9]{{4}}[,\s]*$") | text.rlike(r"[0-9]{1,2}[/-][0-9]{1,2}[/-](19|20)[0-9]{2}[,\s]*$")
+    return text.rlike(spaced(rf"(?iu){_MONTH}\s+[0-9]{{4}}[,\s]*$")) | text.rlike(spaced(r"[0-9]{1,2}[/-][0-9]{1,2}[/-](19|20)[0-9]{2}[,\s]*$"))
 
 
 def matches(text: Column, pattern: str | Column) -> Column:
-    """Every match as (start, stop, text) in order; offsets are sums of the lengths of gaps and matches."""
+    """Every match as (start, stop, text) in order.
+
+    One pass of the pattern sets a mark before and after each match; the offsets
+    are the running lengths of the pieces between the marks. A text that has a
+    mark of its own takes two passes.
+    """
     regex = F.lit(pattern) if isinstance(pattern, str) else pattern
-    pairs = F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, regex, F.lit(0)).alias("hit"))
     empty = F.array().cast("array<struct<start:int,stop:int,text:string>>")
-    start = lambda a, p: F.coalesce(F.get(a, F.size(a) - 1)["stop"], F.lit(0)) + F.length(p["gap"])
-    step = lambda a, p: F.concat(a, F.array(F.struct(start(a, p).alias("start"), (start(a, p) + F.length(p["hit"])).alias("stop"), p["hit"].alias("text"))))
-    return F.when(F.rlike(text, regex), F.aggregate(F.filter(pairs, lambda p: p["hit"].isNotNull()), empty, step)).otherwise(empty)
+
+    def spans(pieces: Column) -> Column:
+        """Of gaps and matches in turn."""
+        place = lambda e: F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), lambda i: F.struct(F.get(e, i - 1).alias("start"), F.get(e, i).alias("stop"), F.get(pieces, i).alias("text")))
+        return let(running(F.transform(pieces, F.length), lambda x, y: x + y), place)
+
+    marked = F.regexp_replace(text, regex, F.lit("\x01$0\x02"))
+    once = let(marked, lambda m: F.when(F.contains(m, F.lit("\x01")), let(F.split(m, "[\x01\x02]", -1), spans)).otherwise(empty))
+    pairs = F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, regex, F.lit(0)).alias("hit"))
+    listed = F.filter(F.flatten(F.transform(pairs, lambda p: F.array(p["gap"], p["hit"]))), lambda x: x.isNotNull())
+    twice = F.when(F.rlike(text, regex), let(listed, spans)).otherwise(empty)
+    own = F.contains(text, F.lit("\x01")) | F.contains(text, F.lit("\x02"))
+    return F.when(own, twice).when(text.isNotNull(), once).otherwise(empty)
 
 
 def occurrences(text: Column, needle: Column) -> Column:
@@ -132,8 +176,8 @@ def occurrences(text: Column, needle: Column) -> Column:
     """
     low, small = F.lower(text), F.lower(needle)
     pieces = F.split(low, F.concat(F.lit(r"(?=\Q"), F.replace(small, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E)")), -1)
-    running = F.aggregate(pieces, F.array(F.lit(0)), lambda a, p: F.concat(a, F.array(F.element_at(a, -1) + F.length(p))))
-    cuts = F.slice(running, 2, F.size(running) - 2)
+    ends = running(F.transform(pieces, F.length), lambda x, y: x + y)
+    cuts = let(ends, lambda e: F.slice(e, 1, F.size(e) - 1))
     starts = F.when(F.startswith(low, small), F.concat(F.array(F.lit(0)), cuts)).otherwise(cuts)
     return F.when((F.length(small) > 0) & F.contains(low, small), starts).otherwise(F.array().cast("array<int>"))
 

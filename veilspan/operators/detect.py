@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BOUNDARY, DATE_NUMERIC, DATE_WRITTEN, digits, matches, normalize, siren_checksum, strip
+from ..functions.text import BOUNDARY, DATE_NUMERIC, DATE_WRITTEN, digits, matches, normalize, siren_checksum, spaced, strip
 
 # The detection patterns ({B} is an ASCII word boundary).
 UUID = r"[A-F0-9]{8}-[A-F0-9]{4}-[0-9A-F]{4}-[A-F0-9]{4}-[A-F0-9]{12}"
@@ -44,7 +44,7 @@ class Detector:
     within_longer: bool = False
 
     def java(self) -> str:
-        return ("(?iu)" if self.ignore_case else "") + self.pattern.replace("{B}", BOUNDARY)
+        return ("(?iu)" if self.ignore_case else "") + spaced(self.pattern.replace("{B}", BOUNDARY))
 
 
 def _ten_digits(m: Column) -> Column:
@@ -110,7 +110,7 @@ def excluded(text: Column, label: Column) -> Column:
     return (
         t.rlike("(?i)" + UUID)
         | t.rlike(keyword)
-        | ((label == "ADDRESS") & (t.rlike(r"^[A-Z]\.[0-9]{5,7}$") | t.rlike(r"^[0-9]{3}\s+[0-9]{3}\s+[0-9]{3}$")))
+        | ((label == "ADDRESS") & (t.rlike(r"^[A-Z]\.[0-9]{5,7}$") | t.rlike(spaced(r"^[0-9]{3}\s+[0-9]{3}\s+[0-9]{3}$"))))
         | ((label == "PERSON") & (t.rlike(r"^[0-9]+$") | t.rlike(r"^[A-Z0-9-]{8,}$")))
     )
 

@@ -10,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import entity_label, let, normalize, occurrences, strip
+from ..functions.text import entity_label, let, matches, normalize, occurrences, running, spaced, strip
 from .spans import PAGE, new_places
 
 
+#: So many needles at most are searched one by one on every page.
+FEW_NEEDLES = 500
+
+
 def _of(rules: DataFrame, kind: str) -> DataFrame:
     return rules.where(F.col("kind") == kind).select("norm_text", F.col("label").alias("rule_label"))
 
@@ -30,31 +34,48 @@ def effective_suppression(builtin: DataFrame, user: DataFrame) -> DataFrame:
 
 def collapsed(text: Column) -> Column:
     """The text with every stretch of white space as one space."""
-    return F.regexp_replace(text, r"\s+", " ")
+    return F.regexp_replace(text, spaced(r"\s+"), " ")
+
+
+def stretches(text: Column) -> Column:
+    """Of every stretch of several white-space characters: its place in the collapsed text, and how many characters are lost up to its end."""
+    def listed(found: Column) -> Column:
+        lost = running(F.transform(found, lambda m: m["stop"] - m["start"] - 1), lambda x, y: x + y)
+        return let(lost, lambda n: F.transform(found, lambda m, i: F.struct((m["start"] - F.coalesce(F.get(n, i - 1), F.lit(0))).alias("at"), F.get(n, i).alias("lost"))))
+
+    return let(matches(text, spaced(r"\s{2,}")), listed)
 
 
-def raw_offset(text: Column, at: Column) -> Column:
-    """Where a place in the collapsed text is in the raw text: the length of as many characters or stretches of white space."""
-    return F.length(F.call_function("regexp_extract", text, F.concat(F.lit(r"^(?:\s++|\S){"), at.cast("string"), F.lit("}+")), F.lit(0)))
+def raw_offset(found: Column, at: Column) -> Column:
+    """Where a place in the collapsed text is in the raw text with these ``stretches``."""
+    return at + F.coalesce(F.array_max(F.transform(F.filter(found, lambda s: s["at"] < at), lambda s: s["lost"])), F.lit(0))
 
 
-def find_in_pages(pages: DataFrame, needles: DataFrame) -> DataFrame:
+def find_in_pages(pages: DataFrame, needles: DataFrame, few: int = FEW_NEEDLES) -> DataFrame:
     """Every occurrence of every needle (norm_text, rule_label), in texts with white space collapsed; places in the raw text.
 
-    A page can only hold a needle if it holds the needle's first characters, so
-    pages meet the needles by these and no cross product is made.
+    Up to ``few`` different needles, counted, are tried on every page as they
+    are. More meet the pages by their first characters, so that no
+    cross product is made.
     """
+    keyed = needles.where(F.length("norm_text") > 0).distinct()
+    held = [r.norm_text for r in keyed.select("norm_text").distinct().limit(few + 1).collect()]
     low = F.lower(collapsed(F.col("text")))
-    at = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
-    stretch = lambda c, n: F.transform(c, lambda _, i: F.concat(*[at(c, i + k) for k in range(n)]))
-    # needles shorter than a gram meet each gram that begins with them
-    prefixes = let(F.split(low, ""), lambda c: F.array_distinct(F.concat(stretch(c, 3), stretch(c, 2), c)))
-    keyed = needles.where(F.length("norm_text") > 0).withColumn("_gram", F.substring("norm_text", 1, 3))
-    met = pages.select(*PAGE, F.explode(prefixes).alias("_gram")).join(keyed, "_gram").select(*PAGE, "norm_text", "rule_label")
-    found = met.join(pages, list(PAGE)).withColumn("_at", F.explode(occurrences(collapsed(F.col("text")), F.col("norm_text"))))
-    start = raw_offset(F.col("text"), F.col("_at"))
-    stop = raw_offset(F.col("text"), F.col("_at") + F.length("norm_text") - 1) + 1
-    return found.select(*PAGE, "norm_text", "rule_label", start.alias("char_start"), stop.alias("char_end"), "text")
+    if len(held) <= few:
+        tried = F.array(*map(F.lit, held)).cast("array<string>")
+        met = pages.select(*PAGE, "text", F.explode(let(low, lambda x: F.filter(tried, lambda n: F.contains(x, n)))).alias("norm_text"))
+        found = met.join(F.broadcast(keyed), "norm_text")  # at most ``few`` texts
+    else:
+        at = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
+        stretch = lambda c, n: F.transform(c, lambda _, i: F.concat(*[at(c, i + k) for k in range(n)]))
+        # needles shorter than a gram meet each gram that begins with them
+        prefixes = let(F.split(low, ""), lambda c: F.array_distinct(F.concat(stretch(c, 3), stretch(c, 2), c)))
+        met = pages.select(*PAGE, F.explode(prefixes).alias("_gram")).join(keyed.withColumn("_gram", F.substring("norm_text", 1, 3)), "_gram").select(*PAGE, "norm_text", "rule_label")
+        found = met.join(pages, list(PAGE))
+    placed = found.withColumn("_stretches", stretches(F.col("text"))).withColumn("_at", F.explode(occurrences(collapsed(F.col("text")), F.col("norm_text"))))
+    start = raw_offset(F.col("_stretches"), F.col("_at"))
+    stop = raw_offset(F.col("_stretches"), F.col("_at") + F.length("norm_text") - 1) + 1
+    return placed.select(*PAGE, "norm_text", "rule_label", start.alias("char_start"), stop.alias("char_end"), "text")
 
 
 def forced_spans(pages: DataFrame, spans: DataFrame, rules: DataFrame) -> DataFrame:

@@ -43,10 +43,11 @@ def change_entities(documents: DataFrame, norm_text: str, label: str | None) ->
     """Removes (label None) or relabels a text in every document's JSON entities.
 
     Only documents that change come back: id, the new JSON and count. The JSON
-    is parsed to an array and changed in place; nothing is exploded.
+    is parsed to an array and changed in place; nothing is exploded. Texts are
+    compared after parsing, because JSON may write a letter in several ways.
     """
     hit = lambda e: normalize(e["text"]) == norm_text
-    parsed = documents.where(F.contains(F.lower("entities_json"), F.lit(norm_text.split(" ")[0]))).withColumn("_old", F.from_json("entities_json", ENTITIES))
+    parsed = documents.withColumn("_old", F.from_json("entities_json", ENTITIES))
     if label is None:
         new = F.filter("_old", lambda e: ~hit(e))
     else:

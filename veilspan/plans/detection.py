@@ -138,7 +138,11 @@ def det13_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def det14_checksum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    number = F.lpad(((F.col("o_orderkey") * 7919 + 100000007) % 1000000000).cast("string"), 9, "0")
+    """Numbers of 8 to 15 digits, every second one in groups."""
+    k = F.col("o_orderkey")
+    digits = F.concat(F.lpad(((k * 7919 + 100000007) % 1000000000).cast("string"), 9, "0"), F.lit("00074123"))
+    number = F.substring(digits, F.lit(1), (8 + k % 8).cast("int"))
+    number = F.when(k % 2 == 0, F.concat_ws(" ", F.substring(number, 1, 3), F.substring(number, F.lit(4), F.length(number)))).otherwise(number)
     return read(spark, sf_dir, "orders").select("o_orderkey", number.alias("number"), siren_checksum(number).alias("valid"))
 
 
@@ -255,7 +259,7 @@ select k as doc_id, p::int as page_index, concat_ws('-', 'region', p, i, floor(x
     "src13_state": "select distinct user_id, event_type as key, length(event_type)::varchar as value from events",
     **{i: _CONTRACTS + f"select doc_id, n, text, char_start, char_end from ({duck.detector(d)})" for i, d in zip(_IDS, op.DETECTORS, strict=True)},
     "det13_spans": duck.with_ctes(duck.CONTRACTS, duck.detected()) + "select * from raw",
-    "det14_checksum": f"select o_orderkey, text as number, {duck.LUHN} as valid from (select o_orderkey, lpad(((o_orderkey * 7919 + 100000007) % 1000000000)::varchar, 9, '0') as text from orders)",
+    "det14_checksum": f"select o_orderkey, text as number, case when length({duck.DIGITS}) in (9, 14) then {duck.LUHN} else false end as valid from (select o_orderkey, case when o_orderkey % 2 = 0 then d[1:3] || ' ' || d[4:] else d end as text from (select o_orderkey, (lpad(((o_orderkey * 7919 + 100000007) % 1000000000)::varchar, 9, '0') || '00074123')[1:8 + o_orderkey % 8] as d from orders))",
     "det15_excluded": rf"""select o_orderkey, text, regexp_matches(t, '(?i)[A-F0-9]{{8}}-[A-F0-9]{{4}}-[0-9A-F]{{4}}-[A-F0-9]{{4}}-[A-F0-9]{{12}}') or regexp_matches(t, '(?i)\b(docusign|envelope|signature|id:|ref:|reference)\b')
   or o_orderkey % 2 = 0 and (regexp_matches(t, '^[A-Z]\.[0-9]{{5,7}}$') or regexp_matches(t, '^[0-9]{{3}}\s+[0-9]{{3}}\s+[0-9]{{3}}$')) or o_orderkey % 2 = 1 and (regexp_matches(t, '^[0-9]+$') or regexp_matches(t, '^[A-Z0-9-]{{8,}}$')) as excluded
 from (select o_orderkey, {_K} as text, trim({_K}) as t from orders)""",

@@ -16,10 +16,13 @@ from .duck import NAMES_PATTERN
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new folder under the shared one that ``spark.checkpoint.dir`` names; a temporary one only where the session names none (tests)."""
+    """A new folder under the shared one that ``spark.checkpoint.dir`` names; a local session without that setting takes a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilspan-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veilspan-"))
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 

@@ -14,9 +14,11 @@ from .inputs import names
 
 def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contracts' raw spans, with a model's copies of some and repeats of others."""
-    raw = det.detect(contract_pages(spark, sf_dir))
-    more = raw.where("ord % 3 = 0").select("doc_id", "page_index", (F.col("ord") + 100).alias("ord"), F.when(F.col("ord") % 2 == 0, F.col("label")).otherwise("PERSON").alias("label"), "text", "norm_text", "confidence", F.lit("ner").alias("source"), "char_start", "char_end")
-    return raw.unionByName(more)
+    # the copies come from one detection
+    copies = F.when(F.col("ord") % 3 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    raw = det.detect(contract_pages(spark, sf_dir)).withColumn("copy", F.explode(copies))
+    label = F.when(F.col("copy") & (F.col("ord") % 2 != 0), "PERSON").otherwise(F.col("label"))
+    return raw.select("doc_id", "page_index", F.when(F.col("copy"), F.col("ord") + 100).otherwise(F.col("ord")).alias("ord"), label.alias("label"), "text", "norm_text", "confidence", F.when(F.col("copy"), "ner").otherwise(F.col("source")).alias("source"), "char_start", "char_end")
 
 
 _RAW = duck.detected() + ",\nboth_raw as (select * from raw union all select doc_id, page_index, ord + 100, case when ord % 2 = 0 then label else 'PERSON' end, text, norm_text, confidence, 'ner', char_start, char_end from raw where ord % 3 = 0)"

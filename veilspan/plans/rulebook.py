@@ -31,7 +31,7 @@ def rul03_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = document_pages(spark, sf_dir)
     c = op.collapsed(F.col("text"))
     middle = F.floor(F.length(c) / 2).cast("int")
-    return p.select("doc_id", c.alias("collapsed"), op.raw_offset(F.col("text"), middle).alias("middle"))
+    return p.select("doc_id", c.alias("collapsed"), op.raw_offset(op.stretches(F.col("text")), middle).alias("middle"))
 
 
 def rul04_forced(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,10 +58,10 @@ def rul06_flexible(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rul08_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A match's bounds without outer marks and trailing punctuation, as expressions."""
-    m = F.concat(F.lit("**"), "c_name", F.when(F.col("c_custkey") % 2 == 0, "*_,.").otherwise(""))
-    start = F.length(m) - F.length(F.regexp_replace(m, f"^{prop.MARKDOWN}+", ""))
-    stop = F.length(F.regexp_replace(m, f"{prop.TRAILING}+$", ""))
+    """A match's bounds without outer marks and trailing punctuation; every third has too little left and is taken whole."""
+    k = F.col("c_custkey")
+    m = F.when(k % 3 == 2, F.concat(F.lit("**_ab_,."))).otherwise(F.concat(F.lit("**"), "c_name", F.when(k % 3 == 0, "*_,.").otherwise("")))
+    start, stop = prop.tight_bounds(m, F.col("c_name"))
     return read(spark, sf_dir, "customer").select("c_custkey", start.alias("start"), stop.alias("stop"))
 
 
@@ -257,9 +257,11 @@ _R = duck.with_ctes(duck.CONVERSATIONS, duck.NAMES, f"rules as ({RULES_SQL})")
 _DECIDED = "decided as (select n.* replace (case when n.norm_text like 'b%' or n.norm_text like 'a%' then 'IDENTIFIER' else n.label end as label) from names n where n.norm_text not like 'a%')"
 _NORM_TEXT = duck.norm("text")
 # places of a needle in collapsed text, brought back to raw text by counting the white space before them
-_PLACES = r"""places as (select doc_id, page_index, text, c, i, f.norm_text, f.label from (select *, regexp_replace(text, '\s+', ' ', 'g') as c from convs), (select * from rules where kind = 'force') f, generate_series(1, length(c)) as g(i) where lower(c[i:i + length(f.norm_text) - 1]) = f.norm_text),
-chars as (select doc_id, page_index, i, row_number() over (partition by doc_id, page_index order by i) as k from (select doc_id, page_index, text, unnest(generate_series(1, length(text))) as i from convs) where not (regexp_matches(text[i:i], '\s') and i > 1 and regexp_matches(text[i - 1:i - 1], '\s'))),
-found as (select p.doc_id, p.page_index, p.norm_text, p.label, p.text, a.i - 1 as char_start, b.i as char_end from places p join chars a on a.doc_id = p.doc_id and a.page_index = p.page_index and a.k = p.i join chars b on b.doc_id = p.doc_id and b.page_index = p.page_index and b.k = p.i + length(p.norm_text) - 1)"""
+_PLACES = r"""paged as materialized (select *, lower(regexp_replace(text, '\s+', ' ', 'g')) as c from convs),
+held as materialized (select doc_id, page_index, c, f.norm_text, f.label from paged join (select * from rules where kind = 'force') f on contains(c, f.norm_text)),
+places as (select doc_id, page_index, norm_text, label, i from (select *, unnest(generate_series(1, length(c))) as i from held) where c[i:i + length(norm_text) - 1] = norm_text),
+chars as materialized (select doc_id, page_index, i, row_number() over (partition by doc_id, page_index order by i) as k from (select doc_id, page_index, text, unnest(generate_series(1, length(text))) as i from convs where (doc_id, page_index) in (select (doc_id, page_index) from held)) where not (text[i:i] in (' ', chr(9), chr(10), chr(11), chr(12), chr(13)) and i > 1 and text[i - 1:i - 1] in (' ', chr(9), chr(10), chr(11), chr(12), chr(13)))),
+found as (select p.doc_id, p.page_index, p.norm_text, p.label, t.text, a.i - 1 as char_start, b.i as char_end from places p join convs t using (doc_id, page_index) join chars a on a.doc_id = p.doc_id and a.page_index = p.page_index and a.k = p.i join chars b on b.doc_id = p.doc_id and b.page_index = p.page_index and b.k = p.i + length(p.norm_text) - 1)"""
 _FUZZY = r"regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(text)), '[^A-Za-z0-9_\s]', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 _SIM = "(case when c.f = x[1].f then 1 else 1 - levenshtein(c.f, x[1].f) / greatest(length(c.f), length(x[1].f), 1)::double end >= 0.95::double)"
 
@@ -296,7 +298,7 @@ ORACLES = {
     "rul05_find": _R + ", " + _PLACES + " select doc_id, page_index, norm_text, char_start::int as char_start, char_end::int as char_end from found",
     "rul06_exact": duck.with_ctes(duck.DOCUMENTS) + "select doc_id, (i - 1)::int as start from (select doc_id, text, unnest(generate_series(1, length(text) - 2)) as i from docs) where lower(text[i:i + 2]) = 'ene'",
     "rul06_flexible": "select c_custkey as doc_id, case when c_custkey % 2 = 0 then 25 + length(c_custkey::varchar) else 5 end::int as char_start, case when c_custkey % 2 = 0 then 32 + 2 * length(c_custkey::varchar) else 17 + length(c_custkey::varchar) end::int as char_end from customer",
-    "rul08_tight": "select c_custkey, 2 as start, (2 + length(c_name))::int as stop from customer",
+    "rul08_tight": "select c_custkey, case when c_custkey % 3 = 2 and length(c_name) > 4 then 0 when c_custkey % 3 = 2 then 3 else 2 end as start, case when c_custkey % 3 = 2 then (case when length(c_name) > 4 then 8 else 5 end) else 2 + length(c_name) end::int as stop from customer",
     "rul09_plain": duck.with_ctes(duck.DOCUMENTS) + r"select doc_id, regexp_replace(text, '[*_~`#\[\](){}|\\<>]', '', 'g') as plain from docs",
     "rul10_clusters": _R + ", " + _clusters("names") + " select doc_id, cluster::int as cluster, text, norm_text, array_to_string(variants, '|') as variants, label, confidence, source from clusters",
     "rul11_propagate": _R + ", even as (select * from names where page_index % 2 = 0), " + _propagated("even", "convs") + f" select doc_id, page_index, label, text, {_NORM_TEXT} as norm_text, confidence, source, char_start, char_end from taken",

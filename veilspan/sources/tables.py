@@ -10,19 +10,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def by_document(pages: DataFrame) -> DataFrame:
-    """Pages dealt by document, once: later groupings within a document, or a document's page, need no further exchange.
+def spread(df: DataFrame) -> DataFrame:
+    """A stored table as it is; a small one that comes in few files is dealt to all cores by its first column.
 
-    Also spreads the regular expressions' work where a small table comes in few files.
+    Small means less than one scan partition for each core, so what is moved is
+    bounded by the cluster and a large table, which Spark splits itself, is never moved.
     """
-    spark = pages.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return pages.repartition(parts, "doc_id")
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= cores * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes() or 2 * len(df.inputFiles()) >= cores:
+        return df
+    return df.repartition(cores, df.columns[0])
 
 
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Single-page documents."""
-    return read(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("page_index"), F.coalesce("text", F.lit("")).alias("text"))
+    return spread(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.lit(0).alias("page_index"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,14 +51,15 @@ CONTRACT = r"""
 
 def contract_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contracts rendered from orders, customers and suppliers: one page each, with every kind of identifier."""
-    orders, customers = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    orders = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    customers = read(spark, sf_dir, "customer")
     suppliers = read(spark, sf_dir, "supplier").where("s_suppkey < 10")  # the ten parties that contracts name
     met = (
         orders.join(customers, orders["o_custkey"] == customers["c_custkey"])
         .join(F.broadcast(suppliers), F.col("s_suppkey") == F.col("o_orderkey") % 10)
         .select(F.col("o_orderkey").alias("k"), F.col("c_custkey").alias("c"), "c_name", "s_name", F.date_format("o_orderdate", "dd/MM/yyyy").alias("d"))
     )
-    return by_document(met.select(F.col("k").alias("doc_id"), "k", "c", "c_name", "s_name", "d")).select("doc_id", F.lit(0).alias("page_index"), F.expr(CONTRACT).alias("text"))
+    return met.select(F.col("k").alias("doc_id"), F.lit(0).alias("page_index"), F.expr(CONTRACT).alias("text"))
 
 
 def tokens(pages: DataFrame) -> DataFrame:
