@@ -74,14 +74,14 @@ def rul10_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rul11_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = prop.propagate(names(spark, sf_dir).where("page_index % 2 = 0"), conversation_pages(spark, sf_dir), flexible=False)
+    found = prop.propagate(names(spark, sf_dir), conversation_pages(spark, sf_dir))
     return found.withColumn("confidence", F.round("confidence", 6))
 
 
 def rul12_new_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What first pages' names bring to second pages under the rules."""
     pages = conversation_pages(spark, sf_dir).where("page_index = 1")
-    found = prop.propagate_to_page(names(spark, sf_dir).where("page_index = 0"), pages, rules(spark, sf_dir), flexible=False)
+    found = prop.propagate_to_page(names(spark, sf_dir).where("page_index = 0"), pages, rules(spark, sf_dir))
     return found.withColumn("confidence", F.round("confidence", 6)).select("doc_id", "page_index", "label", "text", "norm_text", "confidence", "char_start", "char_end")
 
 
@@ -148,16 +148,15 @@ def _name_detector(pages: DataFrame) -> DataFrame:
     return found.select("doc_id", "page_index", label.alias("label"), F.col("m.text").alias("text"), normalize(F.col("m.text")).alias("norm_text"), (F.lit(0.5) + (n % 5) / 10.0).alias("confidence"), F.lit("ner").alias("source"), F.col("m.start").alias("char_start"), F.col("m.stop").alias("char_end"))
 
 
-def _feed(spark: SparkSession, sf_dir: str, base: str, indexes: list[int]) -> None:
-    """Adds a file of pages for each page index."""
-    for index in indexes:
-        conversation_pages(spark, sf_dir).where(F.col("page_index") == index).coalesce(1).write.mode("append").parquet(f"{base}/in")
+def _feed(spark: SparkSession, sf_dir: str, base: str, index: int) -> None:
+    """Adds the pages of one index, in as many files as Spark makes."""
+    conversation_pages(spark, sf_dir).where(F.col("page_index") == index).write.mode("append").parquet(f"{base}/in")
 
 
-def _run(spark: SparkSession, sf_dir: str, base: str, rule_source=None) -> None:
-    """Works off what has been fed, a file at a time, from where the checkpoint is."""
-    incoming = spark.readStream.schema("doc_id bigint, page_index int, text string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    progressive.start(incoming, f"{base}/out", f"{base}/checkpoint", _name_detector, rule_source or (lambda: rules(spark, sf_dir))).awaitTermination()
+def _run(spark: SparkSession, sf_dir: str, base: str, rule_source=None, checkpoint: str = "checkpoint", out: str = "out") -> None:
+    """Works off what has been fed, as one batch, from where the checkpoint is."""
+    incoming = spark.readStream.schema("doc_id bigint, page_index int, text string").parquet(f"{base}/in")
+    progressive.start(incoming, f"{base}/{out}", f"{base}/{checkpoint}", _name_detector, rule_source or (lambda: rules(spark, sf_dir))).awaitTermination()
 
 
 def _page_indexes(spark: SparkSession, sf_dir: str) -> list[int]:
@@ -165,10 +164,11 @@ def _page_indexes(spark: SparkSession, sf_dir: str) -> list[int]:
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str]:
-    """Runs the stream over conversations, a file for each page index; returns all pages and the output's path."""
+    """Runs the stream over conversations, a batch for each page index; returns all pages and the output's path."""
     base = shared_path(spark)
-    _feed(spark, sf_dir, base, _page_indexes(spark, sf_dir))
-    _run(spark, sf_dir, base)
+    for index in _page_indexes(spark, sf_dir):
+        _feed(spark, sf_dir, base, index)
+        _run(spark, sf_dir, base)
     return conversation_pages(spark, sf_dir), f"{base}/out"
 
 
@@ -188,11 +188,12 @@ def str02_close(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def str03_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stream stopped after half of the pages and resumed from its checkpoint: the same spans."""
-    base, indexes = shared_path(spark), _page_indexes(spark, sf_dir)
-    for part in (indexes[: len(indexes) // 2], indexes[len(indexes) // 2 :]):
-        _feed(spark, sf_dir, base, part)
+    """The stream resumed from its checkpoint for every page, and once more where nothing new has come: the same spans."""
+    base = shared_path(spark)
+    for index in _page_indexes(spark, sf_dir):
+        _feed(spark, sf_dir, base, index)
         _run(spark, sf_dir, base)
+    _run(spark, sf_dir, base)
     return _streamed(spark, f"{base}/out")
 
 
@@ -209,18 +210,19 @@ def str05_changing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         calls.append(1)
         return rules(spark, sf_dir).where(F.lit(len(calls) > 1))
 
-    _feed(spark, sf_dir, base, _page_indexes(spark, sf_dir))
-    _run(spark, sf_dir, base, now)
+    for index in _page_indexes(spark, sf_dir):
+        _feed(spark, sf_dir, base, index)
+        _run(spark, sf_dir, base, now)
     return spark.read.parquet(f"{base}/out").groupBy(F.col("batch").cast("int").alias("batch")).agg(F.count_if(F.col("norm_text").startswith("a")).alias("suppressible"))
 
 
 def str06_repeated_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A batch that runs again replaces its own spans: a second stream without a checkpoint over the same output changes nothing."""
-    base, indexes = shared_path(spark), _page_indexes(spark, sf_dir)
-    _feed(spark, sf_dir, base, indexes[:2])
+    base = shared_path(spark)
     for attempt in range(2):
-        incoming = spark.readStream.schema("doc_id bigint, page_index int, text string").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-        progressive.start(incoming, f"{base}/out", f"{base}/checkpoint{attempt}", _name_detector, lambda: rules(spark, sf_dir)).awaitTermination()
+        for index in _page_indexes(spark, sf_dir):
+            _feed(spark, sf_dir, f"{base}/{attempt}", index)
+            _run(spark, sf_dir, f"{base}/{attempt}", out="../out")
     return _streamed(spark, f"{base}/out")
 
 
@@ -233,7 +235,7 @@ def rul13_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Second pages' own spans and those that first pages bring: places with more than one span before deduplication, and none after."""
     n, pages = names(spark, sf_dir), conversation_pages(spark, sf_dir).where("page_index = 1")
     none = rules(spark, sf_dir).limit(0)
-    brought = prop.propagate_to_page(n.where("page_index = 0"), pages, none, flexible=False)
+    brought = prop.propagate_to_page(n.where("page_index = 0"), pages, none)
     both = n.where("page_index = 1").drop("ord").unionByName(brought)
     places = both.groupBy("doc_id", "char_start", "char_end").agg(F.count(F.lit(1)).alias("k"))
     return places.groupBy("doc_id").agg(F.count_if(F.col("k") > 1).alias("repeated"), F.count(F.lit(1)).alias("places"))
@@ -301,7 +303,7 @@ ORACLES = {
     "rul08_tight": "select c_custkey, case when c_custkey % 3 = 2 and length(c_name) > 4 then 0 when c_custkey % 3 = 2 then 3 else 2 end as start, case when c_custkey % 3 = 2 then (case when length(c_name) > 4 then 8 else 5 end) else 2 + length(c_name) end::int as stop from customer",
     "rul09_plain": duck.with_ctes(duck.DOCUMENTS) + r"select doc_id, regexp_replace(text, '[*_~`#\[\](){}|\\<>]', '', 'g') as plain from docs",
     "rul10_clusters": _R + ", " + _clusters("names") + " select doc_id, cluster::int as cluster, text, norm_text, array_to_string(variants, '|') as variants, label, confidence, source from clusters",
-    "rul11_propagate": _R + ", even as (select * from names where page_index % 2 = 0), " + _propagated("even", "convs") + f" select doc_id, page_index, label, text, {_NORM_TEXT} as norm_text, confidence, source, char_start, char_end from taken",
+    "rul11_propagate": _R + ", " + _propagated("names", "convs") + f" select doc_id, page_index, label, text, {_NORM_TEXT} as norm_text, confidence, source, char_start, char_end from taken",
     "rul12_new_page": _R + ", firsts as (select * from names where page_index = 0), seconds as (select * from convs where page_index = 1), " + _propagated("firsts", "seconds", f"and not exists (select 1 from rules r where r.kind = 'suppress' and r.norm_text = {duck.norm('s.found')})") + f", named as (select *, {_NORM_TEXT} as norm_text from taken) select doc_id, page_index, case when exists (select 1 from rules r where r.kind = 'override' and r.norm_text = named.norm_text) then 'IDENTIFIER' else label end as label, text, norm_text, confidence, char_start, char_end from named",
     "rul14_add_everywhere": _R + "select doc_id, page_index, 'PERSON' as label, text[i:i + 5] as text, (i - 1)::int as char_start, (i + 5)::int as char_end from (select *, unnest(generate_series(1, length(text) - 5)) as i from convs) c where lower(text[i:i + 5]) = 'the on' and not exists (select 1 from names n where n.doc_id = c.doc_id and n.page_index = c.page_index and n.char_start = i - 1 and n.char_end = i + 5)",
     "rul15_corpus_add": _R + ", new as (select doc_id, count(*) as added from (select *, unnest(generate_series(1, length(text) - 1)) as i from convs) where lower(text[i:i + 1]) = 'ti' group by 1), old as (select doc_id, count(*) as had from names group by 1) select doc_id, coalesce(had, 0)::bigint as had, coalesce(added, 0)::bigint as added from old full join new using (doc_id)",

@@ -181,7 +181,7 @@ def sql05_active(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql06_find(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _entity_log(spark, sf_dir).where((F.col("normalized_text") == "texte 4") & (F.col("user_id") < 50)).select("id", "user_id", "label")
+    return _entity_log(spark, sf_dir).where(F.col("normalized_text") == "texte 4").select("id", "user_id", "label")
 
 
 def sql07_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,7 +269,7 @@ ORACLES = {
     "sql04_relabel": _changed(f"""'[' || string_agg('{{"text":" ' || o_orderpriority || '","label":"' || case o_orderpriority when '1-URGENT' then 'IDENTIFIER' else {_STATUS} end || '"}}', ',' order by o_orderkey) || ']'""").replace("{count}", "count(*)::bigint"),
     "sql04_remove": _changed(f"""'[' || string_agg('{{"text":" ' || o_orderpriority || '","label":"' || {_STATUS} || '"}}', ',' order by o_orderkey) filter (where o_orderpriority <> '1-URGENT') || ']'""").replace("{count}", "count(*) filter (where o_orderpriority <> '1-URGENT')::bigint"),
     "sql05_active": _L + "select * from elog where user_id = 5 and is_active = 1",
-    "sql06_find": _L + "select id, user_id, label from elog where normalized_text = 'texte 4' and user_id < 50",
+    "sql06_find": _L + "select id, user_id, label from elog where normalized_text = 'texte 4'",
     "sql07_upsert": _L + "select coalesce(e.id, c.seq) as id, user_id, normalized_text, coalesce(c.label, e.label) as label, coalesce(c.original_text, e.original_text) as original_text, case when c.seq is not null then 1 else e.is_active end as is_active, coalesce(e.created_at, make_timestamp(c.seq * 1000000)) as created_at from elog e full join changes c using (user_id, normalized_text)",
     "sql08_bulk": _L + "select seq, user_id, normalized_text, label from changes",
     "sql09_update": _L + "select id, case when id % 6 = 0 then 'ADDRESS' else label end as label, case when id % 3 = 0 then 0 else is_active end as is_active from elog",

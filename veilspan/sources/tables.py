@@ -31,7 +31,7 @@ def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Multi-page documents: a conversation's turns are its pages."""
-    return read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_index"), F.coalesce("text", F.lit("")).alias("text"))
+    return spread(read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")).select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_index"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 #: A contract's text from (k: order key, c: customer key, c_name, s_name, d: date in words); the same SQL in either engine.

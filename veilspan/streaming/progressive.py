@@ -27,11 +27,13 @@ def numbered(spans: DataFrame) -> DataFrame:
     return with_order(spans, "page_index", "char_start", "char_end", "label")
 
 
-def process_step(new_pages: DataFrame, earlier: DataFrame, rules: DataFrame, detector: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The spans of new pages: detected ones after the rules, and those that earlier pages' texts bring."""
+def process_step(new_pages: DataFrame, earlier: DataFrame, rules: DataFrame, detector: Callable[[DataFrame], DataFrame], *, flexible: bool = True) -> DataFrame:
+    """The spans of new pages: detected ones after the rules, and those that the texts of earlier pages of their documents bring."""
     own = apply_decisions(detector(new_pages), rules).select(*_FIELDS)
+    # a document's spans matter to its own pages only: work follows the batch, not the stream's length
+    earlier = earlier.select(*_FIELDS).join(new_pages.select("doc_id").distinct(), "doc_id", "left_semi")
     known = numbered(earlier.select(*_FIELDS).unionByName(own))
-    brought = propagate_to_page(known, new_pages, rules, flexible=False)
+    brought = propagate_to_page(known, new_pages, rules, flexible=flexible)
     return own.unionByName(brought.select(*_FIELDS))
 
 
@@ -47,10 +49,10 @@ def start(pages: DataFrame, out: str, checkpoint: str, detector: Callable[[DataF
     return pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def close(spark: SparkSession, pages: DataFrame, out: str) -> DataFrame:
+def close(spark: SparkSession, pages: DataFrame, out: str, *, flexible: bool = True) -> DataFrame:
     """All spans of the stream, and those that the full pass over all pages adds."""
     spans = numbered(spark.read.schema(STEP + ", batch int").parquet(out).select(*_FIELDS))
-    return spans.select(*_FIELDS).unionByName(propagate(spans, pages, flexible=False).select(*_FIELDS))
+    return spans.select(*_FIELDS).unionByName(propagate(spans, pages, flexible=flexible).select(*_FIELDS))
 
 
 def page_status(pages: DataFrame, spans: DataFrame, failed: DataFrame) -> DataFrame:
