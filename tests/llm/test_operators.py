@@ -160,6 +160,28 @@ def test_language_of_awkward_texts(awkward, empty, clashing):
     assert langid.identify(empty).count() == 0
 
 
+def test_tables_equal_a_plain_convolution(small):
+    """Pooled responses through byte-pair tables against the convolution written out."""
+    rows = [r for r in small.where("text is not null and lang is not null").limit(30).collect()]
+    net = langid.train([r.text[:400] for r in rows], [r.lang for r in rows])
+    windows = np.concatenate([langid.windows_of(r.text[:600]) for r in rows[:6]])
+    x = net.embedding[windows]
+    plain = []
+    places = langid.WINDOW - max(langid.WIDTHS) + 1
+    for w in net.filters:
+        responses = np.stack([np.einsum("nwe,wef->nf", x[:, at : at + len(w)], w) for at in range(places)], axis=1)
+        plain.append(responses.max(axis=1))
+    assert np.allclose(np.maximum(np.concatenate(plain, axis=1) + net.bias, 0), net.pooled(windows, net.tables()), atol=1e-3)
+
+
+def test_every_labelled_language_is_learned(spark):
+    """Hundreds of labels: none is left out of the sample."""
+    df = spark.createDataFrame([(k, f"text of language number {k % 700}", f"l{k % 700}") for k in range(2800)], "doc_id long, text string, lang string")
+    texts, labels = langid.training_sample(df)
+    learnable = {r.lang for r in df.where(~langid.held_out(F.col("doc_id"))).select("lang").distinct().collect()}
+    assert set(labels) == learnable and len(texts) <= langid.SAMPLE_TOTAL
+
+
 def test_prediction_reads_only_the_text(small):
     other = small.withColumn("doc_id", F.col("doc_id") + 0).withColumn("source", F.lit("z"))
     net = langid.train(["the cat and the dog " * 20] * 20 + ["der hund und die katze " * 20] * 20, ["en"] * 20 + ["de"] * 20)
@@ -481,7 +503,7 @@ def test_fingerprints_of_next_and_edited(small, awkward):
         expected = Counter()
         for k, r in enumerate(rows):
             after = texts[(k + 1) % len(rows)]
-            expected[(r.doc_id, len(texts[k]), hashlib.sha256(syncmers.edited(texts[k], after).encode()).hexdigest(), syncmers.to_string(*syncmers.anchors(texts[k])))] += 1
+            expected[(r.doc_id, len(texts[k]), hashlib.sha256(syncmers.edited(texts[k], after).encode()).hexdigest(), syncmers.to_string(syncmers.anchors(texts[k])))] += 1
         got = syncmers.compare_with_next(df, range_rows=7).collect()
         assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint) for r in got) == expected
         assert all(0 <= x <= 1 for r in got for x in (r.near_edited, r.near_next))
@@ -489,11 +511,78 @@ def test_fingerprints_of_next_and_edited(small, awkward):
         assert not long or np.mean([r.near_edited > r.near_next for r in long]) > 0.95
 
 
+def plain_syncmers(text):
+    """Closed syncmers by their definition, one k-mer at a time: {hash: first place}."""
+    mask = (1 << 64) - 1
+
+    def inner(codes):
+        h = 0
+        for c in codes:
+            h = ((h ^ c) * 0x9FB21C651E98DF25) & mask
+            h ^= h >> 29
+        h = (h * 0xD6E8FEB86659FD93) & mask
+        return h ^ (h >> 32)
+
+    codes, out = [ord(c) for c in text], {}
+    if len(codes) < syncmers.K:
+        return {inner(codes) >> 32: 0} if codes else {}
+    for i in range(len(codes) - syncmers.K + 1):
+        hashes = [inner(codes[i + j : i + j + syncmers.S]) for j in range(syncmers.K - syncmers.S + 1)]
+        if min(hashes) in (hashes[0], hashes[-1]):
+            h = 0
+            for k in range(0, syncmers.K - syncmers.S + 1, syncmers.S // 2):
+                h = ((h ^ hashes[k]) * 0xA24BAED4963EE407) & mask
+                h ^= h >> 31
+            h = ((h ^ hashes[-1]) * 0x9FB21C651E98DF25) & mask
+            out.setdefault(h >> 32, i)
+    return out
+
+
+def test_anchors_equal_plain_syncmers(small):
+    rng = random.Random(4)
+    texts = [r.text or "" for r in small.limit(25).collect()] + ["", "a", "short text", "x" * 40, "é😀" * 30, "".join(rng.choice("ab ") for _ in range(500))]
+    for text in texts:
+        plain = plain_syncmers(text[:6000])
+        hashes, places = syncmers.syncmers(text[:6000])
+        assert dict(zip(hashes.tolist(), places.tolist(), strict=True)) == plain
+        f = syncmers.anchors(text[:6000])
+        kept = {h for h in plain if h < f.complete}
+        assert set(f.hashes.tolist()) == kept and (len(kept) == len(plain) or len(kept) >= syncmers.ANCHORS)
+
+
+def test_likeness_of_fingerprints_is_near_that_of_all_syncmers(spark):
+    """The sketch against the exact way (fraction 1), over edits of all sizes, insertions included."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    errors = []
+    for n in (100, 1000, 6000):
+        base = [word() for _ in range(n)]
+        for share in (0.0, 0.02, 0.1, 0.3, 0.6, 1.0):
+            other = [word() if rng.random() < share else w for w in base]
+            other[n // 2 : n // 2] = [word() for _ in range(n // 10)]
+            a, b = " ".join(base), " ".join(other)
+            exact = syncmers.likeness(syncmers.anchors(a, 1, 1), syncmers.anchors(b, 1, 1))
+            errors.append(abs(syncmers.likeness(syncmers.anchors(a), syncmers.anchors(b)) - exact))
+    assert max(errors) < 0.15 and np.mean(errors) < 0.05
+    one = spark.createDataFrame([(1, "x " * 900), (2, "y z" * 900)], "doc_id long, text string")
+    assert {len(r.fingerprint.split()) for r in syncmers.fingerprint_documents(one, fraction=1).collect()} == {1 + len(plain_syncmers(t)) for t in ("x " * 900, "y z" * 900)}
+
+
+def test_local_edits_of_long_texts_show():
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefghij ") for _ in range(120_000))
+    passage = text[50_000:56_000]
+    other = "".join(rng.choice("abcdefghij ") for _ in range(120_000))
+    assert syncmers.likeness(syncmers.anchors(text), syncmers.anchors(other[:60_000] + passage + other[60_000:])) > 0.01
+    assert syncmers.likeness(syncmers.anchors(text), syncmers.anchors(text[:50_000] + text[56_000:])) < 0.99
+    assert syncmers.likeness(syncmers.anchors(text), syncmers.anchors(other)) < 0.001
+
+
 def test_syncmers_do_not_depend_on_context():
     rng = random.Random(7)
     body = "".join(rng.choice("abcdefgh ") for _ in range(400))
     a, b = syncmers.anchors(body, 10**6), syncmers.anchors("zz" * 20 + body, 10**6)
-    assert set(a[0].tolist()) <= set(b[0].tolist())
+    assert set(a.hashes.tolist()) <= set(b.hashes.tolist())
     assert syncmers.likeness(syncmers.anchors(body), syncmers.anchors(body)) == 1.0
     assert syncmers.likeness(syncmers.anchors(""), syncmers.anchors("")) == 1.0 and syncmers.likeness(syncmers.anchors(""), syncmers.anchors(body)) == 0.0
 
@@ -660,6 +749,37 @@ def test_ratios_equal_counts(spark, small):
         assert abs(ratio - got[k]) < 1e-9
 
 
+def test_kept_equals_a_plain_verdict(spark, small):
+    """The whole verdict, ratios and threshold written out; the quantiles are exact on tables of this size."""
+    import math
+
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    rows, buckets = small.select("doc_id", "text").collect(), 1 << 10
+    hashed = {}
+    grams = lambda w: [(x,) for x in w] + list(zip(w, w[1:], strict=False))
+    every = sorted({g for r in rows for g in grams(words(r.text))})
+    frame = spark.createDataFrame([(list(g),) for g in every], "g array<string>")
+    for r in frame.select("g", F.when(F.size("g") == 1, F.pmod(F.xxhash64(F.get("g", 0)), F.lit(buckets))).otherwise(F.pmod(F.xxhash64(F.get("g", 0), F.get("g", 1)), F.lit(buckets))).alias("b")).collect():
+        hashed[tuple(r.g)] = r.b
+    trusted = {r.doc_id for r in labels.where("quality = 1").collect()}
+    apart = {r.doc_id for r in labels.where(F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(quality.FOLDS)) == 0).collect()}
+    raw, good = Counter(), Counter()
+    for r in rows:
+        for g in grams(words(r.text)):
+            raw[hashed[g]] += 1
+            good[hashed[g]] += r.doc_id in trusted - apart
+    share = lambda c, b: (c[b] + quality.SMOOTHING) / (sum(c.values()) + quality.SMOOTHING * buckets)
+    ratio = {b: math.log(share(good, b) / share(raw, b)) for b in range(buckets)}
+    llr = [np.mean([ratio[hashed[g]] for g in grams(words(r.text))]) if words(r.text) else None for r in rows]
+    held = sorted(v for r, v in zip(rows, llr, strict=True) if r.doc_id in trusted & apart and len(words(r.text)) >= quality.MIN_WORDS)
+    quantile = lambda q: held[max(0, math.ceil(q * len(held)) - 1)]
+    threshold = quantile(quality.TRUSTED_LOSS) - quality.SLACK * (quantile(0.75) - quantile(0.25))
+    want = Counter((r.doc_id, round(v, 6) if v is not None else None, v is not None and v >= threshold) for r, v in zip(rows, llr, strict=True))
+    got = quality.quality_rules(small, labels, buckets=buckets).collect()
+    assert Counter((r.doc_id, round(r.llr, 6) if r.llr is not None else None, r.kept or (r.base_failed and r.llr is not None and r.llr >= r.threshold)) for r in got) == want
+    assert all(not (r.kept and r.base_failed) for r in got)
+
+
 def test_threshold_covers_all_trusted_documents(spark):
     """With a fit sample of 20 the threshold is that of every trusted document outside the sample."""
     sf = "/root/testdata/sf0.01"

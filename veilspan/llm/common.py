@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import spread
+
 #: White space of the contracts: space and the control characters tab to carriage return.
 SPACE = " \t\n\x0b\f\r"
 #: One word of the contracts, as a Java pattern.
@@ -18,17 +19,18 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stored table; one in fewer files than half the cores is dealt out by its first column, so that all cores work."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if 2 * len(df.inputFiles()) < cores else df
+    """A stored table; a small one in few files is dealt out by its first column, so that all cores work."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where the session names none (tests)."""
+    """The folder that ``spark.checkpoint.dir`` names; a local session without that setting takes a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilspan-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="veilspan-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -50,17 +52,6 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
-def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
-    """Every element joined with all before it (sums, maxima), by doubling strides: n log n steps, and no array grows."""
-    strides = F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.lit(2).cast("double") ** k), lambda d: d < F.size(values))
-    return F.aggregate(strides, values, lambda a, d: F.transform(a, lambda x, i: F.coalesce(join(x, F.get(a, i - d.cast("int"))), x)))
-
-
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. Pure ASCII text takes the fast built-in path."""
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.translate(text, _UPPER, _UPPER.lower())).otherwise(F.lower(text))

@@ -1,6 +1,6 @@
 """Operator 2: language identification with a byte convolutional network.
 
-Text becomes bytes (ASCII lower-cased, ASCII non-letters as spaces) in windows
+Text becomes bytes (lower-cased, ASCII non-letters as spaces) in windows
 of ``WINDOW`` bytes that cover the whole text. The network embeds bytes, applies
 filters of several widths, takes each filter's maximum over the window, and
 ends in a softmax; a document's scores are its windows' mean log-probabilities,
@@ -18,16 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import saved, small_batches, table
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
-#: Labelled documents of each language that training sees, about, and the most languages.
+#: Labelled documents of each language that training sees, about.
 SAMPLE_DOCS = 400
-MAX_LANGUAGES = 256
-#: Labelled documents of all languages together, about: many languages share it.
+#: Labelled documents of all languages together, about: many languages share it, each with one at least.
 SAMPLE_TOTAL = 8_000
 #: Code points of a training document that are sent to the driver.
 SAMPLE_CHARS = 1500
@@ -117,7 +116,7 @@ def train(texts: list[str], labels: list[str], seed: int = 0) -> Network:
             n = len(w)
             best, peak = [], []
             for k, width in enumerate(WIDTHS):
-                r = sum((p["e"] @ p[f"f{k}"][j])[w[:, j : j + places]] for j in range(width))
+                r = sum((p["e"] @ p[f"f{k}"][j]).astype(np.float32)[w[:, j : j + places]] for j in range(width))
                 at_max = r.argmax(axis=1)
                 best.append(at_max)
                 peak.append(np.take_along_axis(r, at_max[:, None, :], 1)[:, 0])
@@ -145,25 +144,27 @@ def train(texts: list[str], labels: list[str], seed: int = 0) -> Network:
     return Network(languages, p["e"], [p[f"f{k}"] for k in range(len(WIDTHS))], p["b"].astype(np.float32), p["o"].astype(np.float32))
 
 
-def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[str]]:
-    """Texts and labels of about ``sample_docs`` documents a language, chosen by hash.
+def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
+    """Texts and labels of about ``sample_docs`` documents a language, chosen by hash; of each a stretch of ``sample_chars`` code points.
 
     Only documents outside the held-out fold with a label and a letter count.
-    Languages are counted first (their columns alone are read); the rarest beyond
-    ``MAX_LANGUAGES`` are not learned, and ``SAMPLE_TOTAL`` bounds what the driver gets.
+    Languages are counted first (their columns alone are read), and each is
+    learned; ``SAMPLE_TOTAL`` bounds what the driver gets, where one document of
+    each language is not more. Rows of one id are drawn together.
     """
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
+    counts = saved(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
+    languages = counts.count()
+    if not languages:
         return [], []
-    sample_docs = max(1, min(sample_docs, SAMPLE_TOTAL // len(counts)))
-    chance = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 2 * sample_docs / n)))])
+    sample_docs = max(1, min(sample_docs, SAMPLE_TOTAL // languages))
     draw = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
-    chosen = labelled.where((draw < F.element_at(chance, F.col("lang"))) & F.col("text").rlike(r"\p{L}"))
+    # a row a language: broadcast
+    chosen = labelled.join(F.broadcast(counts), "lang").where((draw * F.col("_n") < 2 * sample_docs) & F.col("text").rlike(r"\p{L}"))
     # the expected number is at most twice the parameter for each language; the excess goes here
     length = F.length("text")
-    begin = F.when(length > SAMPLE_CHARS, F.pmod(F.xxhash64(F.lit("begin"), "doc_id"), length - SAMPLE_CHARS + 1)).otherwise(0)
-    rows = chosen.select("lang", draw.alias("draw"), F.substring(F.col("text"), (begin + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("text")).collect()
+    begin = F.when(length > sample_chars, F.pmod(F.xxhash64(F.lit("begin"), "doc_id"), length - sample_chars + 1)).otherwise(0)
+    rows = chosen.select("lang", draw.alias("draw"), F.substring(F.col("text"), (begin + 1).cast("int"), F.lit(sample_chars)).alias("text")).collect()
     kept: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["draw"], r["text"])):
         if len(mine := kept.setdefault(r["lang"], [])) < sample_docs:
@@ -212,7 +213,10 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
 def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Trains on the labelled part of ``docs`` (doc_id, text, lang) and predicts all of it.
 
-    Without any labelled document every row is ``und``. An empty table gives an empty table.
+    Without any labelled document every row is ``und``. An empty table gives an
+    empty table. Null, blank and letterless texts are ``und``; repeated rows and
+    ids are predicted alike, each row by its own text; of equal scores the first
+    language by code point wins. Other columns stay.
     """
     texts, labels = training_sample(docs, sample_docs)
     if not texts:

@@ -24,7 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, running, sha256_hex, table
+from ..functions.text import let, running
+from .common import sha256_hex, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Trees, their depth, their learning rate; worded examples of a family; the precision that thresholds are calibrated to.
