@@ -208,6 +208,19 @@ def test_line_dedup(small, awkward, broadcast, shard_keys):
         assert Counter((r.doc_id, r.text) for r in got) == Counter(zip([r.doc_id for r in rows], drop_lines([r.text for r in rows], min_docs, min_chars), strict=True))
 
 
+def test_large_index_moves_only_texts_with_hits(spark):
+    """The dealt way on copies, ties and a hot line: the same rows as the broadcast way, and no text is stored or moved without a hit."""
+    rng = random.Random(2)
+    shared = ["".join(rng.choices("abcdefgh ", k=rng.randint(5, 30))) for _ in range(300)]
+    rows = [(k, "\n".join(rng.choice(shared) if rng.random() < 0.7 else f"own {k} {j}" for j in range(rng.randint(1, 12)))) for k in range(600)]
+    rows += [(1000 + k, "hot line\nrest of a copy") for k in range(400)] + [(2000 + k, f"alone {k}") for k in range(200)] + [(None, None), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"content": F.lit("c"), "hits": F.lit("h"), "m": F.lit(1), "_a": F.lit(2)})
+    one = line_dedup.drop_shared_lines(df, 10)
+    other = line_dedup.drop_shared_lines(df, 10, shard_keys=40, broadcast_bytes=0)
+    assert one.columns == other.columns and Counter(map(tuple, one.collect())) == Counter(map(tuple, other.collect()))
+    assert sum(r.n_dropped for r in one.collect()) > 800
+
+
 def test_line_dedup_keeps_columns(clashing, empty):
     assert line_dedup.drop_shared_lines(clashing.drop("lines")).columns == [*[c for c in clashing.columns if c not in ("text", "lines")], "text", "n_lines", "n_dropped"]
     assert line_dedup.drop_shared_lines(clashing).where("lines = 'lines' and h1 = 'h1'").count() == len(AWKWARD)

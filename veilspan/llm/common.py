@@ -84,3 +84,17 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, n_rows: int, how
     hot = F.broadcast(per_key.where(is_hot).drop("m"))
     cold = rows.join(hot.select(key), key, "left_anti").join(per_key.where(~is_hot).drop("m"), key, how)
     return cold.unionByName(rows.join(hot, key))
+
+
+#: Bits of the filter that keeps rows without a partner from being shuffled (bounds a broadcast to 2 MB).
+FILTER_BITS = 1 << 23
+
+
+def with_filter(rows: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Adds ``_near``: whether a filter of fixed size lets the row's 64-bit ``column`` be one of ``wanted``'s."""
+    bit = F.pmod(F.col(column), F.lit(FILTER_BITS))
+    word, mask = F.shiftright(bit, 6).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
+    # at most FILTER_BITS / 64 rows whatever the input: broadcast
+    bits = wanted.groupBy(word).agg(F.bit_or(mask).alias("_bits"))
+    near = F.coalesce(F.col("_bits").bitwiseAND(mask) != 0, F.lit(False))
+    return rows.withColumn("_word", word).join(F.broadcast(bits), "_word", "left").withColumn("_near", near).drop("_word", "_bits")

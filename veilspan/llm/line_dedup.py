@@ -9,10 +9,16 @@ arrays with their keys' hashes; no line is joined. A key below the threshold
 is in no shard; its slot holds another key's fingerprint, so the probe answers
 "not frequent".
 
+Keys below the threshold are pruned before the arrays are built, which keeps
+the probes exact: whatever slot such a key leads to holds another fingerprint.
+
 Two ways of probing give the same rows. An index of at most
 ``broadcast_bytes`` (measured, not guessed) is broadcast and probed in place.
-A larger one stays distributed: hashes and shards meet by (shard, salt), and
-each task keeps one shard's arrays while hashes stream past in batches.
+A larger one stays distributed: the documents' hashes and the shards meet by
+(shard, salt), each task keeps one shard's arrays while hashes stream past in
+batches, and the keys that hit go back to the documents by a hash of their
+text. Documents that a filter of fixed size shows to have no hit are not moved,
+nor are copies of a text that very many documents have; no text is stored.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, saved, sha256_hex, small_batches, table
+from .common import SPACE, ascii_lower, join_per_key, saved, sha256_hex, small_batches, table, with_filter
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -174,14 +180,14 @@ def _probe_broadcast(hashed: DataFrame, index: DataFrame, shards: int) -> DataFr
 
 
 def _probe_dealt(hashed: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """Hashes meet the shards' arrays by (shard, salt); flags go back to their documents."""
-    docs = saved(hashed.withColumn("row", F.monotonically_increasing_id()))
+    """Hashes meet the shards' arrays by (shard, salt); the keys that hit go back to the documents by their text's hash."""
+    named = hashed.withColumn("content", F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit("content"), "text").alias("b")))
+    empty = {c: F.lit(None).cast("binary") for c in ("displacement", "fingerprint", "doc_count")}
     probes = (
-        docs.select("row", F.posexplode(F.arrays_zip("h1", "h2")).alias("pos", "k")).select("row", "pos", "k.h1", "k.h2").where("h1 <> 0 or h2 <> 0")
-        .select(F.pmod("h1", F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("row", "pos"), F.lit(SALTS)).alias("salt"), F.lit(1).alias("kind"), "row", "pos", "h1", "h2")
-        .withColumns({c: F.lit(None).cast("binary") for c in ("displacement", "fingerprint", "doc_count")})
+        named.select("content.a", "content.b", F.explode(F.array_distinct(F.arrays_zip("h1", "h2"))).alias("k")).select("a", "b", "k.h1", "k.h2").where("h1 <> 0 or h2 <> 0")
+        .select(F.pmod("h1", F.lit(shards)).alias("shard"), F.pmod(F.xxhash64("a", "h2"), F.lit(SALTS)).alias("salt"), F.lit(1).alias("kind"), "a", "b", "h1", "h2").withColumns(empty)
     )
-    copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("pos"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), "displacement", "fingerprint", "doc_count")
+    copies = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"), F.lit(0).alias("kind"), *[F.lit(None).cast("long").alias(c) for c in ("a", "b", "h1", "h2")], *empty)
     met = copies.unionByName(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,11 +204,26 @@ def _probe_dealt(hashed: DataFrame, index: DataFrame, shards: int) -> DataFrame:
                 if len(asked) and at == place[begin]:
                     h1, h2 = (asked.column(c).to_numpy() for c in ("h1", "h2"))
                     hit = pa.array(probe_perfect_hash(h1, h2, arrays) > 0)
-                    yield pa.RecordBatch.from_arrays([asked.column(c).filter(hit) for c in ("row", "pos")], ["row", "pos"])
+                    yield pa.RecordBatch.from_arrays([asked.column(c).filter(hit) for c in ("a", "b", "h1", "h2")], ["a", "b", "h1", "h2"])
+
+    hits = met.mapInArrow(stream, "a long, b long, h1 long, h2 long")
+    # m counts a text's hits in all its copies, so it is at least the number of copies
+    per_text = saved(hits.groupBy("a", "b").agg(F.array_distinct(F.collect_set(F.struct("h1", "h2"))).alias("hits"), F.count(F.lit(1)).alias("m")).select(F.struct("a", "b").alias("content"), "hits", "m"))
+    n_hits = per_text.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+
+    @F.arrow_udf("array<boolean>")
+    def frequent(h1: pa.Array, h2: pa.Array, hits: pa.Array) -> pa.Array:
+        out = []
+        for a, b, found in zip(h1, h2, hits, strict=True):
+            known = {(k["h1"], k["h2"]) for k in found.as_py() or ()}
+            out.append([k in known for k in zip(a.as_py(), b.as_py(), strict=True)])
+        return pa.array(out, pa.list_(pa.bool_()))
 
-    flags = met.mapInArrow(stream, "row long, pos int").groupBy("row").agg(F.collect_set("pos").alias("hits"))
-    flagged = docs.join(flags, "row", "left")
-    return flagged.withColumn("drop", F.transform("h1", lambda _, i: F.coalesce(F.array_contains("hits", i), F.lit(False)))).drop("row", "hits")
+    marked = with_filter(named.withColumn("_a", F.col("content.a")), "_a", per_text.select(F.col("content.a").alias("_a")))
+    clear = marked.where("not _near").withColumn("drop", F.transform("h1", lambda _: F.lit(False)))
+    joined = join_per_key(marked.where("_near"), per_text, "content", n_hits, "left")
+    flagged = joined.withColumn("drop", frequent.asNondeterministic()("h1", "h2", "hits")).drop("hits")
+    return clear.unionByName(flagged).drop("content", "_a", "_near")
 
 
 def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, *, shard_keys: int = SHARD_KEYS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -212,8 +233,9 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     is the line without outer white space, A-Z lower-cased; keys under
     ``min_chars`` code points always stay. Returns all columns of ``docs`` with
     ``text`` rewritten, plus ``n_lines`` and ``n_dropped``. Repeated rows are
-    documents of their own. An empty table gives an empty table. Columns of
-    ``docs`` with the helpers' names are kept apart.
+    documents of their own, ids play no part. Very long texts and lines are read
+    whole. An empty table gives an empty table. Columns of ``docs`` with the
+    helpers' names are kept apart.
     """
     small_batches(docs.sparkSession)
     extra = [c for c in docs.columns if c != "text"]

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_per_key, saved, small_batches, table
+from .common import join_per_key, saved, small_batches, table, with_filter
 
 RADIUS = 2
 SHINGLE_WORDS = 3
@@ -47,8 +47,6 @@ SIMILAR_WORDS = 5
 SIMILAR = (4, 5)
 #: Min-hash bands and rows: a pair of similarity 0.8 meets in a band with probability 1 - (1 - 0.8^4)^20 = 0.99997.
 BANDS, BAND_ROWS = 20, 4
-#: Bits of the filter that keeps texts without a candidate from being shuffled (bounds a broadcast to 2 MB).
-FILTER_BITS = 1 << 23
 #: The most sets, and the most shingles about, of a bucket that one task keeps at a time.
 TILE_SETS, TILE_SHINGLES = 2048, 1 << 21
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -275,19 +273,9 @@ def _with_text_hash(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_h1", F.xxhash64("text")).withColumn("_h2", F.xxhash64(F.lit("again"), "text"))
 
 
-def _with_filter(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Adds ``_near``: whether a filter of fixed size lets the row's ``_h1`` be one of ``wanted``'s."""
-    bit = F.pmod(F.col("_h1"), F.lit(FILTER_BITS))
-    word, mask = F.shiftright(bit, 6).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 64).cast("int"))
-    # at most FILTER_BITS / 64 rows whatever the input: broadcast
-    bits = wanted.groupBy(word).agg(F.bit_or(mask).alias("_bits"))
-    near = F.coalesce(F.col("_bits").bitwiseAND(mask) != 0, F.lit(False))
-    return docs.withColumn("_word", word).join(F.broadcast(bits), "_word", "left").withColumn("_near", near).drop("_word", "_bits")
-
-
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(cls, shingles) of the ``wanted`` (cls, _h1, _h2). Texts that the filter rules out are not shuffled."""
-    one = _with_filter(docs, wanted).where("_near").dropDuplicates(["_h1", "_h2"]).join(wanted, ["_h1", "_h2"])
+    one = with_filter(docs, "_h1", wanted).where("_near").dropDuplicates(["_h1", "_h2"]).join(wanted, ["_h1", "_h2"])
     return one.select("cls", F.arrow_udf("array<long>")(_shingle_sets)("text").alias("shingles"))
 
 
@@ -419,7 +407,7 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     gone = grouped.where(F.struct(*names) != F.col("first")).select(*names).distinct()
     # the input's columns travel as one struct, so that none can clash with these
     hashed = _with_text_hash(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), "doc_id", "text")).withColumns(named).select("_doc", *names)
-    marked = _with_filter(hashed, grouped.select("_h1"))
+    marked = with_filter(hashed, "_h1", grouped)
     met = marked.where("_near").dropDuplicates(names).join(gone, names, "left_anti")
     return marked.where("not _near").select("_doc.*").unionByName(met.select("_doc.*"))
 
