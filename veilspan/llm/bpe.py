@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-#: Words that a worker remembers before it starts anew.
-CACHE_WORDS = 400_000
+#: Words, and bytes of words, that a worker remembers before it starts anew.
+CACHE_WORDS, CACHE_BYTES = 400_000, 32 << 20
 _NEVER = np.int64(1) << 40
 _NEVER_STEP = 1 << 60
 
@@ -81,6 +81,7 @@ class Vocabulary:
         self._decoded_of: dict[str, bytes] = {}
         # the pattern's matches never mix letters with a space that follows them
         self._marked = {content: f"x {content}" for content in self.special}
+        self._held = 0
         self._forget()
 
     def _rank_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -199,9 +200,11 @@ class Vocabulary:
                 found += [self._marked[part]] if k % 2 else self.pattern.findall(part)
             pieces.append(found)
         new = set().union(*pieces).difference(ids_of)
-        if len(ids_of) + len(new) > CACHE_WORDS:
+        self._held += sum(map(len, new))
+        if len(ids_of) + len(new) > CACHE_WORDS or self._held > CACHE_BYTES:
             self._forget()
             new = set().union(*pieces).difference(ids_of)
+            self._held = sum(map(len, new))
         ordered = sorted(new)
         for word, ids in zip(ordered, self.encode_words([w.encode() for w in ordered]) if ordered else [], strict=True):
             ids_of[word] = ",".join(map(str, ids))
@@ -236,7 +239,8 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, keep_text: bool = Fal
     ``tokenizer_path`` is a tokenizer file on the driver; its text (a fixed
     vocabulary of a few MB, whatever the corpus) is broadcast. Null and empty
     texts give no token. All columns of ``docs`` stay but those named like the
-    results. Very long texts and words are encoded whole.
+    results. Very long texts and words are encoded whole. Repeated rows are coded
+    alike; an empty table gives none.
     """
     small_batches(docs.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -260,7 +264,9 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, *, keep_text: bool = Fal
     coded = F.arrow_udf(kind)(encode).asNondeterministic()  # else a filter on the result would run it twice
     results = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_text else [])]
     rest = [c for c in docs.columns if c not in results]
-    return docs.select(*[F.col(f"`{c}`") for c in rest], coded("text").alias("_coded")).select(*[F.col(f"`{c}`") for c in rest], *[F.col(f"_coded.{c}") for c in results])
+    # the input's columns travel as one struct, so that none can clash
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc"), coded("text").alias("coded"))
+    return packed.select("doc.*", *[F.col(f"coded.{c}") for c in results])
 
 
 def default_tokenizer() -> str:

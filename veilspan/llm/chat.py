@@ -19,6 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let, running
 from .common import sha256_hex, table
 
 TURN = "[TURN]"
@@ -105,7 +106,8 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
         text = text.otherwise(body(m, header + len(OTHER[1]), len(OTHER[2])))
         return F.transform(F.split(text, r"\[TURN\]", -1), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
 
-    ends = F.aggregate("mask", F.array().cast("array<struct<begin:int,chars:int,loss:boolean>>"), lambda a, p: F.concat(a, F.array(F.struct(F.coalesce(F.get(a, F.size(a) - 1)["begin"] + F.get(a, F.size(a) - 1)["chars"], F.lit(0)).alias("begin"), p["chars"].alias("chars"), p["loss"].alias("loss")))))
+    place = lambda e: F.transform("mask", lambda p, i: F.struct((F.get(e, i) - p["chars"]).alias("begin"), p["chars"].alias("chars"), p["loss"].alias("loss")))
+    ends = let(running(F.transform("mask", lambda p: p["chars"]), lambda x, y: x + y), place)
     loss = F.transform(F.filter("places", lambda p: p["loss"]), lambda p: unescape(F.substring(F.col("formatted"), p["begin"] + 1, p["chars"])))
     return formatted.withColumn("places", ends).select("conv_id", "formatted", F.flatten(F.transform(found, turns)).alias("turns"), F.array_join(loss, "").alias("loss_text"))
 
