@@ -1,6 +1,8 @@
 """Hand-computed cases, properties, and what SQL cannot express."""
 
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +116,95 @@ def test_alignment():
     assert ner.align_tokens(["a", "zz", "b"], [True, True, True], "a b") == [(0, 1), None, (2, 3)]
 
 
+DELIMITERS = set(".,;:!?()[]{}\"«»–—/\\-")
+
+
+def entities_of_chunk(text, labels, tokens):
+    """The steps from a chunk's tokens to its results, one token at a time."""
+    ends = lambda c: c.isspace() or c in DELIMITERS
+    bases, bars = ("PER", "ORG", "LOC"), {"PER": 0.6, "ORG": 0.7, "LOC": 0.6}
+    runs, before = [], None
+    places = ner.align_tokens([t[0] for t in tokens], [t[1] for t in tokens], text)
+    for (_, starts, logits), place in zip(tokens, places, strict=True):
+        if place is None:
+            continue
+        e = [math.exp(x - max(logits)) for x in logits]
+        probs = [x / sum(e) for x in e]
+        tag = labels[probs.index(max(probs))]
+        base = {b: sum(p for p, t in zip(probs, labels, strict=True) if t[2:] == b) for b in bases}
+        best = max(bases, key=lambda b: base[b])
+        if base[best] < bars[best]:
+            before = None
+            continue
+        gap = place[0] - before[1] if before else None
+        follows = before and before[0] == best and (tag.startswith("I-") or (not starts and not tag.startswith("B-")) or (not starts and gap <= 1) or (best == "PER" and gap <= 2))
+        if follows:
+            runs[-1][1] = max(runs[-1][1], place[1])
+            runs[-1][3].append(base)
+        else:
+            runs.append([*place, best, [base]])
+        before = (best, place[1])
+    kept = []
+    for a, b, base, seen in runs:
+        while a > 0 and not ends(text[a - 1]):
+            a -= 1
+        while b < len(text) and not ends(text[b]):
+            b += 1
+        p = {x: sum(s[x] for s in seen) / len(seen) for x in bases}
+        word = text[a:b].strip()
+        if len(word) > 1 and word.lower() not in ner.STOP_WORDS and not re.fullmatch(r"[\d\s.,;:!?'\"()-]+", word) and (len(word) > 2 or p[base] >= 0.9):
+            kept.append([a, b, base, p, len(seen)])
+    for k in kept:
+        number = re.search(r"(?i)(\d+(?:\s*(?:bis|ter|quater|[a-c]))?[,\s]*)\s*$", text[max(0, k[0] - 30) : k[0]]) if k[2] == "LOC" else None
+        if number:
+            k[0] = k[0] - len(number.group(0)) + number.start(1) - number.start(0)
+    def fits(base, gap):
+        if base == "PER":
+            return len(gap) <= 5 and re.fullmatch(r"[\s'-]*", gap)
+        return base == "LOC" and len(gap) <= 30 and all(w.isdigit() or w in ner.BRIDGE_WORDS or len(w) <= 1 for w in re.split(r"[\s,]+", gap.lower()))
+
+    for base in ("LOC", "PER"):
+        out = []
+        for a, b, kind, p, n in sorted(kept, key=lambda k: k[:2]):
+            if out and kind == base == out[-1][2] and fits(base, text[out[-1][1] : a]):
+                q, m = out[-1][3], out[-1][4]
+                out[-1][0], out[-1][1], out[-1][3], out[-1][4] = min(out[-1][0], a), b, {x: (q[x] * m + p[x] * n) / (m + n) for x in p}, m + n
+            else:
+                out.append([a, b, kind, p, n])
+        kept = out
+    return [(a, b, ner.LABEL_OF[base], text[a:b], p[base]) for a, b, base, p, _ in kept]
+
+
+def test_whole_pages_through_the_model(spark):
+    """Chunks, alignment, entities and offsets composed, against the same steps in plain Python."""
+    from veilspan.plans.model import TAGS, halves
+
+    rng = random.Random(9)
+    words = ["rue", "des", "Lilas", "12", "bis", "Paris", "Jean-Marc", "Dupont,", "Société", "(Anonyme)", "de", "la", "l'eau", "x", "Éloïse.", "75012"]
+    texts = ["", "Paris", *(" ".join(rng.choice(words) for _ in range(n)) for n in (5, 60, 900, 2500)), "\n\n".join(" ".join(rng.choice(words) for _ in range(150)) for _ in range(9)), "Z" * 4000]
+    p = pages(spark, *texts, None)
+    labels = F.array(*map(F.lit, TAGS))
+    got = sorted((r.doc_id, r.char_start, r.char_end, r.label, r.text, round(r.score, 9)) for r in ner.predict_pages(p, halves, labels).collect())
+    chunks = [(d, a, t[a:b]) for d, t in enumerate(texts) for a, b in ner.chunk_bounds(t)]
+    assert len(chunks) > 20
+    seen = spark.createDataFrame([(*c,) for c in chunks], "d int, a int, text string").select("d", "a", "text", halves(F.col("text")).alias("tokens")).collect()
+    by_page = {}
+    for r in sorted(seen, key=lambda r: (r.d, r.a)):
+        tokens = [(t.word, t.is_word_start, list(t.logits)) for t in r.tokens]
+        by_page.setdefault(r.d, []).extend((a + r.a, b + r.a, *rest) for a, b, *rest in entities_of_chunk(r.text, TAGS, tokens))
+    want = []
+    for d, found_here in by_page.items():
+        kept = []
+        for x in sorted(found_here, key=lambda x: x[:4]):
+            if kept and (kept[-1][1] > x[0] or kept[-1][3].lower() == x[3].lower()):
+                kept[-1] = x if x[4] > kept[-1][4] else kept[-1]
+            else:
+                kept.append(x)
+        want += [(d, a, b, label, text, round(score, 9)) for a, b, label, text, score in kept]
+    assert got == sorted(want) and len(got) > 300
+    assert all(texts[d][a:b] == text for d, a, b, _, text, _ in got)
+
+
 def test_flexible_search(spark):
     cases = [("a **Je*an** _Dupont_, b", "Jean Dupont", [(4, 19)]), ("J.D.", "J.D.", [(0, 4)]), ("nothing", "Jean", []), ("x `p`(q", "p(q", [(3, 7)])]
     rows = [(k, t, n) for k, (t, n, _) in enumerate(cases)]

@@ -1,16 +1,18 @@
 """Post-processing of token classification: from token probabilities to entities.
 
-Inference is outside; the input is a row per token with its place, whether it
-starts a word, and its probabilities.
+Inference is outside. ``predict`` starts at tokens with places and
+probabilities; ``predict_pages`` at whole pages, with a model that is a Column
+over chunks of text, so that inference moves no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.text import ends_with_date, let, looks_like_date, looks_like_date_part, normalize, strip
 from .detect import excluded
@@ -52,13 +54,13 @@ def chunk_bounds(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[t
 
 def _chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [(r.doc_id, r.page_index, k, a, r.text[a:b]) for r in pdf.itertuples(index=False) for k, (a, b) in enumerate(chunk_bounds(r.text or ""))]
+        rows = [(r.doc_id, r.page_index, k, a, r.text[a:b]) for r in pdf.itertuples(index=False) for k, (a, b) in enumerate(chunk_bounds(r.text))]
         yield pd.DataFrame(rows, columns=["doc_id", "page_index", "chunk", "start", "text"])
 
 
 def split_into_chunks(pages: DataFrame) -> DataFrame:
     """(doc_id, page_index, chunk, start, text); breaks depend on the break before, hence a function over whole texts."""
-    return pages.select("doc_id", "page_index", "text").mapInPandas(_chunks, "doc_id long, page_index int, chunk int, start int, text string")
+    return pages.select("doc_id", "page_index", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_chunks, "doc_id long, page_index int, chunk int, start int, text string")
 
 
 def softmax(logits: Column) -> Column:
@@ -102,18 +104,25 @@ def align_tokens(words: list[str], starts_word: list[bool], text: str) -> list[t
     return out
 
 
-def _align(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("token_idx")
-    places = align_tokens(list(pdf["word"]), list(pdf["is_word_start"]), pdf["text"].iloc[0])
-    kept = [k for k, p in enumerate(places) if p is not None]
-    out = pdf.iloc[kept][["doc_id", "page_index", "token_idx", "word"]].copy()
-    out["char_start"], out["char_end"] = [places[k][0] for k in kept], [places[k][1] for k in kept]
-    return out
+def _token_starts(words: pd.Series, starts_word: pd.Series, text: pd.Series) -> pd.Series:
+    return pd.Series([[-1 if p is None else p[0] for p in align_tokens(list(w), list(s), t)] for w, s, t in zip(words, starts_word, text, strict=True)], dtype=object)
+
+
+def token_starts(words: str, starts_word: str, text: str) -> Column:
+    """Where each token of an array begins in its text, -1 if nowhere; each place depends on the one before.
+
+    Told to be non-deterministic, so that no filter inferred later runs it, and the model under it, a second time.
+    """
+    return F.pandas_udf(_token_starts, ArrayType(IntegerType())).asNondeterministic()(words, starts_word, text)
 
 
 def align(tokens: DataFrame, pages: DataFrame) -> DataFrame:
-    """Tokens (doc_id, page_index, token_idx, word, is_word_start) with their places on their page."""
-    return tokens.join(pages, list(PAGE)).groupBy(*PAGE).applyInPandas(_align, "doc_id long, page_index int, token_idx int, word string, char_start int, char_end int")
+    """Tokens (doc_id, page_index, token_idx, word, is_word_start) with their places on their page, whose text is met once."""
+    per_page = tokens.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("token_idx", "word", "is_word_start"))).alias("tokens"))
+    met = per_page.join(pages.select(*PAGE, F.coalesce("text", F.lit("")).alias("text")), list(PAGE))
+    placed = met.select(*PAGE, F.arrays_zip(F.col("tokens").alias("t"), token_starts("tokens.word", "tokens.is_word_start", "text").alias("at")).alias("tokens"))
+    each = placed.select(*PAGE, F.explode("tokens").alias("x")).where("x.at >= 0")
+    return each.select(*PAGE, "x.t.token_idx", "x.t.word", F.col("x.at").alias("char_start"), (F.col("x.at") + F.length("x.t.word")).alias("char_end"))
 
 
 def decide_labels(tokens: DataFrame) -> DataFrame:
@@ -126,21 +135,21 @@ def decide_labels(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("winner", winner).withColumn("winner_p", F.when(F.col("winner") != "O", best).otherwise(F.col("p_o")))
 
 
-def group_tokens(tokens: DataFrame) -> DataFrame:
-    """Runs of tokens as entities: (doc_id, page_index, char_start, char_end, base, means of PROBS, n_tokens).
+def group_tokens(tokens: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
+    """Runs of tokens as entities: (the keys, char_start, char_end, base, means of PROBS, n_tokens).
 
     A token continues the entity of the token before it if the winner is the
     same and it is an I tag, a subword without a B tag, a subword right behind,
     or a person within two characters. A token of no entity ends a run.
     """
-    w = Window.partitionBy(*PAGE).orderBy("token_idx")
+    w = Window.partitionBy(*keys).orderBy("token_idx")
     before, gap = F.lag("winner").over(w), F.col("char_start") - F.lag("char_end").over(w)
     subword = ~F.col("is_word_start")
     follows = F.col("bio_tag").startswith("I-") | (subword & ~F.col("bio_tag").startswith("B-")) | (subword & (gap <= 1)) | ((F.col("winner") == "PER") & (gap <= 2))
     marked = tokens.withColumn("new", F.when((F.col("winner") == before) & follows, 0).otherwise(1))
     run = F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0))
     named = marked.withColumn("run", run).where("winner <> 'O'")
-    return named.groupBy(*PAGE, "run").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.first("winner").alias("base"), *[F.avg(c).alias(c) for c in PROBS], F.count(F.lit(1)).alias("n_tokens")).drop("run")
+    return named.groupBy(*keys, "run").agg(F.min("char_start").alias("char_start"), F.max("char_end").alias("char_end"), F.first("winner").alias("base"), *[F.avg(c).alias(c) for c in PROBS], F.count(F.lit(1)).alias("n_tokens")).drop("run")
 
 
 def expand_to_words(text: Column, start: Column, stop: Column) -> tuple[Column, Column]:
@@ -154,9 +163,9 @@ def cut(text: str, start: str = "char_start", stop: str = "char_end") -> Column:
     return F.substring(F.col(text), F.col(start) + 1, F.col(stop) - F.col(start))
 
 
-def finalize(entities: DataFrame, pages: DataFrame) -> DataFrame:
+def finalize(entities: DataFrame, pages: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """Entities widened to whole words, with their text and the page's as ``page_text``."""
-    met = entities.join(pages.select(*PAGE, F.col("text").alias("page_text")), list(PAGE))
+    met = entities.join(pages.select(*keys, F.col("text").alias("page_text")), list(keys))
     start, stop = expand_to_words(F.col("page_text"), F.col("char_start"), F.col("char_end"))
     return met.withColumns({"char_start": start, "char_end": stop}).withColumn("text", cut("page_text"))
 
@@ -185,30 +194,30 @@ def expand_addresses(entities: DataFrame) -> DataFrame:
     return entities.withColumn("char_start", F.when(takes, start).otherwise(F.col("char_start"))).withColumn("text", cut("page_text"))
 
 
-def _merge_runs(entities: DataFrame, base: str, bridges: Column) -> DataFrame:
+def _merge_runs(entities: DataFrame, base: str, bridges: Column, keys: tuple[str, ...]) -> DataFrame:
     """Joins consecutive entities of one type where ``bridges`` holds for ``gap`` and ``gap_text``; means by tokens."""
-    w = Window.partitionBy(*PAGE).orderBy("char_start", "char_end")
+    w = Window.partitionBy(*keys).orderBy("char_start", "char_end")
     prior = entities.withColumns({"prior_base": F.lag("base").over(w), "prior_end": F.lag("char_end").over(w)})
     gapped = prior.withColumn("gap", F.col("char_start") - F.col("prior_end")).withColumn("gap_text", F.substring(F.col("page_text"), F.col("prior_end") + 1, F.greatest(F.col("gap"), F.lit(0))))
     joins = (F.col("base") == base) & (F.col("prior_base") == base) & bridges
     run = gapped.withColumn("new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     means = [(F.sum(F.col(p) * F.col("n_tokens")) / F.sum("n_tokens")).alias(p) for p in PROBS]
     last = F.max_by("char_end", F.struct("char_start", "char_end"))
-    merged = run.groupBy(*PAGE, "run", "base").agg(F.min("char_start").alias("char_start"), last.alias("char_end"), F.first("page_text").alias("page_text"), *means, F.sum("n_tokens").alias("n_tokens")).drop("run")
+    merged = run.groupBy(*keys, "run", "base").agg(F.min("char_start").alias("char_start"), last.alias("char_end"), F.first("page_text").alias("page_text"), *means, F.sum("n_tokens").alias("n_tokens")).drop("run")
     return merged.withColumn("text", cut("page_text"))
 
 
-def merge_addresses(entities: DataFrame) -> DataFrame:
+def merge_addresses(entities: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """Places at most 30 apart with only numbers, address words or single characters between them."""
     gap = F.lower(strip(F.col("gap_text")))
     words = F.filter(F.split(gap, r"[\s,]+", -1), lambda w: F.length(w) > 0)
     fits = F.forall(words, lambda w: w.rlike("^[0-9]+$") | w.isin(*BRIDGE_WORDS) | (F.length(w) <= 1))
-    return _merge_runs(entities, "LOC", (F.col("gap") <= ADDRESS_GAP) & ~looks_like_date(gap) & fits)
+    return _merge_runs(entities, "LOC", (F.col("gap") <= ADDRESS_GAP) & ~looks_like_date(gap) & fits, keys)
 
 
-def merge_persons(entities: DataFrame) -> DataFrame:
+def merge_persons(entities: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """Persons at most five characters apart with only spaces, hyphens or apostrophes between them."""
-    return _merge_runs(entities, "PER", (F.col("gap") <= PERSON_GAP) & F.col("gap_text").rlike(r"^[\s\x27-]*$"))
+    return _merge_runs(entities, "PER", (F.col("gap") <= PERSON_GAP) & F.col("gap_text").rlike(r"^[\s\x27-]*$"), keys)
 
 
 def to_results(entities: DataFrame, offset: Column | None = None) -> DataFrame:
@@ -243,10 +252,39 @@ def results_to_spans(results: DataFrame) -> DataFrame:
     return results.select(*PAGE, "label", "text", normalize(F.col("text")).alias("norm_text"), F.col("score").alias("confidence"), F.lit("ner").alias("source"), "char_start", "char_end")
 
 
+def _results_of(tokens: DataFrame, texts: DataFrame, keys: tuple[str, ...], offset: Column | None = None) -> DataFrame:
+    entities = filter_false_positives(finalize(group_tokens(tokens, keys), texts, keys))
+    return to_results(merge_persons(merge_addresses(expand_addresses(entities), keys), keys), offset)
+
+
 def predict(tokens: DataFrame, pages: DataFrame) -> DataFrame:
     """All steps from token probabilities to deduplicated results."""
-    entities = filter_false_positives(finalize(group_tokens(decide_labels(tokens)), pages))
-    return deduplicate_results(to_results(merge_persons(merge_addresses(expand_addresses(entities)))))
+    return deduplicate_results(_results_of(decide_labels(tokens), pages, PAGE))
+
+
+#: A chunk is known by its page and where it starts there.
+CHUNK_KEYS = (*PAGE, "start")
+
+
+def decode(tokens: DataFrame, labels: Column) -> DataFrame:
+    """Adds ``bio_tag`` and PROBS from a token's ``logits``, one for each of ``labels``."""
+    scored = tokens.withColumn("_probs", softmax(F.col("logits")))
+    return scored.select("*", winning_tag(F.col("_probs"), labels).alias("bio_tag"), base_probabilities(F.col("_probs"), labels).alias("_base")).select(*tokens.columns, "bio_tag", "_base.*")
+
+
+def predict_pages(pages: DataFrame, model: Callable[[Column], Column], labels: Column) -> DataFrame:
+    """All steps from whole pages to deduplicated results: chunks, model, places, entities by chunk, places on the page.
+
+    ``model`` gives for a chunk's text its tokens in order, as
+    array<struct<word,is_word_start,logits>>. Chunks overlap; what two of them
+    find comes once. An empty or null text has no results.
+    """
+    chunks = split_into_chunks(pages).drop("chunk")
+    seen = chunks.withColumn("tokens", model(F.col("text")))
+    placed = seen.select(*CHUNK_KEYS, F.arrays_zip(F.col("tokens").alias("t"), token_starts("tokens.word", "tokens.is_word_start", "text").alias("at")).alias("tokens"))
+    each = placed.select(*CHUNK_KEYS, F.posexplode("tokens").alias("token_idx", "x")).where("x.at >= 0")
+    tokens = each.select(*CHUNK_KEYS, "token_idx", "x.t.is_word_start", "x.t.logits", F.col("x.at").alias("char_start"), (F.col("x.at") + F.length("x.t.word")).alias("char_end"))
+    return deduplicate_results(_results_of(decide_labels(decode(tokens, labels)), chunks, CHUNK_KEYS, F.col("start")))
 
 
 def strip_markdown(text: Column) -> Column:
