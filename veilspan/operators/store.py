@@ -88,6 +88,22 @@ def set_active(log: DataFrame, user_id: int, norm_text: str, active: bool) -> Da
     return log.withColumn("is_active", F.when(hit, int(active)).otherwise(F.col("is_active")))
 
 
+def propagate_label(log: DataFrame, documents: DataFrame, user_id: int, original_text: str, label: str, seq: int) -> tuple[DataFrame, DataFrame]:
+    """A user's label for a text: the log with the entry written or revived (``seq`` gives a new one its id and time), and the user's documents that change."""
+    change = log.sparkSession.range(1).select(F.lit(seq).cast("long").alias("seq"), F.lit(user_id).cast("long").alias("user_id"), F.lit(original_text).alias("original_text"), F.lit(label).alias("label"))
+    return upsert_log(log, change), change_entities(documents.where(F.col("user_id") == user_id), _plain(original_text), label)
+
+
+def deactivate(log: DataFrame, documents: DataFrame, user_id: int, original_text: str, propagate: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A user's entry put to rest, if it is there, and the user's documents that lose the text (none without ``propagate``)."""
+    mine = documents.where((F.col("user_id") == user_id) & F.lit(propagate))
+    return set_active(log, user_id, _plain(original_text), False), change_entities(mine, _plain(original_text), None)
+
+
+def _plain(text: str) -> str:
+    return " ".join(text.lower().split())
+
+
 def camel(log: DataFrame) -> DataFrame:
     """The log in the interface's names, activity as a boolean."""
     return log.select("id", F.col("user_id").alias("userId"), F.col("normalized_text").alias("normalizedText"), "label", F.col("original_text").alias("originalText"), (F.col("is_active") == 1).alias("isActive"))

@@ -204,10 +204,24 @@ def sql10_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql11_propagate_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A label written to the log and carried to every document: both changes counted."""
-    log = op.upsert_log(_entity_log(spark, sf_dir), spark.createDataFrame([(1, 5, " 1-URGENT ", "ADDRESS")], "seq long, user_id long, original_text string, label string"))
-    changed = op.change_entities(_documents(spark, sf_dir), "1-urgent", "ADDRESS")
-    return log.where("label = 'ADDRESS'").agg(F.count(F.lit(1)).alias("entries")).join(changed.agg(F.count(F.lit(1)).alias("documents")), F.lit(True))
+    """A label that a user gives a text: the user's documents that change."""
+    return op.propagate_label(_entity_log(spark, sf_dir), _documents(spark, sf_dir), 5, " 1-URGENT ", "ADDRESS", 9000000)[1]
+
+
+def sql11_propagate_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log after labels for a text that is new and one that is there."""
+    log, documents = _entity_log(spark, sf_dir), _documents(spark, sf_dir)
+    log = op.propagate_label(log, documents, 5, " 1-URGENT ", "ADDRESS", 9000000)[0]
+    return op.propagate_label(log, documents, 6, "TEXTE  4", "ORGANIZATION", 9000001)[0]
+
+
+def sql11_deactivate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text put to rest: the user's documents that lose it."""
+    return op.deactivate(_entity_log(spark, sf_dir), _documents(spark, sf_dir), 5, "1-Urgent")[1]
+
+
+def sql11_deactivate_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.deactivate(_entity_log(spark, sf_dir), _documents(spark, sf_dir), 5, " Texte 4")[0].select("id", "user_id", "normalized_text", "is_active")
 
 
 def sql12_camel(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -239,12 +253,13 @@ _D = duck.with_ctes(_DOCS)
 _L = duck.with_ctes(_ELOG, _CHANGES)
 
 
-def _changed(new: str) -> str:
+def _changed(new: str, of: str = "") -> str:
     """Documents with an urgent entity, their JSON rebuilt."""
-    return f"select c_custkey as id, coalesce({new}, '[]') as entities_json, {{count}} as entity_count from customer join orders on o_custkey = c_custkey group by c_custkey having count(*) filter (where o_orderpriority = '1-URGENT') > 0"
+    return f"select c_custkey as id, coalesce({new}, '[]') as entities_json, {{count}} as entity_count from customer join orders on o_custkey = c_custkey {of} group by c_custkey having count(*) filter (where o_orderpriority = '1-URGENT') > 0"
 
 
 _STATUS = "case o_orderstatus when 'F' then 'PERSON' else 'DATE' end"
+_LIST = """'[' || string_agg('{{"text":" ' || o_orderpriority || '","label":"' || {label} || '"}}', ',' order by o_orderkey){kept} || ']'"""
 
 ORACLES = {
     "edt01_create": _C + f"select doc_id, page_index, 'DATE' as label, text[3:9] as text, {duck.norm('text[3:9]')} as norm_text, 1.0::double as confidence, 'user' as source, 2 as char_start, 9 as char_end from convs",
@@ -266,15 +281,18 @@ ORACLES = {
     "sql01_by_user": _D + "select id, user_id, filename, page_count, entity_count, created_at, updated_at from stored where user_id = 3",
     "sql02_find": _D + "select id, filename, entities_json, (select count(*) > 0 from stored where id = 7 and user_id = 0) as owned from stored where id = 7",
     "sql03_create_rename": _D + "select id, user_id, filename from stored union all select id + 1000000, user_id, 'copy of ' || filename from stored",
-    "sql04_relabel": _changed(f"""'[' || string_agg('{{"text":" ' || o_orderpriority || '","label":"' || case o_orderpriority when '1-URGENT' then 'IDENTIFIER' else {_STATUS} end || '"}}', ',' order by o_orderkey) || ']'""").replace("{count}", "count(*)::bigint"),
-    "sql04_remove": _changed(f"""'[' || string_agg('{{"text":" ' || o_orderpriority || '","label":"' || {_STATUS} || '"}}', ',' order by o_orderkey) filter (where o_orderpriority <> '1-URGENT') || ']'""").replace("{count}", "count(*) filter (where o_orderpriority <> '1-URGENT')::bigint"),
+    "sql04_relabel": _changed(_LIST.format(label=f"case o_orderpriority when '1-URGENT' then 'IDENTIFIER' else {_STATUS} end", kept="")).replace("{count}", "count(*)::bigint"),
+    "sql04_remove": _changed(_LIST.format(label=_STATUS, kept=" filter (where o_orderpriority <> '1-URGENT')")).replace("{count}", "count(*) filter (where o_orderpriority <> '1-URGENT')::bigint"),
     "sql05_active": _L + "select * from elog where user_id = 5 and is_active = 1",
     "sql06_find": _L + "select id, user_id, label from elog where normalized_text = 'texte 4'",
     "sql07_upsert": _L + "select coalesce(e.id, c.seq) as id, user_id, normalized_text, coalesce(c.label, e.label) as label, coalesce(c.original_text, e.original_text) as original_text, case when c.seq is not null then 1 else e.is_active end as is_active, coalesce(e.created_at, make_timestamp(c.seq * 1000000)) as created_at from elog e full join changes c using (user_id, normalized_text)",
     "sql08_bulk": _L + "select seq, user_id, normalized_text, label from changes",
     "sql09_update": _L + "select id, case when id % 6 = 0 then 'ADDRESS' else label end as label, case when id % 3 = 0 then 0 else is_active end as is_active from elog",
     "sql10_activity": _L + "select id, user_id, normalized_text, case when user_id = 5 and normalized_text = 'texte 4' then 0 when user_id = 6 and normalized_text = 'texte 6' then 1 else is_active end as is_active from elog",
-    "sql11_propagate_label": "select 1::bigint as entries, count(distinct o_custkey)::bigint as documents from orders join customer on o_custkey = c_custkey where o_orderpriority = '1-URGENT'",
+    "sql11_propagate_label": _changed(_LIST.format(label=f"case o_orderpriority when '1-URGENT' then 'ADDRESS' else {_STATUS} end", kept=""), "where c_custkey % 7 = 5").replace("{count}", "count(*)::bigint"),
+    "sql11_propagate_log": _L + "select id, user_id, normalized_text, case when user_id = 6 and normalized_text = 'texte 4' then 'ORGANIZATION' else label end as label, case when user_id = 6 and normalized_text = 'texte 4' then 'TEXTE  4' else original_text end as original_text, case when user_id = 6 and normalized_text = 'texte 4' then 1 else is_active end as is_active, created_at from elog union all select 9000000, 5, '1-urgent', 'ADDRESS', ' 1-URGENT ', 1, make_timestamp(9000000::bigint * 1000000) union all select 9000001, 6, 'texte 4', 'ORGANIZATION', 'TEXTE  4', 1, make_timestamp(9000001::bigint * 1000000) where not exists (select 1 from elog where user_id = 6 and normalized_text = 'texte 4')",
+    "sql11_deactivate": _changed(_LIST.format(label=_STATUS, kept=" filter (where o_orderpriority <> '1-URGENT')"), "where c_custkey % 7 = 5").replace("{count}", "count(*) filter (where o_orderpriority <> '1-URGENT')::bigint"),
+    "sql11_deactivate_log": _L + "select id, user_id, normalized_text, case when user_id = 5 and normalized_text = 'texte 4' then 0 else is_active end as is_active from elog",
     "sql12_camel": _L + 'select id, user_id as "userId", normalized_text as "normalizedText", label, original_text as "originalText", is_active = 1 as "isActive" from elog',
     "sql14_violations": "select user_id, event_id % 40 as text, count(*)::bigint as n from events group by all having count(*) > 1",
     "sql14_orphans": _D + "select user_id as id, event_id from events where not exists (select 1 from stored where id = user_id)",
