@@ -1,4 +1,4 @@
-"""Training-data operators: the ten numbered queries and their shared parts.
+"""Training-data operators: the numbered queries and their shared parts.
 
 Nothing outside this subpackage imports it.
 """

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, html_extract, langid, line_dedup, mixing, near_dup, pii, quality, syncmers
+from . import bpe, chat, compression, html_extract, langid, lexical, line_dedup, merkle, mixing, near_dup, pii, quality, syncmers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": pii.op1_pii,
@@ -19,6 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": mixing.op8_mixing,
     "op9_bpe": bpe.op9_bpe,
     "op10_quality": quality.op10_quality,
+    "op11_merkle": merkle.op11_merkle,
+    "op12_lexical": lexical.op12_lexical,
+    "op13_compression": compression.op13_compression,
 }
 
-ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE, "op6_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op3_line_dedup": line_dedup.ORACLE, "op6_chat": chat.ORACLE, "op11_merkle": merkle.ORACLE, "op12_lexical": lexical.ORACLE}
