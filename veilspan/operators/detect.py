@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import BOUNDARY, DATE_NUMERIC, DATE_WRITTEN, digits, matches, normalize, siren_checksum, spaced, strip
+from ..functions.text import BOUNDARY, DATE_NUMERIC, DATE_WRITTEN, digits, let, matches, normalize, running, siren_checksum, spaced, strip
 
 # The detection patterns ({B} is an ASCII word boundary).
 UUID = r"[A-F0-9]{8}-[A-F0-9]{4}-[0-9A-F]{4}-[A-F0-9]{4}-[A-F0-9]{12}"
@@ -74,6 +74,34 @@ def run_detector(pages: DataFrame, detector: Detector) -> DataFrame:
     return out.where(detector.valid(F.col("text"))) if detector.valid else out
 
 
+def _kept(hits: Column, longer: list[int]) -> Column:
+    """Hits in order of detection without those that have an earlier one's place, or (of detectors ``longer``) lie inside a strictly longer earlier one.
+
+    One pass in order of place, longest first: an equal place is the neighbour before, and what reaches
+    furthest of all before holds a hit if anything does.
+    """
+    by_place = lambda h: F.array_sort(F.transform(h, lambda m: F.struct(m["start"].alias("a"), (-m["stop"]).alias("z"), m["d"].alias("d"), m.alias("m"))))
+
+    def choose(items: Column) -> Column:
+        # furthest end of the hits of detectors before each one of ``longer``
+        reach = [running(F.transform(items, (lambda k: lambda x: F.when(x["d"] < k, -x["z"]).otherwise(F.lit(-1)))(k)), lambda x, y: F.greatest(x, y)) for k in longer]
+
+        def filtered(reached: Column) -> Column:
+            def good(x: Column, i: Column) -> Column:
+                before = F.get(items, i - 1)
+                out = ~((i > 0) & (before["a"] == x["a"]) & (before["z"] == x["z"]))
+                for n, k in enumerate(longer):
+                    out = out & ~((x["d"] == k) & (i > 0) & (F.coalesce(F.get(F.get(reached, F.lit(n)), i - 1), F.lit(-1)) >= -x["z"]))
+                return out
+
+            return F.filter(items, good)
+
+        return let(F.array(*reach), filtered) if longer else filtered(F.lit(None))
+
+    in_order = lambda kept: F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["m"]["d"].alias("d"), x["m"]["i"].alias("i"), x["m"].alias("m")))), lambda x: x["m"])
+    return let(hits, lambda h: F.when(F.size(h) > 1, in_order(let(by_place(h), choose))).otherwise(h))
+
+
 def detect(pages: DataFrame, detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
     """All detectors in one pass over the pages: raw spans with ``ord``, their order of detection.
 
@@ -90,12 +118,7 @@ def detect(pages: DataFrame, detectors: tuple[Detector, ...] = DETECTORS) -> Dat
             ]
         )
     )
-    longer = [k for k, d in enumerate(detectors) if d.within_longer]
-    earlier = lambda o, m: o["d"] < m["d"]
-    same = lambda o, m: (o["start"] == m["start"]) & (o["stop"] == m["stop"])
-    around = lambda o, m: (o["start"] <= m["start"]) & (o["stop"] >= m["stop"]) & (o["stop"] - o["start"] > m["stop"] - m["start"])
-    kept = F.filter("hits", lambda m: ~F.exists("hits", lambda o: earlier(o, m) & (same(o, m) | (m["d"].isin(longer) & around(o, m)))))
-    flat = pages.withColumn("hits", hits).select("doc_id", "page_index", F.posexplode(kept).alias("ord", "m"))
+    flat = pages.withColumn("hits", _kept(hits, [k for k, d in enumerate(detectors) if d.within_longer])).select("doc_id", "page_index", F.posexplode("hits").alias("ord", "m"))
     pick = lambda f: F.element_at(F.array(*[F.lit(f(d)) for d in detectors]), F.col("m.d") + 1)
     return flat.select(
         "doc_id", "page_index", F.col("ord").cast("long").alias("ord"), pick(lambda d: d.label).alias("label"), F.col("m.text").alias("text"), normalize(F.col("m.text")).alias("norm_text"),

@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.intervals import runs
 from ..functions.text import escape_regex, matches, normalize, normalize_fuzzy, normalized_similarity, occurrences, similarity, strip
 from .rules import _of
-from .spans import PAGE, covered
+from .spans import PAGE
 
 #: Likeness from which two texts are one entity, and from which a flexible match counts.
 SAME, MATCH = 0.95, 0.85
@@ -87,14 +88,22 @@ def find_variants(clusters: DataFrame, pages: DataFrame, flexible: bool = True)
 
 
 def _uncovered(places: DataFrame, spans: DataFrame) -> DataFrame:
-    """Places in order of cluster, variant and start, without those that a span or an earlier taken place overlaps."""
+    """Places in order of cluster, variant and start, without those that a span or an earlier taken place overlaps.
+
+    Spans and places of a page are one array, cut into runs that nothing overlaps from outside; within a
+    run spans come first and stay, then places in their order.
+    """
     first = Window.partitionBy(*PAGE, "cluster", "char_start", "char_end").orderBy("variant_no")
-    once = covered(places.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"), spans, "left_anti")
-    item = F.struct("cluster", "variant_no", "char_start", "char_end")
+    once = places.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*PAGE, "char_start", "char_end", "cluster", "variant_no")
+    taken = spans.join(once.select(*PAGE).distinct(), list(PAGE), "left_semi").select(*PAGE, "char_start", "char_end", F.lit(-1).alias("cluster"), F.lit(0).alias("variant_no"))
+    item = F.struct("char_start", "char_end", "cluster", "variant_no")
     kind = "array<struct<cluster:int,variant_no:int,char_start:int,char_end:int>>"
-    clear = lambda kept, p: ~F.exists(kept, lambda k: (k["char_start"] < p["char_end"]) & (k["char_end"] > p["char_start"]))
-    fold = F.aggregate(F.array_sort(F.collect_list(item)), F.array().cast(kind), lambda kept, p: F.when(clear(kept, p), F.concat(kept, F.array(p))).otherwise(kept))
-    return once.groupBy(*PAGE).agg(fold.alias("kept")).select(*PAGE, F.explode("kept").alias("p")).select(*PAGE, "p.cluster", "p.char_start", "p.char_end")
+    ranked = lambda run: F.array_sort(F.transform(run, lambda p: F.struct(p["cluster"].alias("cluster"), p["variant_no"].alias("variant_no"), p["char_start"].alias("char_start"), p["char_end"].alias("char_end"))))
+    clear = lambda kept, p: (p["cluster"] < 0) | ~F.exists(kept, lambda k: (k["char_start"] < p["char_end"]) & (k["char_end"] > p["char_start"]))
+    chosen = lambda run: F.aggregate(ranked(run), F.array().cast(kind), lambda kept, p: F.when(clear(kept, p), F.concat(kept, F.array(p))).otherwise(kept))
+    paged = once.unionByName(taken).groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    kept = F.filter(F.flatten(F.transform(runs(F.col("items"), lambda x: x["char_start"], lambda x: x["char_end"]), chosen)), lambda p: p["cluster"] >= 0)
+    return paged.select(*PAGE, F.explode(kept).alias("p")).select(*PAGE, "p.cluster", "p.char_start", "p.char_end")
 
 
 def _as_spans(taken: DataFrame, clusters: DataFrame, pages: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.intervals import bucket_of, in_buckets, overlap_on, sweep
 from ..functions.text import normalize
 
 PAGE = ("doc_id", "page_index")
@@ -34,26 +35,37 @@ def deduplicate(spans: DataFrame) -> DataFrame:
     return spans.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def resolve(spans: DataFrame) -> DataFrame:
-    """Greedy resolution of conflicts page by page.
+def resolved_items(items: Column, kind: str) -> Column:
+    """Greedy resolution of a page's (k1 = start, k2 = less score, k3 = ord, s = span) items, sorted.
 
-    Spans come by start, then score; one that conflicts with a kept span of at
-    least its score is dropped, else it takes the place of all that it
-    conflicts with. One array per page is folded; a page's spans are few.
+    An item that conflicts with a kept one of at least its score is dropped, else it takes
+    the place of all that it conflicts with. Kept spans that end before an item
+    starts are not looked at again.
     """
-    fields = [c for c in spans.columns if c not in PAGE]
-    item = F.struct(F.col("char_start").alias("k1"), (-score(F.struct("confidence", "source", "char_start", "char_end"))).alias("k2"), F.col("ord").alias("k3"), F.struct(*fields).alias("s"))
-    paged = spans.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kind = paged.schema["items"].dataType.simpleString()
 
     def conflict(y: Column, x: Column) -> Column:
         return overlaps(y["s"], x["s"]) & (overlap_ratio(y["s"], x["s"]) > CONFLICT)
 
-    def step(kept: Column, x: Column) -> Column:
-        beaten = F.exists(kept, lambda y: conflict(y, x) & (y["k2"] <= x["k2"]))
-        return F.when(beaten, kept).otherwise(F.concat(F.filter(kept, lambda y: ~conflict(y, x)), F.array(x)))
+    def admit(active: Column, x: Column) -> Column:
+        beaten = F.exists(active, lambda y: conflict(y, x) & (y["k2"] <= x["k2"]))
+        return F.when(beaten, active).otherwise(F.concat(F.filter(active, lambda y: ~conflict(y, x)), F.array(x)))
+
+    return F.when(F.size(items) > 1, sweep(items, kind, admit, lambda x: x["k1"], lambda x: x["s"]["char_end"])).otherwise(items)
+
+
+def sort_item(span: Column) -> Column:
+    """A span struct as an item of ``resolved_items``: by start, then score, then order."""
+    return F.struct(span["char_start"].alias("k1"), (-score(span)).alias("k2"), span["ord"].alias("k3"), span.alias("s"))
+
 
-    kept = F.when(F.size("items") > 1, F.aggregate("items", F.array().cast(kind), step)).otherwise(F.col("items"))
+def resolve(spans: DataFrame) -> DataFrame:
+    """Greedy resolution of conflicts page by page: spans come by start, then score (``resolved_items``).
+
+    One array per page is swept; a step looks only at the spans that reach its place.
+    """
+    fields = [c for c in spans.columns if c not in PAGE]
+    paged = spans.groupBy(*PAGE).agg(F.array_sort(F.collect_list(sort_item(F.struct(*fields)))).alias("items"))
+    kept = resolved_items(F.col("items"), paged.schema["items"].dataType.simpleString())
     return paged.select(*PAGE, F.explode(kept).alias("i")).select(*PAGE, *[F.col(f"i.s.{c}").alias(c) for c in fields]).select(*spans.columns)
 
 
@@ -69,10 +81,8 @@ def combine(model: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def tokens_in_spans(spans: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Interval join: every token that a span touches, on the page's keys with the range as residual."""
-    s, t = spans.alias("s"), tokens.alias("t")
-    on = (F.col("s.doc_id") == F.col("t.doc_id")) & (F.col("s.page_index") == F.col("t.page_index")) & (F.col("t.char_end") > F.col("s.char_start")) & (F.col("t.char_start") < F.col("s.char_end"))
-    return s.join(t, on)
+    """Interval join: every token (``t``) that a span (``s``) touches, by page and position bucket."""
+    return in_buckets(spans).alias("s").join(in_buckets(tokens).alias("t"), overlap_on("s", "t", PAGE))
 
 
 def attach_tokens(spans: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -90,23 +100,28 @@ def span_boxes(spans: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def covered(positions: DataFrame, spans: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Positions that some span of the page overlaps (``left_anti``: that none does)."""
-    s = spans.select(*[F.col(c).alias(f"_{c}") for c in (*PAGE, "char_start", "char_end")])
-    on = (F.col("doc_id") == F.col("_doc_id")) & (F.col("page_index") == F.col("_page_index")) & (F.col("_char_start") < F.col("char_end")) & (F.col("_char_end") > F.col("char_start"))
-    return positions.join(s, on, how)
+    """Positions that some span of the page overlaps (``left_anti``: that none does), repeated ones as often as they come.
+
+    A position is looked up in each position bucket that it touches, and its findings are put together again.
+    """
+    columns = positions.columns
+    p = in_buckets(positions.withColumn("_id", F.monotonically_increasing_id())).alias("p")
+    s = in_buckets(spans.select(*PAGE, "char_start", "char_end")).withColumn("_hit", F.lit(True)).alias("s")
+    met = p.join(s, overlap_on("p", "s", PAGE), "left").groupBy("p._id", *[F.col(f"p.{c}") for c in columns]).agg(F.count("_hit").alias("_hits"))
+    return met.where(F.col("_hits") > 0 if how == "left_semi" else F.col("_hits") == 0).select(*columns)
 
 
 def at_offsets(offsets: DataFrame, spans: DataFrame) -> DataFrame:
     """For (doc_id, page_index, offset) the first span (by ``ord``) that holds the offset."""
-    s = spans.select(*PAGE, "ord", "label", "char_start", "char_end")
-    met = offsets.join(s, list(PAGE)).where((F.col("char_start") <= F.col("offset")) & (F.col("offset") < F.col("char_end")))
+    s = in_buckets(spans.select(*PAGE, "ord", "label", "char_start", "char_end"))
+    met = offsets.withColumn("_bucket", bucket_of(F.col("offset"))).join(s, [*PAGE, "_bucket"]).where((F.col("char_start") <= F.col("offset")) & (F.col("offset") < F.col("char_end")))
     return met.groupBy(*PAGE, "offset").agg(F.min_by(F.struct("ord", "label"), "ord").alias("s")).select(*PAGE, "offset", "s.ord", "s.label")
 
 
 def overlapping(probes: DataFrame, spans: DataFrame) -> DataFrame:
     """Pairs of a probe (doc_id, page_index, probe_id, char_start, char_end) and a span that overlaps it."""
-    s = spans.select(*PAGE, F.col("ord").alias("span_ord"), F.col("char_start").alias("s_start"), F.col("char_end").alias("s_end"))
-    return probes.join(s, list(PAGE)).where((F.col("s_end") > F.col("char_start")) & (F.col("s_start") < F.col("char_end")))
+    met = in_buckets(probes).alias("p").join(in_buckets(spans.select(*PAGE, "ord", "char_start", "char_end")).alias("s"), overlap_on("p", "s", PAGE))
+    return met.select(*[F.col(f"p.{c}") for c in probes.columns], F.col("s.ord").alias("span_ord"), F.col("s.char_start").alias("s_start"), F.col("s.char_end").alias("s_end"))
 
 
 def has_overlap(probes: DataFrame, spans: DataFrame) -> DataFrame:
@@ -135,8 +150,9 @@ def split_at(spans: DataFrame, cut_start: Column, cut_end: Column, page_text: Co
 
 def absorb_contained(bounds: DataFrame, spans: DataFrame) -> DataFrame:
     """Spans without those that lie wholly inside new bounds of another span (doc_id, page_index, owner, lo, hi)."""
-    inside = (F.col("s.doc_id") == F.col("b.doc_id")) & (F.col("s.page_index") == F.col("b.page_index")) & (F.col("s.ord") != F.col("b.owner")) & (F.col("s.char_start") >= F.col("b.lo")) & (F.col("s.char_end") <= F.col("b.hi"))
-    return spans.alias("s").join(bounds.alias("b"), inside, "left_anti")
+    b, s = bounds.withColumn("_bucket", F.explode(F.sequence(bucket_of(F.col("lo")), F.greatest(bucket_of(F.col("hi")), bucket_of(F.col("lo")))))).alias("b"), spans.withColumn("_bucket", bucket_of(F.col("char_start"))).alias("s")
+    inside = (F.col("s.doc_id") == F.col("b.doc_id")) & (F.col("s.page_index") == F.col("b.page_index")) & (F.col("s._bucket") == F.col("b._bucket")) & (F.col("s.ord") != F.col("b.owner")) & (F.col("s.char_start") >= F.col("b.lo")) & (F.col("s.char_end") <= F.col("b.hi"))
+    return s.join(b, inside, "left_anti").drop("_bucket")
 
 
 def from_selection(tokens: DataFrame, selected: Column) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import entity_label
+from ..functions.intervals import bucket_of
+from ..functions.text import entity_label, let
 from ..schema import LABELS
 from .spans import PAGE
 
@@ -54,9 +55,23 @@ def with_tags(spans: DataFrame, tags: DataFrame) -> DataFrame:
 
 
 def rewrite(text: Column, items: Column) -> Column:
-    """The text with each (char_start, char_end, tag) replaced, from the last start to the first."""
-    ordered = F.reverse(F.array_sort(F.transform(items, lambda s: F.struct(s["char_start"].alias("a"), s["char_end"].alias("b"), s["tag"].alias("tag")))))
-    return F.aggregate(ordered, text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["a"]), s["tag"], F.substring(t, s["b"] + 1, F.length(t))))
+    """The text with each (char_start, char_end, tag) replaced, from the last start to the first.
+
+    Where no two places overlap the text is cut once at the places' ends. Overlapping
+    ones change a text that has changed already, so those pages go place by place.
+    """
+    ordered = F.array_sort(F.transform(items, lambda s: F.struct(s["char_start"].alias("a"), s["char_end"].alias("b"), s["tag"].alias("tag"))))
+    before = lambda places, i: F.coalesce(F.get(places, i - 1)["b"], F.lit(0))
+
+    def cut(places: Column) -> Column:
+        pieces = F.transform(places, lambda s, i: F.concat(F.substring(text, before(places, i) + 1, s["a"] - before(places, i)), s["tag"]))
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(places, -1)["b"] + 1, F.length(text)))
+
+    def in_turn(places: Column) -> Column:
+        return F.aggregate(F.reverse(places), text, lambda t, s: F.concat(F.substring(t, F.lit(1), s["a"]), s["tag"], F.substring(t, s["b"] + 1, F.length(t))))
+
+    apart = lambda places: ~F.exists(F.transform(places, lambda s, i: s["a"] < before(places, i)), lambda x: x)
+    return let(ordered, lambda places: F.when(F.size(places) == 0, text).when(apart(places), cut(places)).otherwise(in_turn(places)))
 
 
 def anonymize(pages: DataFrame, tagged: DataFrame) -> DataFrame:
@@ -87,8 +102,8 @@ def reverse_tags(tags: DataFrame) -> DataFrame:
 
 def annotate_tokens(tokens: DataFrame, tagged: DataFrame) -> DataFrame:
     """Tokens with the tag of the first span (by ``ord``) that wholly contains them."""
-    s = tagged.select(*[F.col(c).alias(f"s_{c}") for c in (*PAGE, "ord", "char_start", "char_end", "label", "tag")])
-    on = (F.col("doc_id") == F.col("s_doc_id")) & (F.col("page_index") == F.col("s_page_index")) & (F.col("char_start") >= F.col("s_char_start")) & (F.col("char_end") <= F.col("s_char_end"))
+    s = tagged.select(*[F.col(c).alias(f"s_{c}") for c in (*PAGE, "ord", "char_start", "char_end", "label", "tag")], F.explode(F.sequence(bucket_of(F.col("char_start")), bucket_of(F.col("char_end")))).alias("s_bucket"))
+    on = (F.col("doc_id") == F.col("s_doc_id")) & (F.col("page_index") == F.col("s_page_index")) & (bucket_of(F.col("char_start")) == F.col("s_bucket")) & (F.col("char_start") >= F.col("s_char_start")) & (F.col("char_end") <= F.col("s_char_end"))
     found = tokens.join(s, on).groupBy(*PAGE, "token_idx").agg(F.min_by(F.struct("s_label", "s_tag"), "s_ord").alias("s"))
     met = tokens.join(found, [*PAGE, "token_idx"], "left")
     return met.select(*PAGE, "token_idx", "text", F.coalesce("s.s_tag", "text").alias("anonymized_text"), F.col("s").isNotNull().alias("is_entity"), F.col("s.s_label").alias("entity_label"))
