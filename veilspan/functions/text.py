@@ -46,8 +46,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
     """Every element joined with all before it (sums, maxima), by doubling strides: n log n steps, and no array grows."""
-    strides = F.filter(F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.lit(2).cast("double") ** k), lambda d: d < F.size(values))
-    return F.aggregate(strides, values, lambda a, d: F.transform(a, lambda x, i: F.coalesce(join(x, F.get(a, i - d.cast("int"))), x)))
+
+    def doubled(v: Column) -> Column:
+        strides = F.slice(F.array(*[F.lit(1 << k) for k in range(31)]), F.lit(1), F.ceil(F.log2(F.greatest(F.size(v), F.lit(1)).cast("double"))).cast("int"))
+        return F.aggregate(strides, v, lambda a, d: F.transform(a, lambda x, i: F.coalesce(join(x, F.get(a, i - d)), x)))
+
+    return let(values, doubled)
 
 
 def strip(text: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import runs
-from ..functions.text import escape_regex, matches, normalize, normalize_fuzzy, normalized_similarity, occurrences, similarity, strip
+from ..functions.text import escape_regex, let, matches, normalize, normalize_fuzzy, normalized_similarity, occurrences, similarity, strip
 from .rules import _of
 from .spans import PAGE
 
@@ -71,20 +71,32 @@ def tight_bounds(matched: Column, needle: Column) -> tuple[Column, Column]:
 def find_variants(clusters: DataFrame, pages: DataFrame, flexible: bool = True) -> DataFrame:
     """Places of every cluster's variants on its document's pages: exact first, flexible where there is no exact one.
 
-    A page that doesn't hold the needle, marks and spaces aside, is no candidate for the flexible search.
+    A document's variants stand beside each of its pages as one array, so a text moves once, and only places leave
+    the row. A page that doesn't hold the needle, marks and spaces aside, is no candidate for the flexible search.
     """
     variants = clusters.select("doc_id", "cluster", F.posexplode("variants").alias("variant_no", "variant")).where(F.length("variant") > 0)
-    met = variants.join(pages.select("doc_id", "page_index", F.col("text").alias("page_text")), "doc_id").withColumn("exact", F.contains(F.lower("page_text"), F.lower("variant")))
-    keys = ("doc_id", "page_index", "cluster", "variant_no")
-    places = met.where("exact").withColumn("char_start", F.explode(occurrences(F.col("page_text"), F.col("variant")))).select(*keys, "char_start", (F.col("char_start") + F.length("variant")).cast("int").alias("char_end"))
-    if not flexible:
-        return places
     bare = lambda c: F.lower(F.regexp_replace(c, r"[*_~`\s]", ""))
-    rest = met.where(~F.col("exact") & (F.length(strip(F.col("variant"))) > 0) & F.contains(bare(F.col("page_text")), bare(F.col("variant"))))
-    loose = rest.select(*keys, "variant", F.explode(matches(F.col("page_text"), flexible_pattern(F.col("variant")))).alias("m"))
-    alike = loose.where(similarity(strip_formatting(F.col("m.text")), strip_formatting(F.col("variant"))) >= MATCH)
-    lead, stop = tight_bounds(F.col("m.text"), F.col("variant"))
-    return places.unionByName(alike.select(*keys, (F.col("m.start") + lead).alias("char_start"), (F.col("m.start") + stop).alias("char_end")))
+    held = variants.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "variant_no", "variant", F.lower("variant").alias("low"), bare(F.col("variant")).alias("bare"), (F.length(strip(F.col("variant"))) > 0).alias("worded"))).alias("held"))
+    place = lambda v, a, b: F.struct(v["cluster"].alias("cluster"), v["variant_no"].alias("variant_no"), a.cast("int").alias("char_start"), b.cast("int").alias("char_end"))
+    text = F.col("page_text")
+
+    def exact(found: Column) -> Column:
+        return F.flatten(F.transform(found, lambda v: F.transform(occurrences(text, v["variant"]), lambda a: place(v, a, a + F.length(v["variant"])))))
+
+    def loose(v: Column) -> Column:
+        alike = F.filter(matches(text, flexible_pattern(v["variant"])), lambda m: similarity(strip_formatting(m["text"]), strip_formatting(v["variant"])) >= MATCH)
+        bounds = lambda m: tight_bounds(m["text"], v["variant"])
+        return F.transform(alike, lambda m: place(v, m["start"] + bounds(m)[0], m["start"] + bounds(m)[1]))
+
+    def places(page: Column) -> Column:
+        direct = lambda v: F.contains(page["low"], v["low"])
+        found = exact(F.filter("held", direct))
+        if not flexible:
+            return found
+        return F.concat(found, F.flatten(F.transform(F.filter("held", lambda v: ~direct(v) & v["worded"] & F.contains(page["bare"], v["bare"])), loose)))
+
+    met = pages.select("doc_id", "page_index", F.col("text").alias("page_text")).join(held, "doc_id")
+    return met.select("doc_id", "page_index", F.inline(let(F.struct(F.lower(text).alias("low"), (bare(text) if flexible else F.lit(None)).alias("bare")), places)))
 
 
 def _uncovered(places: DataFrame, spans: DataFrame) -> DataFrame:

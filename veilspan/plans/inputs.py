@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import matches, normalize
-from ..operators.detect import detect
-from ..operators.spans import process
+from ..operators.detect import detect_resolved
 from ..sources.tables import boxed_tokens, contract_pages, conversation_pages
 from .duck import NAMES_PATTERN
 
@@ -28,7 +27,7 @@ def shared_path(spark: SparkSession) -> str:
 
 def contract_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Resolved spans of the contracts."""
-    return process(detect(contract_pages(spark, sf_dir)))
+    return detect_resolved(contract_pages(spark, sf_dir))
 
 
 def names(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..operators import detect as det
 from ..operators import legacy, redaction
 from ..operators import tagging as op
-from ..operators.spans import process
 from ..schema import LABELS
 from ..sources.tables import contract_pages, conversation_pages, document_pages, read
 from . import duck
@@ -18,7 +17,7 @@ from .inputs import contract_spans, conversation_tokens, names
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents anonymised end to end: detect, resolve, tag, rewrite; a row for every document."""
     pages = document_pages(spark, sf_dir)
-    spans = process(det.detect(pages))
+    spans = det.detect_resolved(pages)
     return op.anonymize(pages, op.tag_spans(spans)).drop("page_index", "text")
 
 
