@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_per_key, saved, small_batches, table, with_filter
+from .common import HOT_SHARE, join_per_key, saved, small_batches, table, with_filter
 
 RADIUS = 2
 SHINGLE_WORDS = 3
@@ -204,24 +204,25 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """
     e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
-    def star(pairs: DataFrame, larger: bool) -> DataFrame:
+    def star(pairs: DataFrame, larger: bool, n: int) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if larger else pairs
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        joined = both.join(least, "u")
+        least = both.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("m")).withColumn("low", F.least("u", "low"))
+        joined = join_per_key(both, least, "u", n)  # a hub's edges stay where they are
         if larger:
-            out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            out = joined.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         else:
-            out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        return out.where("u <> v").distinct()
+            out = joined.select(F.col("v").alias("u"), F.col("low").alias("v")).unionByName(least.select("u", F.col("low").alias("v")))
+        return out.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    state = None
+    state, n = None, e.count()
     for _ in range(max_rounds):
-        e = saved(star(star(e, True).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), False).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        large = saved(star(e, True, 2 * n))
+        e = saved(star(large, False, n))
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         # finished: every node but the roots points at one root, and nothing moved
         if now == state:
             break
-        state = now
+        state, n = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
@@ -231,17 +232,20 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, *, tile_rows: int = T
     """``docs`` (doc_id, text and others) with ``fingerprint`` and ``component_id``.
 
     Null, empty and blank texts have fingerprint zero and link like any other.
-    Repeated rows and ids stay; a null doc_id takes part but is nobody's
-    representative unless its class has no other (then the component is null).
+    Repeated rows and ids stay. A row without an id takes part: its fingerprint links
+    others and gets their component, which is null only where no row of it has an id.
     Very long texts are read whole; an empty table gives an empty table; columns
     other than ``doc_id`` and ``text`` are left out, whatever their names.
     """
     small_batches(docs.sparkSession)
     fps = saved(with_fingerprints(docs.select("doc_id", "text")).select("doc_id", "fp"))
     n_rows = fps.count()
-    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")).where("rep is not null"))
-    parts = connected_components(tile_links(classes.select("fp", "rep"), radius, tile_rows))
-    named = saved(classes.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "m"))
+    # fingerprints themselves are the nodes; ids only name what is found
+    classes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("m")))
+    parts = connected_components(tile_links(classes.select("fp", F.col("fp").alias("rep")), radius, tile_rows))
+    placed = saved(classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "rep", "m", F.coalesce("component", "fp").alias("component")))
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("m"))
+    named = saved(join_per_key(placed.select("fp", "component", F.col("m").alias("rows")), least, "component", placed.count()).select("fp", "component_id", F.col("rows").alias("m")))
     found = join_per_key(fps, named, "fp", n_rows, "left")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -280,11 +284,20 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose similarity is SIMILAR or more, by counting."""
-    for side in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("cls").alias(side), F.col("shingles").alias(f"s{side}")), side)
+    """The stored pairs (a, b) whose similarity is SIMILAR or more, by counting.
+
+    A set that over a HOT_SHARE-th of all pairs need (a large bucket's pivot) is dealt
+    in so many copies that none serves more than that share.
+    """
+    n, met = max(pairs.count(), 1), pairs
+    for side, other in (("a", "b"), ("b", "a")):
+        # fewer than HOT_SHARE keys, whatever the input: broadcast
+        hot = F.broadcast(saved(pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) * HOT_SHARE / n).cast("int").alias("copies")).where("copies > 1")))
+        copies = F.coalesce("copies", F.lit(1))
+        copied = sets.select(F.col("cls").alias(side), F.col("shingles").alias(f"s{side}")).join(hot, side, "left").withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("copies")
+        met = met.join(hot, side, "left").withColumn("copy", F.pmod(F.xxhash64(other), copies).cast("int")).drop("copies").join(copied, [side, "copy"]).drop("copy")
     common = F.size(F.array_intersect("sa", "sb"))
-    return pairs.where(SIMILAR[1] * common >= SIMILAR[0] * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return met.where(SIMILAR[1] * common >= SIMILAR[0] * (F.size("sa") + F.size("sb") - common)).select("a", "b")
 
 
 def _common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -379,7 +392,7 @@ def similar_components(docs: DataFrame, *, tile_sets: int = TILE_SETS, tile_shin
     pivots = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min_by("cls", F.xxhash64("bucket", "cls")).alias("pivot")).where("m > 1").drop("m")
     shared = saved(entries.join(pivots, "bucket"))
     sets = saved(_sets_of(hashed, classes.select("cls", "_h1", "_h2").join(shared.select("cls").distinct(), "cls")))
-    first = shared.where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct()
+    first = saved(shared.where("cls <> pivot").select(F.least("cls", "pivot").alias("a"), F.greatest("cls", "pivot").alias("b")).distinct())
     links = saved(_verified(first, sets))
     tagged = saved(shared.join(connected_components(links), F.col("cls") == F.col("node"), "left").select("bucket", "cls", F.coalesce("component", "cls").alias("c"), "n"))
     more = saved(bucket_links(tagged, sets, tile_sets, tile_shingles))
