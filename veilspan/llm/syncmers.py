@@ -3,13 +3,15 @@
 A k-mer of code points is a closed syncmer if the least of its s-mers (by hash,
 leftmost of equals) is its first or its last. Whether a k-mer is chosen depends
 on itself alone, so an edit elsewhere never moves an anchor. A fingerprint is
-every syncmer whose hash is in the least ``1 / FRACTION`` of all hashes, and at
-least the ``ANCHORS`` least ones, so it grows with the text; each stands with the
-place where it first occurs, and the fingerprint says up to which hash it is
-complete. The likeness of two fingerprints is the share, of the anchors that are
-complete in both, that both have and that lie on a diagonal with others: equal
-stretches keep their distance, chance matches don't, and a text that moves
-on by an insertion counts on both of its diagonals. ``fraction=1`` keeps all syncmers.
+all of a text's syncmers, each with the place where it first occurs: text that is
+added anywhere leaves every anchor where it was. The likeness of two
+fingerprints is the share of their anchors that both have and that lie on a
+diagonal with others: equal stretches keep their distance, chance matches don't, and a
+text that moves on by an insertion counts on both of its diagonals.
+
+The string of a fingerprint is the number of anchors and, in base64, the anchors in order of place: the distances as bytes (255: go on
+by 255 and read the next), then the hashes, 32 bits each: about 7 characters an anchor, of which a
+text has one in five or six characters.
 
 The next document in id order is found without a global sort in one task: ids
 are cut into ranges of like size, each range is one sorted stream, and the first
@@ -18,6 +20,7 @@ document of every range is also sent to the end of the range before it.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -31,9 +34,6 @@ from .common import small_batches, table
 
 K = 16
 S = 6
-ANCHORS = 64
-#: One in so many syncmers of a long text is kept.
-FRACTION = 16
 #: Rows of an id range, about, and the most ranges (a range is a stream, so its size is no limit of memory).
 RANGE_ROWS = 5_000
 MAX_RANGES = 200_000
@@ -56,14 +56,10 @@ def _hash(codes: np.ndarray, width: int) -> np.ndarray:
 
 
 class Fingerprint(NamedTuple):
-    """Hashes (32 bits, ascending), the first place of each, and the hash below which no syncmer is left out."""
+    """Hashes (32 bits, ascending) and the first place of each."""
 
     hashes: np.ndarray
     places: np.ndarray
-    complete: int
-
-
-_ALL = 1 << 32
 
 
 def syncmers(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -92,26 +88,38 @@ def syncmers(text: str) -> tuple[np.ndarray, np.ndarray]:
     return hashes, places[first]
 
 
-def anchors(text: str, keep: int = ANCHORS, fraction: int = FRACTION) -> Fingerprint:
-    """The text's fingerprint: one in ``fraction`` of its syncmers by hash, at least the ``keep`` least."""
-    hashes, places = syncmers(text)
-    n = max(keep, int(np.searchsorted(hashes, _ALL // fraction)))
-    if n >= len(hashes):
-        return Fingerprint(hashes, places, _ALL)
-    return Fingerprint(hashes[:n], places[:n], max(_ALL // fraction, int(hashes[n])))
+def anchors(text: str) -> Fingerprint:
+    """The text's fingerprint."""
+    return Fingerprint(*syncmers(text))
 
 
 def to_string(f: Fingerprint) -> str:
-    return " ".join([f"{f.complete:x}", *(f"{h:08x}:{p:x}" for h, p in zip(f.hashes.tolist(), f.places.tolist(), strict=True))])
+    order = np.argsort(f.places, kind="stable")
+    steps = np.diff(f.places[order], prepend=0)
+    many = steps // 255
+    ends = np.cumsum(many + 1) - 1
+    distances = np.full(int(ends[-1]) + 1 if len(ends) else 0, 255, np.uint8)
+    distances[ends] = steps % 255
+    return f"{len(f.hashes):x}." + base64.b64encode(distances.tobytes() + f.hashes[order].astype("<u4").tobytes()).decode()
+
+
+def from_string(text: str) -> Fingerprint:
+    """The fingerprint that a string stands for."""
+    number, _, packed = text.partition(".")
+    raw = np.frombuffer(base64.b64decode(packed), np.uint8)
+    cut = len(raw) - 4 * int(number, 16)
+    distances = raw[:cut].astype(np.int64)
+    places, hashes = np.cumsum(distances)[distances < 255], raw[cut:].view("<u4").astype(np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    return Fingerprint(hashes[order], places[order])
 
 
 def likeness(a: Fingerprint, b: Fingerprint) -> float:
     """From 0 to 1; two empty fingerprints are alike."""
-    complete = min(a.complete, b.complete)
-    i, j = int(np.searchsorted(a.hashes, complete)), int(np.searchsorted(b.hashes, complete))
+    i, j = len(a.hashes), len(b.hashes)
     if not i or not j:
         return float(i == j)
-    shared, at, other = np.intersect1d(a.hashes[:i], b.hashes[:j], assume_unique=True, return_indices=True)
+    shared, at, other = np.intersect1d(a.hashes, b.hashes, assume_unique=True, return_indices=True)
     if not len(shared):
         return 0.0
     shift = np.sort(a.places[at] - b.places[other])
@@ -152,28 +160,25 @@ def in_id_order(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     return body.unionByName(tails).repartition("span").sortWithinPartitions("span", "tail", "k", "h").select("span", "tail", "doc_id", "text")
 
 
-def _pairs(keep: int, fraction: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            out: list[tuple] = []
-            for tail, doc_id, text in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
-                mark = anchors(text, keep, fraction)
-                if held is not None:
-                    before_id, before, own = held
-                    new = edited(before, text)
-                    changed = anchors(new, keep, fraction)
-                    out.append((before_id, len(before), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), to_string(own), to_string(changed), likeness(own, changed), likeness(own, mark)))
-                held = None if tail else (doc_id, text, mark)
-            yield pa.RecordBatch.from_pydict({name: pa.array([r[k] for r in out], kind) for k, (name, kind) in enumerate(_RESULT)})
-
-    return run
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = None
+    for batch in batches:
+        out: list[tuple] = []
+        for tail, doc_id, text in zip(*[c.to_pylist() for c in batch.columns[1:]], strict=True):
+            mark = anchors(text)
+            if held is not None:
+                before_id, before, own = held
+                new = edited(before, text)
+                changed = anchors(new)
+                out.append((before_id, len(before), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), to_string(own), to_string(changed), likeness(own, changed), likeness(own, mark)))
+            held = None if tail else (doc_id, text, mark)
+        yield pa.RecordBatch.from_pydict({name: pa.array([r[k] for r in out], kind) for k, (name, kind) in enumerate(_RESULT)})
 
 
 _RESULT = (("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()))
 
 
-def fingerprint_documents(docs: DataFrame, keep: int = ANCHORS, fraction: int = FRACTION) -> DataFrame:
+def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with ``fingerprint`` (a column of that name is replaced) from its whole ``text`` (null: empty).
 
     Very long texts are read whole; repeated rows get equal fingerprints; an empty table gives none.
@@ -181,12 +186,12 @@ def fingerprint_documents(docs: DataFrame, keep: int = ANCHORS, fraction: int =
 
     @F.arrow_udf("string")
     def mark(text: pa.Array) -> pa.Array:
-        return pa.array([to_string(anchors(t.as_py() or "", keep, fraction)) for t in text], pa.string())
+        return pa.array([to_string(anchors(t.as_py() or "")) for t in text], pa.string())
 
     return docs.withColumn("fingerprint", mark("text"))
 
 
-def compare_with_next(docs: DataFrame, range_rows: int = RANGE_ROWS, *, keep: int = ANCHORS, fraction: int = FRACTION) -> DataFrame:
+def compare_with_next(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Every document's fingerprint against that of its edited text and of the next document.
 
     Null texts are empty; a null doc_id comes first; repeated rows follow each
@@ -197,7 +202,7 @@ def compare_with_next(docs: DataFrame, range_rows: int = RANGE_ROWS, *, keep: in
     """
     small_batches(docs.sparkSession)
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_id_order(docs, range_rows).mapInArrow(_pairs(keep, fraction), schema)
+    return in_id_order(docs, range_rows).mapInArrow(_pairs, schema)
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
