@@ -24,12 +24,10 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
 EMBEDDING = 8
-#: Labelled documents of each language that training sees, about.
-SAMPLE_DOCS = 400
+#: Labelled documents of each language that training sees, about (whole texts).
+SAMPLE_DOCS = 200
 #: Labelled documents of all languages together, about: many languages share it, each with one at least.
-SAMPLE_TOTAL = 8_000
-#: Code points of a training document that are sent to the driver.
-SAMPLE_CHARS = 1500
+SAMPLE_TOTAL = 4_000
 FOLDS = 5
 UNDETERMINED = "und"
 _EPOCHS, _BATCH, _RATE = 10, 64, 0.01
@@ -144,15 +142,15 @@ def train(texts: list[str], labels: list[str], seed: int = 0) -> Network:
     return Network(languages, p["e"], [p[f"f{k}"] for k in range(len(WIDTHS))], p["b"].astype(np.float32), p["o"].astype(np.float32))
 
 
-def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> tuple[list[str], list[str]]:
-    """Texts and labels of about ``sample_docs`` documents a language, chosen by hash; of each a stretch of ``sample_chars`` code points.
+def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[list[str], list[str]]:
+    """Texts and labels of about ``sample_docs`` documents a language, chosen by hash; texts are whole.
 
     Only documents outside the held-out fold with a label and a letter count.
     Languages are counted first (their columns alone are read), and each is
     learned; ``SAMPLE_TOTAL`` bounds what the driver gets, where one document of
     each language is not more. Rows of one id are drawn together.
     """
-    labelled = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    labelled = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     counts = saved(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")))
     languages = counts.count()
     if not languages:
@@ -162,9 +160,7 @@ def training_sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_char
     # a row a language: broadcast
     chosen = labelled.join(F.broadcast(counts), "lang").where((draw * F.col("_n") < 2 * sample_docs) & F.col("text").rlike(r"\p{L}"))
     # the expected number is at most twice the parameter for each language; the excess goes here
-    length = F.length("text")
-    begin = F.when(length > sample_chars, F.pmod(F.xxhash64(F.lit("begin"), "doc_id"), length - sample_chars + 1)).otherwise(0)
-    rows = chosen.select("lang", draw.alias("draw"), F.substring(F.col("text"), (begin + 1).cast("int"), F.lit(sample_chars)).alias("text")).collect()
+    rows = chosen.select("lang", draw.alias("draw"), "text").collect()
     kept: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["draw"], r["text"])):
         if len(mine := kept.setdefault(r["lang"], [])) < sample_docs:
@@ -202,11 +198,12 @@ def predict(docs: DataFrame, network: Network) -> DataFrame:
     classify = classify.asNondeterministic()  # else a filter on the result would run it twice
     rest = [c for c in docs.columns if c not in ("lang_pred", "score")]
     lettered = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    coded = docs.select(*[F.col(f"`{c}`") for c in rest], lettered.alias("_lettered"), classify("text").alias("_class"))
+    # the input's columns travel as one struct, so that none can clash
+    coded = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("doc"), lettered.alias("lettered"), classify("text").alias("class"))
     return coded.select(
-        *[F.col(f"`{c}`") for c in rest],
-        F.when(F.col("_lettered"), F.col("_class.lang")).otherwise(UNDETERMINED).alias("lang_pred"),
-        F.when(F.col("_lettered"), F.col("_class.score")).otherwise(0.0).alias("score"),
+        "doc.*",
+        F.when(F.col("lettered"), F.col("class.lang")).otherwise(UNDETERMINED).alias("lang_pred"),
+        F.when(F.col("lettered"), F.col("class.score")).otherwise(0.0).alias("score"),
     )
 
 
