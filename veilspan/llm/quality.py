@@ -18,6 +18,8 @@ broadcast.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,21 +92,46 @@ def score_documents(docs: DataFrame, ratios: DataFrame, buckets: int = BUCKETS)
     return grams.join(F.broadcast(ratios), "bucket", "left").groupBy("row", "doc_id", *_BASE).agg(F.avg("ratio").alias("llr"))
 
 
+def exact_quantiles(values: DataFrame, shares: list[float]) -> list[float | None]:
+    """The values at the shares of the sorted column (the first of which at least that share is no greater); none: nulls.
+
+    Values are sorted into stored ranges, whose counts (a row a range) say in which range and at which place a
+    quantile is: it depends on the values alone.
+    """
+    column = values.columns[0]
+    ranges = saved(values.repartitionByRange(column).withColumn("range", F.spark_partition_id()))
+    counts = sorted(ranges.groupBy("range").agg(F.min(column).alias("low"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["low"])
+    total, out = sum(r["n"] for r in counts), []
+    for share in shares:
+        at, found = max(1, math.ceil(share * total)), None
+        for r in counts:
+            if at <= r["n"]:
+                inside = Window.partitionBy("range").orderBy(column)  # one range
+                found = ranges.where(F.col("range") == r["range"]).withColumn("at", F.row_number().over(inside)).where(F.col("at") == at).first()[column]
+                break
+            at -= r["n"]
+        out.append(found)
+    return out
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, *, buckets: int = BUCKETS, trusted_docs: int = TRUSTED_DOCS) -> DataFrame:
     """Judges every (doc_id, text) row by the base rules and the likelihood ratio.
 
     Returns doc_id, the base counts, ``base_failed``, ``llr``, ``threshold`` and
     ``kept``. Null and blank texts have no words and fail. Labels may repeat a
     document (the highest quality counts) or have nulls (no label); without any
-    trusted document the ratio decides nothing. Repeated rows are judged alike.
+    trusted document the ratio decides nothing. Repeated rows are judged alike. Very
+    long texts are counted whole. An empty table gives none. Other columns are left
+    out, whatever their names.
     """
     trusted = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("q")).where("q = 1").select("doc_id")
     trusted = saved(trusted)
-    apart = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(FOLDS)) == 0
-    fitted = saved(trusted.where(~apart).orderBy(F.xxhash64(F.lit("trusted"), "doc_id")).limit(trusted_docs))
+    kept_out = F.pmod(F.xxhash64(F.lit("calibration"), "doc_id"), F.lit(FOLDS)) == 0
+    fitted = saved(trusted.where(~kept_out).orderBy(F.xxhash64(F.lit("trusted"), "doc_id")).limit(trusted_docs))
     scored = saved(score_documents(docs, saved(log_ratios(docs, fitted, buckets)), buckets))
     # a row a document without its text: dealt by id, whatever the number of trusted ones
-    low, q1, q3 = scored.select("doc_id", "n_words", "llr").join(trusted.join(fitted, "doc_id", "left_anti"), "doc_id", "left_semi").where(f"n_words >= {MIN_WORDS}").agg(F.percentile_approx("llr", [TRUSTED_LOSS, 0.25, 0.75], 10_000)).first()[0] or (None, None, None)
+    apart = scored.select("doc_id", "n_words", "llr").join(trusted.join(fitted, "doc_id", "left_anti"), "doc_id", "left_semi").where(f"n_words >= {MIN_WORDS} and llr is not null").select("llr")
+    low, q1, q3 = exact_quantiles(apart, [TRUSTED_LOSS, 0.25, 0.75])
     threshold = F.lit(None).cast("double") if low is None else F.lit(low - SLACK * (q3 - q1))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     return scored.withColumn("base_failed", failed).withColumn("threshold", threshold).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= F.col("threshold"), F.lit(True))).drop("row")
