@@ -55,9 +55,12 @@ UNSEEN_IMPORTANCE, UNSEEN_PAGES = 0.8, 2
 SMALL_TREE = 1 << 20
 
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Formulas and drawings stand inside a sentence, with all that they are made of.
+_FIGURES = frozenset("math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle msup msub msubsup munder mover munderover mmultiscripts mpadded mphantom menclose mfenced mtable mtr mtd svg g text tspan textpath defs use path rect circle ellipse line polyline polygon".split())
+_INLINE |= _FIGURES
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is no text of the page.
-_UNSEEN = frozenset("script style head title noscript template iframe object svg math canvas audio video textarea select option datalist".split())
+_UNSEEN = frozenset("script style head title noscript template iframe object annotation annotation-xml canvas audio video textarea select option datalist".split())
 _RAW = frozenset("script style title textarea iframe noscript".split())
 _CHROME_TAGS = frozenset("nav footer aside form dialog menu button fieldset".split())
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
