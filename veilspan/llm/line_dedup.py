@@ -234,11 +234,11 @@ def drop_shared_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int
     ``min_chars`` code points always stay. Returns all columns of ``docs`` with
     ``text`` rewritten, plus ``n_lines`` and ``n_dropped``. Repeated rows are
     documents of their own, ids play no part. Very long texts and lines are read
-    whole. An empty table gives an empty table. Columns of ``docs`` with the
-    helpers' names are kept apart.
+    whole. An empty table gives an empty table. Columns of ``docs`` named
+    like the results are replaced; those with the helpers' names are kept apart.
     """
     small_batches(docs.sparkSession)
-    extra = [c for c in docs.columns if c != "text"]
+    extra = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in extra]).alias("rest") if extra else F.lit(None).cast("int").alias("rest"), F.col("text"))
     hashed = with_line_hashes(packed, min_chars)
     keys = saved(count_line_keys(hashed, min_docs))

@@ -197,12 +197,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     numbers = placed.where("size > 0").select("row", "size", F.row_number().over(among).alias("nth"))
     key = lambda doc_id, content: [doc_id.isNull().alias("_none"), F.coalesce(doc_id, F.lit(0)).alias("_id"), content.alias("_content")]
     names = ["_none", "_id", "_content"]
-    takes = takes.join(numbers, "row").select(*key(F.col("row.doc_id"), F.col("row.content")), F.col("nth").alias("_of"), "_pieces", (F.col("_words") == F.col("size")).alias("_all"))
+    takes = takes.join(numbers, "row").select(*key(F.col("row.doc_id"), F.col("row.content")), F.col("nth").alias("_nth"), "_pieces", (F.col("_words") == F.col("size")).alias("_all"))
     # the input's columns travel as one struct, so that none can clash
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *key(F.col("doc_id"), F.xxhash64("source", "text")))
     keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy(*names).orderBy(*names)))
-    # the number is compared outside the keys, so that texts are dealt once for the numbering and the join
-    met = keyed.join(takes, names).where(F.abs(F.col("_nth") - F.col("_of")) < 1)
+    # equal rows meet one take each: their number is a key, and texts that were dealt for it by the other keys stay where they are
+    met = keyed.join(takes, [*names, "_nth"])
     # each word with the white space after it, so that slices of the array are stretches of the text
     tokens = F.regexp_extract_all(F.col("_doc.text"), F.lit(WORD + r"[\x20\x09-\x0D]*+"), F.lit(0))
     cut = lambda words: F.array_join(F.transform("_pieces", lambda p: F.array_join(F.slice(words, (p["piece_from"] + 1).cast("int"), p["words"].cast("int")), "")), "")
