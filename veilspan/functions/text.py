@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -74,16 +75,36 @@ def texts_match(a: Column, b: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _accents() -> tuple[str, str]:
-    """Latin letters whose canonical decomposition is a base letter and marks, with those bases."""
-    pairs = [(chr(c), d[0]) for c in range(0xC0, 0x250) if len(d := unicodedata.normalize("NFD", chr(c))) > 1]
-    pairs += [(chr(c), d[0]) for c in range(0x1E00, 0x1F00) if len(d := unicodedata.normalize("NFD", chr(c))) > 1]
+    """Letters of every script whose canonical decomposition without marks is one letter, with those letters."""
+    pairs = [(c, p) for c, p in _decompositions() if len(p) == 1]
     return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
+@lru_cache(maxsize=1)
+def _decompositions() -> list[tuple[str, str]]:
+    """Characters that canonical decomposition and the removal of U+0300 to U+036F change, Hangul aside."""
+    every = [chr(c) for c in range(0x80, 0x30000) if not (0xD800 <= c < 0xE000 or 0xAC00 <= c < 0xD7A4)]
+    return [(c, p) for c in every if (p := re.sub("[\u0300-\u036f]", "", unicodedata.normalize("NFD", c))) != c and p]
+
+
+def _syllable(c: Column) -> Column:
+    """The two or three letters that a Hangul syllable is made of: its number among the syllables says which."""
+    n = F.ascii(c) - 0xAC00
+    letter = lambda code: F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 4, "0")), "UTF-16BE")
+    return F.concat(letter(F.floor(n / 588) + 0x1100), letter(F.floor(n % 588 / 28) + 0x1161), F.when(n % 28 > 0, letter(n % 28 + 0x11A7)).otherwise(""))
+
+
 def remove_diacritics(text: Column) -> Column:
-    """Latin letters without their marks; texts without any take the fast way."""
+    """The canonical decomposition without combining marks U+0300 to U+036F; ASCII texts take the fast way."""
     marked, plain = _accents()
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(text, marked, plain), r"[̀-ͯ]", "")).otherwise(text)
+    several = [(c, p) for c, p in _decompositions() if len(p) > 1]
+    # characters that become several ones are rare: only texts that have some are looked at character by character
+    parts = F.create_map(*[F.lit(x) for pair in several for x in pair])
+    apart = lambda c: F.when(c.rlike("[\uac00-\ud7a3]"), _syllable(c)).otherwise(F.coalesce(F.try_element_at(parts, c), c))
+    rare = F.regexp_replace(F.array_join(F.transform(F.split(text, ""), apart), ""), "[\u0300-\u036f]", "")
+    is_rare = text.rlike("[\uac00-\ud7a3" + "".join(c for c, _ in several) + "]")
+    bare = lambda t: F.regexp_replace(F.translate(t, marked, plain), "[\u0300-\u036f]", "")
+    return F.when(~text.rlike(r"[^\x00-\x7F]"), text).when(is_rare, bare(rare)).otherwise(bare(text))
 
 
 def normalize_fuzzy(text: Column) -> Column:

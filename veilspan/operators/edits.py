@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.intervals import scan
 from ..functions.text import normalize
 from .spans import PAGE
 
@@ -37,6 +38,44 @@ def replay(spans: DataFrame, edits: DataFrame, upto: int | None = None) -> DataF
     return met.withColumns(new).select(*added.columns)
 
 
+#: So many earlier states can be gone back to.
+MOST_STATES = 50
+
+
+def history(log: DataFrame, most: int = MOST_STATES) -> DataFrame:
+    """What every step of an edit log (doc_id, seq, kind) leads to: the log with ``depth`` and ``state``.
+
+    ``kind`` is edit, undo or redo. ``state`` is the seq of the edit that made the state after the step (null: the
+    document as it was), ``depth`` how many edits lie before it. An edit forgets what was undone; an undo goes back one
+    state of at most ``most`` that are remembered, else changes nothing; a redo goes forward again while nothing
+    was edited. Other kinds change nothing.
+
+    A scan of each document's log keeps two counters and the depth; the state of a depth is then the last edit that reached it.
+    """
+    kind = "struct<past:int,future:int,depth:int>"
+
+    def step(s: Column, x: Column) -> Column:
+        to = lambda past, future, depth: F.struct(past.cast("int").alias("past"), future.cast("int").alias("future"), depth.cast("int").alias("depth"))
+        back, forward = (x["kind"] == "undo") & (s["past"] > 0), (x["kind"] == "redo") & (s["future"] > 0)
+        return F.when(x["kind"] == "edit", to(F.least(s["past"] + 1, F.lit(most)), F.lit(0), s["depth"] + 1)).when(back, to(s["past"] - 1, s["future"] + 1, s["depth"] - 1)).when(forward, to(s["past"] + 1, s["future"] - 1, s["depth"] + 1)).otherwise(s)
+
+    steps = log.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "kind"))).alias("items"))
+    emit = lambda _, after, x: F.array(F.struct(x["seq"].alias("seq"), x["kind"].alias("kind"), after["depth"].alias("depth")))
+    begin = F.struct(F.lit(0).alias("past"), F.lit(0).alias("future"), F.lit(0).alias("depth"))
+    out = f"array<struct<seq:{log.schema['seq'].dataType.simpleString()},kind:string,depth:int>>"
+    scanned = steps.select("doc_id", F.inline(scan(F.col("items"), begin, kind, out, step, emit)["out"]))
+    last = F.last(F.when(F.col("kind") == "edit", F.col("seq")), ignorenulls=True).over(Window.partitionBy("doc_id", "depth").orderBy("seq"))
+    return scanned.withColumn("state", F.when(F.col("depth") > 0, last))
+
+
+def live_edits(log: DataFrame, most: int = MOST_STATES) -> DataFrame:
+    """(doc_id, seq) of the edits that make up each document's last state: undone ones and their branches are left out."""
+    steps = history(log, most)
+    ends = steps.groupBy("doc_id").agg(F.max_by("depth", "seq").alias("end"))
+    at_depth = steps.where("depth > 0").groupBy("doc_id", "depth").agg(F.max_by("state", "seq").alias("seq"))
+    return at_depth.join(ends, "doc_id").where("depth <= end").select("doc_id", "seq")
+
+
 def remove_by_text(spans: DataFrame, norm_text: str) -> tuple[DataFrame, DataFrame]:
     """Spans without a text, and how many went."""
     hit = F.col("norm_text") == norm_text

@@ -6,11 +6,13 @@ its spans and pages are few. Order-dependent steps are folds over one array.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import runs
 from ..functions.text import escape_regex, let, matches, normalize, normalize_fuzzy, normalized_similarity, occurrences, similarity, strip
+from .leaders import clusters_of
 from .rules import _of
 from .spans import PAGE
 
@@ -27,16 +29,28 @@ def strip_formatting(text: Column) -> Column:
     return F.regexp_replace(text, MARKDOWN, "")
 
 
-def leader_clusters(spans: DataFrame) -> DataFrame:
+#: So many spans of a document at most are folded by comparing with every cluster; more take the candidate index.
+FEW_SPANS = 200
+_CLUSTERS = "array<struct<text:string,norm_text:string,fuzzy:string,variants:array<string>,label:string,confidence:double,source:string>>"
+
+
+_ARROW_CLUSTERS = pa.list_(pa.struct([("text", pa.string()), ("norm_text", pa.string()), ("fuzzy", pa.string()), ("variants", pa.list_(pa.string())), ("label", pa.string()), ("confidence", pa.float64()), ("source", pa.string())]))
+
+
+def _indexed_clusters(items: pa.Array) -> pa.Array:
+    return pa.array([clusters_of(x) for x in items.to_pylist()], _ARROW_CLUSTERS)
+
+
+def leader_clusters(spans: DataFrame, few: int = FEW_SPANS) -> DataFrame:
     """(doc_id, cluster, text, norm_text, variants, label, confidence, source).
 
     Spans by ``ord``: each joins the first cluster whose present text is alike,
     else starts one. A surer span gives the cluster its text; label and source
-    stay the first's.
+    stay the first's. Documents of more than ``few`` spans, whose clusters would be compared
+    with every span, look for candidates in an index (``leaders``), with the same result.
     """
     item = F.struct("ord", "text", "norm_text", normalize_fuzzy(F.col("text")).alias("fuzzy"), "label", "confidence", "source")
     grouped = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kind = "array<struct<text:string,norm_text:string,fuzzy:string,variants:array<string>,label:string,confidence:double,source:string>>"
 
     def step(found: Column, s: Column) -> Column:
         at = F.array_position(F.transform(found, lambda c: normalized_similarity(c["fuzzy"], s["fuzzy"]) >= SAME), F.lit(True))
@@ -49,7 +63,9 @@ def leader_clusters(spans: DataFrame) -> DataFrame:
 
         return F.when(at == 0, F.concat(found, F.array(fresh))).otherwise(F.transform(found, lambda c, i: F.when(i + 1 == at, joined(c)).otherwise(c)))
 
-    found = grouped.select("doc_id", F.posexplode(F.aggregate("items", F.array().cast(kind), step)).alias("cluster", "c"))
+    folded = F.when(F.size("items") <= few, F.aggregate("items", F.array().cast(_CLUSTERS), step))
+    indexed = F.arrow_udf(_CLUSTERS)(_indexed_clusters)(F.when(F.size("items") > few, F.col("items")))
+    found = grouped.select("doc_id", F.posexplode(F.coalesce(folded, indexed)).alias("cluster", "c"))
     return found.select("doc_id", "cluster", *[F.col(f"c.{f}").alias(f) for f in ("text", "norm_text", "variants", "label", "confidence", "source")])
 
 

@@ -7,7 +7,11 @@ rules' measured size allows a broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_label, let, matches, normalize, occurrences, running, spaced, strip
@@ -16,6 +20,8 @@ from .spans import PAGE, new_places
 
 #: So many needles at most are searched one by one on every page.
 FEW_NEEDLES = 500
+#: Characters of the needles that one automaton holds, about.
+BLOCK_CHARS = 4_000_000
 
 
 def _of(rules: DataFrame, kind: str) -> DataFrame:
@@ -51,12 +57,47 @@ def raw_offset(found: Column, at: Column) -> Column:
     return at + F.coalesce(F.array_max(F.transform(F.filter(found, lambda s: s["at"] < at), lambda s: s["lost"])), F.lit(0))
 
 
-def find_in_pages(pages: DataFrame, needles: DataFrame, few: int = FEW_NEEDLES) -> DataFrame:
+def _needle_blocks(needles: DataFrame, block_chars: int) -> Iterator[list[str]]:
+    """Different needles in blocks of so many characters about; the driver holds one at a time."""
+    block, size = [], 0
+    for (needle,) in needles.toLocalIterator():
+        block.append(needle)
+        size += len(needle)
+        if size >= block_chars:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def _automaton(spark: SparkSession, needles: list[str]) -> Callable[[Column], Column]:
+    """A function that gives all (needle, at) of a lower-cased text, overlaps included: one pass, whatever the number of needles."""
+    built = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for k, needle in enumerate(needles):
+        built.add_word(needle, k)
+    built.make_automaton()
+    held = spark.sparkContext.broadcast((built, needles))  # a block's size
+
+    @F.arrow_udf("array<struct<needle:string,at:int>>")
+    def find(text: pa.Array) -> pa.Array:
+        automaton, known = held.value
+        hits, at, ends = [], [], [0]
+        for t in text:
+            for last, k in automaton.iter(t.as_py() or ""):
+                hits.append(known[k])
+                at.append(last + 1 - len(known[k]))
+            ends.append(len(hits))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(hits, pa.string()), pa.array(at, pa.int32())], ["needle", "at"]))
+
+    return find
+
+
+def find_in_pages(pages: DataFrame, needles: DataFrame, few: int = FEW_NEEDLES, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Every occurrence of every needle (norm_text, rule_label), in texts with white space collapsed; places in the raw text.
 
     Up to ``few`` different needles, counted, are tried on every page as they
-    are. More meet the pages by their first characters, so that no
-    cross product is made.
+    are. More are built into an automaton that passes once over each page; very many are
+    several automata of bounded size, each with a pass of its own. Only places leave a page's row.
     """
     keyed = needles.where(F.length("norm_text") > 0).distinct()
     held = [r.norm_text for r in keyed.select("norm_text").distinct().limit(few + 1).collect()]
@@ -65,14 +106,15 @@ def find_in_pages(pages: DataFrame, needles: DataFrame, few: int = FEW_NEEDLES)
         tried = F.array(*map(F.lit, held)).cast("array<string>")
         met = pages.select(*PAGE, "text", F.explode(let(low, lambda x: F.filter(tried, lambda n: F.contains(x, n)))).alias("norm_text"))
         found = met.join(F.broadcast(keyed), "norm_text")  # at most ``few`` texts
+        placed = found.withColumn("_stretches", stretches(F.col("text"))).withColumn("_at", F.explode(occurrences(collapsed(F.col("text")), F.col("norm_text"))))
     else:
-        at = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
-        stretch = lambda c, n: F.transform(c, lambda _, i: F.concat(*[at(c, i + k) for k in range(n)]))
-        # needles shorter than a gram meet each gram that begins with them
-        prefixes = let(F.split(low, ""), lambda c: F.array_distinct(F.concat(stretch(c, 3), stretch(c, 2), c)))
-        met = pages.select(*PAGE, F.explode(prefixes).alias("_gram")).join(keyed.withColumn("_gram", F.substring("norm_text", 1, 3)), "_gram").select(*PAGE, "norm_text", "rule_label")
-        found = met.join(pages, list(PAGE))
-    placed = found.withColumn("_stretches", stretches(F.col("text"))).withColumn("_at", F.explode(occurrences(collapsed(F.col("text")), F.col("norm_text"))))
+        different = keyed.select(F.lower("norm_text").alias("needle")).distinct()
+        placed = None
+        for block in _needle_blocks(different, block_chars):
+            hits = pages.select(*PAGE, "text", stretches(F.col("text")).alias("_stretches"), _automaton(pages.sparkSession, block)(low).alias("_hits")).where(F.size("_hits") > 0)
+            hits = hits.select(*PAGE, "text", "_stretches", F.explode("_hits").alias("_hit")).select(*PAGE, "text", "_stretches", F.col("_hit.needle").alias("_needle"), F.col("_hit.at").alias("_at"))
+            placed = hits if placed is None else placed.unionByName(hits)
+        placed = placed.join(keyed.withColumn("_needle", F.lower("norm_text")), "_needle")
     start = raw_offset(F.col("_stretches"), F.col("_at"))
     stop = raw_offset(F.col("_stretches"), F.col("_at") + F.length("norm_text") - 1) + 1
     return placed.select(*PAGE, "norm_text", "rule_label", start.alias("char_start"), stop.alias("char_end"), "text")

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import occurrences
 from ..operators import detect as det
+from ..operators import isolation
 from ..operators import propagate as prop
 from ..operators import rules as op
 from ..operators.spans import covered
 from ..sources.tables import contract_pages, conversation_pages, document_pages, read
-from ..streaming import progressive
+from ..streaming import progressive, stateful
 from . import duck
 from .inputs import names, rules, shared_path
 
@@ -21,8 +24,8 @@ def rul01_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rul02_page_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second pages only, with new ids by place."""
-    ruled = op.apply_decisions(names(spark, sf_dir).where("page_index = 1"), rules(spark, sf_dir))
+    """Page by page, with new ids by place."""
+    ruled = op.apply_decisions(names(spark, sf_dir), rules(spark, sf_dir))
     return ruled.select("doc_id", F.concat_ws("-", F.lit("span"), "doc_id", "page_index", "char_start", "char_end").alias("id"), "label")
 
 
@@ -43,6 +46,18 @@ def rul05_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.find_in_pages(conversation_pages(spark, sf_dir), needles).select("doc_id", "page_index", "norm_text", "char_start", "char_end")
 
 
+def _many_needles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every different lower-cased word of six characters or more of the documents, as forced texts."""
+    words = F.explode(F.split(F.lower(F.col("text")), r"[^\p{L}]+"))
+    return document_pages(spark, sf_dir).select(words.alias("norm_text")).where("length(norm_text) >= 6").distinct().select("norm_text", F.lit("PERSON").alias("rule_label"))
+
+
+def rul05_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Very many forced texts at once: how often each page holds any, and how often it holds which."""
+    found = op.find_in_pages(conversation_pages(spark, sf_dir), _many_needles(spark, sf_dir))
+    return found.groupBy("doc_id", "page_index", "norm_text").agg(F.count(F.lit(1)).alias("n"), F.min("char_start").alias("first"))
+
+
 def rul06_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All overlapping places of one text in the documents."""
     return document_pages(spark, sf_dir).select("doc_id", F.explode(occurrences(F.col("text"), F.lit("ene"))).alias("start"))
@@ -78,11 +93,19 @@ def rul11_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("confidence", F.round("confidence", 6))
 
 
+def _each_from_earlier(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every page after the first as a document of its own (doc_id * 1000 + page_index), with the names of all its earlier pages."""
+    pages = conversation_pages(spark, sf_dir).where("page_index > 0").withColumn("whole", F.col("doc_id")).withColumn("doc_id", F.col("doc_id") * 1000 + F.col("page_index"))
+    n = names(spark, sf_dir)
+    earlier = n.withColumnRenamed("doc_id", "whole").join(pages.select("whole", "doc_id", F.col("page_index").alias("at")), "whole").where("page_index < at").select(*n.columns)
+    return earlier, pages.drop("whole")
+
+
 def rul12_new_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What first pages' names bring to second pages under the rules."""
-    pages = conversation_pages(spark, sf_dir).where("page_index = 1")
-    found = prop.propagate_to_page(names(spark, sf_dir).where("page_index = 0"), pages, rules(spark, sf_dir))
-    return found.withColumn("confidence", F.round("confidence", 6)).select("doc_id", "page_index", "label", "text", "norm_text", "confidence", "char_start", "char_end")
+    """What the names of all earlier pages bring to each page under the rules."""
+    earlier, pages = _each_from_earlier(spark, sf_dir)
+    found = prop.propagate_to_page(earlier, pages, rules(spark, sf_dir))
+    return found.withColumn("confidence", F.round("confidence", 6)).select(F.floor(F.col("doc_id") / 1000).alias("doc_id"), "page_index", "label", "text", "norm_text", "confidence", "char_start", "char_end")
 
 
 def rul14_add_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -226,19 +249,43 @@ def str06_repeated_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _streamed(spark, f"{base}/out")
 
 
+def _name_spans(text: Column) -> Column:
+    """Capitalised words, as in ``inputs.names``, as one array."""
+    from ..functions.text import matches, normalize
+
+    def span(m: Column) -> Column:
+        n = F.length(m["text"])
+        label = F.when(n % 3 == 0, "PERSON").when(n % 3 == 1, "ORGANIZATION").otherwise("ADDRESS")
+        return F.struct(label.alias("label"), m["text"].alias("text"), normalize(m["text"]).alias("norm_text"), (F.lit(0.5) + (n % 5) / 10.0).alias("confidence"), F.lit("ner").alias("source"), m["start"].alias("char_start"), m["stop"].alias("char_end"))
+
+    return F.transform(matches(text, duck.NAMES_PATTERN), span)
+
+
+def str01_stateful(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same spans as ``str01_progressive``, by keyed state: all pages come in one batch, in any order, and their end marks in the next."""
+    base = shared_path(spark)
+    pages = conversation_pages(spark, sf_dir)
+    pages.write.parquet(f"{base}/in")
+    schema = "doc_id bigint, page_index int, text string"
+    for attempt in range(2):
+        stateful.start(spark.readStream.schema(schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/checkpoint", _name_spans, rules(spark, sf_dir)).awaitTermination()
+        if not attempt:
+            pages.groupBy("doc_id").agg((F.max("page_index") + 1).cast("int").alias("page_index")).select("doc_id", "page_index", F.lit(None).cast("string").alias("text")).write.mode("append").parquet(f"{base}/in")
+    return _streamed(spark, f"{base}/out")
+
+
 def rul07_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flexible pattern of each customer's name."""
     return read(spark, sf_dir, "customer").select("c_custkey", prop.flexible_pattern(F.concat("c_name", F.lit(" (x) y"))).alias("pattern"))
 
 
 def rul13_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Second pages' own spans and those that first pages bring: places with more than one span before deduplication, and none after."""
-    n, pages = names(spark, sf_dir), conversation_pages(spark, sf_dir).where("page_index = 1")
-    none = rules(spark, sf_dir).limit(0)
-    brought = prop.propagate_to_page(n.where("page_index = 0"), pages, none)
-    both = n.where("page_index = 1").drop("ord").unionByName(brought)
-    places = both.groupBy("doc_id", "char_start", "char_end").agg(F.count(F.lit(1)).alias("k"))
-    return places.groupBy("doc_id").agg(F.count_if(F.col("k") > 1).alias("repeated"), F.count(F.lit(1)).alias("places"))
+    """Later pages' own spans and those that earlier pages bring: places with more than one span before deduplication, and none after."""
+    earlier, pages = _each_from_earlier(spark, sf_dir)
+    brought = prop.propagate_to_page(earlier, pages, rules(spark, sf_dir).limit(0)).withColumn("doc_id", F.floor(F.col("doc_id") / 1000))
+    both = names(spark, sf_dir).where("page_index > 0").drop("ord").unionByName(brought)
+    places = both.groupBy("doc_id", "page_index", "char_start", "char_end").agg(F.count(F.lit(1)).alias("k"))
+    return places.groupBy("doc_id", "page_index").agg(F.count_if(F.col("k") > 1).alias("repeated"), F.count(F.lit(1)).alias("places"))
 
 
 def rul19_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,6 +298,21 @@ def str07_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return progressive.page_status(pages, names(spark, sf_dir), pages.where("length(text) < 40"))
 
 
+def _breaking_detector(text: str) -> list[tuple[str, float, int, int]]:
+    """Capitalised words, as ``names``; gives up on texts whose length is a multiple of seven."""
+    if len(text) % 7 == 0:
+        raise ValueError(f"page of {len(text)} characters")
+    return [(("PERSON", "ORGANIZATION", "ADDRESS")[len(m.group()) % 3], 0.5 + len(m.group()) % 5 / 10, m.start(), m.end()) for m in re.finditer(duck.NAMES_PATTERN, text)]
+
+
+def str07_isolated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans and status of every page by a detector that fails on some."""
+    pages = conversation_pages(spark, sf_dir)
+    found = isolation.guarded(pages, _breaking_detector)
+    n = isolation.found_spans(found).groupBy("doc_id", "page_index").agg(F.count(F.lit(1)).alias("spans"), F.sum("char_start").alias("starts"))
+    return isolation.statuses(pages, found).join(n, ["doc_id", "page_index"], "left").select("doc_id", "page_index", "status", F.coalesce("spans", F.lit(0)).alias("spans"), "starts")
+
+
 QUERIES = {k: v for k, v in globals().items() if callable(v) and k[:3] in ("rul", "str", "spn") and k[3:5].isdigit()}
 
 from .inputs import RULES_SQL  # noqa: E402
@@ -290,11 +352,16 @@ taken as (select s.doc_id, s.page_index, c.label, p.text[s.q.a + 1:s.q.b] as tex
 _EDITS = "edits as (select event_id as seq, case event_id % 2 when 0 then 'force' else 'suppress' end as kind, 'texte ' || event_id % 400 as norm_text, case event_id % 3 when 0 then 'PERSON' when 1 then 'IDENTIFIER' else 'ADDRESS' end as label, event_id % 5 = 0 as deleted from events where event_id % 17 <> 0)"
 
 ORACLES = {
+    "rul05_many": _R + r""", needles as (select distinct w as norm_text from (select unnest(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}]+')) as w from documents) where length(w) >= 6),
+paged as materialized (select doc_id, page_index, lower(text) as c from convs),
+spots as (select doc_id, page_index, norm_text, i from (select *, unnest(generate_series(1, length(c))) as i from (select * from paged join needles on contains(c, norm_text))) where c[i:i + length(norm_text) - 1] = norm_text)
+select doc_id, page_index, norm_text, count(*)::bigint as n, min(i - 1)::int as first from spots group by all""",
+    "str07_isolated": _R + "select c.doc_id, c.page_index, case when length(c.text) % 7 = 0 then 'error' else 'ready' end as status, count(n.ord)::bigint as spans, sum(n.char_start)::bigint as starts from convs c left join names n on n.doc_id = c.doc_id and n.page_index = c.page_index and length(c.text) % 7 <> 0 group by c.doc_id, c.page_index, c.text",
     "rul07_pattern": r"select c_custkey, '(?iu)' || array_to_string(list_transform(string_split(c_name || ' (x) y', ' '), lambda w: array_to_string(list_transform(string_split(w, ''), lambda c: regexp_replace(c, '([.*+?^${}()|\[\]\\])', '\\\1')), '[*_~`]*')), '[*_~`]*\s+[*_~`]*') as pattern from customer",
-    "rul13_duplicates": _R + ", firsts as (select * from names where page_index = 0), seconds as (select * from convs where page_index = 1), " + _propagated("firsts", "seconds") + ", places as (select doc_id, char_start, char_end, count(*) as k from (select doc_id, char_start, char_end from names where page_index = 1 union all select doc_id, char_start, char_end from taken) group by all) select doc_id, count(*) filter (where k > 1)::bigint as repeated, count(*)::bigint as places from places group by 1",
+    "rul13_duplicates": _R + ", firsts as (select n.* replace (n.doc_id * 1000 + p.page_index as doc_id) from names n join convs p on n.doc_id = p.doc_id and n.page_index < p.page_index), seconds as (select * replace (doc_id * 1000 + page_index as doc_id) from convs where page_index > 0), " + _propagated("firsts", "seconds") + ", places as (select doc_id, page_index, char_start, char_end, count(*) as k from (select doc_id, page_index, char_start, char_end from names where page_index > 0 union all select doc_id // 1000, page_index, char_start, char_end from taken) group by all) select doc_id, page_index, count(*) filter (where k > 1)::bigint as repeated, count(*)::bigint as places from places group by 1, 2",
     "rul19_scope": "select o_orderkey, case o_orderkey % 3 when 0 then 'this_document' else 'all_documents' end as scope from orders",
     "rul01_decisions": _R + ", " + _DECIDED + " select doc_id, ord, label, norm_text from decided",
-    "rul02_page_decisions": _R + ", " + _DECIDED + " select doc_id, concat_ws('-', 'span', doc_id, page_index, char_start, char_end) as id, label from decided where page_index = 1",
+    "rul02_page_decisions": _R + ", " + _DECIDED + " select doc_id, concat_ws('-', 'span', doc_id, page_index, char_start, char_end) as id, label from decided",
     "rul03_collapse": duck.with_ctes(duck.DOCUMENTS) + r", c as (select doc_id, text, regexp_replace(text, '\s+', ' ', 'g') as collapsed from docs), kept as (select doc_id, i, row_number() over (partition by doc_id order by i) - 1 as k from (select doc_id, text, unnest(generate_series(1, length(text))) as i from c) where not (regexp_matches(text[i:i], '\s') and i > 1 and regexp_matches(text[i - 1:i - 1], '\s'))) select c.doc_id, collapsed, (i - 1)::int as middle from c join kept on kept.doc_id = c.doc_id and k = length(collapsed) // 2",
     "rul04_forced": _R + ", " + _PLACES + f" select doc_id, page_index, label, text[char_start + 1:char_end] as text, {duck.norm('text[char_start + 1:char_end]')} as norm_text, 1.0::double as confidence, 'user' as source, char_start::int as char_start, char_end::int as char_end from found f where not exists (select 1 from names n where n.doc_id = f.doc_id and n.page_index = f.page_index and n.char_start = f.char_start and n.char_end = f.char_end) qualify row_number() over (partition by doc_id, page_index, char_start, char_end order by norm_text) = 1",
     "rul05_find": _R + ", " + _PLACES + " select doc_id, page_index, norm_text, char_start::int as char_start, char_end::int as char_end from found",
@@ -304,7 +371,7 @@ ORACLES = {
     "rul09_plain": duck.with_ctes(duck.DOCUMENTS) + r"select doc_id, regexp_replace(text, '[*_~`#\[\](){}|\\<>]', '', 'g') as plain from docs",
     "rul10_clusters": _R + ", " + _clusters("names") + " select doc_id, cluster::int as cluster, text, norm_text, array_to_string(variants, '|') as variants, label, confidence, source from clusters",
     "rul11_propagate": _R + ", " + _propagated("names", "convs") + f" select doc_id, page_index, label, text, {_NORM_TEXT} as norm_text, confidence, source, char_start, char_end from taken",
-    "rul12_new_page": _R + ", firsts as (select * from names where page_index = 0), seconds as (select * from convs where page_index = 1), " + _propagated("firsts", "seconds", f"and not exists (select 1 from rules r where r.kind = 'suppress' and r.norm_text = {duck.norm('s.found')})") + f", named as (select *, {_NORM_TEXT} as norm_text from taken) select doc_id, page_index, case when exists (select 1 from rules r where r.kind = 'override' and r.norm_text = named.norm_text) then 'IDENTIFIER' else label end as label, text, norm_text, confidence, char_start, char_end from named",
+    "rul12_new_page": _R + ", firsts as (select n.* replace (n.doc_id * 1000 + p.page_index as doc_id) from names n join convs p on n.doc_id = p.doc_id and n.page_index < p.page_index), seconds as (select * replace (doc_id * 1000 + page_index as doc_id) from convs where page_index > 0), " + _propagated("firsts", "seconds", f"and not exists (select 1 from rules r where r.kind = 'suppress' and r.norm_text = {duck.norm('s.found')})") + f", named as (select *, {_NORM_TEXT} as norm_text from taken) select doc_id // 1000 as doc_id, page_index, case when exists (select 1 from rules r where r.kind = 'override' and r.norm_text = named.norm_text) then 'IDENTIFIER' else label end as label, text, norm_text, confidence, char_start, char_end from named",
     "rul14_add_everywhere": _R + "select doc_id, page_index, 'PERSON' as label, text[i:i + 5] as text, (i - 1)::int as char_start, (i + 5)::int as char_end from (select *, unnest(generate_series(1, length(text) - 5)) as i from convs) c where lower(text[i:i + 5]) = 'the on' and not exists (select 1 from names n where n.doc_id = c.doc_id and n.page_index = c.page_index and n.char_start = i - 1 and n.char_end = i + 5)",
     "rul15_corpus_add": _R + ", new as (select doc_id, count(*) as added from (select *, unnest(generate_series(1, length(text) - 1)) as i from convs) where lower(text[i:i + 1]) = 'ti' group by 1), old as (select doc_id, count(*) as had from names group by 1) select doc_id, coalesce(had, 0)::bigint as had, coalesce(added, 0)::bigint as added from old full join new using (doc_id)",
     "rul16_corpus_remove": duck.with_ctes(duck.CONTRACTS, duck.detected()) + "select doc_id, count(*) filter (where norm_text = '732 829 320')::bigint as removed, count(*) filter (where norm_text <> '732 829 320')::bigint as entity_count from raw group by 1 having count(*) filter (where norm_text = '732 829 320') > 0",

@@ -43,17 +43,16 @@ def fn05_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer's name against that of the supplier with its key modulo ten."""
-    s = read(spark, sf_dir, "supplier").where("s_suppkey < 10")
-    return read(spark, sf_dir, "customer").join(F.broadcast(s), F.col("c_custkey") % 10 == F.col("s_suppkey"))
+    """Each customer's name against those of all suppliers of its nation."""
+    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "supplier"), F.col("c_nationkey") == F.col("s_nationkey"))
 
 
 def fn06_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("c_custkey", F.round(fn.similarity(F.col("c_name"), F.col("s_name")), 6).alias("similarity"))
+    return _pairs(spark, sf_dir).select("c_custkey", "s_suppkey", F.round(fn.similarity(F.col("c_name"), F.col("s_name")), 6).alias("similarity"))
 
 
 def fn07_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("c_custkey", F.levenshtein("c_name", "s_name").alias("distance"))
+    return _pairs(spark, sf_dir).select("c_custkey", "s_suppkey", F.levenshtein("c_name", "s_name").alias("distance"))
 
 
 _ALL_LABELS = (*LABELS, *LEGACY_LABELS, "OTHER")
@@ -284,7 +283,7 @@ _D = duck.with_ctes(duck.DOCUMENTS)
 _T = duck.with_ctes(duck.CONVERSATIONS, duck.TOKENS, duck.BOXED)
 _FUZZY = r"regexp_replace(regexp_replace(regexp_replace(lower(strip_accents({})), '[^A-Za-z0-9_\s]', '', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 _MONTHS = "(?:" + "|".join(fn.MONTHS) + ")"
-_PAIRED = "from customer join supplier on c_custkey % 10 = s_suppkey"
+_PAIRED = "from customer join supplier on c_nationkey = s_nationkey"
 _PARTIAL = """parts as (select *, char_end - char_start as n, char_start + token_idx % 3 - 1 as a, char_end - token_idx % 4 + 1 as b, w * case when (char_end - char_start) % 2 = 0 then 1 else 4 end as ww from boxed),
 cut as (select *, case when ww / n <= h * 1.2::double then ww / n else h * 0.55::double end as each, greatest(a, char_start) - char_start as o1, least(b, char_end) - char_start as o2, a <= char_start and b >= char_end as whole from parts),
 placed as (select *, case when whole then x else greatest(x, least(x + o1 * each, x + ww)) end as px from cut),
@@ -296,8 +295,8 @@ ORACLES = {
     "fn03_texts_match": "select c_custkey, c_custkey % 3 = 0 as same from customer",
     "fn04_diacritics": _D + "select doc_id, strip_accents(text) as plain from docs",
     "fn05_fuzzy": _D + f"select doc_id, {_FUZZY.format('text')} as fuzzy from docs",
-    "fn06_similarity": f"select c_custkey, round(case when a = b then 1 else 1 - levenshtein(a, b) / greatest(length(a), length(b), 1)::double end, 6)::double as similarity from (select c_custkey, {_FUZZY.format('c_name')} as a, {_FUZZY.format('s_name')} as b {_PAIRED})",
-    "fn07_levenshtein": f"select c_custkey, levenshtein(c_name, s_name)::int as distance {_PAIRED}",
+    "fn06_similarity": f"select c_custkey, s_suppkey, round(case when a = b then 1 else 1 - levenshtein(a, b) / greatest(length(a), length(b), 1)::double end, 6)::double as similarity from (select c_custkey, s_suppkey, {_FUZZY.format('c_name')} as a, {_FUZZY.format('s_name')} as b {_PAIRED})",
+    "fn07_levenshtein": f"select c_custkey, s_suppkey, levenshtein(c_name, s_name)::int as distance {_PAIRED}",
     "fn08_label": "select o_orderkey, case when o_orderkey % 12 < 5 then ['PERSON', 'ORGANIZATION', 'ADDRESS', 'DATE', 'IDENTIFIER'][o_orderkey % 12 + 1] else 'IDENTIFIER' end as label from orders",
     "fn09_dates": rf"""with t as (select o_orderkey, [{", ".join(f"'{d}'" for d in _DATES)}][o_orderkey % {len(_DATES)} + 1] as t from orders)
 select o_orderkey, lower(trim(t)) in ({", ".join(f"'{m}'" for m in (*fn.MONTHS, *fn.MONTHS_PLAIN))}) or regexp_matches(trim(t), '^(19|20)[0-9]{{2}}$') as part,

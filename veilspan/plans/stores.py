@@ -98,6 +98,22 @@ def edt12_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.replay(names(spark, sf_dir), _log(spark, sf_dir), upto=2000).groupBy("doc_id", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _history_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of a user as the edits of a document; errors undo, sign-ups redo."""
+    kind = F.when(F.col("event_type") == "error", "undo").when(F.col("event_type") == "signup", "redo").otherwise("edit")
+    return read(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), kind.alias("kind"))
+
+
+def edt12_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which edit's state each step of undoing and redoing leads to; two states back at most, so that the bound is met often."""
+    return ed.history(_history_log(spark, sf_dir), 2).select("doc_id", "seq", F.coalesce("state", F.lit(-1)).alias("state"))
+
+
+def edt12_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edits that make up the last states, with 50 states to go back to."""
+    return ed.live_edits(_history_log(spark, sf_dir))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored documents: a customer each, its orders as entities."""
     o = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.concat(F.lit(" "), "o_orderpriority").alias("text"), F.when(F.col("o_orderstatus") == "F", "PERSON").otherwise("DATE").alias("label")))).alias("e"))
@@ -261,6 +277,20 @@ def _changed(new: str, of: str = "") -> str:
 _STATUS = "case o_orderstatus when 'F' then 'PERSON' else 'DATE' end"
 _LIST = """'[' || string_agg('{{"text":" ' || o_orderpriority || '","label":"' || {label} || '"}}', ',' order by o_orderkey){kept} || ']'"""
 
+# stacks: ``now`` holds the edits of the present state after -1, ``past`` how many can be undone, ``undone`` those to redo
+_STEPS = """with recursive log as (select user_id as doc_id, event_id as seq, case event_type when 'error' then 'undo' when 'signup' then 'redo' else 'edit' end as kind, row_number() over (partition by user_id order by event_id) as k from events),
+walk as (
+  select doc_id, 0::bigint as k, {{'seq': -1::bigint, 'now': [-1::bigint], 'past': 0, 'undone': []::bigint[]}} as step from (select distinct doc_id from log)
+  union all
+  select w.doc_id, l.k, case
+    when l.kind = 'edit' then {{'seq': l.seq, 'now': list_append(w.step.now, l.seq), 'past': least(w.step.past + 1, {most}), 'undone': []::bigint[]}}
+    when l.kind = 'undo' and w.step.past > 0 then {{'seq': l.seq, 'now': w.step.now[1:len(w.step.now) - 1], 'past': w.step.past - 1, 'undone': list_append(w.step.undone, w.step.now[-1])}}
+    when l.kind = 'redo' and len(w.step.undone) > 0 then {{'seq': l.seq, 'now': list_append(w.step.now, w.step.undone[-1]), 'past': w.step.past + 1, 'undone': w.step.undone[1:len(w.step.undone) - 1]}}
+    else {{'seq': l.seq, 'now': w.step.now, 'past': w.step.past, 'undone': w.step.undone}} end
+  from walk w join log l on l.doc_id = w.doc_id and l.k = w.k + 1),
+steps as (select * from walk where k > 0)
+"""
+
 ORACLES = {
     "edt01_create": _C + f"select doc_id, page_index, 'DATE' as label, text[3:9] as text, {duck.norm('text[3:9]')} as norm_text, 1.0::double as confidence, 'user' as source, 2 as char_start, 9 as char_end from convs",
     "edt02_one_edit": _C + ", firsts as (select * from log qualify row_number() over (partition by doc_id order by seq) = 1)" + _replayed("firsts") + " select * from replayed",
@@ -273,6 +303,8 @@ ORACLES = {
     "edt09_relabel": _C + "select doc_id, ord, case when norm_text like 'er%' then 'DATE' else label end as label from names",
     "edt10_bounds": _C + f"select doc_id, ord, t as text, {duck.norm('t')} as norm_text, case ord % 2 when 0 then 'user' else source end as source, lo as char_start, char_end from (select n.*, case ord % 2 when 0 then greatest(char_start - 4, 0) else char_start end as lo, c.text[lo + 1:char_end] as t from names n join convs c using (doc_id, page_index))",
     "edt11_region_label": "select doc_id, id, case doc_id % 2 when 0 then 'PERSON' else label end as label from (REGIONS)",
+    "edt12_history": _STEPS.format(most=2) + "select doc_id, step.seq as seq, step.now[-1] as state from steps",
+    "edt12_live": _STEPS.format(most=50) + "select doc_id, unnest(last.now[2:]) as seq from (select doc_id, max_by(step, step.seq) as last from steps group by doc_id)",
     "edt12_versions": _C + ", early as (select * from log where seq <= 2000)" + _replayed("early") + " select doc_id, label, count(*)::bigint as n from replayed group by all",
     "edt13_upsert": _D + "select * from (select id, filename, 0 as seq from stored union all select event_id % 2000, 'v' || event_id, event_id + 1 from events) qualify row_number() over (partition by id order by seq desc) = 1",
     "snk03_metadata": _D + "select * from (select id, filename, 0 as seq from stored union all select event_id % 2000, 'v' || event_id, event_id + 1 from events) qualify row_number() over (partition by id order by seq desc) = 1",

@@ -209,7 +209,7 @@ def leg02_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def leg03_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every second entity without its place, every seventh of another type."""
-    e = _entities(spark, sf_dir).where("ord < 1000")
+    e = _entities(spark, sf_dir)
     lost = F.when(F.col("ord") % 2 == 0, F.lit(None).cast("int"))
     e = e.withColumn("type", F.when(F.col("ord") % 7 == 0, "AUTRE").otherwise(F.col("type"))).withColumn("char_start", F.when(F.col("ord") % 2 == 0, lost).otherwise(F.col("char_start"))).withColumn("char_end", F.when(F.col("ord") % 2 == 0, lost).otherwise(F.col("char_end") - 2))
     return legacy.clean_model_entities(e, _texts(spark, sf_dir)).select("doc_id", "ord", "char_start", "char_end", "original")
@@ -308,7 +308,7 @@ ORACLES = {
     + "folded as (select doc_id, list_reduce(items, lambda acc, x: case when x[1].s >= acc[-1].e then list_concat(acc, x) else list_concat(acc[1:-2], list_transform([case when " + _PRIORITY.format("x[1]") + " > " + _PRIORITY.format("acc[-1]") + " then x[1] else acc[-1] end], lambda won: case when x[1].e > won.e and x[1].type = won.type then {'s': won.s, 'e': x[1].e, 'original': text[won.s + 1:x[1].e], 'type': won.type, 'confidence': won.confidence, 'source': won.source, 'score': won.score} else won end)) end) as kept from ranked)\n"
     + "select doc_id, k.s as char_start, k.e as char_end, k.original as original, k.type as type, k.confidence as confidence from (select doc_id, unnest(kept) as k from folded)",
     "leg03_clean": _LEG
-    + ", placed as (select b.doc_id, ord, text, type, case when ord % 2 = 0 then instr(lower(text), lower(original)) - 1 else char_start end as a, case when ord % 2 = 0 then instr(lower(text), lower(original)) - 1 + length(original) else char_end - 2 end as b from base b join texts using (doc_id) where ord % 7 <> 0),\n"
+    + ", placed as (select b.doc_id, ord, text, type, case when ord % 2 = 0 then instr(lower(text), lower(original)) - 1 else char_start end as a, case when ord % 2 = 0 then instr(lower(text), lower(original)) - 1 + length(original) else char_end - 2 end as b from entities b join texts using (doc_id) where ord % 7 <> 0),\n"
     + r"wide as (select *, a - length(regexp_extract(text[1:a], '[^\s.,;:!?()\[\]{}\"«»–—/\\-]*$')) as a2, b + length(regexp_extract(text[b + 1:], '^[^\s.,;:!?()\[\]{}\"«»–—/\\-]*')) as b2 from placed where a >= 0), "
     + r"num as (select *, case type when 'LIEU' then length(regexp_extract(text[greatest(a2 - 9, 1):a2], '[0-9]{2,5}\s*$')) else 0 end as k from wide) select doc_id, ord, (a2 - k)::int as char_start, b2::int as char_end, text[a2 - k + 1:b2] as original from num",
     "leg04_ignored": _LEG + "select doc_id, ord, original from entities where original not like 'E%' and not exists (select 1 from entities x where x.original like 'E%' and lower(trim(x.original)) = lower(trim(entities.original)))",
