@@ -6,10 +6,13 @@ length, so both engines start from the same numbers.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ner as op
+from ..operators import table_functions
 from ..sources.tables import conversation_pages, document_pages, read, tokens
 from . import duck
 
@@ -29,6 +32,20 @@ def ner01_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.split_into_chunks(document_pages(spark, sf_dir)).select("doc_id", "chunk", "start", F.length("text").alias("n_chars"))
 
 
+def ner01_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks by the table function, in SQL."""
+    table_functions.register(spark)
+    document_pages(spark, sf_dir).createOrReplaceTempView("pages_to_chunk")
+    return spark.sql("select doc_id, chunk, start, length(text) as n_chars from chunks(table(pages_to_chunk))")
+
+
+def ner22_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised words by a detector that is registered for SQL."""
+    table_functions.register_detector(spark, "capitalised", lambda text: [("PERSON", 0.5, m.start(), m.end()) for m in re.finditer(duck.NAMES_PATTERN, text)])
+    conversation_pages(spark, sf_dir).createOrReplaceTempView("pages_to_read")
+    return spark.sql("select doc_id, page_index, ord, text, char_start, char_end from capitalised(table(pages_to_read))")
+
+
 def _logits() -> Column:
     return F.array(*[((F.col("o_orderkey") * (3 + k) + k * k) % 7).cast("double") for k in range(len(TAGS))])
 
@@ -226,6 +243,7 @@ def _merged(group: str, column: str, offset: str) -> str:
 
 
 ORACLES = {
+    "ner22_sql": duck.with_ctes(duck.CONVERSATIONS, duck.NAMES) + "select doc_id, page_index, row_number() over (partition by doc_id, page_index order by char_start) - 1 as ord, text, char_start, char_end from names",
     "ner02_softmax": "with " + _LOGITS + " select o_orderkey, (k - 1)::int as k, round(exp(l[k] - list_max(l)) / list_sum(list_transform(l, lambda x: exp(x - list_max(l)))), 6) as p from (select *, unnest(generate_series(1, 9)) as k from logits)",
     "ner03_base_sums": "with " + _LOGITS + " select o_orderkey, l[2] + l[3] as p_per, l[4] + l[5] as p_org, l[6] + l[7] as p_loc, l[8] + l[9] as p_misc, l[1] as p_o from logits",
     "ner04_winning_tag": "with " + _LOGITS + " select o_orderkey, [" + ", ".join(f"'{t}'" for t in TAGS) + "][list_position(l, list_max(l))] as tag from logits",

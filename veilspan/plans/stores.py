@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import edits as ed
+from ..operators import rewrites
 from ..operators import store as op
 from ..operators.detect import with_order
 from ..sources import sinks
 from ..sources.tables import conversation_pages, read
 from . import duck
-from .inputs import names
+from .inputs import names, shared_path
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -192,6 +193,14 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CHANGES = "changes as (select * from (select event_id as seq, user_id, '  Texte' || chr(10) || event_id % 50 as original_text, 'texte ' || event_id % 50 as normalized_text, case event_id % 5 when 0 then 'ADDRESS' else 'ORGANIZATION' end as label from events where event_id % 2 = 1) qualify row_number() over (partition by user_id, normalized_text order by seq desc) = 1)"
 
 
+def sql04_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored spans after a corpus-wide relabelling that is written back file by file."""
+    table = shared_path(spark)
+    rewrites.create(names(spark, sf_dir).repartitionByRange(16, "norm_text"), table)
+    rewrites.rewrite(spark, table, F.col("norm_text").startswith("th"), lambda rows: rows.withColumn("label", F.lit("IDENTIFIER")).withColumn("source", F.lit("user")))
+    return rewrites.read(spark, table).select("doc_id", "ord", "norm_text", "label", "source")
+
+
 def sql05_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.log_entries(_entity_log(spark, sf_dir), 5, active_only=True)
 
@@ -303,6 +312,7 @@ ORACLES = {
     "edt09_relabel": _C + "select doc_id, ord, case when norm_text like 'er%' then 'DATE' else label end as label from names",
     "edt10_bounds": _C + f"select doc_id, ord, t as text, {duck.norm('t')} as norm_text, case ord % 2 when 0 then 'user' else source end as source, lo as char_start, char_end from (select n.*, case ord % 2 when 0 then greatest(char_start - 4, 0) else char_start end as lo, c.text[lo + 1:char_end] as t from names n join convs c using (doc_id, page_index))",
     "edt11_region_label": "select doc_id, id, case doc_id % 2 when 0 then 'PERSON' else label end as label from (REGIONS)",
+    "sql04_stored": _C + "select doc_id, ord, norm_text, case when norm_text like 'th%' then 'IDENTIFIER' else label end as label, case when norm_text like 'th%' then 'user' else source end as source from names",
     "edt12_history": _STEPS.format(most=2) + "select doc_id, step.seq as seq, step.now[-1] as state from steps",
     "edt12_live": _STEPS.format(most=50) + "select doc_id, unnest(last.now[2:]) as seq from (select doc_id, max_by(step, step.seq) as last from steps group by doc_id)",
     "edt12_versions": _C + ", early as (select * from log where seq <= 2000)" + _replayed("early") + " select doc_id, label, count(*)::bigint as n from replayed group by all",
