@@ -472,7 +472,8 @@ def test_a_hub_and_a_large_bucket(spark, monkeypatch):
     rows = [(k, " ".join([rng.choice("xyz") if rng.random() < 0.002 * (k % 5) else w for w in base])) for k in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     before = sorted(r.doc_id for r in near_dup.keep_representatives(docs).collect())
-    monkeypatch.setattr(near_dup, "HOT_SHARE", 4)
+    for name in ("HOT_SHARE", "HUB_EDGES", "HUB_PAIRS"):
+        monkeypatch.setattr(near_dup, name, 4)
     monkeypatch.setattr(common, "HOT_SHARE", 4)
     assert sorted(r.doc_id for r in near_dup.keep_representatives(docs).collect()) == before
     assert sorted(map(tuple, near_dup.connected_components(star).collect())) == whole

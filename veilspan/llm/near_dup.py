@@ -49,6 +49,8 @@ SIMILAR = (4, 5)
 BANDS, BAND_ROWS = 20, 4
 #: The most sets, and the most shingles about, of a bucket that one task keeps at a time.
 TILE_SETS, TILE_SHINGLES = 2048, 1 << 21
+#: So many edges, or candidate pairs, at most may share one node: more are dealt by ``join_per_key``, or with copies of the node.
+HUB_EDGES, HUB_PAIRS = 10_000_000, 1_000_000
 _MULTIPLIERS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, BANDS * BAND_ROWS, np.uint64)
 
@@ -196,18 +198,20 @@ def ok(step: tuple[int, ...], counts: list[str], width: int):
     return out
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, max_rounds: int = 100, hub_edges: int | None = None) -> DataFrame:
     """(node, component): the smallest node that can be reached, for every node with an edge.
 
     Alternates large-star and small-star contractions until the edges no longer
     change; every round is checkpointed.
     """
+    hub_edges = HUB_EDGES if hub_edges is None else hub_edges
     e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
 
     def star(pairs: DataFrame, larger: bool, n: int) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if larger else pairs
         least = both.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("m")).withColumn("low", F.least("u", "low"))
-        joined = join_per_key(both, least, "u", n)  # a hub's edges stay where they are
+        # few edges fit in a task even if all are one hub's; of many, a hub's stay where they are
+        joined = both.join(least, "u") if n <= hub_edges else join_per_key(both, least := saved(least), "u", n)
         if larger:
             out = joined.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         else:
@@ -216,8 +220,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
 
     state, n = None, e.count()
     for _ in range(max_rounds):
-        large = saved(star(e, True, 2 * n))
-        e = saved(star(large, False, n))
+        e = saved(star(star(e, True, n), False, n))
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.count_distinct("u")).first()
         # finished: every node but the roots points at one root, and nothing moved
         if now == state:
@@ -290,7 +293,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     in so many copies that none serves more than that share.
     """
     n, met = max(pairs.count(), 1), pairs
-    for side, other in (("a", "b"), ("b", "a")):
+    if n <= HUB_PAIRS:  # a task can serve them all
+        for side in ("a", "b"):
+            met = met.join(sets.select(F.col("cls").alias(side), F.col("shingles").alias(f"s{side}")), side)
+    for side, other in (("a", "b"), ("b", "a")) if n > HUB_PAIRS else ():
         # fewer than HOT_SHARE keys, whatever the input: broadcast
         hot = F.broadcast(saved(pairs.groupBy(side).agg(F.ceil(F.count(F.lit(1)) * HOT_SHARE / n).cast("int").alias("copies")).where("copies > 1")))
         copies = F.coalesce("copies", F.lit(1))
