@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import siren_checksum
 from ..operators import detect as op
 from ..operators import signatures
-from ..sources import readers, sinks
+from ..sources import document_store, readers, sinks
 from ..sources.tables import contract_pages, conversation_pages, document_pages, read, tokens
 from . import duck
 from .inputs import RULES_SQL, conversation_tokens, names, rules, shared_path
@@ -113,6 +113,37 @@ def src11_read_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).where("id between 10 and 60")
 
 
+def _kept(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The stored documents written through the data source, in two jobs."""
+    document_store.register(spark)
+    stored = _stored(spark, sf_dir)
+    for rows in (stored.where("id % 2 = 0"), stored.where("id % 2 = 1")):
+        rows.write.format(document_store.FORMAT).mode("append").save(path)
+
+
+def src09_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of documents that the data source keeps; the entities' column isn't read."""
+    path = shared_path(spark)
+    _kept(spark, sf_dir, path)
+    return readers.stored_pages(spark.read.format(document_store.FORMAT).schema("id bigint, num_pages int, pages_json string").load(path))
+
+
+def src11_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of some documents, without their contents."""
+    path = shared_path(spark)
+    _kept(spark, sf_dir, path)
+    return spark.read.format(document_store.FORMAT).schema("id bigint, num_pages int").load(path).where("id between 10 and 60")
+
+
+def snk05_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole store written anew from what it held, with old labels mapped; its entities."""
+    path = shared_path(spark)
+    _kept(spark, sf_dir, path)
+    held = spark.read.format(document_store.FORMAT).load(path)
+    held.withColumn("num_pages", F.lit(3)).write.format(document_store.FORMAT).mode("overwrite").save(path)
+    return readers.stored_entities(spark.read.format(document_store.FORMAT).load(path)).drop("ord")
+
+
 def src14_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     mime = F.when(F.col("event_id") % 3 == 0, "application/pdf").otherwise("image/png")
     return readers.accepted_uploads(read(spark, sf_dir, "events").select("event_id", mime.alias("mime"), (F.col("event_id") * 9001).alias("size")))
@@ -215,7 +246,7 @@ def dsg08_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "src02_page": src02_page, "src03_page_text": src03_page_text, "src04_reading_order": src04_reading_order, "src05_box": src05_box, "src06_needs_recognition": src06_needs_recognition,
     "src07_tokens": src07_tokens, "src07_recognised": src07_recognised, "src08_annotations": src08_annotations, "src09_stored_pages": src09_stored_pages, "src09_stored_entities": src09_stored_entities,
-    "src10_share_pages": src10_share_pages, "src11_read_store": src11_read_store, "src13_state": src13_state, "src14_uploads": src14_uploads, "snk04_rules": snk04_rules, "snk05_export": snk05_export, **{i: _detector_query(d) for i, d in zip(_IDS, op.DETECTORS, strict=True)}, "det13_spans": det13_spans, "det14_checksum": det14_checksum,
+    "src10_share_pages": src10_share_pages, "src11_read_store": src11_read_store, "src09_source": src09_source, "src11_source": src11_source, "snk05_source": snk05_source, "src13_state": src13_state, "src14_uploads": src14_uploads, "snk04_rules": snk04_rules, "snk05_export": snk05_export, **{i: _detector_query(d) for i, d in zip(_IDS, op.DETECTORS, strict=True)}, "det13_spans": det13_spans, "det14_checksum": det14_checksum,
     "det15_excluded": det15_excluded, "det16_false_positives": det16_false_positives, "dsg01_token_key": dsg01_token_key, "dsg02_median_height": dsg02_median_height, "dsg03_lines": dsg03_lines, "dsg04_headings": dsg04_headings,
     "dsg05_likely_id": dsg05_likely_id, "dsg06_id_lines": dsg06_id_lines, "dsg07_band": dsg07_band, "dsg08_signatures": dsg08_signatures,
 }
@@ -251,6 +282,9 @@ ORACLES = {
 select k as doc_id, p::int as page_index, concat_ws('-', 'region', p, i, floor(x + 0.5)::bigint, floor(y + 0.5)::bigint, floor(w + 0.5)::bigint, floor(h + 0.5)::bigint) as id, x, y, w as width, h as height, 'IDENTIFIER' as label, 'signature' as kind from a where (k % 2 = 0 and (k % 3 = 0 or k % 5 = 0) or k % 11 = 0) and w > 0 and h > 0""",
     "src09_stored_pages": duck.with_ctes(duck.CONVERSATIONS, _TOPS) + "select doc_id as id, page_index, text from convs join tops using (doc_id) where page_index < top",
     "src09_stored_entities": duck.with_ctes(duck.CONVERSATIONS, duck.NAMES, _STORED_ENTS, _TOPS) + "select ents.* from ents join tops on id = doc_id where page_index < top",
+    "src09_source": duck.with_ctes(duck.CONVERSATIONS, _TOPS) + "select doc_id as id, page_index, text from convs join tops using (doc_id) where page_index < top",
+    "src11_source": duck.with_ctes(duck.CONVERSATIONS, _TOPS) + "select doc_id as id, top::int as num_pages from tops where doc_id between 10 and 60",
+    "snk05_source": duck.with_ctes(duck.CONVERSATIONS, duck.NAMES, _STORED_ENTS) + "select * from ents where page_index < 3",
     "src10_share_pages": duck.with_ctes(duck.CONVERSATIONS) + "select d.doc_id as id, i::int as page_index, coalesce(c.text, '') as text from (select distinct doc_id from convs) d cross join generate_series(0, 5) as g(i) left join convs c on c.doc_id = d.doc_id and c.page_index = i",
     "src11_read_store": duck.with_ctes(duck.CONVERSATIONS, _TOPS) + "select doc_id as id, top::int as num_pages from tops where doc_id between 10 and 60",
     "src14_uploads": "select event_id, 'application/pdf' as mime, event_id * 9001 as size from events where event_id % 3 = 0 and event_id * 9001 <= 52428800",
