@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from veilspan.operators import ner, rewrites, table_functions
+from veilspan.operators import migrations, ner, rewrites, table_functions
 
 
 @pytest.fixture
@@ -21,7 +21,7 @@ def rows_of(df):
 
 
 def files_of(spark, table, version):
-    return set(rewrites._files(spark, table, version)[1])
+    return set(rewrites._manifest(spark, table, version)[1])
 
 
 def test_only_files_with_a_hit_are_written(spark, table):
@@ -86,3 +86,53 @@ def test_a_detector_of_ones_own(spark):
     table_functions.register_detector(spark, "find_codes", lambda text: [("IDENTIFIER", 0.9, m.start(), m.end()) for m in re.finditer("[A-Z]{3}-[0-9]+", text)])
     got = spark.sql("select doc_id, ord, label, text, char_start, char_end from find_codes(table(coded_pages)) where confidence > 0.5")
     assert rows_of(got) == [(1, 0, "IDENTIFIER", "ABC-12", 4, 10), (1, 1, "IDENTIFIER", "DEF-7", 21, 26)]
+
+
+def test_appended_replaced_and_cleared(spark, tmp_path):
+    table = str(tmp_path / "t")
+    rewrites.create_empty(spark, table, "id bigint, text string")
+    assert rewrites.read(spark, table).count() == 0 and rewrites.rewrite(spark, table, F.lit(True), lambda rows: rows)["changed"] == 0
+    assert rewrites.append(spark.createDataFrame([(1, "a"), (1, "a"), (None, None)], "id bigint, text string"), table) == 1
+    assert rewrites.append(spark.createDataFrame([("b", 2)], "more string, id bigint"), table) == 2
+    assert sorted(map(repr, rewrites.read(spark, table).select("id", "text", "more").collect())) == sorted(["Row(id=1, text='a', more=None)"] * 2 + ["Row(id=2, text=None, more='b')", "Row(id=None, text=None, more=None)"])
+    rewrites.replace(rewrites.read(spark, table).where("id = 2"), table)
+    assert rewrites.read(spark, table).count() == 1 and rewrites.read(spark, table, 2).count() == 4
+    rewrites.clear(spark, table)
+    assert rewrites.read(spark, table).columns == ["id", "text", "more"] and rewrites.read(spark, table).count() == 0
+    with pytest.raises(ValueError, match="no table"):
+        rewrites.read(spark, str(tmp_path / "none"))
+
+
+FIRST = migrations.Migration("001_first", create={"documents": "id bigint, filename string"})
+SECOND = migrations.Migration("002_log", create={"entity_log": "id bigint, label string"}, add={"documents": "user_id bigint"})
+THIRD = migrations.Migration("003_pages", add={"documents": "pages_json string, FILENAME string"})
+
+
+def test_migrations_run_once_and_in_order(spark, tmp_path):
+    root, table = str(tmp_path), str(tmp_path / "documents")
+    assert migrations.migrate(spark, root, [FIRST]) == ["001_first"]
+    rewrites.append(spark.createDataFrame([(1, "a.pdf")], "id bigint, filename string"), table)
+    before = list(Path(table, "data").rglob("*.parquet"))
+    assert migrations.migrate(spark, root, [THIRD, SECOND, FIRST]) == ["002_log", "003_pages"]
+    assert rewrites.read(spark, table).columns == ["id", "filename", "user_id", "pages_json"]  # a column that is there is tolerated
+    assert list(Path(table, "data").rglob("*.parquet")) == before
+    rewrites.append(spark.createDataFrame([(2, "b.pdf", 5, "[]")], "id bigint, filename string, user_id bigint, pages_json string"), table)
+    versions = rewrites.versions(spark, table)
+    assert migrations.migrate(spark, root, [FIRST, SECOND, THIRD]) == [] and rewrites.versions(spark, table) == versions
+    assert rows_of(rewrites.read(spark, table).where("id = 2")) == [(2, "b.pdf", 5, "[]")]
+    assert rows_of(rewrites.read(spark, table).where("pages_json is null")) == [(1, "a.pdf", None, None)]
+    assert [(r.id, r.name) for r in migrations.applied(spark, root).orderBy("id").collect()] == [(1, "001_first"), (2, "002_log"), (3, "003_pages")]
+
+
+def test_a_migration_that_fails_stops_the_rest_and_can_run_again(spark, tmp_path):
+    root = str(tmp_path)
+    broken = migrations.Migration("002_log", create={"entity_log": "id bigint"}, add={"missing": "x int"})
+    with pytest.raises(ValueError, match="no table"):
+        migrations.migrate(spark, root, [FIRST, broken, THIRD])
+    assert [r.name for r in migrations.applied(spark, root).collect()] == ["001_first"]
+    assert migrations.migrate(spark, root, [FIRST, SECOND, THIRD]) == ["002_log", "003_pages"]  # the log that the first try made stays
+    assert rewrites.read(spark, f"{root}/entity_log").columns == ["id"]
+    with pytest.raises(ValueError, match="one name"):
+        migrations.migrate(spark, root, [FIRST, FIRST])
+    with pytest.raises(ValueError, match="not a table"):
+        migrations.migrate(spark, root, [migrations.Migration("009", create={"../x": "id int"})])

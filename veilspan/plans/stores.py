@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import edits as ed
-from ..operators import rewrites
+from ..operators import migrations, rewrites
 from ..operators import store as op
 from ..operators.detect import with_order
 from ..sources import sinks
@@ -201,6 +201,46 @@ def sql04_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewrites.read(spark, table).select("doc_id", "ord", "norm_text", "label", "source")
 
 
+#: The store's tables, as they came to be.
+MIGRATIONS = (
+    migrations.Migration("001_initial", create={"users": "id bigint, name string", "documents": "id bigint, user_id bigint, filename string, page_count bigint"}),
+    migrations.Migration("002_entity_log", create={"entity_log": "id bigint, user_id bigint, normalized_text string, label string"}),
+    migrations.Migration("003_entities", add={"documents": "entity_count bigint, entities_json string"}),
+)
+
+
+def src12_migrated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of the first version with half of the documents, migrated, filled with the rest and migrated once more."""
+    root = shared_path(spark)
+    d = _documents(spark, sf_dir)
+    migrations.migrate(spark, root, MIGRATIONS[:1])
+    rewrites.append(d.where("id % 2 = 0").select("id", "user_id", "filename", F.col("page_count").cast("bigint").alias("page_count")), f"{root}/documents")
+    migrations.migrate(spark, root, MIGRATIONS)
+    rewrites.append(d.where("id % 2 = 1").select("id", "user_id", "filename", "entity_count", "entities_json"), f"{root}/documents")
+    migrations.migrate(spark, root, MIGRATIONS)
+    return rewrites.read(spark, f"{root}/documents")
+
+
+def src12_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many documents each migrated table's version had, beside what was applied to it."""
+    root = shared_path(spark)
+    for n in range(1, 4):
+        migrations.migrate(spark, root, MIGRATIONS[:n])
+        rewrites.append(_documents(spark, sf_dir).where(F.col("id") % 3 == n - 1).select("id", "user_id", "filename"), f"{root}/documents")
+    counts = rewrites.read(spark, f"{root}/documents").groupBy((F.col("id") % 3 + 1).alias("id")).agg(F.count(F.lit(1)).alias("documents"))
+    return migrations.applied(spark, root).join(counts, "id").select("id", "name", "documents")
+
+
+def src15_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store of what is open now: stored, cleared, and stored again; what is loaded is the last of it."""
+    table = shared_path(spark)
+    d = _documents(spark, sf_dir).select("id", "filename", "entities_json")
+    rewrites.create(d.where("id % 2 = 0"), table)
+    rewrites.clear(spark, table)
+    rewrites.replace(d.where("id % 5 = 0"), table)
+    return rewrites.read(spark, table)
+
+
 def sql05_active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.log_entries(_entity_log(spark, sf_dir), 5, active_only=True)
 
@@ -262,7 +302,7 @@ def sql14_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.orphans(read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("id")), _documents(spark, sf_dir), "id")
 
 
-QUERIES = {k: v for k, v in globals().items() if callable(v) and k[:3] in ("edt", "sql", "snk") and k[3:5].isdigit()}
+QUERIES = {k: v for k, v in globals().items() if callable(v) and k[:3] in ("edt", "sql", "snk", "src") and k[3:5].isdigit()}
 
 _C = duck.with_ctes(duck.CONVERSATIONS, duck.NAMES, _EVENTS)
 
@@ -323,6 +363,9 @@ ORACLES = {
     "sql01_by_user": _D + "select id, user_id, filename, page_count, entity_count, created_at, updated_at from stored where user_id = 3",
     "sql02_find": _D + "select id, filename, entities_json, (select count(*) > 0 from stored where id = 7 and user_id = 0) as owned from stored where id = 7",
     "sql03_create_rename": _D + "select id, user_id, filename from stored union all select id + 1000000, user_id, 'copy of ' || filename from stored",
+    "src12_migrated": "with " + _DOCS + " select id, user_id, filename, case when id % 2 = 0 then page_count end as page_count, case when id % 2 = 1 then entity_count end as entity_count, case when id % 2 = 1 then entities_json end as entities_json from stored",
+    "src12_applied": "with " + _DOCS + " select (id % 3 + 1)::bigint as id, case id % 3 when 0 then '001_initial' when 1 then '002_entity_log' else '003_entities' end as name, count(*)::bigint as documents from stored group by id % 3",
+    "src15_single": "with " + _DOCS + " select id, filename, entities_json from stored where id % 5 = 0",
     "sql04_relabel": _changed(_LIST.format(label=f"case o_orderpriority when '1-URGENT' then 'IDENTIFIER' else {_STATUS} end", kept="")).replace("{count}", "count(*)::bigint"),
     "sql04_remove": _changed(_LIST.format(label=_STATUS, kept=" filter (where o_orderpriority <> '1-URGENT')")).replace("{count}", "count(*) filter (where o_orderpriority <> '1-URGENT')::bigint"),
     "sql05_active": _L + "select * from elog where user_id = 5 and is_active = 1",
