@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import edits as ed
-from ..operators import migrations, rewrites
+from ..operators import keyed, migrations, rewrites
 from ..operators import store as op
 from ..operators.detect import with_order
 from ..sources import sinks
@@ -134,6 +134,17 @@ def edt13_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.upsert(d, new, ["id"], F.col("seq"))
 
 
+def edt13_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same documents kept in buckets by key, with the events' changes in two batches, of which the later comes first."""
+    table = shared_path(spark)
+    d = _documents(spark, sf_dir).select("id", "filename", F.lit(0).cast("long").alias("seq"))
+    keyed.create(d, table, ["id"], "seq", 16)
+    new = read(spark, sf_dir, "events").select((F.col("event_id") % 2000).alias("id"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("filename"), (F.col("event_id") + 1).alias("seq"))
+    for odd in (1, 0):
+        keyed.upsert(new.where(F.col("seq") % 2 == odd), table)
+    return rewrites.read(spark, table)
+
+
 def snk03_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _documents(spark, sf_dir).select("id", "filename", "created_at", "updated_at", F.lit(0).cast("long").alias("seq"))
     new = read(spark, sf_dir, "events").select((F.col("event_id") % 2000).alias("id"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("filename"), F.col("ts").alias("created_at"), F.col("ts").alias("updated_at"), (F.col("event_id") + 1).alias("seq"))
@@ -356,6 +367,7 @@ ORACLES = {
     "edt12_history": _STEPS.format(most=2) + "select doc_id, step.seq as seq, step.now[-1] as state from steps",
     "edt12_live": _STEPS.format(most=50) + "select doc_id, unnest(last.now[2:]) as seq from (select doc_id, max_by(step, step.seq) as last from steps group by doc_id)",
     "edt12_versions": _C + ", early as (select * from log where seq <= 2000)" + _replayed("early") + " select doc_id, label, count(*)::bigint as n from replayed group by all",
+    "edt13_keyed": _D + "select * from (select id, filename, 0 as seq from stored union all select event_id % 2000, 'v' || event_id, event_id + 1 from events) qualify row_number() over (partition by id order by seq desc) = 1",
     "edt13_upsert": _D + "select * from (select id, filename, 0 as seq from stored union all select event_id % 2000, 'v' || event_id, event_id + 1 from events) qualify row_number() over (partition by id order by seq desc) = 1",
     "snk03_metadata": _D + "select * from (select id, filename, 0 as seq from stored union all select event_id % 2000, 'v' || event_id, event_id + 1 from events) qualify row_number() over (partition by id order by seq desc) = 1",
     "edt14_delete_rename": _D + "select id, case id % 2 when 0 then 'new-' || filename else filename end as filename, case id % 2 when 0 then make_timestamp(1800000000000000) else updated_at end as updated_at from stored where id % 3 <> 0",
