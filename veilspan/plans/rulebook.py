@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import occurrences
 from ..operators import detect as det
-from ..operators import isolation
+from ..operators import isolation, rewrites
 from ..operators import propagate as prop
 from ..operators import rules as op
 from ..operators.spans import covered
@@ -225,6 +225,21 @@ def str04_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_stream(spark, sf_dir)[1]).groupBy(F.col("batch").cast("int").alias("batch")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _drafted(spark: SparkSession, sf_dir: str) -> str:
+    """Runs the stream over conversations with a draft for every second page (conversations have few); the folder of its tables."""
+    base = shared_path(spark)
+    for index in _page_indexes(spark, sf_dir):
+        _feed(spark, sf_dir, base, index)
+        incoming = spark.readStream.schema("doc_id bigint, page_index int, text string").parquet(f"{base}/in")
+        progressive.start(incoming, f"{base}/out", f"{base}/checkpoint", _name_detector, lambda: rules(spark, sf_dir), drafts=f"{base}/drafts", every=2).awaitTermination()
+    return base
+
+
+def str04_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drafts that the stream leaves."""
+    return rewrites.read(spark, f"{_drafted(spark, sf_dir)}/drafts").select("doc_id", "page_count", "entity_count", "entities_json")
+
+
 def str05_changing_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that change between batches: the first batch knows none, later ones suppress."""
     base, calls = shared_path(spark), []

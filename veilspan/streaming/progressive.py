@@ -4,6 +4,9 @@ Pages arrive in page order. Each micro-batch is one step of ``foreachBatch``:
 its spans go to a table under the batch's number, so a batch that is run again
 after a failure overwrites its own rows and nothing else. The checkpoint is the
 place to resume from; rules are read anew for every batch.
+
+Where asked to, the stream saves a draft of a document with every tenth of its pages: one row a document, the newest
+draft in place of the one before (a keyed table, so that a batch reads and writes only the files of its own documents).
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import keyed, rewrites
 from ..operators.propagate import propagate, propagate_to_page
 from ..operators.rules import apply_decisions
 
@@ -37,14 +41,43 @@ def process_step(new_pages: DataFrame, earlier: DataFrame, rules: DataFrame, det
     return own.unionByName(brought.select(*_FIELDS))
 
 
-def start(pages: DataFrame, out: str, checkpoint: str, detector: Callable[[DataFrame], DataFrame], rules: Callable[[], DataFrame]):
-    """Starts the stream; spans are written to ``out/batch=n``. Returns the query."""
+#: A draft is saved with each so many pages, in a table of so many buckets.
+EVERY = 10
+BUCKETS = 64
+_DRAFT = ("page_index", "label", "text", "char_start", "char_end")
+
+
+def drafts_of(batch: DataFrame, spans: DataFrame, every: int = EVERY) -> DataFrame:
+    """Drafts of the documents of which the batch has an ``every``-th page: (doc_id, page_count, entity_count, entities_json).
+
+    A draft holds the spans so far on the pages up to that one, in page order; a document without any has an empty list.
+    A batch with several such pages of a document gives the last one's draft.
+    """
+    due = batch.where((F.col("page_index") + 1) % every == 0).groupBy("doc_id").agg((F.max("page_index") + 1).alias("page_count"))
+    held = spans.select("doc_id", F.struct(*_DRAFT).alias("s"))
+    met = due.join(held, "doc_id", "left").groupBy("doc_id", "page_count").agg(F.array_sort(F.collect_list(F.when(F.col("s.page_index") < F.col("page_count"), F.col("s")))).alias("e"))
+    return met.select("doc_id", "page_count", F.size("e").cast("long").alias("entity_count"), F.to_json("e").alias("entities_json"))
+
+
+def save_drafts(found: DataFrame, path: str) -> None:
+    """Puts drafts in the place of earlier ones of their documents; those of fewer pages than the saved ones are left out."""
+    if rewrites.versions(found.sparkSession, path):
+        keyed.upsert(found, path)
+    else:
+        keyed.create(found, path, ["doc_id"], "page_count", BUCKETS)
+
+
+def start(pages: DataFrame, out: str, checkpoint: str, detector: Callable[[DataFrame], DataFrame], rules: Callable[[], DataFrame], *, drafts: str | None = None, every: int = EVERY):
+    """Starts the stream; spans are written to ``out/batch=n`` and drafts, if a path is given, to that keyed table. Returns the query."""
     spark = pages.sparkSession
 
     def step(batch: DataFrame, number: int) -> None:
         earlier = spark.read.schema(STEP + ", batch int").parquet(out).where(F.col("batch") < number) if number else spark.createDataFrame([], STEP)
         found = process_step(batch, earlier, rules(), detector)
         found.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if drafts and not batch.where((F.col("page_index") + 1) % every == 0).isEmpty():
+            so_far = spark.read.schema(STEP + ", batch int").parquet(out).where(F.col("batch") <= number)
+            save_drafts(drafts_of(batch, so_far, every), drafts)
 
     return pages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
