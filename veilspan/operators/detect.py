@@ -10,11 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import BOUNDARY, DATE_NUMERIC, DATE_WRITTEN, digits, let, matches, normalize, running, siren_checksum, spaced, strip
-from .spans import resolved_items, sort_item
+from .scanning import arrow_pattern, scanner
+from .spans import SPANS_TYPE, resolved_items, sort_item
 
 # The detection patterns ({B} is an ASCII word boundary).
 UUID = r"[A-F0-9]{8}-[A-F0-9]{4}-[0-9A-F]{4}-[A-F0-9]{4}-[A-F0-9]{12}"
@@ -49,6 +52,11 @@ class Detector:
     needs: str = ""
     #: Another spelling of the pattern with the same matches, if there is one that is found faster.
     faster: str = ""
+    #: What ``valid`` tests, in the words of ``scanning.passing``; a detector that has ``valid`` alone is run by Spark's patterns.
+    test: str = ""
+
+    def arrow(self) -> str:
+        return ("(?i)" if self.ignore_case else "") + arrow_pattern(spaced(self.pattern.replace("{B}", r"\b")))
 
     def java(self) -> str:
         body = self.faster or self.pattern
@@ -67,11 +75,11 @@ _EMAIL_RUN = EMAIL.replace("+@", "++@", 1)
 _DIGIT = {"first": "[0-9]", "needs": "digit"}
 DETECTORS = (
     Detector("email", "IDENTIFIER", 0.95, EMAIL, needs="@", faster=rf"(?:\G|(?<![a-zA-Z0-9._%+-])){_EMAIL_RUN}"),
-    Detector("phone_fr", "IDENTIFIER", 0.8, PHONE_FR, valid=_ten_digits, first="[+0]", needs="digit"),
-    Detector("phone_intl", "IDENTIFIER", 0.8, PHONE_INTL, valid=_ten_digits, first="[+(0-9]", needs="digit"),
+    Detector("phone_fr", "IDENTIFIER", 0.8, PHONE_FR, valid=_ten_digits, test="ten", first="[+0]", needs="digit"),
+    Detector("phone_intl", "IDENTIFIER", 0.8, PHONE_INTL, valid=_ten_digits, test="ten", first="[+(0-9]", needs="digit"),
     Detector("iban", "IDENTIFIER", 0.95, IBAN, ignore_case=True, first="F", needs="digit"),
-    Detector("siret", "IDENTIFIER", 0.85, SIRET, valid=siren_checksum, **_DIGIT),
-    Detector("siren", "IDENTIFIER", 0.85, SIREN, valid=siren_checksum, within_longer=True, **_DIGIT),
+    Detector("siret", "IDENTIFIER", 0.85, SIRET, valid=siren_checksum, test="siren", **_DIGIT),
+    Detector("siren", "IDENTIFIER", 0.85, SIREN, valid=siren_checksum, test="siren", within_longer=True, **_DIGIT),
     Detector("capital", "IDENTIFIER", 0.85, CAPITAL, ignore_case=True, **_DIGIT),
     Detector("docusign", "IDENTIFIER", 0.95, DOCUSIGN, ignore_case=True),
     Detector("date_numeric", "DATE", 0.7, "{B}" + DATE_NUMERIC + "{B}", **_DIGIT),
@@ -145,20 +153,49 @@ def _page_spans(text: Column, detectors: tuple[Detector, ...]) -> Column:
     )
 
 
+def _scanned(detectors: tuple[Detector, ...], resolved: bool) -> Column:
+    """A page's raw or resolved spans by ``scanning``: all patterns run over a batch of pages."""
+    body = scanner([(d.arrow(), d.test, d.within_longer) for d in detectors], [d.label for d in detectors], [d.confidence for d in detectors], resolved)
+    return F.arrow_udf(SPANS_TYPE)(body)("text")
+
+
+def _by_arrow(detectors: tuple[Detector, ...]) -> bool:
+    """Whether Arrow can run the detectors: no validators of their own, and patterns that it has too."""
+    try:
+        for d in detectors:
+            pc.match_substring_regex(pa.array(["0"]), d.arrow())
+    except pa.ArrowInvalid:  # look-around, for one
+        return False
+    return bool(detectors) and all(d.test or not d.valid for d in detectors)
+
+
+def _page_resolved(spans: Column) -> Column:
+    kind = f"array<struct<k1:int,k2:double,k3:bigint,s:{SPANS_TYPE.removeprefix('array<').removesuffix('>')}>>"
+    resolved = lambda spans: let(F.array_sort(F.transform(spans, sort_item)).cast(kind), lambda items: F.transform(resolved_items(items, kind), lambda i: i["s"]))
+    return let(spans, lambda spans: F.when(F.size(spans) > 1, resolved(spans)).otherwise(spans))
+
+
+def page_spans(pages: DataFrame, detectors: tuple[Detector, ...] = DETECTORS, *, resolved: bool = False) -> DataFrame:
+    """Pages (doc_id, page_index, text) with their raw or resolved ``spans`` as one array."""
+    if _by_arrow(detectors):
+        spans = _scanned(detectors, resolved)
+    else:
+        raw = _page_spans(F.col("text"), detectors)
+        spans = _page_resolved(raw) if resolved else raw
+    return pages.select("doc_id", "page_index", "text", spans.alias("spans"))
+
+
 def detect(pages: DataFrame, detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
     """All detectors in one pass over the pages: raw spans with ``ord``, their order of detection.
 
     Matches of all detectors of a page are one array, so nothing is shuffled.
     """
-    return pages.select("doc_id", "page_index", F.inline(_page_spans(F.col("text"), detectors)))
+    return page_spans(pages, detectors).select("doc_id", "page_index", F.inline("spans"))
 
 
 def detect_resolved(pages: DataFrame, detectors: tuple[Detector, ...] = DETECTORS) -> DataFrame:
     """``process(detect(pages))`` for pages that are one row each: resolved where they are read, so nothing is shuffled."""
-    kind = "array<struct<k1:int,k2:double,k3:bigint,s:struct<ord:bigint,label:string,text:string,norm_text:string,confidence:double,source:string,char_start:int,char_end:int>>>"
-    resolved = lambda spans: let(F.array_sort(F.transform(spans, sort_item)).cast(kind), lambda items: F.transform(resolved_items(items, kind), lambda i: i["s"]))
-    kept = let(_page_spans(F.col("text"), detectors), lambda spans: F.when(F.size(spans) > 1, resolved(spans)).otherwise(spans))
-    return pages.select("doc_id", "page_index", F.inline(kept))
+    return page_spans(pages, detectors, resolved=True).select("doc_id", "page_index", F.inline("spans"))
 
 
 def excluded(text: Column, label: Column) -> Column:

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.intervals import bucket_of, in_buckets, overlap_on, sweep
 from ..functions.text import normalize
+from .scanning import processed, word_numbers
 
 PAGE = ("doc_id", "page_index")
 #: Overlap of the shorter span beyond which two spans conflict.
 CONFLICT = 0.5
+#: A page's spans as one array.
+SPANS_TYPE = "array<struct<ord:bigint,label:string,text:string,norm_text:string,confidence:double,source:string,char_start:int,char_end:int>>"
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -73,6 +78,22 @@ def process(spans: DataFrame) -> DataFrame:
     return resolve(deduplicate(spans))
 
 
+def page_processed(spans: Column, unique: bool = True, resolved: bool = True) -> Column:
+    """``deduplicate`` and ``resolve`` of pages that have their spans as one array: nothing is shuffled."""
+    return F.arrow_udf(SPANS_TYPE)(processed(unique, resolved))(spans)
+
+
+def page_combined(spans: Column, model: Callable[[Column], Column]) -> Column:
+    """``combine`` of one page's spans, of which those that ``model`` tells are the model's: all in one array."""
+    first = lambda s: F.struct(F.when(model(s), 0).otherwise(1).alias("k1"), s["ord"].alias("k2"), s["char_start"].alias("k3"), s["char_end"].alias("k4"), s["label"].alias("k5"), s.alias("s"))
+    return page_processed(F.transform(F.array_sort(F.transform(spans, first)), lambda x, i: x["s"].withField("ord", i.cast("long"))))
+
+
+def page_words(text: Column, spans: Column) -> Column:
+    """For each of a page's spans the numbers of its words, as ``attach_tokens`` gives them for the page's words."""
+    return F.arrow_udf("array<array<int>>")(word_numbers)(text, spans)
+
+
 def combine(model: DataFrame, patterns: DataFrame) -> DataFrame:
     """Two detectors' spans as one resolved set; model spans count as the earlier ones."""
     both = model.withColumn("_set", F.lit(0)).unionByName(patterns.withColumn("_set", F.lit(1)))
