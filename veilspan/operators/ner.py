@@ -64,21 +64,22 @@ def split_into_chunks(pages: DataFrame) -> DataFrame:
 
 
 def softmax(logits: Column) -> Column:
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(shifted, lambda x: x / total)
+    # the largest, the powers and their sum are each computed once, not for every element
+    powers = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    return let(powers, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def base_type(label: Column) -> Column:
-    base = F.regexp_replace(label, "^[BI]-", "")
+    base = F.when(F.startswith(label, F.lit("B-")) | F.startswith(label, F.lit("I-")), F.substring(label, 3, 1 << 30)).otherwise(label)
     return F.when(base.isin("PER", "ORG", "LOC", "MISC", "O"), base).otherwise("O")
 
 
 def base_probabilities(probs: Column, labels: Column) -> Column:
     """A struct with the sums of each base type's probabilities."""
-    pairs = F.arrays_zip(probs.alias("p"), labels.alias("l"))
-    total = lambda t: F.aggregate(pairs, F.lit(0.0), lambda a, x: a + F.when(base_type(x["l"]) == t, x["p"]).otherwise(0.0))
-    return F.struct(*[total(t).alias(f"p_{t.lower()}") for t in ("PER", "ORG", "LOC", "MISC", "O")])
+    zipped = F.zip_with(probs, labels, lambda p, l: F.struct(p.alias("p"), base_type(l).alias("b")))
+    total = lambda pairs, t: F.aggregate(pairs, F.lit(0.0), lambda a, x: a + F.when(x["b"] == t, x["p"]).otherwise(0.0))
+    return let(zipped, lambda pairs: F.struct(*[total(pairs, t).alias(f"p_{t.lower()}") for t in ("PER", "ORG", "LOC", "MISC", "O")]))
 
 
 def winning_tag(probs: Column, labels: Column) -> Column:
