@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as geo
 from ..functions import text as fn
-from ..operators import redaction
+from ..operators import cleaning, redaction
 from ..operators.spans import overlap_ratio, overlaps, score
 from ..schema import LABELS, LEGACY_LABELS
 from ..sources import sinks
@@ -39,7 +39,7 @@ def fn04_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fn05_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_pages(spark, sf_dir).select("doc_id", fn.normalize_fuzzy(F.col("text")).alias("fuzzy"))
+    return document_pages(spark, sf_dir).select("doc_id", cleaning.normalize_fuzzy(F.col("text")).alias("fuzzy"))
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
