@@ -11,8 +11,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import cleaning, table_functions
 from ..operators import ner as op
-from ..operators import table_functions
 from ..sources.tables import conversation_pages, document_pages, read, tokens
 from . import duck
 
@@ -175,7 +175,7 @@ def ner17_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ner18_strip_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("## Titre: **gras**\n- point\n---\n"), "text")
-    return document_pages(spark, sf_dir).select("doc_id", op.strip_markdown(text).alias("plain"))
+    return document_pages(spark, sf_dir).select("doc_id", cleaning.strip_markdown(text).alias("plain"))
 
 
 def _predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
