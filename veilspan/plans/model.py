@@ -192,7 +192,7 @@ def ner19_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ner20_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_pages(spark, sf_dir).select("doc_id", op.normalize_for_match(F.col("text")).alias("norm"))
+    return document_pages(spark, sf_dir).select("doc_id", cleaning.normalize_for_match(F.col("text")).alias("norm"))
 
 
 def ner21_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
