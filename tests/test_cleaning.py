@@ -32,7 +32,7 @@ def test_long_white_space_is_linear(spark):
     assert df.select(cleaning.normalize_fuzzy(F.col("t"))).first()[0] == "a bc"
 
 
-@pytest.mark.parametrize("query", [scalars.fn05_fuzzy, model.ner18_strip_markdown, model.ner20_normalize])
+@pytest.mark.parametrize("query", [scalars.fn04_diacritics, scalars.fn05_fuzzy, model.ner18_strip_markdown, model.ner20_normalize])
 def test_documents_are_cleaned_by_the_batch(spark, query):
     plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "regexp_replace" not in plan and "translate" not in plan

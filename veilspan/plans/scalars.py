@@ -35,7 +35,7 @@ def fn03_texts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fn04_diacritics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_pages(spark, sf_dir).select("doc_id", fn.remove_diacritics(F.col("text")).alias("plain"))
+    return document_pages(spark, sf_dir).select("doc_id", cleaning.remove_diacritics(F.col("text")).alias("plain"))
 
 
 def fn05_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
