@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -67,18 +69,31 @@ def group_into_lines(boxes: list[tuple[float, float, float]], tolerance: float)
     return [rank[h] for h in home]
 
 
-def _lines(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("token_idx")
-    boxes = list(zip(pdf["x"], pdf["y"], pdf["height"], strict=True))
-    out = pdf[["doc_id", "page_index", "token_idx"]].copy()
-    out["line"] = group_into_lines(boxes, max(2.0, float(pdf["median_height"].iloc[0]) * LINE_TOLERANCE))
-    return out
+def _lines(boxes: pa.Array, median_height: pa.Array) -> pa.Array:
+    flat = boxes.flatten()
+    each = list(zip(*[flat.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("x", "y", "height")], strict=True))
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(boxes).to_numpy(zero_copy_only=False))]).tolist()
+    found = [group_into_lines(each[i:j], max(2.0, h * LINE_TOLERANCE)) for i, j, h in zip(ends[:-1], ends[1:], median_height.to_pylist(), strict=True)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([k for page in found for k in page], pa.int32()))
+
+
+def lined(tokens: DataFrame) -> DataFrame:
+    """Tokens with their ``line`` and their page's ``median_height``; a page without any height has no lines.
+
+    The running means go from token to token, so a page's tokens are one array; a batch of pages is lined at a time.
+    """
+    held = [c for c in tokens.columns if c not in PAGE]
+    item = F.struct("token_idx", *[c for c in held if c != "token_idx"])
+    height = F.col("bbox.height")
+    pages = tokens.groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"), F.median(F.when(height > 0, height)).alias("median_height")).where("median_height is not null")
+    line = F.arrow_udf("array<int>")(_lines)(F.col("items.bbox"), F.col("median_height"))
+    each = pages.select(*PAGE, "median_height", F.explode(F.arrays_zip(F.col("items").alias("t"), line.alias("line"))).alias("m"))
+    return each.select(*PAGE, *[F.col(f"m.t.{c}").alias(c) for c in held], F.col("m.line").alias("line"), "median_height")
 
 
 def token_lines(tokens: DataFrame) -> DataFrame:
-    """(doc_id, page_index, token_idx, line): the running means make it a page-by-page function; pages are small."""
-    flat = tokens.join(median_heights(tokens), list(PAGE)).select(*PAGE, "token_idx", "median_height", F.col("bbox.x").alias("x"), F.col("bbox.y").alias("y"), F.col("bbox.height").alias("height"))
-    return flat.groupBy(*PAGE).applyInPandas(_lines, "doc_id long, page_index int, token_idx int, line int")
+    """(doc_id, page_index, token_idx, line)."""
+    return lined(tokens.select(*PAGE, "token_idx", "bbox")).select(*PAGE, F.col("token_idx").cast("int").alias("token_idx"), "line")
 
 
 def looks_like_id(text: Column) -> Column:
@@ -86,36 +101,56 @@ def looks_like_id(text: Column) -> Column:
     return (F.length(plain) >= 8) & plain.rlike("[0-9]")
 
 
-def heading_lines(lined: DataFrame) -> DataFrame:
-    """Lines that hold "docusigned" and, at most three tokens further right, "by"."""
+def _near(lined: DataFrame) -> DataFrame:
+    """Adds ``near``: the token is "docusigned" and, at most three tokens further right on its line, there is "by"."""
     w = Window.partitionBy(*PAGE, "line").orderBy(F.col("bbox.x"), "token_idx")
     near = F.col("key").isin("docusigned") & ((F.lead("key", 1).over(w) == "by") | (F.lead("key", 2).over(w) == "by") | (F.lead("key", 3).over(w) == "by"))
-    return lined.withColumn("key", token_key(F.col("text"))).withColumn("near", F.coalesce(near, F.lit(False))).where("near").select(*PAGE, "line").distinct()
+    return lined.withColumn("key", token_key(F.col("text"))).withColumn("near", F.coalesce(near, F.lit(False))).drop("key")
+
 
+def heading_lines(lined: DataFrame) -> DataFrame:
+    """Lines that hold "docusigned" and, at most three tokens further right, "by"."""
+    return _near(lined).where("near").select(*PAGE, "line").distinct()
+
+
+def _banded(lined: DataFrame, *held: str) -> DataFrame:
+    """(doc_id, page_index, head, band_top, id_line, band_bottom, lines): ``id_lines`` and all lines of the page, with these columns of their tokens.
 
-def line_facts(lined: DataFrame) -> DataFrame:
+    A page's lines are one array, so headings meet the lines below them without a join.
+    """
     center = F.col("bbox.y") + F.col("bbox.height") / 2
-    return lined.groupBy(*PAGE, "line").agg(F.avg(center).alias("center"), F.min("bbox.y").alias("low"), F.max(looks_like_id(F.col("text"))).alias("has_id"))
+    facts = [F.avg(center).alias("center"), F.min("bbox.y").alias("low"), F.max(looks_like_id(F.col("text"))).alias("has_id"), F.max("near").alias("near")]
+    tokens = [F.collect_list(F.struct(*held)).alias("tokens")] if held else []
+    by_line = _near(lined).groupBy(*PAGE, "median_height", "line").agg(*facts, *tokens)
+    pages = by_line.groupBy(*PAGE, "median_height").agg(F.collect_list(F.struct("line", "center", "low", "has_id", "near", *(["tokens"] if held else []))).alias("lines"))
+    heads = pages.select(*PAGE, "median_height", "lines", F.explode(F.filter("lines", lambda x: x["near"])).alias("h"))
+    dy = lambda x: F.col("h.center") - x["center"]
+    below = F.filter("lines", lambda x: x["has_id"] & (dy(x) > 0) & (dy(x) <= ID_GAP * F.col("median_height")))
+    met = heads.withColumn("id", F.array_min(F.transform(below, lambda x: F.struct(x["line"].alias("line"), x["low"].alias("low"))))).where("id is not null")
+    return met.select(*PAGE, F.col("h.line").alias("head"), F.col("h.low").alias("band_top"), F.col("id.line").alias("id_line"), F.col("id.low").alias("band_bottom"), "lines")
 
 
 def id_lines(lined: DataFrame) -> DataFrame:
     """For each heading line, the nearest line below it that holds an id, within the gap."""
-    facts, heads = line_facts(lined), heading_lines(lined)
-    head = facts.join(heads, [*PAGE, "line"]).select(*PAGE, F.col("line").alias("head"), F.col("center").alias("head_center"), F.col("low").alias("band_top"))
-    below = head.join(facts.where("has_id"), list(PAGE)).join(median_heights(lined), list(PAGE)).withColumn("dy", F.col("head_center") - F.col("center")).where(f"dy > 0 and dy <= {ID_GAP} * median_height")
-    return below.groupBy(*PAGE, "head", "band_top").agg(F.min_by(F.struct("line", "low"), "line").alias("id_line")).select(*PAGE, "head", "band_top", F.col("id_line.line").alias("id_line"), F.col("id_line.low").alias("band_bottom"))
+    return _banded(lined).drop("lines")
+
+
+def _bands(lined: DataFrame, *held: str) -> DataFrame:
+    """Each heading with the tokens between it and its id line as one array, without the heading's own."""
+    inside = lambda t: (t["bbox"]["y"] + t["bbox"]["height"] >= F.col("band_bottom")) & (t["bbox"]["y"] <= F.col("band_top"))
+    kept = F.flatten(F.transform(F.filter("lines", lambda x: x["line"] != F.col("head")), lambda x: F.filter(x["tokens"], inside)))
+    return _banded(lined, *held).withColumn("band", kept).where(F.size("band") > 0)
 
 
 def band_tokens(lined: DataFrame) -> DataFrame:
-    """The tokens between a heading and its id line, without the heading's own."""
-    bands = id_lines(lined)
-    met = lined.join(bands, list(PAGE)).where("line <> head")
-    return met.where((F.col("bbox.y") + F.col("bbox.height") >= F.col("band_bottom")) & (F.col("bbox.y") <= F.col("band_top")))
+    """The tokens between a heading and its id line, without the heading's own: their columns, and those of ``id_lines``."""
+    held = [c for c in lined.columns if c not in (*PAGE, "median_height")]
+    return _bands(lined, *held).select(*PAGE, "head", "band_top", "id_line", "band_bottom", F.inline("band"))
 
 
 def detect_signatures(tokens: DataFrame) -> DataFrame:
     """One span for the block under each heading: first start, the last token's end, texts joined by spaces."""
-    lined = tokens.join(token_lines(tokens), [*PAGE, "token_idx"])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("char_start", "token_idx", "text"))), lambda t: t["text"]), " ")
-    spans = band_tokens(lined).groupBy(*PAGE, "head").agg(F.min("char_start").alias("char_start"), F.max_by("char_end", F.struct("char_start", "token_idx")).alias("char_end"), text.alias("text"))
+    bands = _bands(lined(tokens), "char_start", "token_idx", "char_end", "text", "bbox").select(*PAGE, F.array_sort(F.transform("band", lambda t: F.struct(*[t[c].alias(c) for c in ("char_start", "token_idx", "char_end", "text")]))).alias("band"))
+    text = F.array_join(F.col("band.text"), " ")
+    spans = bands.select(*PAGE, F.array_min("band.char_start").alias("char_start"), F.element_at("band", -1)["char_end"].alias("char_end"), text.alias("text"))
     return spans.select(*PAGE, F.lit("IDENTIFIER").alias("label"), "text", normalize(F.col("text")).alias("norm_text"), F.lit(CONFIDENCE).alias("confidence"), F.lit("regex").alias("source"), "char_start", "char_end")

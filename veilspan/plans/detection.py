@@ -217,8 +217,7 @@ def dsg03_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _signed_pages(spark, sf_dir)
-    return t.join(signatures.token_lines(t), ["doc_id", "page_index", "token_idx"])
+    return signatures.lined(_signed_pages(spark, sf_dir))
 
 
 def dsg04_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
