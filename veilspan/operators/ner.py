@@ -188,8 +188,9 @@ def filter_false_positives(entities: DataFrame) -> DataFrame:
 def expand_addresses(entities: DataFrame) -> DataFrame:
     """Places take in a street number in the 30 characters before them, unless it belongs to a date."""
     behind = F.substring(F.col("page_text"), F.greatest(F.col("char_start") - 29, F.lit(1)), F.least(F.col("char_start"), F.lit(30)))
-    number = F.regexp_extract(behind, r"(?i)(\d+(?:\s*(?:bis|ter|quater|[a-c]))?[,\s]*)\s*$", 1)
-    takes = (F.col("base") == "LOC") & (F.length(number) > 0) & ~looks_like_date(number) & ~ends_with_date(behind)
+    # only a place with a digit behind it has a number to look for
+    number = F.when((F.col("base") == "LOC") & behind.rlike("[0-9]"), F.regexp_extract(behind, r"(?i)(\d+(?:\s*(?:bis|ter|quater|[a-c]))?[,\s]*)\s*$", 1)).otherwise("")
+    takes = (F.length(number) > 0) & ~looks_like_date(number) & ~ends_with_date(behind)
     # the number's last occurrence in the stretch is where it ends
     start = F.col("char_start") - F.length(behind) + F.length(behind) - F.instr(F.reverse(behind), F.reverse(number)) + 1 - F.length(number)
     return entities.withColumn("char_start", F.when(takes, start).otherwise(F.col("char_start"))).withColumn("text", cut("page_text"))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning, table_functions
 from ..operators import ner as op
-from ..sources.tables import conversation_pages, document_pages, read, tokens
+from ..sources.tables import conversation_pages, document_pages, read, spread, tokens
 from . import duck
 
 TAGS = ("O", "B-PER", "I-PER", "B-ORG", "I-ORG", "B-LOC", "I-LOC", "B-MISC", "I-MISC")
@@ -108,11 +108,11 @@ def _addressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places and persons in texts that name streets, dates and people, one text per customer."""
     k = F.col("c_custkey").cast("string")
     text = F.concat(F.lit("Le 15 mars 2024, vu au "), k, F.when(F.col("c_custkey") % 2 == 0, " bis, ").otherwise(", "), F.lit("rue des Lilas, 75012 Paris chez Jean - Marie Dupont, le 3 mai 2023 Rochepot"))
-    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("page_index"), text.alias("page_text"), (F.lit(23) + F.length(k) + F.when(F.col("c_custkey") % 2 == 0, 6).otherwise(2)).alias("o"))
+    c = spread(read(spark, sf_dir, "customer").select("c_custkey")).select(F.col("c_custkey").alias("doc_id"), F.lit(0).alias("page_index"), text.alias("page_text"), (F.lit(23) + F.length(k) + F.when(F.col("c_custkey") % 2 == 0, 6).otherwise(2)).alias("o"))
     at = lambda a, b, base, n: F.struct((F.col("o") + a).alias("char_start"), (F.col("o") + b).alias("char_end"), F.lit(base).alias("base"), F.lit(n).alias("n_tokens"))
     items = F.array(at(0, 3, "LOC", 1), at(8, 13, "LOC", 2), at(21, 26, "LOC", 1), at(32, 36, "PER", 1), at(39, 44, "PER", 2), at(45, 51, "PER", 1), at(68, 76, "LOC", 1))
-    spread = c.select("doc_id", "page_index", "page_text", F.posexplode(items).alias("i", "e")).select("doc_id", "page_index", "page_text", "i", "e.*")
-    return spread.withColumns({"p_per": (F.col("i") + 3) / 10.0, "p_org": F.lit(0.05), "p_loc": (F.col("i") + 4) / 10.0, "p_misc": F.lit(0.0), "p_o": F.lit(0.1)}).withColumn("n_tokens", F.col("n_tokens").cast("long")).withColumn("text", op.cut("page_text")).drop("i")
+    each = c.select("doc_id", "page_index", "page_text", F.posexplode(items).alias("i", "e")).select("doc_id", "page_index", "page_text", "i", "e.*")
+    return each.withColumns({"p_per": (F.col("i") + 3) / 10.0, "p_org": F.lit(0.05), "p_loc": (F.col("i") + 4) / 10.0, "p_misc": F.lit(0.0), "p_o": F.lit(0.1)}).withColumn("n_tokens", F.col("n_tokens").cast("long")).withColumn("text", op.cut("page_text")).drop("i")
 
 
 _SHOWN = ("doc_id", "char_start", "char_end", "base", "text")
