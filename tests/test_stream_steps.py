@@ -24,3 +24,8 @@ def test_rules_own_spans_and_clusters_are_kept_once(spark, tmp_path):
 def test_results_are_computed_once(spark):
     plan = model.ner15_deduplicate(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan
+
+
+def test_page_texts_stay_out_of_merges(spark):
+    plan = model.ner16_predict(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(page_text" not in plan and "min_by(before" in plan

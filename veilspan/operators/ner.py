@@ -197,16 +197,23 @@ def expand_addresses(entities: DataFrame) -> DataFrame:
 
 
 def _merge_runs(entities: DataFrame, base: str, bridges: Column, keys: tuple[str, ...]) -> DataFrame:
-    """Joins consecutive entities of one type where ``bridges`` holds for ``gap`` and ``gap_text``; means by tokens."""
+    """Joins consecutive entities of one type where ``bridges`` holds for ``gap`` and ``gap_text``; means by tokens.
+
+    Entities come with ``page_text``, or with ``before`` alone, the ADDRESS_GAP characters before them, and then leave without a text.
+    """
     w = Window.partitionBy(*keys).orderBy("char_start", "char_end")
     prior = entities.withColumns({"prior_base": F.lag("base").over(w), "prior_end": F.lag("char_end").over(w)})
-    gapped = prior.withColumn("gap", F.col("char_start") - F.col("prior_end")).withColumn("gap_text", F.substring(F.col("page_text"), F.col("prior_end") + 1, F.greatest(F.col("gap"), F.lit(0))))
+    gap = F.col("char_start") - F.col("prior_end")
+    whole = "page_text" in entities.columns
+    between = F.substring(F.col("page_text"), F.col("prior_end") + 1, F.greatest(gap, F.lit(0))) if whole else F.when(gap <= ADDRESS_GAP, F.right(F.col("before"), F.greatest(gap, F.lit(0))))
+    gapped = prior.withColumn("gap", gap).withColumn("gap_text", between)
     joins = (F.col("base") == base) & (F.col("prior_base") == base) & bridges
     run = gapped.withColumn("new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     means = [(F.sum(F.col(p) * F.col("n_tokens")) / F.sum("n_tokens")).alias(p) for p in PROBS]
     last = F.max_by("char_end", F.struct("char_start", "char_end"))
-    merged = run.groupBy(*keys, "run", "base").agg(F.min("char_start").alias("char_start"), last.alias("char_end"), F.first("page_text").alias("page_text"), *means, F.sum("n_tokens").alias("n_tokens")).drop("run")
-    return merged.withColumn("text", cut("page_text"))
+    carried = F.first("page_text").alias("page_text") if whole else F.min_by("before", F.struct("char_start", "char_end")).alias("before")
+    merged = run.groupBy(*keys, "run", "base").agg(F.min("char_start").alias("char_start"), last.alias("char_end"), carried, *means, F.sum("n_tokens").alias("n_tokens")).drop("run")
+    return merged.withColumn("text", cut("page_text")) if whole else merged
 
 
 def merge_addresses(entities: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
@@ -256,7 +263,12 @@ def results_to_spans(results: DataFrame) -> DataFrame:
 
 def _results_of(tokens: DataFrame, texts: DataFrame, keys: tuple[str, ...], offset: Column | None = None) -> DataFrame:
     entities = filter_false_positives(finalize(group_tokens(tokens, keys), texts, keys))
-    return to_results(merge_persons(merge_addresses(expand_addresses(entities), keys), keys), offset)
+    # entities are sorted by page several times: they carry what the merges look at, and meet the page's text again at the end
+    placed = expand_addresses(entities)
+    before = F.substring(F.col("page_text"), F.greatest(F.col("char_start") - (ADDRESS_GAP - 1), F.lit(1)), F.least(F.col("char_start"), F.lit(ADDRESS_GAP)))
+    merged = merge_persons(merge_addresses(placed.withColumn("before", before).drop("page_text", "text"), keys), keys)
+    met = merged.join(texts.select(*keys, F.col("text").alias("page_text")), list(keys))
+    return to_results(met.withColumn("text", cut("page_text")), offset)
 
 
 def predict(tokens: DataFrame, pages: DataFrame) -> DataFrame:
