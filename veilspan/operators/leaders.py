@@ -95,15 +95,16 @@ class Leaders:
         return first
 
     def add(self, text: str, norm_text: str, fuzzy: str, label: str, confidence: float, source: str) -> int:
-        at = self.find(fuzzy)
+        at = None if fuzzy is None else self.find(fuzzy)
         if at is None:
             self.clusters.append({"text": text, "norm_text": norm_text, "fuzzy": fuzzy, "variants": [text], "label": label, "confidence": confidence, "source": source})
-            self._index(len(self.clusters) - 1)
+            if fuzzy is not None:  # a missing text is like no other
+                self._index(len(self.clusters) - 1)
             return len(self.clusters) - 1
         c = self.clusters[at]
         if text not in c["variants"]:
             c["variants"].append(text)
-        if confidence > c["confidence"]:
+        if None not in (confidence, c["confidence"]) and confidence > c["confidence"]:
             moved = fuzzy != c["fuzzy"]
             c.update(text=text, norm_text=norm_text, fuzzy=fuzzy, confidence=confidence)
             if moved:

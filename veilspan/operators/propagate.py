@@ -1,7 +1,8 @@
 """Propagation: fuzzy grouping of found texts, and search for them on a document's other pages.
 
-Everything happens within a document, so a document is the unit of grouping;
-its spans and pages are few. Order-dependent steps are folds over one array.
+Everything happens within a document, so a document is the unit of grouping. A page's row takes its document's
+clusters and its own spans as arrays; clusters, places and the choice among them are Arrow functions over batches
+of rows (``leaders``, ``places``), so plans are small and only places that nothing covers leave a row.
 """
 
 from __future__ import annotations
@@ -9,30 +10,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.intervals import runs
-from ..functions.text import escape_regex, let, matches, normalize, normalize_fuzzy, normalized_similarity, occurrences, similarity, strip
+from ..functions.text import escape_regex, let, normalize_fuzzy, normalized_similarity, strip
 from .leaders import clusters_of
+from .places import MARKDOWN, PLACE, TRAILING, fuzzy, page_places, uncovered
 from .rules import _of
 from .spans import PAGE
 
-#: Likeness from which two texts are one entity, and from which a flexible match counts.
-SAME, MATCH = 0.95, 0.85
+#: Likeness from which two texts are one entity.
+SAME = 0.95
 #: Confidence that a propagated span keeps.
 DECAY = 0.9
-# Formatting characters.
-MARKDOWN = r"[*_~`#\[\](){}|\\<>]"
-TRAILING = r"[*_~`#\[\](){}|\\<>,.;:!?]"
 
 
 def strip_formatting(text: Column) -> Column:
     return F.regexp_replace(text, MARKDOWN, "")
 
 
-#: So many spans of a document at most are folded by comparing with every cluster; more take the candidate index.
-FEW_SPANS = 200
+#: So many spans of a document at most are folded by the plan, comparing with every cluster; more take the candidate index. The fold
+#: says the same as a Column, but costs the square of a document's texts and seconds of planning.
+FEW_SPANS = 0
 _CLUSTERS = "array<struct<text:string,norm_text:string,fuzzy:string,variants:array<string>,label:string,confidence:double,source:string>>"
 
 
@@ -40,22 +39,15 @@ _ARROW_CLUSTERS = pa.list_(pa.struct([("text", pa.string()), ("norm_text", pa.st
 
 
 def _indexed_clusters(items: pa.Array) -> pa.Array:
-    return pa.array([clusters_of(x) for x in items.to_pylist()], _ARROW_CLUSTERS)
+    listed = ([{**s, "fuzzy": None if s["text"] is None else fuzzy(s["text"])} for s in spans] if spans is not None else None for spans in items.to_pylist())
+    return pa.array([clusters_of(x) for x in listed], _ARROW_CLUSTERS)
 
 
-def leader_clusters(spans: DataFrame, few: int = FEW_SPANS) -> DataFrame:
-    """(doc_id, cluster, text, norm_text, variants, label, confidence, source).
-
-    Spans by ``ord``: each joins the first cluster whose present text is alike,
-    else starts one. A surer span gives the cluster its text; label and source
-    stay the first's. Documents of more than ``few`` spans, whose clusters would be compared
-    with every span, look for candidates in an index (``leaders``), with the same result.
-    """
-    item = F.struct("ord", "text", "norm_text", normalize_fuzzy(F.col("text")).alias("fuzzy"), "label", "confidence", "source")
-    grouped = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+def _folded(items: Column) -> Column:
+    """The clusters of a document's spans as a fold over their array."""
 
     def step(found: Column, s: Column) -> Column:
-        at = F.array_position(F.transform(found, lambda c: normalized_similarity(c["fuzzy"], s["fuzzy"]) >= SAME), F.lit(True))
+        alike = F.array_position(F.transform(found, lambda c: normalized_similarity(c["fuzzy"], s["fuzzy"]) >= SAME), F.lit(True))
         fresh = F.struct(s["text"].alias("text"), s["norm_text"].alias("norm_text"), s["fuzzy"].alias("fuzzy"), F.array(s["text"]).alias("variants"), s["label"].alias("label"), s["confidence"].alias("confidence"), s["source"].alias("source"))
 
         def joined(c: Column) -> Column:
@@ -63,11 +55,29 @@ def leader_clusters(spans: DataFrame, few: int = FEW_SPANS) -> DataFrame:
             pick = lambda f: F.when(better, s[f]).otherwise(c[f]).alias(f)
             return F.struct(pick("text"), pick("norm_text"), pick("fuzzy"), F.array_union(c["variants"], F.array(s["text"])).alias("variants"), c["label"].alias("label"), pick("confidence"), c["source"].alias("source"))
 
-        return F.when(at == 0, F.concat(found, F.array(fresh))).otherwise(F.transform(found, lambda c, i: F.when(i + 1 == at, joined(c)).otherwise(c)))
+        return let(alike, lambda at: F.when(at == 0, F.concat(found, F.array(fresh))).otherwise(F.transform(found, lambda c, i: F.when(i + 1 == at, joined(c)).otherwise(c))))
+
+    return F.aggregate(F.transform(items, lambda s: s.withField("fuzzy", normalize_fuzzy(s["text"]))), F.array().cast(_CLUSTERS), step)
+
+
+def cluster_lists(spans: DataFrame, few: int = FEW_SPANS) -> DataFrame:
+    """(doc_id, clusters): the clusters of ``leader_clusters`` as one array a document."""
+    grouped = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "text", "norm_text", "label", "confidence", "source"))).alias("items"))
+    indexed = F.arrow_udf(_CLUSTERS)(_indexed_clusters)
+    if few < 1:
+        return grouped.select("doc_id", indexed("items").alias("clusters"))
+    return grouped.select("doc_id", F.coalesce(F.when(F.size("items") <= few, _folded(F.col("items"))), indexed(F.when(F.size("items") > few, F.col("items")))).alias("clusters"))
+
+
+def leader_clusters(spans: DataFrame, few: int = FEW_SPANS) -> DataFrame:
+    """(doc_id, cluster, text, norm_text, variants, label, confidence, source).
 
-    folded = F.when(F.size("items") <= few, F.aggregate("items", F.array().cast(_CLUSTERS), step))
-    indexed = F.arrow_udf(_CLUSTERS)(_indexed_clusters)(F.when(F.size("items") > few, F.col("items")))
-    found = grouped.select("doc_id", F.posexplode(F.coalesce(folded, indexed)).alias("cluster", "c"))
+    Spans by ``ord``: each joins the first cluster whose present text is alike,
+    else starts one. A surer span gives the cluster its text; label and source
+    stay the first's. Candidates are looked for in an index (``leaders``); documents of at most ``few`` spans
+    are folded by comparing with every cluster, with the same result.
+    """
+    found = cluster_lists(spans, few).select("doc_id", F.posexplode("clusters").alias("cluster", "c"))
     return found.select("doc_id", "cluster", *[F.col(f"c.{f}").alias(f) for f in ("text", "norm_text", "variants", "label", "confidence", "source")])
 
 
@@ -86,60 +96,48 @@ def tight_bounds(matched: Column, needle: Column) -> tuple[Column, Column]:
     return F.when(enough, start).otherwise(F.lit(0)), F.when(enough, stop).otherwise(F.length(matched))
 
 
+_NO_SPANS = "array<struct<char_start:int,char_end:int>>"
+
+
 def find_variants(clusters: DataFrame, pages: DataFrame, flexible: bool = True) -> DataFrame:
-    """Places of every cluster's variants on its document's pages: exact first, flexible where there is no exact one.
+    """Places of every cluster's variants on its document's pages: exact first, flexible where there is no exact one; each once for a cluster.
 
     A document's variants stand beside each of its pages as one array, so a text moves once, and only places leave
     the row. A page that doesn't hold the needle, marks and spaces aside, is no candidate for the flexible search.
     """
-    variants = clusters.select("doc_id", "cluster", F.posexplode("variants").alias("variant_no", "variant")).where(F.length("variant") > 0)
-    bare = lambda c: F.lower(F.regexp_replace(c, r"[*_~`\s]", ""))
-    held = variants.groupBy("doc_id").agg(F.collect_list(F.struct("cluster", "variant_no", "variant", F.lower("variant").alias("low"), bare(F.col("variant")).alias("bare"), (F.length(strip(F.col("variant"))) > 0).alias("worded"))).alias("held"))
-    place = lambda v, a, b: F.struct(v["cluster"].alias("cluster"), v["variant_no"].alias("variant_no"), a.cast("int").alias("char_start"), b.cast("int").alias("char_end"))
-    text = F.col("page_text")
-
-    def exact(found: Column) -> Column:
-        return F.flatten(F.transform(found, lambda v: F.transform(occurrences(text, v["variant"]), lambda a: place(v, a, a + F.length(v["variant"])))))
-
-    def loose(v: Column) -> Column:
-        alike = F.filter(matches(text, flexible_pattern(v["variant"])), lambda m: similarity(strip_formatting(m["text"]), strip_formatting(v["variant"])) >= MATCH)
-        bounds = lambda m: tight_bounds(m["text"], v["variant"])
-        return F.transform(alike, lambda m: place(v, m["start"] + bounds(m)[0], m["start"] + bounds(m)[1]))
+    held = clusters.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("cluster", "variants"))).alias("held"))
+    found = F.arrow_udf(f"array<{PLACE}>")(page_places(flexible))("text", F.transform("held", lambda c: c["variants"]), F.array().cast(_NO_SPANS))
+    met = pages.select(*PAGE, "text").join(held, "doc_id").select(*PAGE, "held", found.alias("found"))
+    numbered = F.transform("found", lambda p: F.struct(F.get("held", p["cluster"])["cluster"].alias("cluster"), p["variant_no"].alias("variant_no"), p["char_start"].alias("char_start"), p["char_end"].alias("char_end")))
+    return met.select(*PAGE, F.inline(numbered))
 
-    def places(page: Column) -> Column:
-        direct = lambda v: F.contains(page["low"], v["low"])
-        found = exact(F.filter("held", direct))
-        if not flexible:
-            return found
-        return F.concat(found, F.flatten(F.transform(F.filter("held", lambda v: ~direct(v) & v["worded"] & F.contains(page["bare"], v["bare"])), loose)))
 
-    met = pages.select("doc_id", "page_index", F.col("text").alias("page_text")).join(held, "doc_id")
-    return met.select("doc_id", "page_index", F.inline(let(F.struct(F.lower(text).alias("low"), (bare(text) if flexible else F.lit(None)).alias("bare")), places)))
+def _chosen(rows: DataFrame) -> DataFrame:
+    """Of a page's spans (cluster -1) and places, each with whatever columns, the places that no span or earlier place overlaps."""
+    fields = [c for c in rows.columns if c not in PAGE]
+    paged = rows.groupBy(*PAGE).agg(F.collect_list(F.struct(*fields)).alias("items"))
+    return paged.select(*PAGE, F.arrow_udf(paged.schema["items"].dataType)(uncovered)("items").alias("kept")).select(*PAGE, F.inline("kept"))
 
 
 def _uncovered(places: DataFrame, spans: DataFrame) -> DataFrame:
-    """Places in order of cluster, variant and start, without those that a span or an earlier taken place overlaps.
+    """Places in order of cluster, variant and start, without those that a span or an earlier taken place overlaps."""
+    fields = [*PAGE, "cluster", "variant_no", "char_start", "char_end"]
+    taken = spans.join(places.select(*PAGE).distinct(), list(PAGE), "left_semi").withColumns({"cluster": F.lit(-1), "variant_no": F.lit(0)})
+    return _chosen(places.select(*fields).unionByName(taken.select(*fields))).select(*PAGE, "cluster", "char_start", "char_end")
 
-    Spans and places of a page are one array, cut into runs that nothing overlaps from outside; within a
-    run spans come first and stay, then places in their order.
-    """
-    first = Window.partitionBy(*PAGE, "cluster", "char_start", "char_end").orderBy("variant_no")
-    once = places.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*PAGE, "char_start", "char_end", "cluster", "variant_no")
-    taken = spans.join(once.select(*PAGE).distinct(), list(PAGE), "left_semi").select(*PAGE, "char_start", "char_end", F.lit(-1).alias("cluster"), F.lit(0).alias("variant_no"))
-    item = F.struct("char_start", "char_end", "cluster", "variant_no")
-    kind = "array<struct<cluster:int,variant_no:int,char_start:int,char_end:int>>"
-    ranked = lambda run: F.array_sort(F.transform(run, lambda p: F.struct(p["cluster"].alias("cluster"), p["variant_no"].alias("variant_no"), p["char_start"].alias("char_start"), p["char_end"].alias("char_end"))))
-    clear = lambda kept, p: (p["cluster"] < 0) | ~F.exists(kept, lambda k: (k["char_start"] < p["char_end"]) & (k["char_end"] > p["char_start"]))
-    chosen = lambda run: F.aggregate(ranked(run), F.array().cast(kind), lambda kept, p: F.when(clear(kept, p), F.concat(kept, F.array(p))).otherwise(kept))
-    paged = once.unionByName(taken).groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    kept = F.filter(F.flatten(F.transform(runs(F.col("items"), lambda x: x["char_start"], lambda x: x["char_end"]), chosen)), lambda p: p["cluster"] >= 0)
-    return paged.select(*PAGE, F.explode(kept).alias("p")).select(*PAGE, "p.cluster", "p.char_start", "p.char_end")
+
+def _open_places(spans: DataFrame, pages: DataFrame, flexible: bool, chosen: bool, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """Places of the spans' texts on pages that no span overlaps, as spans with ``cluster`` and ``variant_no``; ``chosen``: that no earlier place overlaps either."""
+    clusters = keep(cluster_lists(spans), "clusters")
+    taken = spans.groupBy(*PAGE).agg(F.collect_list(F.struct("char_start", "char_end")).alias("taken"))
+    met = pages.where(F.col("page_index").isNotNull()).select(*PAGE, "text").join(taken, list(PAGE), "left").join(clusters, "doc_id")
+    found = F.arrow_udf(f"array<{PLACE}>")(page_places(flexible, chosen))("text", F.transform("clusters", lambda c: c["variants"]), "taken")
+    named = F.transform("found", lambda p: p.withField("c", F.get("clusters", p["cluster"])))
+    rows = met.select(*PAGE, "clusters", found.alias("found")).select(*PAGE, F.inline(named))
+    return rows.select(*PAGE, "cluster", "variant_no", "c.label", "text", "norm_text", (F.col("c.confidence") * DECAY).alias("confidence"), "c.source", "char_start", "char_end")
 
 
-def _as_spans(taken: DataFrame, clusters: DataFrame, pages: DataFrame) -> DataFrame:
-    text = F.substring(F.col("page_text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    met = taken.join(clusters.select("doc_id", "cluster", "label", "confidence", "source"), ["doc_id", "cluster"]).join(pages.select(*PAGE, F.col("text").alias("page_text")), list(PAGE))
-    return met.select(*PAGE, "label", text.alias("text"), normalize(text).alias("norm_text"), (F.col("confidence") * DECAY).alias("confidence"), "source", "char_start", "char_end")
+_BROUGHT = (*PAGE, "label", "text", "norm_text", "confidence", "source", "char_start", "char_end")
 
 
 def as_it_is(df: DataFrame, name: str) -> DataFrame:
@@ -148,9 +146,8 @@ def as_it_is(df: DataFrame, name: str) -> DataFrame:
 
 
 def propagate(spans: DataFrame, pages: DataFrame, *, flexible: bool = True, keep: Callable[[DataFrame, str], DataFrame] = as_it_is) -> DataFrame:
-    """New spans wherever a found text occurs on any page of its document and nothing covers it; ``keep`` is given the clusters, which are used twice."""
-    clusters = keep(leader_clusters(spans), "clusters")
-    return _as_spans(_uncovered(find_variants(clusters, pages, flexible), spans), clusters, pages)
+    """New spans wherever a found text occurs on any page of its document and nothing covers it; ``keep`` is given the clusters."""
+    return _open_places(spans, pages, flexible, True, keep).select(*_BROUGHT)
 
 
 def propagate_to_page(spans: DataFrame, new_pages: DataFrame, rules: DataFrame, *, flexible: bool = True, keep: Callable[[DataFrame, str], DataFrame] = as_it_is) -> DataFrame:
@@ -158,10 +155,8 @@ def propagate_to_page(spans: DataFrame, new_pages: DataFrame, rules: DataFrame,
 
     Skipped places don't cover later ones.
     """
-    clusters = keep(leader_clusters(spans), "clusters")
-    places = find_variants(clusters, new_pages, flexible)
-    text = F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    worded = places.join(new_pages, list(PAGE)).withColumn("norm_text", normalize(text))
-    allowed = worded.join(_of(rules, "suppress").select("norm_text"), "norm_text", "left_anti").select(*places.columns)
-    found = _as_spans(_uncovered(allowed, spans), clusters, new_pages)
-    return found.join(_of(rules, "override"), "norm_text", "left").withColumn("label", F.coalesce("rule_label", "label")).drop("rule_label")
+    places = _open_places(spans, new_pages, flexible, False, keep)
+    allowed = places.join(_of(rules, "suppress").select("norm_text"), "norm_text", "left_anti").select(*places.columns)
+    # a page that is there twice has its spans twice
+    found = _chosen(allowed).join(new_pages.select(*PAGE), list(PAGE)).select(*_BROUGHT)
+    return found.join(_of(rules, "override"), "norm_text", "left").withColumn("label", F.coalesce("rule_label", "label")).drop("rule_label").select(*_BROUGHT)

@@ -12,8 +12,6 @@ Rules are those of the stream's start; resuming from the checkpoint reads them a
 from __future__ import annotations
 
 import json
-import re
-import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -21,9 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..functions.text import SPACES
-from ..operators.leaders import Leaders, within
-from ..operators.propagate import DECAY, MARKDOWN, TRAILING
+from ..operators.leaders import Leaders
+from ..operators.places import fuzzy, normalize, variant_places
+from ..operators.propagate import DECAY
 from .progressive import STEP
 
 _FIELDS = [f.split(" ")[0] for f in STEP.split(", ")]
@@ -33,68 +31,13 @@ WAITING = "page_index int, text string, own string"
 #: Rules travel to the executors whole; people write them.
 MOST_RULES = 200_000
 
-# as the Column functions of the same names; ASCII leaves \s the white space that Java's has
-_SPACE, _OUTER = re.compile(f"[{SPACES}]+", re.ASCII), re.compile(f"^[{SPACES}]+|[{SPACES}]+$", re.ASCII)
-_FUZZY = re.compile(f"[^A-Za-z0-9_{SPACES}]", re.ASCII)
-_MARKS, _BARE = re.compile(MARKDOWN), re.compile(r"[*_~`\s]", re.ASCII)
-_LEAD, _TRAIL = re.compile(f"^(?:{MARKDOWN})+"), re.compile(f"(?:{TRAILING})+$")
-
-
-def normalize(text: str) -> str:
-    return _SPACE.sub(" ", _OUTER.sub("", text)).lower()
-
-
-def fuzzy(text: str) -> str:
-    bare = re.sub("[̀-ͯ]", "", unicodedata.normalize("NFD", text)).lower()
-    return _OUTER.sub("", _SPACE.sub(" ", _FUZZY.sub("", bare)))
-
-
-def _alike(a: str, b: str) -> bool:
-    """Whether the similarity is 0.85 or more."""
-    return a == b or within(a, b, max(len(a), len(b)) * 15 // 100)
-
-
-def _exact(low: str, needle: str) -> Iterator[int]:
-    at = low.find(needle)
-    while at >= 0:
-        yield at
-        at = low.find(needle, at + 1)
-
-
-def _flexible(text: str, variant: str) -> Iterator[tuple[int, int]]:
-    """Places of a text that formatting marks interrupt, without outer marks and trailing punctuation."""
-    spell = lambda w: "[*_~`]*".join(map(re.escape, w))
-    words = [spell(w) for w in re.split(r"\s+", _OUTER.sub("", variant), flags=re.ASCII)]
-    plain = fuzzy(_MARKS.sub("", variant))
-    for m in re.finditer(r"[*_~`]*[ \t\n\x0b\f\r]+[*_~`]*".join(words), text, re.IGNORECASE):
-        found = m.group()
-        if _alike(fuzzy(_MARKS.sub("", found)), plain):
-            start = len(found) - len(_LEAD.sub("", found))
-            stop = max(start, len(_TRAIL.sub("", found)))
-            if stop - start < len(variant) * 0.5:
-                start, stop = 0, len(found)
-            yield m.start() + start, m.start() + stop
-
-
 def places(clusters: list[dict], text: str) -> Iterator[tuple[int, int, int]]:
     """(cluster, start, end) in order of cluster, variant and start, each once for a cluster."""
-    low, bare = text.lower(), _BARE.sub("", text).lower()
-    for k, c in enumerate(clusters):
-        seen = set()
-        for variant in c["variants"]:
-            if not variant:
-                continue
-            needle = variant.lower()
-            if needle in low:
-                found = [(at, at + len(variant)) for at in _exact(low, needle)]
-            elif _OUTER.sub("", variant) and _BARE.sub("", variant).lower() in bare:
-                found = sorted(_flexible(text, variant))
-            else:
-                continue
-            for place in found:
-                if place not in seen:
-                    seen.add(place)
-                    yield k, *place
+    seen = set()
+    for k, _, a, b in variant_places((c["variants"] for c in clusters), text):
+        if (k, a, b) not in seen:
+            seen.add((k, a, b))
+            yield k, a, b
 
 
 def page_step(known: Leaders, page_index: int, text: str, own: list[dict], suppressed: frozenset[str], labels: dict[str, str]) -> list[tuple]:
