@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from ..functions.text import ends_with_date, let, looks_like_date, looks_like_date_part, normalize, strip
+from .chunk_entities import ENTITY, RESULT, RESULT_ROWS, chunk_entities, swept_pages
 from .detect import excluded
 from .spans import PAGE
 
@@ -31,6 +32,7 @@ SCORE_FLOOR = 0.05
 PROMPTS = {"person name and surname": "PERSON", "organization and company": "ORGANIZATION", "address and location": "ADDRESS"}
 
 PROBS = ("p_per", "p_org", "p_loc", "p_misc", "p_o")
+_ENTITY_FIELDS = [f.split(":")[0] for f in ENTITY.removeprefix("struct<").removesuffix(">").split(",")]
 
 
 def chunk_bounds(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
@@ -185,15 +187,26 @@ def filter_false_positives(entities: DataFrame) -> DataFrame:
     return entities.where(~is_false_positive(F.col("text"), F.col("base"), max_probability()))
 
 
-def expand_addresses(entities: DataFrame) -> DataFrame:
-    """Places take in a street number in the 30 characters before them, unless it belongs to a date."""
-    behind = F.substring(F.col("page_text"), F.greatest(F.col("char_start") - 29, F.lit(1)), F.least(F.col("char_start"), F.lit(30)))
+def _behind(text: Column, start: Column) -> Column:
+    """The 30 characters before a place."""
+    return F.substring(text, F.greatest(start - (ADDRESS_GAP - 1), F.lit(1)), F.least(start, F.lit(ADDRESS_GAP)))
+
+
+def _street_number(behind: Column, base: Column) -> Column:
     # only a place with a digit behind it has a number to look for
-    number = F.when((F.col("base") == "LOC") & behind.rlike("[0-9]"), F.regexp_extract(behind, r"(?i)(\d+(?:\s*(?:bis|ter|quater|[a-c]))?[,\s]*)\s*$", 1)).otherwise("")
+    return F.when((base == "LOC") & behind.rlike("[0-9]"), F.regexp_extract(behind, r"(?i)(\d+(?:\s*(?:bis|ter|quater|[a-c]))?[,\s]*)\s*$", 1)).otherwise("")
+
+
+def _address_start(start: Column, behind: Column, number: Column) -> Column:
     takes = (F.length(number) > 0) & ~looks_like_date(number) & ~ends_with_date(behind)
     # the number's last occurrence in the stretch is where it ends
-    start = F.col("char_start") - F.length(behind) + F.length(behind) - F.instr(F.reverse(behind), F.reverse(number)) + 1 - F.length(number)
-    return entities.withColumn("char_start", F.when(takes, start).otherwise(F.col("char_start"))).withColumn("text", cut("page_text"))
+    return F.when(takes, start - F.instr(F.reverse(behind), F.reverse(number)) + 1 - F.length(number)).otherwise(start)
+
+
+def expand_addresses(entities: DataFrame) -> DataFrame:
+    """Places take in a street number in the 30 characters before them, unless it belongs to a date."""
+    behind = _behind(F.col("page_text"), F.col("char_start"))
+    return entities.withColumn("char_start", _address_start(F.col("char_start"), behind, _street_number(behind, F.col("base")))).withColumn("text", cut("page_text"))
 
 
 def _merge_runs(entities: DataFrame, base: str, bridges: Column, keys: tuple[str, ...]) -> DataFrame:
@@ -216,17 +229,45 @@ def _merge_runs(entities: DataFrame, base: str, bridges: Column, keys: tuple[str
     return merged.withColumn("text", cut("page_text")) if whole else merged
 
 
+def _bridges_addresses(gap: Column, between: Column) -> Column:
+    def bridged(between: Column) -> Column:
+        words = F.filter(F.split(between, r"[\s,]+", -1), lambda w: F.length(w) > 0)
+        fits = F.forall(words, lambda w: w.rlike("^[0-9]+$") | w.isin(*BRIDGE_WORDS) | (F.length(w) <= 1))
+        return ~looks_like_date(between) & fits
+
+    return (gap <= ADDRESS_GAP) & bridged(F.lower(strip(between)))
+
+
+def _bridges_persons(gap: Column, between: Column) -> Column:
+    return (gap <= PERSON_GAP) & between.rlike(r"^[\s\x27-]*$")
+
+
 def merge_addresses(entities: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """Places at most 30 apart with only numbers, address words or single characters between them."""
-    gap = F.lower(strip(F.col("gap_text")))
-    words = F.filter(F.split(gap, r"[\s,]+", -1), lambda w: F.length(w) > 0)
-    fits = F.forall(words, lambda w: w.rlike("^[0-9]+$") | w.isin(*BRIDGE_WORDS) | (F.length(w) <= 1))
-    return _merge_runs(entities, "LOC", (F.col("gap") <= ADDRESS_GAP) & ~looks_like_date(gap) & fits, keys)
+    return _merge_runs(entities, "LOC", _bridges_addresses(F.col("gap"), F.col("gap_text")), keys)
 
 
 def merge_persons(entities: DataFrame, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """Persons at most five characters apart with only spaces, hyphens or apostrophes between them."""
-    return _merge_runs(entities, "PER", (F.col("gap") <= PERSON_GAP) & F.col("gap_text").rlike(r"^[\s\x27-]*$"), keys)
+    return _merge_runs(entities, "PER", _bridges_persons(F.col("gap"), F.col("gap_text")), keys)
+
+
+def merged_items(entities: Column, text: Column, base: str, bridges: Callable[[Column, Column], Column]) -> Column:
+    """``_merge_runs`` of one text's entities as an array (``chunk_entities.ENTITY``): the first of a run has the sums of its means by tokens."""
+    kind = f"array<{ENTITY}>"
+    ordered = F.array_sort(F.transform(entities, lambda e: F.struct(*[(e[p] * e["n_tokens"]).alias(p) if p in PROBS else e[p].alias(p) for p in _ENTITY_FIELDS])))
+
+    def step(out: Column, x: Column) -> Column:
+        def met(last: Column) -> Column:
+            gap = x["char_start"] - last["char_end"]
+            joins = (x["base"] == base) & (last["base"] == base) & bridges(gap, F.substring(text, last["char_end"] + 1, F.greatest(gap, F.lit(0))))
+            both = F.struct(*[x[f].alias(f) if f == "char_end" else (last[f] + x[f]).alias(f) if f in (*PROBS, "n_tokens") else last[f].alias(f) for f in _ENTITY_FIELDS])
+            return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(both))).otherwise(F.concat(out, F.array(x)))
+
+        return F.when(F.size(out) == 0, F.array(x)).otherwise(let(F.element_at(out, -1), met)).cast(kind)
+
+    means = lambda e: F.struct(*[(e[f] / e["n_tokens"]).alias(f) if f in PROBS else e[f].alias(f) for f in _ENTITY_FIELDS])
+    return F.transform(F.aggregate(ordered, F.array().cast(kind), step), means)
 
 
 def to_results(entities: DataFrame, offset: Column | None = None) -> DataFrame:
@@ -265,7 +306,7 @@ def _results_of(tokens: DataFrame, texts: DataFrame, keys: tuple[str, ...], offs
     entities = filter_false_positives(finalize(group_tokens(tokens, keys), texts, keys))
     # entities are sorted by page several times: they carry what the merges look at, and meet the page's text again at the end
     placed = expand_addresses(entities)
-    before = F.substring(F.col("page_text"), F.greatest(F.col("char_start") - (ADDRESS_GAP - 1), F.lit(1)), F.least(F.col("char_start"), F.lit(ADDRESS_GAP)))
+    before = _behind(F.col("page_text"), F.col("char_start"))
     merged = merge_persons(merge_addresses(placed.withColumn("before", before).drop("page_text", "text"), keys), keys)
     met = merged.join(texts.select(*keys, F.col("text").alias("page_text")), list(keys))
     return to_results(met.withColumn("text", cut("page_text")), offset)
@@ -286,19 +327,35 @@ def decode(tokens: DataFrame, labels: Column) -> DataFrame:
     return scored.select("*", winning_tag(F.col("_probs"), labels).alias("bio_tag"), base_probabilities(F.col("_probs"), labels).alias("_base")).select(*tokens.columns, "bio_tag", "_base.*")
 
 
+def chunk_entities_of(text: Column, tokens: Column, labels: Column) -> Column:
+    """A chunk's entities as an array, from its text and its model's tokens; non-deterministic for the reason of ``token_starts``."""
+    return F.arrow_udf(chunk_entities(align_tokens, THRESHOLDS), f"array<{ENTITY}>").asNondeterministic()(text, tokens, labels)
+
+
+def _chunk_results(text: Column, entities: Column, offset: Column) -> Column:
+    """The steps of ``_results_of`` in a chunk's row."""
+    piece = lambda a, b: F.substring(text, a + 1, b - a)
+    sure = lambda e: F.when(e["base"] == "PER", e["p_per"]).when(e["base"] == "ORG", e["p_org"]).otherwise(e["p_loc"])
+    kept = F.filter(entities, lambda e: ~is_false_positive(piece(e["char_start"], e["char_end"]), e["base"], sure(e)))
+    start = lambda e: let(_behind(text, e["char_start"]), lambda b: let(_street_number(b, e["base"]), lambda n: _address_start(e["char_start"], b, n)))
+    placed = F.transform(kept, lambda e: F.struct(*[(F.when(e["base"] == "LOC", start(e)).otherwise(e[f]) if f == "char_start" else e[f]).alias(f) for f in _ENTITY_FIELDS]))
+    merged = merged_items(merged_items(placed, text, "LOC", _bridges_addresses), text, "PER", _bridges_persons)
+    label = lambda e: F.when(e["base"] == "PER", LABEL_OF["PER"]).when(e["base"] == "ORG", LABEL_OF["ORG"]).otherwise(LABEL_OF["LOC"])
+    result = lambda e: F.struct((e["char_start"] + offset).alias("char_start"), (e["char_end"] + offset).alias("char_end"), label(e).alias("label"), piece(e["char_start"], e["char_end"]).alias("text"), sure(e).alias("score"))
+    return F.transform(merged, result).cast(f"array<{RESULT}>")
+
+
 def predict_pages(pages: DataFrame, model: Callable[[Column], Column], labels: Column) -> DataFrame:
     """All steps from whole pages to deduplicated results: chunks, model, places, entities by chunk, places on the page.
 
     ``model`` gives for a chunk's text its tokens in order, as
     array<struct<word,is_word_start,logits>>. Chunks overlap; what two of them
-    find comes once. An empty or null text has no results.
+    find comes once. An empty or null text has no results. Tokens and entities stay
+    in their chunk's row, and a page's chunks where it is read: nothing is shuffled.
     """
     chunks = split_into_chunks(pages).drop("chunk")
-    seen = chunks.withColumn("tokens", model(F.col("text")))
-    placed = seen.select(*CHUNK_KEYS, F.arrays_zip(F.col("tokens").alias("t"), token_starts("tokens.word", "tokens.is_word_start", "text").alias("at")).alias("tokens"))
-    each = placed.select(*CHUNK_KEYS, F.posexplode("tokens").alias("token_idx", "x")).where("x.at >= 0")
-    tokens = each.select(*CHUNK_KEYS, "token_idx", "x.t.is_word_start", "x.t.logits", F.col("x.at").alias("char_start"), (F.col("x.at") + F.length("x.t.word")).alias("char_end"))
-    return deduplicate_results(_results_of(decide_labels(decode(tokens, labels)), chunks, CHUNK_KEYS, F.col("start")))
+    seen = chunks.select(*CHUNK_KEYS, "text", chunk_entities_of(F.col("text"), model(F.col("text")), labels).alias("entities"))
+    return seen.select(*CHUNK_KEYS, _chunk_results(F.col("text"), F.col("entities"), F.col("start")).alias("results")).mapInArrow(swept_pages, RESULT_ROWS)
 
 
 def strip_markdown(text: Column) -> Column:
