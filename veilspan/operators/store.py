@@ -119,6 +119,11 @@ def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     return children.join(parents.select(key).distinct(), key, "left_anti")
 
 
+def unless_any(rows: DataFrame, those: DataFrame) -> DataFrame:
+    """All rows if there are none of ``those``, else none: a NOT EXISTS that no column of ``rows`` takes part in."""
+    return rows.join(F.broadcast(those.select(F.lit(1).alias("_any")).limit(1)), F.lit(True), "left_anti")
+
+
 def with_keys_of(pairs: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
     """Stored pairs whose key begins with one of the prefixes (what wiping local data removes)."""
     test = F.lit(False)
