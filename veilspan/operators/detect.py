@@ -154,9 +154,12 @@ def _page_spans(text: Column, detectors: tuple[Detector, ...]) -> Column:
 
 
 def _scanned(detectors: tuple[Detector, ...], resolved: bool) -> Column:
-    """A page's raw or resolved spans by ``scanning``: all patterns run over a batch of pages."""
+    """A page's raw or resolved spans by ``scanning``: all patterns run over a batch of pages.
+
+    Told to be non-deterministic, as in ``ner.token_starts``: the filter that a later ``inline`` brings would scan every page a second time.
+    """
     body = scanner([(d.arrow(), d.test, d.within_longer) for d in detectors], [d.label for d in detectors], [d.confidence for d in detectors], resolved)
-    return F.arrow_udf(SPANS_TYPE)(body)("text")
+    return F.arrow_udf(body, SPANS_TYPE).asNondeterministic()("text")
 
 
 def _by_arrow(detectors: tuple[Detector, ...]) -> bool:

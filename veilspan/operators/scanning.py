@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 from ..functions.text import SPACES, spaced
 
-#: Bytes of text that are scanned at a time.
-BLOCK_BYTES = 1 << 23
+#: Bytes of text that are scanned at a time, and spans that are worked on at a time: a worker holds some 30 times as many bytes of text.
+BLOCK_BYTES, BLOCK_SPANS = 1 << 20, 1 << 14
 SPAN = pa.struct([("ord", pa.int64()), ("label", pa.string()), ("text", pa.string()), ("norm_text", pa.string()), ("confidence", pa.float64()), ("source", pa.string()), ("char_start", pa.int32()), ("char_end", pa.int32())])
 #: A pattern, the test of its matches' digits (see ``passing``), and whether matches inside a strictly longer earlier one are dropped.
 Scanner = tuple[str, str, bool]
@@ -116,11 +116,11 @@ def _scan(texts: pa.Array, scanners: Sequence[Scanner], labels: Sequence[str], c
     return np.bincount(row, minlength=len(texts)), pa.StructArray.from_arrays(fields, fields=list(SPAN))
 
 
-def _blocks(offsets: np.ndarray) -> list[int]:
-    """Where blocks of rows begin and end: a block has one row, or at most BLOCK_BYTES."""
+def _blocks(offsets: np.ndarray, most: int) -> list[int]:
+    """Where blocks of rows begin and end: a block has one row, or at most as many bytes or spans."""
     cuts = [0]
     while cuts[-1] < len(offsets) - 1:
-        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(offsets, offsets[cuts[-1]] + BLOCK_BYTES, "right")) - 1))
+        cuts.append(max(cuts[-1] + 1, int(np.searchsorted(offsets, offsets[cuts[-1]] + most, "right")) - 1))
     return cuts
 
 
@@ -129,7 +129,7 @@ def scanner(scanners: Sequence[Scanner], labels: Sequence[str], confidences: Seq
 
     def spans(text: pa.Array) -> pa.Array:
         texts = pc.fill_null(text.cast(pa.large_string()), "")
-        cuts = _blocks(_buffers(texts)[0])
+        cuts = _blocks(_buffers(texts)[0], BLOCK_BYTES)
         parts = [_scan(texts[i:j], scanners, labels, confidences, resolved) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
         counts = np.concatenate([np.zeros(1, np.int64), *[p[0] for p in parts]])
         flat = pa.concat_arrays([p[1] for p in parts]) if parts else pa.array([], SPAN)
@@ -183,6 +183,11 @@ def _numbers(spans: pa.StructArray, name: str, dtype: type) -> np.ndarray:
 def processed(unique: bool, resolved: bool) -> Callable[[pa.Array], pa.Array]:
     """Lists of span structs: only the first (by ``ord``) of each place and label, and resolved, as asked."""
 
+    def every(lists: pa.Array) -> pa.Array:
+        ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64))])
+        cuts = _blocks(ends, BLOCK_SPANS)
+        return pa.concat_arrays([run(lists.slice(i, j - i)) for i, j in zip(cuts[:-1], cuts[1:], strict=True)] or [run(lists)])
+
     def run(lists: pa.Array) -> pa.Array:
         counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lists.flatten()
@@ -206,7 +211,7 @@ def processed(unique: bool, resolved: bool) -> Callable[[pa.Array], pa.Array]:
         offsets = np.concatenate([[0], np.cumsum(np.bincount(row[left], minlength=len(counts)))])
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat.take(pa.array(left)))
 
-    return run
+    return every
 
 
 def word_numbers(texts: pa.Array, lists: pa.Array) -> pa.Array:

@@ -79,8 +79,8 @@ def process(spans: DataFrame) -> DataFrame:
 
 
 def page_processed(spans: Column, unique: bool = True, resolved: bool = True) -> Column:
-    """``deduplicate`` and ``resolve`` of pages that have their spans as one array: nothing is shuffled."""
-    return F.arrow_udf(SPANS_TYPE)(processed(unique, resolved))(spans)
+    """``deduplicate`` and ``resolve`` of pages that have their spans as one array: nothing is shuffled, and no filter inferred later runs it a second time."""
+    return F.arrow_udf(processed(unique, resolved), SPANS_TYPE).asNondeterministic()(spans)
 
 
 def page_combined(spans: Column, model: Callable[[Column], Column]) -> Column:
